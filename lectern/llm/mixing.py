@@ -53,8 +53,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     """(doc_id, source, text_md5, size, source_size, target, copies) for each row of ``docs``.
 
     size counts words, 0 for a null text. copies is the number of times that the mix takes the row: the source's complete
-    epochs, and one more for sampled rows. Of the two places next to the budget where the sample can end, the nearer
-    is taken. Null is a source of its own; a source without words has target 0 and no copies. Rows that agree in id and
+    epochs, and one more for sampled rows. The sample takes rows in key order as long as they fit the budget, and last,
+    if that brings it nearer, the one row of the others whose size is closest to what is left. Null is a source of its own; a source without words has target 0 and no copies. Rows that agree in id and
     text draw the same key and follow each other. Empty tables give an empty result; further columns are ignored.
     ``quality`` is a positive weight, by default ``text_quality``.
     """
@@ -78,10 +78,21 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
         .withColumn("rest", F.when(F.col("epochs") < most_epochs, F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(0.0))
         .select(F.col("source").alias("p_source"), F.col("slice").alias("p_slice"), "before", "source_size", "target", "epochs", "rest")
     )
-    in_order = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "text_md5", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = drawn.withColumn("through", F.sum("size").over(in_order)).join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("slice") == F.col("p_slice")))
-    middle = F.col("before") + F.col("through") - F.col("size") / 2
-    return ends.withColumn("copies", (F.col("epochs") + F.when((F.col("size") > 0) & (middle <= F.col("rest")), 1).otherwise(0)).cast("long")).select("doc_id", "source", "text_md5", "size", "source_size", "target", "copies")
+    in_order = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "text_md5", "size")
+    ends = drawn.withColumns({"nth": F.row_number().over(in_order), "upto": F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    ends = ends.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("slice") == F.col("p_slice")))
+    ends = cut_lineage(ends.withColumn("through", F.col("before") + F.col("upto")).withColumn("fits", (F.col("size") > 0) & (F.col("through") <= F.col("rest"))))
+
+    gaps = ends.groupBy("source").agg((F.max("rest") - F.coalesce(F.max(F.when(F.col("through") <= F.col("rest"), F.col("through"))), F.lit(0))).alias("gap"))
+    off = F.abs(F.col("size") - F.col("gap"))
+    last = (
+        ends.filter((F.col("size") > 0) & ~F.col("fits")).join(gaps.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source")))
+        .filter(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "slice", "nth")).alias("last"))
+        .select(F.col("source").alias("l_source"), "last")
+    )
+    is_last = F.coalesce((F.col("slice") == F.col("last.slice")) & (F.col("nth") == F.col("last.nth")), F.lit(False))
+    out = ends.join(last, F.col("source").eqNullSafe(F.col("l_source")), "left")
+    return out.withColumn("copies", (F.col("epochs") + F.when(F.col("fits") | is_last, 1).otherwise(0)).cast("long")).select("doc_id", "source", "text_md5", "size", "source_size", "target", "copies")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +126,15 @@ targets AS (
 plan AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets),
 run AS (
   SELECT k.*, p.source_size, p.target, p.epochs, CASE WHEN p.epochs < 3 THEN p.target - p.epochs * p.source_size ELSE 0 END AS rest,
-         sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id, text_md5 ROWS UNBOUNDED PRECEDING) AS through
+         sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id, text_md5 ROWS UNBOUNDED PRECEDING) AS through,
+         row_number() OVER (PARTITION BY k.source ORDER BY key, doc_id, text_md5) AS nth
   FROM keyed k JOIN plan p ON k.source IS NOT DISTINCT FROM p.source),
-taken AS (SELECT *, epochs + CASE WHEN size > 0 AND through - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END AS copies FROM run)
+gaps AS (SELECT *, size > 0 AND through <= rest AS fits, rest - coalesce(max(through) FILTER (through <= rest) OVER (PARTITION BY source), 0) AS gap FROM run),
+lasts AS (
+  SELECT source, nth, row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), nth) AS pick
+  FROM gaps WHERE size > 0 AND NOT fits AND abs(size - gap) < gap),
+taken AS (
+  SELECT g.*, epochs + CASE WHEN fits OR l.nth IS NOT NULL THEN 1 ELSE 0 END AS copies
+  FROM gaps g LEFT JOIN lasts l ON g.source IS NOT DISTINCT FROM l.source AND g.nth = l.nth AND l.pick = 1)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, source, copies::BIGINT AS copies FROM taken
 """
