@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.mixing import OP7_SQL, op7_mixing
 from lectern.llm.sharding import op1_sharding
+from lectern.llm.simhash import op2_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_simhash": op2_simhash,
         "op7_mixing": op7_mixing,
     }
 
