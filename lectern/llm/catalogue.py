@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm.decontamination import OP9_SQL, op9_decontamination
 from lectern.llm.mixing import OP7_SQL, op7_mixing
 from lectern.llm.sharding import op1_sharding
 from lectern.llm.simhash import op2_simhash
@@ -16,8 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_simhash": op2_simhash,
         "op7_mixing": op7_mixing,
+        "op9_decontamination": op9_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op7_mixing": OP7_SQL, "op9_decontamination": OP9_SQL}
