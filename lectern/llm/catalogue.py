@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.decontamination import OP9_SQL, op9_decontamination
 from lectern.llm.mixing import OP7_SQL, op7_mixing
+from lectern.llm.quality import op5_quality
 from lectern.llm.sharding import op1_sharding
 from lectern.llm.simhash import op2_simhash
 from lectern.llm.suffix_dedup import op6_suffix_dedup
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_simhash": op2_simhash,
+        "op5_quality": op5_quality,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_mixing": op7_mixing,
         "op9_decontamination": op9_decontamination,
