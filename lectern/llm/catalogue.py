@@ -12,12 +12,14 @@ from lectern.llm.quality import op5_quality
 from lectern.llm.sharding import op1_sharding
 from lectern.llm.simhash import op2_simhash
 from lectern.llm.suffix_dedup import op6_suffix_dedup
+from lectern.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_simhash": op2_simhash,
+        "op3_toxicity": op3_toxicity,
         "op5_quality": op5_quality,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_mixing": op7_mixing,
