@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.decontamination import OP9_SQL, op9_decontamination
+from lectern.llm.licences import op8_licences, op8_sql
 from lectern.llm.mixing import OP7_SQL, op7_mixing
+from lectern.llm.pii import op4_pii
 from lectern.llm.quality import op5_quality
 from lectern.llm.sharding import op1_sharding
 from lectern.llm.simhash import op2_simhash
 from lectern.llm.suffix_dedup import op6_suffix_dedup
+from lectern.llm.token_counts import op10_token_counts
 from lectern.llm.toxicity import op3_toxicity
 
 
@@ -20,12 +23,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_simhash": op2_simhash,
         "op3_toxicity": op3_toxicity,
+        "op4_pii": op4_pii,
         "op5_quality": op5_quality,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_mixing": op7_mixing,
+        "op8_licences": op8_licences,
         "op9_decontamination": op9_decontamination,
+        "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL, "op9_decontamination": OP9_SQL}
+    return {"op7_mixing": OP7_SQL, "op8_licences": op8_sql(), "op9_decontamination": OP9_SQL}

@@ -15,18 +15,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's shared checkpoint folder, so that a lost executor costs a reread.
-
-    The folder is the one in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) is a new one made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder: the one in ``spark.checkpoint.dir``; only where that is unset (tests on one
+    machine) is a new one made."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    return (shared or context.getCheckpointDir()).rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder, so that a lost executor costs a reread."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def row_key(*columns: Column) -> Column:
+    """A digest that tells rows apart by these columns; null differs from any value."""
+    return F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns)), 256)
+
+
+def one_of_each(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row for each value of ``key``: of rows that differ in other columns, the one whose hash is smallest."""
+    packed = F.struct(*(F.col(f"`{c}`") for c in columns))
+    return rows.groupBy(key).agg(F.min_by(packed, F.xxhash64(*(F.col(f"`{c}`") for c in columns))).alias("_row"))
+
+
 def words_of(text: Column) -> Column:
     """Array of the maximal runs of non-blank characters; null text gives an empty array."""
     spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS[1:], " " * (len(BLANKS) - 1))

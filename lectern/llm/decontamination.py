@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import read_table
+from lectern.llm.common import cut_lineage, read_table
 
 WINDOW = 10
 ITEM_WORDS = 400_000
+#: The share of a document's words above which hits reject it as a whole.
+MOST_COVERED = 0.5
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -219,6 +221,44 @@ def clean_text(text: str | None, runs: list[tuple[int, int]]) -> str | None:
     return "".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
 
 
+def _cut(docs: DataFrame, automaton: ItemAutomaton, text: str, most_covered: float) -> DataFrame:
+    """``docs`` with the hit words of one automaton cut out of the text; ``_covered`` says whether too much was hit."""
+    columns = docs.columns
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns) + "_covered boolean"
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, covered = [], []
+            for value in batch.column(text):
+                body = value.as_py()
+                words = words_in(body)
+                runs, _ = shared.value.hits(words)
+                texts.append(clean_text(body, runs))
+                covered.append(sum(b - a for a, b in runs) > most_covered * len(words))
+            cut = pa.array(texts, batch.schema.field(text).type)
+            yield pa.RecordBatch.from_arrays([*(cut if c == text else batch.column(c) for c in columns), pa.array(covered, pa.bool_())], names=[*columns, "_covered"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most_words: int = ITEM_WORDS, most_covered: float = MOST_COVERED) -> DataFrame:
+    """``docs`` without spans of test items: hit words go, and rows of which over ``most_covered`` of the words are hit go as a whole.
+
+    All columns are kept; ``n_chars``, where there is one, follows the new text. Texts without hits stay as they are, null ones too. With several
+    automata one pass follows the other, each on what the last has left.
+    """
+    parts = list(automata(items, item_id, item_text, window, most_words))
+    columns = docs.columns
+    for k, part in enumerate(parts):
+        docs = _cut(docs, part, text, most_covered).filter(~F.col("_covered")).drop("_covered")
+        if k < len(parts) - 1:
+            docs = cut_lineage(docs)
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return docs.select(*(F.col(f"`{c}`") for c in columns))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its hit words and the test items whose windows it holds."""
     out = find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

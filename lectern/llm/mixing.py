@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BLANKS, count_words, cut_lineage, read_table, seeded_bits
+from lectern.llm.common import BLANKS, count_words, cut_lineage, one_of_each, read_table, row_key, seeded_bits
 
 SEED = 7_003
 MOST_EPOCHS = 3
@@ -95,6 +95,21 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     return out.withColumn("copies", (F.col("epochs") + F.when(F.col("fits") | is_last, 1).otherwise(0)).cast("long")).select("doc_id", "source", "text_md5", "size", "source_size", "target", "copies")
 
 
+def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, most_epochs: int = MOST_EPOCHS) -> DataFrame:
+    """The mix itself: rows of ``docs``, each as often as the mix takes it, with all columns.
+
+    Rows that agree in id, source and text are copies of one row; what their copies take together, the one of them with the
+    smallest hash gives.
+    """
+    taken = mix(docs, doc_id=doc_id, text=text, source=source, seed=seed, most_epochs=most_epochs).filter("copies > 0")
+    # The digest of a text, not the text, is what ``mix`` hands on.
+    body = F.md5(F.coalesce(docs[text], F.lit("")).cast("binary"))
+    wanted = taken.groupBy(row_key(F.col("doc_id"), F.col("source"), F.col("text_md5")).alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"))
+    keyed = docs.withColumn("_key", row_key(docs[doc_id], docs[source], body))
+    rows = one_of_each(keyed.join(wanted.select("_key"), "_key", "left_semi"), "_key", docs.columns).join(wanted, "_key")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes from it."""
     out = mix(read_table(spark, sf_dir, "documents"))

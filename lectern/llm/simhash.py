@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut_lineage, read_table
+from lectern.llm.common import cut_lineage, one_of_each, read_table, row_key
 from lectern.llm.components import components
 
 SHINGLE = 4
@@ -234,13 +234,31 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     further columns are ignored, whatever their names.
     """
     marked = cut_lineage(fingerprints(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), "text", shingle))
-    nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    stars = components(near_edges(nodes.select("fp"), nodes.count(), most, hot_group))
-    rooted = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
+    rooted = _roots(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), most, hot_group)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _roots(nodes: DataFrame, most: int, hot_group: int) -> DataFrame:
+    """Distinct fingerprints with what is known of them, and ``root``, the smallest fingerprint that links lead to."""
+    nodes = cut_lineage(nodes)
+    stars = components(near_edges(nodes.select("fp"), nodes.count(), most, hot_group))
+    return nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select(*(nodes[c] for c in nodes.columns), F.coalesce("v", nodes["fp"]).alias("root"))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS, hot_group: int = HOT_GROUP) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id, then of the smallest digest of id and text.
+
+    Null ids come after all others. Of rows that agree in id and text one stays, whatever else they hold. All columns are kept.
+    """
+    keyed = docs.withColumn("_key", row_key(docs[doc_id], docs[text]))
+    marked = cut_lineage(fingerprints(keyed.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), "_key"), "text", shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_key"))
+    rooted = _roots(marked.groupBy("fp").agg(first.alias("first")), most, hot_group)
+    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._key")
+    return one_of_each(keyed.join(winners, "_key", "left_semi"), "_key", docs.columns).select("_row.*")
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
