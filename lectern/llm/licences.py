@@ -184,7 +184,7 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_terms(text: str) -> str:
-    return f"list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower({text}), '[^a-z0-9.]+', ' ', 'g') || ' ', '\\.+( |$)', ' ', 'g')), ' +'), w -> w <> '')"
+    return f"list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower({text}), '[^a-z0-9.]+', ' ', 'g') || ' ', '\\.+( |$)', ' ', 'g')), ' +'), lambda w: w <> '')"
 
 
 def op8_sql() -> str:
@@ -203,7 +203,7 @@ lines AS (
          generate_subscripts(string_split(regexp_replace(body, '([.!?;])[ \t]+', '\1' || chr(10), 'g'), chr(10)), 1) AS nth
   FROM files WHERE regexp_matches(lower(body), '{cue}')),
 flagged AS (
-  SELECT *, len(words) > 0 AND len(list_filter(words, w -> list_contains({known}, w))) >= {LEAST_SHARE}::DOUBLE * len(words) AS belongs
+  SELECT *, len(words) > 0 AND len(list_filter(words, lambda w: list_contains({known}, w))) >= {LEAST_SHARE}::DOUBLE * len(words) AS belongs
   FROM (SELECT *, list_distinct({_sql_terms("line")}) AS words FROM lines)),
 runs AS (
   SELECT doc_id, grp, regexp_replace(string_agg(line, chr(10) ORDER BY nth), '^\s+|\s+$', '', 'g') AS passage
