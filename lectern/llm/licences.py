@@ -63,8 +63,8 @@ def _sentences(text: Column) -> Column:
 
 def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(template, licence, terms) of a fixed list; the list is a parameter and stays on the driver."""
-    rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
-    return spark.createDataFrame(rows, "template int, licence string, text string").select("template", "licence", _terms(F.col("text")).alias("terms"))
+    rows = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(name).alias("licence"), F.lit(text).alias("text")) for i, (name, text) in enumerate(templates)))
+    return spark.range(1).select(F.inline(rows)).select("template", "licence", _terms(F.col("text")).alias("terms"))
 
 
 def vocabulary(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[str]:
@@ -89,10 +89,10 @@ def passages(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATE
     return speaking.select("key", "n_chars", F.explode(trimmed).alias("passage"))
 
 
-def _vectors(rows: DataFrame, idf: DataFrame, n: Column, key: str) -> DataFrame:
+def _vectors(rows: DataFrame, idf: DataFrame, n: int, key: str) -> DataFrame:
     """(key, term, weight, norm2) of rows (key, terms): raw frequencies times idf; unseen terms have a frequency of 0."""
     counted = rows.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    weighed = counted.join(idf, "term", "left").crossJoin(n).select(key, "term", (F.col("tf") * (F.log((F.col("n_rows") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0)).alias("weight"))
+    weighed = counted.join(idf, "term", "left").select(key, "term", (F.col("tf") * (F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0)).alias("weight"))
     norms = weighed.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2"))
     return weighed.join(norms, key)
 
@@ -102,8 +102,8 @@ def match(found: DataFrame, templates: DataFrame) -> DataFrame:
 
     Document frequencies count all passages with their repeats. The table of templates has a fixed size.
     """
-    distinct = cut_lineage(found.groupBy("passage").agg(F.count("*").alias("times")).withColumns({"pid": F.xxhash64("passage"), "terms": _terms(F.col("passage"))}))
-    n = distinct.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n_rows"))  # one row
+    distinct = cut_lineage(found.groupBy("passage").agg(F.count("*").alias("times")).withColumns({"pid": F.sha2("passage", 256), "terms": _terms(F.col("passage"))}))
+    n = distinct.agg(F.sum("times")).first()[0] or 0
     idf = distinct.select("times", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("times").alias("df"))
     idf = cut_lineage(idf)
     ours = _vectors(distinct.select("pid", "terms"), idf, n, "pid")
