@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.queries.activity import ACTIVITY
+from lectern.queries.documents import DOCUMENTS
+from lectern.queries.retrieval import RETRIEVAL
+from lectern.queries.texts import TEXTS
+from lectern.queries.upkeep import UPKEEP
+
+ALL = RETRIEVAL | ACTIVITY | DOCUMENTS | UPKEEP | TEXTS
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    """Ranked evidence for each question."""
+    return ALL["retrieve_topk"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(ALL)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: query.oracle() for name, query in ALL.items() if query.sql is not None}
