@@ -115,7 +115,7 @@ def shorten(text: Column | str, size: int) -> Column:
 
 def split_list(text: Column | str, separator: str) -> Column:
     """Trimmed, non-blank parts of a cell."""
-    return F.filter(F.transform(F.split(F.coalesce(_col(text), F.lit("")), "\\" + separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(_col(text), F.lit("")), "\\" + separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def digits_only(text: Column | str) -> Column:

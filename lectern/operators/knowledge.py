@@ -47,7 +47,7 @@ def verified_excerpt(passage: Column, quote: Column, names: Column, size: int =
     low = F.lower(passage)
     held = (F.length(quote) >= 32) & F.contains(low, F.lower(quote))
     longest = F.array_max(F.transform(F.filter(names, lambda n: (n != "") & F.contains(low, F.lower(n))), lambda n: F.struct(F.length(n).alias("n"), n.alias("name"))))["name"]
-    at = F.locate_column(low, longest) if hasattr(F, "locate_column") else F.position(F.lower(longest), low)
+    at = F.position(F.lower(longest), low)
     return F.when(held, F.left(quote, F.lit(size))).when(longest.isNotNull(), F.substr(passage, F.greatest(F.lit(1), at - before), F.lit(size))).otherwise(F.left(passage, F.lit(size)))
 
 
@@ -73,8 +73,8 @@ def join_overlapping(chunks: Column, least: int = 40, most: int = 320) -> Column
 def merge_groups(entries: DataFrame, rounds: int = 50) -> DataFrame:
     """(entry_id, root): entries that share a normalised term or alias, directly or through others; root is the smallest id.
 
-    ``entries`` has entry_id, term, aliases. Labels go from entries to names and back until they stay; names with many entries are
-    summed up before they are shuffled.
+    ``entries`` has entry_id, term, aliases. Labels go from entries to names and back, and then to the label's own label, until they
+    stay: rounds grow with the logarithm of the longest chain. Names with many entries are summed up before they are shuffled.
     """
     names = cut(entries.select("entry_id", F.explode(F.array_distinct(F.transform(F.concat(F.array("term"), "aliases"), normalize))).alias("name")).filter("name <> ''"))
     labels = entries.select("entry_id", F.col("entry_id").alias("root"))
@@ -82,7 +82,12 @@ def merge_groups(entries: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         least = names.join(labels, "entry_id").groupBy("name").agg(F.min("root").alias("root"))
         told = names.join(least, "name").groupBy("entry_id").agg(F.min("root").alias("new"))
-        labels = cut(labels.join(told, "entry_id", "left").select("entry_id", F.coalesce(F.least("root", "new"), "root").alias("root")))
+        # An entry's old root learns of the new one too, and everything follows its root's root.
+        lower = labels.join(told, "entry_id", "left").select("entry_id", "root", F.coalesce(F.least("root", "new"), "root").alias("new"))
+        hooks = lower.groupBy(F.col("root").alias("entry_id")).agg(F.min("new").alias("hook"))
+        hooked = cut(lower.join(hooks, "entry_id", "left").select("entry_id", F.least("new", F.coalesce("hook", "new")).alias("root")))
+        roots = hooked.select(F.col("entry_id").alias("root"), F.col("root").alias("top"))
+        labels = cut(hooked.join(roots, "root").select("entry_id", F.col("top").alias("root")))
         now = labels.agg(F.sum("root")).first()[0]
         if now == moved:
             break

@@ -78,7 +78,7 @@ def with_overlap(units: Column, tail: int = 320) -> Column:
 
 def paragraphs(text: Column | str) -> Column:
     body = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def batches(sizes: Column, most_rows: int, most_size: int) -> Column:

@@ -54,7 +54,11 @@ def fields() -> dict[str, Column]:
 def item_terms(items: DataFrame) -> DataFrame:
     """(pos, term, weight, in_text): a row for each distinct term of an item; in_text is false for terms of its source alone."""
     named = items.select("pos", *(F.array_distinct(F.transform(raw_tokens(c), stem)).alias(k) for k, c in fields().items()))
-    rows = F.concat(*(F.transform(k, lambda t, w=w, k=k: F.struct(t.alias("term"), F.lit(w).alias("weight"), F.lit(k != "source").alias("in_text"))) for k, w in FIELD_WEIGHTS.items()))
+
+    def weighed(name: str, weight: float) -> Column:
+        return F.transform(name, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"), F.lit(name != "source").alias("in_text")))
+
+    rows = F.concat(*(weighed(k, w) for k, w in FIELD_WEIGHTS.items()))
     return named.select("pos", F.inline(rows)).groupBy("pos", "term").agg(F.max("weight").alias("weight"), F.max("in_text").alias("in_text"))
 
 

@@ -118,7 +118,7 @@ def section_role(title: Column | str, content: Column | str, *, first_page: Colu
     """(role, confidence) by rules in order: title, contents lines, citations, short texts at either end, else contents of the work."""
     title = bare_title(title)
     body = F.coalesce(F.col(content) if isinstance(content, str) else content, F.lit(""))
-    lines = F.filter(F.transform(F.split(body, "\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(body, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     n = F.greatest(F.size(lines), F.lit(1)).cast("double")
     toc, refs = F.size(F.filter(lines, is_toc_line)), F.size(F.filter(lines, is_reference))
     first, last, total = (F.coalesce(x, F.lit(0)) if x is not None else F.lit(0) for x in (first_page, last_page, pages))

@@ -169,14 +169,14 @@ def attempts(spark, sf):
 
 
 @ACTIVITY.add("login_lockout", "user_id bigint, event_id bigint, locked boolean", """
-WITH RECURSIVE a AS (SELECT user_id % 3 AS user_id, event_id, epoch_us(ts) // 60000000 AS at, event_id % 5 < 4 AS failed, row_number() OVER (PARTITION BY user_id % 3 ORDER BY epoch_us(ts) // 60000000, event_id) AS i FROM events),
+WITH RECURSIVE a AS (SELECT user_id % 3 AS user_id, event_id, epoch_us(ts) // 60000000 AS tm, event_id % 5 < 4 AS failed, row_number() OVER (PARTITION BY user_id % 3 ORDER BY epoch_us(ts) // 60000000, event_id) AS i FROM events),
 walk AS (
-  SELECT user_id, event_id, i, false AS locked, CASE WHEN failed THEN 1 ELSE 0 END AS n, CASE WHEN failed THEN at ELSE 0 END AS start, 0::BIGINT AS until FROM a WHERE i = 1
+  SELECT user_id, event_id, i, false AS locked, CASE WHEN failed THEN 1 ELSE 0 END AS n, CASE WHEN failed THEN tm ELSE 0 END AS start, 0::BIGINT AS until FROM a WHERE i = 1
   UNION ALL
-  SELECT a.user_id, a.event_id, a.i, a.at < w.until,
-         CASE WHEN a.at < w.until THEN w.n WHEN NOT a.failed THEN 0 WHEN w.n = 0 OR a.at - w.start > 600 THEN 1 WHEN w.n + 1 >= 5 THEN 0 ELSE w.n + 1 END,
-         CASE WHEN a.at < w.until THEN w.start WHEN NOT a.failed THEN 0 WHEN w.n = 0 OR a.at - w.start > 600 THEN a.at WHEN w.n + 1 >= 5 THEN 0 ELSE w.start END,
-         CASE WHEN a.at < w.until THEN w.until WHEN a.failed AND w.n > 0 AND a.at - w.start <= 600 AND w.n + 1 >= 5 THEN a.at + 900 ELSE 0 END
+  SELECT a.user_id, a.event_id, a.i, a.tm < w.until,
+         CASE WHEN a.tm < w.until THEN w.n WHEN NOT a.failed THEN 0 WHEN w.n = 0 OR a.tm - w.start > 600 THEN 1 WHEN w.n + 1 >= 5 THEN 0 ELSE w.n + 1 END,
+         CASE WHEN a.tm < w.until THEN w.start WHEN NOT a.failed THEN 0 WHEN w.n = 0 OR a.tm - w.start > 600 THEN a.tm WHEN w.n + 1 >= 5 THEN 0 ELSE w.start END,
+         CASE WHEN a.tm < w.until THEN w.until WHEN a.failed AND w.n > 0 AND a.tm - w.start <= 600 AND w.n + 1 >= 5 THEN a.tm + 900 ELSE 0 END
   FROM walk w JOIN a ON a.user_id = w.user_id AND a.i = w.i + 1)
 SELECT user_id, event_id, locked FROM walk""")
 def _(spark, sf):

@@ -87,8 +87,8 @@ DEFAULT_SQL = "CASE role WHEN 'contenido' THEN 'included' WHEN 'anexo' THEN 'ref
 
 
 @DOCUMENTS.add("role_defaults", "doc_id bigint, scope string, scope_source string, priority string, priority_source string, needs_review boolean", f"""
-WITH {ROLES_SQL}, told AS (SELECT doc_id, role, confidence, {DEFAULT_SQL} AS d, CASE WHEN doc_id % 5 = 0 THEN 'included' END AS scope, CASE WHEN doc_id % 10 = 0 THEN 'teacher' END AS scope_source, CASE WHEN doc_id % 4 = 0 THEN 'central' END AS priority, CASE WHEN doc_id % 8 = 0 THEN 'teacher' END AS priority_source FROM roles),
-m AS (SELECT *, scope IS NOT NULL AND (coalesce(scope_source = 'teacher', false) OR (scope_source IS NULL AND scope <> d)) AS own FROM told)
+WITH {ROLES_SQL}, known AS (SELECT doc_id, role, confidence, {DEFAULT_SQL} AS d, CASE WHEN doc_id % 5 = 0 THEN 'included' END AS scope, CASE WHEN doc_id % 10 = 0 THEN 'teacher' END AS scope_source, CASE WHEN doc_id % 4 = 0 THEN 'central' END AS priority, CASE WHEN doc_id % 8 = 0 THEN 'teacher' END AS priority_source FROM roles),
+m AS (SELECT *, scope IS NOT NULL AND (coalesce(scope_source = 'teacher', false) OR (scope_source IS NULL AND scope <> d)) AS own FROM known)
 SELECT doc_id, CASE WHEN own THEN scope ELSE d END AS scope, CASE WHEN own THEN 'teacher' ELSE 'role-default' END AS scope_source, CASE WHEN priority_source = 'teacher' AND priority IS NOT NULL THEN priority ELSE 'normal' END AS priority,
        CASE WHEN priority_source = 'teacher' AND priority IS NOT NULL THEN 'teacher' ELSE 'document' END AS priority_source, confidence < 0.7::DOUBLE AS needs_review FROM m""")
 def _(spark, sf):
@@ -125,7 +125,7 @@ raw AS (SELECT page_id, regexp_extract_all(html, '(?is)<(h[1-6]|p|li)\b[^>]*>(.*
 blocks AS (SELECT * FROM (SELECT page_id, unnest(range(1, len(tags) + 1)) AS nth, lower(unnest(tags)) AS tag, trim(regexp_replace(regexp_replace(unnest(texts), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM raw) WHERE text <> ''),
 marked AS (SELECT *, sum(CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY nth) AS section FROM blocks),
 sections AS (
-  SELECT page_id, section, coalesce(max(text) FILTER (regexp_matches(tag, '^h')), 'Material general') AS title, coalesce(max(substr(tag, 2, 1)::INT) FILTER (regexp_matches(tag, '^h')), 1) AS level,
+  SELECT page_id, section, coalesce(max(text) FILTER (regexp_matches(tag, '^h')), 'Material general') AS title, coalesce(max(try_cast(substr(tag, 2, 1) AS INT)) FILTER (regexp_matches(tag, '^h')), 1) AS level,
          coalesce(string_agg(text, chr(10) ORDER BY nth) FILTER (NOT regexp_matches(tag, '^h')), '') AS body
   FROM marked GROUP BY page_id, section)"""
 
@@ -249,10 +249,10 @@ def _(spark, sf):
 
 
 @DOCUMENTS.add("indent_levels", "l_orderkey bigint, levels string", """
-WITH RECURSIVE x AS (SELECT l_orderkey, l_linenumber, (l_partkey % 90)::DOUBLE AS v FROM lineitem), d AS (SELECT l_orderkey, v, row_number() OVER (PARTITION BY l_orderkey ORDER BY v) AS i FROM (SELECT DISTINCT l_orderkey, v FROM x)),
+WITH RECURSIVE x AS (SELECT l_orderkey, l_linenumber, (l_partkey % 90)::DOUBLE AS v, row_number() OVER () AS id FROM lineitem), d AS (SELECT l_orderkey, v, row_number() OVER (PARTITION BY l_orderkey ORDER BY v) AS i FROM (SELECT DISTINCT l_orderkey, v FROM x)),
 walk AS (SELECT l_orderkey, i, [v] AS a FROM d WHERE i = 1 UNION ALL SELECT d.l_orderkey, d.i, CASE WHEN d.v - w.a[-1] > 14 THEN list_append(w.a, d.v) ELSE w.a END FROM walk w JOIN d ON d.l_orderkey = w.l_orderkey AND d.i = w.i + 1),
 anchors AS (SELECT l_orderkey, arg_max(a, i) AS a FROM walk GROUP BY l_orderkey),
-near AS (SELECT l_orderkey, l_linenumber, v, k, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, v ORDER BY abs(a[k] - v), k) AS r FROM (SELECT x.*, a, unnest(range(1, len(a) + 1)) AS k FROM x JOIN anchors USING (l_orderkey)))
+near AS (SELECT l_orderkey, l_linenumber, v, k, row_number() OVER (PARTITION BY id ORDER BY abs(a[k] - v), k) AS r FROM (SELECT x.*, a, unnest(range(1, len(a) + 1)) AS k FROM x JOIN anchors USING (l_orderkey)))
 SELECT l_orderkey, string_agg(k::VARCHAR, ',' ORDER BY l_linenumber, v) AS levels FROM near WHERE r = 1 GROUP BY l_orderkey""")
 def _(spark, sf):
     xs = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 90).cast("double").alias("v")))), lambda r: r["v"]).alias("xs"))
@@ -267,8 +267,8 @@ def _(spark, sf):
 
 @DOCUMENTS.add("work_starts", "source string, doc_id bigint, title string, year string", rf"""
 WITH p AS (SELECT source, doc_id, [x for x in string_split(CASE WHEN doc_id % 6 = 0 THEN 'Work ' || doc_id || chr(10) || 'Resumen ' || (1950 + doc_id % 70) || chr(10) ELSE '' END || coalesce(text, ''), chr(10)) if trim(x) <> ''] AS l FROM documents),
-m AS (SELECT *, list_position([regexp_matches({squeeze_sql('x')}, '^(resumen|abstract)\b') for x in l[1:14]], true) AS at FROM p)
-SELECT source, doc_id, trim(l[1]) AS title, regexp_extract(array_to_string(l[1:14], ' '), '\b((?:19|20)[0-9]{{2}})\b', 1) AS year FROM m WHERE at > 1 AND length(trim(l[1])) BETWEEN 4 AND 200""")
+m AS (SELECT *, list_position([regexp_matches({squeeze_sql('x')}, '^(resumen|abstract)\b') for x in l[1:14]], true) AS found FROM p)
+SELECT source, doc_id, trim(l[1]) AS title, regexp_extract(array_to_string(l[1:14], ' '), '\b((?:19|20)[0-9]{{2}})\b', 1) AS year FROM m WHERE found > 1 AND length(trim(l[1])) BETWEEN 4 AND 200""")
 def _(spark, sf):
     head = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Work "), F.col("doc_id").cast("string"), F.lit("\nResumen "), (1950 + F.col("doc_id") % 70).cast("string"), F.lit("\n"))).otherwise("")
     lines = F.filter(F.split(F.concat(head, F.coalesce("text", F.lit(""))), "\n"), lambda x: F.trim(x) != "")

@@ -166,7 +166,7 @@ def _(spark, sf):
 
 
 @RETRIEVAL.add("live_evidence", "entry_id bigint, scope string, priority string, n_sources bigint, n_evidence bigint, source string", f"""
-WITH {CORPUS_SQL}, ev AS (SELECT l_orderkey AS entry_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nth, l_partkey % 1500 AS source_id FROM lineitem),
+WITH {CORPUS_SQL}, ev AS (SELECT l_orderkey AS entry_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 1500) AS nth, l_partkey % 1500 AS source_id FROM lineitem),
 m AS (SELECT e.entry_id, e.nth, c.* FROM ev e JOIN corpus c ON c.id = e.source_id WHERE c.scope <> 'excluded')
 SELECT entry_id, CASE WHEN bool_and(scope = 'reference') THEN 'reference' ELSE 'included' END AS scope,
        CASE min(CASE priority WHEN 'central' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END) WHEN 0 THEN 'central' WHEN 1 THEN 'normal' ELSE 'context' END AS priority, count(DISTINCT id) AS n_sources, count(*) AS n_evidence, arg_min(source, nth) AS source
