@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lectern.llm.common import cut_lineage, read_table
 from lectern.llm.decontamination import decontaminate
 from lectern.llm.mixing import mixed
 from lectern.llm.sharding import interleave
 from lectern.llm.simhash import keep_one
-from lectern.llm.toxicity import LIMIT, learn, score
+from lectern.llm.toxicity import below, learn
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit."""
-    model = learn(docs, read_table(spark, sf_dir, "labels"))
-    return score(docs, model).filter(F.col("score") < LIMIT).drop("score")
+    return below(docs, learn(docs, read_table(spark, sf_dir, "labels")))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

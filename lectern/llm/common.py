@@ -36,10 +36,22 @@ def row_key(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns)), 256)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def one_of_each(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One row for each value of ``key``: of rows that differ in other columns, the one whose hash is smallest."""
+    """(key, row): one row of ``columns``, as a struct, for each value of ``key``: of several, the one whose hash is smallest.
+
+    Columns that hold maps, which have no hash, are kept but don't decide.
+    """
     packed = F.struct(*(F.col(f"`{c}`") for c in columns))
-    return rows.groupBy(key).agg(F.min_by(packed, F.xxhash64(*(F.col(f"`{c}`") for c in columns))).alias("_row"))
+    hashed = [F.col(f"`{c}`") for c in columns if "map<" not in rows.schema[c].dataType.simpleString()]
+    return rows.groupBy(F.col(key).alias("key")).agg(F.min_by(packed, F.xxhash64(*hashed)).alias("row"))
 
 
 def words_of(text: Column) -> Column:

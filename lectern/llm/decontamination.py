@@ -222,24 +222,22 @@ def clean_text(text: str | None, runs: list[tuple[int, int]]) -> str | None:
 
 
 def _cut(docs: DataFrame, automaton: ItemAutomaton, text: str, most_covered: float) -> DataFrame:
-    """``docs`` with the hit words of one automaton cut out of the text; ``_covered`` says whether too much was hit."""
-    columns = docs.columns
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns) + "_covered boolean"
+    """``docs`` with the hit words of one automaton cut out of the text, without the rows of which too much was hit."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, covered = [], []
+            texts, kept = [], []
             for value in batch.column(text):
                 body = value.as_py()
                 words = words_in(body)
                 runs, _ = shared.value.hits(words)
                 texts.append(clean_text(body, runs))
-                covered.append(sum(b - a for a, b in runs) > most_covered * len(words))
+                kept.append(sum(b - a for a, b in runs) <= most_covered * len(words))
             cut = pa.array(texts, batch.schema.field(text).type)
-            yield pa.RecordBatch.from_arrays([*(cut if c == text else batch.column(c) for c in columns), pa.array(covered, pa.bool_())], names=[*columns, "_covered"])
+            yield batch.set_column(batch.schema.get_field_index(text), text, cut).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most_words: int = ITEM_WORDS, most_covered: float = MOST_COVERED) -> DataFrame:
@@ -251,7 +249,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     parts = list(automata(items, item_id, item_text, window, most_words))
     columns = docs.columns
     for k, part in enumerate(parts):
-        docs = _cut(docs, part, text, most_covered).filter(~F.col("_covered")).drop("_covered")
+        docs = _cut(docs, part, text, most_covered)
         if k < len(parts) - 1:
             docs = cut_lineage(docs)
     if "n_chars" in columns:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BLANKS, count_words, cut_lineage, one_of_each, read_table, row_key, seeded_bits
+from lectern.llm.common import BLANKS, count_words, cut_lineage, free_name, one_of_each, read_table, row_key, seeded_bits
 
 SEED = 7_003
 MOST_EPOCHS = 3
@@ -104,10 +104,11 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     taken = mix(docs, doc_id=doc_id, text=text, source=source, seed=seed, most_epochs=most_epochs).filter("copies > 0")
     # The digest of a text, not the text, is what ``mix`` hands on.
     body = F.md5(F.coalesce(docs[text], F.lit("")).cast("binary"))
-    wanted = taken.groupBy(row_key(F.col("doc_id"), F.col("source"), F.col("text_md5")).alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"))
-    keyed = docs.withColumn("_key", row_key(docs[doc_id], docs[source], body))
-    rows = one_of_each(keyed.join(wanted.select("_key"), "_key", "left_semi"), "_key", docs.columns).join(wanted, "_key")
-    return rows.select("_row", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")
+    key = free_name(docs, "row_key")
+    wanted = taken.groupBy(row_key(F.col("doc_id"), F.col("source"), F.col("text_md5")).alias("key")).agg(F.sum("copies").cast("int").alias("times"))
+    keyed = docs.withColumn(key, row_key(docs[doc_id], docs[source], body)).join(wanted.select(F.col("key").alias(key)), key, "left_semi")
+    rows = one_of_each(keyed, key, docs.columns).join(wanted, "key")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut_lineage, one_of_each, read_table, row_key
+from lectern.llm.common import cut_lineage, free_name, one_of_each, read_table, row_key
 from lectern.llm.components import components
 
 SHINGLE = 4
@@ -251,12 +251,13 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shi
 
     Null ids come after all others. Of rows that agree in id and text one stays, whatever else they hold. All columns are kept.
     """
-    keyed = docs.withColumn("_key", row_key(docs[doc_id], docs[text]))
-    marked = cut_lineage(fingerprints(keyed.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), "_key"), "text", shingle))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_key"))
+    key = free_name(docs, "row_key")
+    digest = row_key(docs[doc_id], docs[text])
+    marked = cut_lineage(fingerprints(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), digest.alias("key")), "text", shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key"))
     rooted = _roots(marked.groupBy("fp").agg(first.alias("first")), most, hot_group)
-    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._key")
-    return one_of_each(keyed.join(winners, "_key", "left_semi"), "_key", docs.columns).select("_row.*")
+    winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
+    return one_of_each(docs.withColumn(key, digest).join(winners, key, "left_semi"), key, docs.columns).select("row.*")
 
 
 def hex_digits(fp: Column) -> Column:

@@ -165,6 +165,18 @@ def score(docs: DataFrame, model: SubwordSoftmax, text: str = "text") -> DataFra
     return docs.mapInArrow(run, schema)
 
 
+def below(docs: DataFrame, model: SubwordSoftmax, limit: float = LIMIT, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that score below ``limit``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.folded())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(t.as_py()) < limit for t in batch.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Rows whose labels are never learnt from; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
