@@ -51,12 +51,13 @@ def verified_excerpt(passage: Column, quote: Column, names: Column, size: int =
     return F.when(held, F.left(quote, F.lit(size))).when(longest.isNotNull(), F.substr(passage, F.greatest(F.lit(1), at - before), F.lit(size))).otherwise(F.left(passage, F.lit(size)))
 
 
-def distinct_by_key(values: Column, most: int, longest: int = 400) -> Column:
-    """The first value of each normalised key, in order, at most ``most``."""
-    keyed = F.transform(F.filter(values, lambda v: normalize(v) != ""), lambda v: F.struct(normalize(v).alias("k"), F.left(F.trim(v), F.lit(longest)).alias("v")))
-    keys = F.transform(keyed, lambda x: x["k"])
-    first = F.filter(keyed, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
-    return F.slice(F.transform(first, lambda x: x["v"]), 1, most)
+def distinct_by_key(rows: DataFrame, by: str, order: str, value: str, most: int, longest: int = 400) -> DataFrame:
+    """(by, values): the first value of each normalised key, in order, at most ``most`` for each group; blank keys don't count."""
+    keyed = rows.withColumn("_k", normalize(value)).filter("_k <> ''")
+    firsts = keyed.groupBy(by, "_k").agg(F.min(F.struct(order, F.left(F.trim(value), F.lit(longest)).alias("v"))).alias("f"))
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("f"))
+    kept = firsts.withColumn("_n", nth).filter(F.col("_n") <= most)
+    return kept.groupBy(by).agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["v"]).alias("values"))
 
 
 def join_overlapping(chunks: Column, least: int = 40, most: int = 320) -> Column:

@@ -74,8 +74,8 @@ def _(spark, sf):
 
 @UPKEEP.add("distinct_names", "conv_id bigint, names string", f"WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations), k AS (SELECT *, {norm_sql('w')} AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS pl FROM w WHERE {norm_sql('w')} <> ''), f AS (SELECT conv_id, k, min(pl) AS pl, arg_min(trim(w), pl) AS w FROM k GROUP BY conv_id, k), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pl) AS n FROM f) SELECT conv_id, string_agg(w, '|' ORDER BY pl) AS names FROM r WHERE n <= 12 GROUP BY conv_id")
 def _(spark, sf):
-    words = table(spark, sf, "conversations").groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.split(x["text"], " "))).alias("ws"))
-    return words.select("conv_id", knowledge.distinct_by_key(F.col("ws"), 12).alias("n")).filter(F.size("n") > 0).select("conv_id", F.array_join("n", "|").alias("names"))
+    words = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "w")).withColumn("place", F.struct("turn", "i"))
+    return knowledge.distinct_by_key(words, "conv_id", "place", "w", 12).select("conv_id", F.array_join("values", "|").alias("names"))
 
 
 @UPKEEP.add("rejoined_chunks", "doc_id bigint, whole string", "SELECT doc_id, left(text, 900) AS whole FROM documents WHERE length(text) >= 900 AND list_bool_and([substr(text, 301 + 200 - k, k) <> substr(text, 301, k) AND substr(text, 301 + 400 - k, k) <> substr(text, 501, k) for k in range(201, 321)])")
