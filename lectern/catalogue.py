@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.queries.activity import ACTIVITY
 from lectern.queries.documents import DOCUMENTS
+from lectern.queries.pages import PAGES
 from lectern.queries.retrieval import RETRIEVAL
 from lectern.queries.texts import TEXTS
 from lectern.queries.upkeep import UPKEEP
 
-ALL = RETRIEVAL | ACTIVITY | DOCUMENTS | UPKEEP | TEXTS
+ALL = RETRIEVAL | ACTIVITY | DOCUMENTS | PAGES | UPKEEP | TEXTS
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
