@@ -20,8 +20,8 @@ def test_own_and_inherited(spark):
 def test_headers(spark):
     apache = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\ncode = 1'
     other = "The licensed premises closed early after quarrels between neighbours about noise, parking and dogs"
-    out = found(spark, [("a.py", apache), ("b.txt", other), ("c.txt", "Licensed under CC BY-NC 4.0."), ("d", "Copyright 2020 Acme. All rights reserved.")])
-    assert {k: v[0] for k, v in out.items()} == {"a.py": "Apache-2.0", "b.txt": None, "c.txt": "CC-BY-NC-4.0", "d": "Proprietary"}
+    out = found(spark, [("p/a.py", apache), ("q/b.txt", other), ("r/c.txt", "Licensed under CC BY-NC 4.0."), ("s/d", "Copyright 2020 Acme. All rights reserved.")])
+    assert {k: v[0] for k, v in out.items()} == {"p/a.py": "Apache-2.0", "q/b.txt": None, "r/c.txt": "CC-BY-NC-4.0", "s/d": "Proprietary"}
 
 
 def test_plan_has_no_python(spark, sf):
