@@ -43,7 +43,7 @@ def _(spark, sf):
 
 
 CONCEPTS_SQL = """
-concepts AS (SELECT p_partkey AS concept_id, p_name AS title FROM part WHERE p_partkey < 100),
+concepts AS (SELECT p_partkey AS concept_id, p_name AS title FROM part),
 told AS (SELECT dni, level, ts, unnest(concept_ids) AS concept_id FROM log),
 used AS (SELECT concept_id, count(*) AS interactions, count(DISTINCT dni) AS students, count(*) FILTER (level >= 1) AS possible_confusion, count(*) FILTER (level >= 2) AS repeated_confusion FROM told GROUP BY concept_id),
 concept_stats AS (
@@ -71,7 +71,7 @@ def _(spark, sf):
     return analytics.top_concepts(_concept_stats(spark, sf), by="possible_confusion")
 
 
-@ACTIVITY.add("concept_bibliography", "concept_id bigint, n_sources bigint, sources string", "SELECT l_partkey AS concept_id, count(*) AS n_sources, string_agg(s_name || ' · ' || s_nationkey, '; ' ORDER BY s_suppkey) AS sources FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey < 100) JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_partkey")
+@ACTIVITY.add("concept_bibliography", "concept_id bigint, n_sources bigint, sources string", "SELECT l_partkey AS concept_id, count(*) AS n_sources, string_agg(s_name || ' · ' || s_nationkey, '; ' ORDER BY s_suppkey) AS sources FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_partkey")
 def _(spark, sf):
     return analytics.concept_sources(concept_links(spark, sf), bibliography(spark, sf))
 

@@ -221,13 +221,12 @@ def _(spark, sf):
 
 
 #: Lines on a page of 600 by 800 points: lines of orders.
-GEOMETRY_SQL = "geometry AS (SELECT l_suppkey AS page, CASE WHEN l_linenumber % 2 = 0 THEN 40 + l_partkey % 5 ELSE 320 + l_partkey % 4 END::DOUBLE AS x, (l_orderkey % 800)::DOUBLE AS y, CASE WHEN l_quantity > 45 THEN 500 ELSE 200 END::DOUBLE AS width, l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey % 3 > 0 OR l_linenumber % 2 = 0)"
+GEOMETRY_SQL = "geometry AS (SELECT l_suppkey AS page, CASE WHEN l_linenumber % 2 = 0 OR l_suppkey % 3 = 0 THEN 40 + l_partkey % 5 ELSE 320 + l_partkey % 4 END::DOUBLE AS x, (l_orderkey % 800)::DOUBLE AS y, CASE WHEN l_quantity > 45 THEN 500 ELSE 200 END::DOUBLE AS width, l_orderkey, l_linenumber FROM lineitem)"
 
 
 def _geometry(spark, sf):
-    x = F.when(F.col("l_linenumber") % 2 == 0, 40 + F.col("l_partkey") % 5).otherwise(320 + F.col("l_partkey") % 4).cast("double")
-    rows = table(spark, sf, "lineitem").filter("l_suppkey % 3 > 0 OR l_linenumber % 2 = 0")
-    return rows.select(F.col("l_suppkey").alias("page"), x.alias("x"), (F.col("l_orderkey") % 800).cast("double").alias("y"), F.when(F.col("l_quantity") > 45, 500.0).otherwise(200.0).alias("width"), "l_orderkey", "l_linenumber")
+    x = F.when((F.col("l_linenumber") % 2 == 0) | (F.col("l_suppkey") % 3 == 0), 40 + F.col("l_partkey") % 5).otherwise(320 + F.col("l_partkey") % 4).cast("double")
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("page"), x.alias("x"), (F.col("l_orderkey") % 800).cast("double").alias("y"), F.when(F.col("l_quantity") > 45, 500.0).otherwise(200.0).alias("width"), "l_orderkey", "l_linenumber")
 
 
 COLUMNS_SQL = """

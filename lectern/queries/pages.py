@@ -48,7 +48,7 @@ def _(spark, sf):
     return layout.contents_window(scores, scores.filter("page % 3 = 1"), "doc", "page").withColumnsRenamed({"start": "first_page", "end": "last_page"})
 
 
-ITEMS_SQL = "items AS (SELECT l_suppkey AS page, l_partkey % 7 || CASE WHEN l_linenumber % 2 = 0 THEN 'a' ELSE 'b' END AS txt, (l_partkey % 560)::DOUBLE AS x, (l_orderkey % 160 * 5)::DOUBLE AS y, 9.0::DOUBLE AS width, 10.0::DOUBLE AS font_size FROM lineitem WHERE l_orderkey % 7 = 0)"
+ITEMS_SQL = "items AS (SELECT l_suppkey AS page, l_partkey % 7 || CASE WHEN l_linenumber % 2 = 0 THEN 'a' ELSE 'b' END AS txt, (l_partkey % 560)::DOUBLE AS x, (l_orderkey % 160 * 5)::DOUBLE AS y, 9.0::DOUBLE AS width, 10.0::DOUBLE AS font_size FROM lineitem)"
 
 
 @PAGES.add("lines_from_items", "page bigint, line_no bigint, txt string, items bigint", f"""
@@ -57,7 +57,7 @@ p AS (SELECT *, sum(cut) OVER (PARTITION BY page, y ORDER BY x, txt ROWS UNBOUND
 l AS (SELECT page, y, part, string_agg(CASE WHEN cut = 0 AND x - before > 1.5 THEN ' ' ELSE '' END || txt, '' ORDER BY x, CASE WHEN cut = 0 AND x - before > 1.5 THEN ' ' ELSE '' END || txt) AS txt, count(*) AS items FROM p GROUP BY page, y, part)
 SELECT page, row_number() OVER (PARTITION BY page ORDER BY y DESC, part) AS line_no, txt, items FROM l""")
 def _(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_orderkey % 7 = 0").select(F.col("l_suppkey").alias("page"), F.concat((F.col("l_partkey") % 7).cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "a").otherwise("b")).alias("text"), (F.col("l_partkey") % 560).cast("double").alias("x"), (F.col("l_orderkey") % 160 * 5).cast("double").alias("y"), F.lit(9.0).alias("width"), F.lit(10.0).alias("font_size"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("page"), F.concat((F.col("l_partkey") % 7).cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "a").otherwise("b")).alias("text"), (F.col("l_partkey") % 560).cast("double").alias("x"), (F.col("l_orderkey") % 160 * 5).cast("double").alias("y"), F.lit(9.0).alias("width"), F.lit(10.0).alias("font_size"))
     return layout.lines_from_items(rows, ["page"]).withColumnRenamed("text", "txt")
 
 
@@ -133,9 +133,9 @@ def _(spark, sf):
     return assembly.appended_range(ranges, pages, "o_custkey").withColumnsRenamed({"start": "first_page", "end": "last_page"})
 
 
-@PAGES.add("ids_of_titles", "p_partkey bigint, other bigint", f"WITH s AS (SELECT p_partkey, left(regexp_replace(regexp_replace({fold_sql('p_type')}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 72) AS s FROM part WHERE p_partkey < 300) SELECT DISTINCT a.p_partkey, b.p_partkey AS other FROM s a JOIN s b USING (s) WHERE a.p_partkey <> b.p_partkey")
+@PAGES.add("ids_of_titles", "p_partkey bigint, other bigint", f"WITH s AS (SELECT p_partkey, left(regexp_replace(regexp_replace({fold_sql('p_name')}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 72) AS s FROM part) SELECT DISTINCT a.p_partkey, b.p_partkey AS other FROM s a JOIN s b USING (s) WHERE a.p_partkey <> b.p_partkey")
 def _(spark, sf):
-    rows = table(spark, sf, "part").filter("p_partkey < 300").select("p_partkey", F.col("p_type").alias("title"), F.array(F.upper("p_type")).alias("asked"))
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("title"), F.array(F.upper("p_name")).alias("asked"))
     return assembly.ids_of_titles(rows, "p_partkey", "asked")
 
 

@@ -98,12 +98,12 @@ def _(spark, sf):
 
 def _entries(spark, sf):
     """Parts as index entries: their words are aliases, their brand and type related terms."""
-    part = table(spark, sf, "part").filter("p_partkey < 200")
+    part = table(spark, sf, "part")
     return part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("term"), F.split("p_name", " ").alias("aliases"), F.array("p_brand", "p_type").alias("related"))
 
 
 @RETRIEVAL.add("query_alternatives", "q_id bigint, alt bigint, question string, weight double", f"""
-WITH e AS (SELECT p_partkey // 10 AS q_id, p_partkey % 10 AS rank, p_name AS term, string_split(p_name, ' ') AS aliases, [p_brand, p_type] AS related FROM part WHERE p_partkey < 200),
+WITH e AS (SELECT p_partkey // 10 AS q_id, p_partkey % 10 AS rank, p_name AS term, string_split(p_name, ' ') AS aliases, [p_brand, p_type] AS related FROM part),
 q AS (SELECT item_id AS q_id, text AS question FROM benchmark),
 w AS (SELECT q_id, rank, 0 AS nth, term AS question, 0.48 AS weight FROM e UNION ALL SELECT q_id, rank, unnest(range(1, len(aliases[1:4]) + 1)), unnest(aliases[1:4]), 0.56 FROM e UNION ALL SELECT q_id, rank, len(aliases[1:4]) + unnest(range(1, 3)), unnest(related), 0.22 FROM e),
 k AS (SELECT w.*, {norm_sql('w.question')} AS key FROM w JOIN q ON q.q_id = w.q_id WHERE len({query_terms_sql('w.question')}) > 0 AND {norm_sql('w.question')} <> {norm_sql('q.question')}),

@@ -134,20 +134,16 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.first_sentence("text").alias("sentence"))
 
 
-@TEXTS.add("char_error_rate", "item_id bigint, distance bigint, rate double", "SELECT a.item_id, levenshtein(a.x, b.x) AS distance, levenshtein(a.x, b.x)::DOUBLE / greatest(1, length(a.x)) AS rate FROM (SELECT item_id, regexp_replace(strip_accents(lower(left(text, 120))), '[^a-z0-9]', '', 'g') AS x FROM benchmark) a JOIN (SELECT item_id, regexp_replace(strip_accents(lower(left(text, 120))), '[^a-z0-9]', '', 'g') AS x FROM benchmark) b ON b.item_id = a.item_id + 1")
+@TEXTS.add("char_error_rate", "item_id bigint, distance bigint, rate double", "SELECT a.item_id, levenshtein(a.x, b.x) AS distance, levenshtein(a.x, b.x)::DOUBLE / greatest(1, length(a.x)) AS rate FROM (SELECT item_id, regexp_replace(strip_accents(lower(text)), '[^a-z0-9]', '', 'g') AS x FROM benchmark) a JOIN (SELECT item_id, regexp_replace(strip_accents(lower(text)), '[^a-z0-9]', '', 'g') AS x FROM benchmark) b ON b.item_id = a.item_id + 1")
 def _(spark, sf):
-    rows = table(spark, sf, "benchmark").select("item_id", F.regexp_replace(t.fold(F.left("text", F.lit(120))), "[^a-z0-9]", "").alias("x"))
+    rows = table(spark, sf, "benchmark").select("item_id", F.regexp_replace(t.fold("text"), "[^a-z0-9]", "").alias("x"))
     later = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("x").alias("y"))
     return rows.join(later, "item_id").select("item_id", F.levenshtein("x", "y").alias("distance"), (F.levenshtein("x", "y") / F.greatest(F.lit(1), F.length("x"))).alias("rate"))
 
 
-@TEXTS.add("word_error_rate", "item_id bigint, distance bigint, rate double", r"""
-WITH w AS (SELECT item_id, string_split(lower(text), ' ')[1:30] AS ws FROM benchmark),
-p AS (SELECT a.item_id, a.ws AS x, b.ws AS y, list_distinct(list_concat(a.ws, b.ws)) AS dict FROM w a JOIN w b ON b.item_id = a.item_id + 1)
-SELECT item_id, d AS distance, d::DOUBLE / greatest(1, len(x)) AS rate
-FROM (SELECT item_id, x, levenshtein(array_to_string([chr(33 + list_position(dict, v)::INT) for v in x], ''), array_to_string([chr(33 + list_position(dict, v)::INT) for v in y], '')) AS d FROM p)""")
+@TEXTS.add("word_error_rate", "item_id bigint, distance bigint, rate double")
 def _(spark, sf):
-    rows = table(spark, sf, "benchmark").select("item_id", F.slice(F.split(F.lower("text"), " "), 1, 30).alias("x"))
+    rows = table(spark, sf, "benchmark").select("item_id", t.error_words("text").alias("x"))
     later = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("x").alias("y"))
     met = rows.join(later, "item_id").withColumn("distance", t.token_distance(F.col("x"), F.col("y")))
     return met.select("item_id", "distance", (F.col("distance") / F.greatest(F.lit(1), F.size("x"))).alias("rate"))

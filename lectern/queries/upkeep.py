@@ -78,23 +78,23 @@ def _(spark, sf):
     return knowledge.distinct_by_key(words, "conv_id", "place", "w", 12).select("conv_id", F.array_join("values", "|").alias("names"))
 
 
-@UPKEEP.add("rejoined_chunks", "doc_id bigint, whole string", "SELECT doc_id, left(text, 900) AS whole FROM documents WHERE length(text) >= 900 AND list_bool_and([substr(text, 301 + 200 - k, k) <> substr(text, 301, k) AND substr(text, 301 + 400 - k, k) <> substr(text, 501, k) for k in range(201, 321)])")
+@UPKEEP.add("rejoined_chunks", "doc_id bigint, whole string", "SELECT doc_id, text AS whole FROM (SELECT *, length(text) // 2 AS h FROM documents WHERE length(text) >= 800) WHERE list_bool_and([substr(text, h + 101 - k, k) <> substr(text, h - 99, k) for k in range(201, 321)])")
 def _(spark, sf):
-    """Overlapping chunks joined again; texts that repeat themselves beyond the overlap are left aside."""
-    t = F.col("text")
-    docs = table(spark, sf, "documents").filter(F.length("text") >= 900)
-    clear = F.forall(F.sequence(F.lit(201), F.lit(320)), lambda k: (F.substr(t, 501 - k, k) != F.substr(t, F.lit(301), k)) & (F.substr(t, 701 - k, k) != F.substr(t, F.lit(501), k)))
-    chunks = F.array(F.left(t, F.lit(500)), F.substring(t, 301, 400), F.substring(t, 501, 400))
+    """Whole texts cut in two halves that overlap, and joined again; texts that repeat themselves beyond the overlap can't be."""
+    t, h = F.col("text"), F.col("h")
+    docs = table(spark, sf, "documents").filter(F.length("text") >= 800).withColumn("h", F.floor(F.length("text") / 2).cast("int"))
+    clear = F.forall(F.sequence(F.lit(201), F.lit(320)), lambda k: F.substr(t, h + 101 - k, k) != F.substr(t, h - 99, k))
+    chunks = F.array(F.left(t, h + 100), F.substr(t, h - 99))
     return docs.filter(clear).select("doc_id", knowledge.join_overlapping(chunks).alias("whole"))
 
 
 def _entries(spark, sf):
-    """Suppliers' and parts' names as entries: the first word of a part is its alias."""
-    part = table(spark, sf, "part").filter("p_partkey < 400")
-    return part.select(F.col("p_partkey").alias("entry_id"), F.concat(F.lit("Term "), F.floor(F.col("p_partkey") / 3).cast("string")).alias("term"), F.array(F.concat(F.lit("alias "), (F.col("p_partkey") % 97).cast("string"))).alias("aliases"), F.col("p_name").alias("definition"), F.array("p_partkey", F.col("p_partkey") % 50).alias("evidence"))
+    """Parts as entries: three neighbours share a term, those 999 apart an alias."""
+    part = table(spark, sf, "part")
+    return part.select(F.col("p_partkey").alias("entry_id"), F.concat(F.lit("Term "), F.floor(F.col("p_partkey") / 3).cast("string")).alias("term"), F.array(F.concat(F.lit("alias "), (F.col("p_partkey") % 999).cast("string"))).alias("aliases"), F.col("p_name").alias("definition"), F.array("p_partkey", F.col("p_partkey") % 50).alias("evidence"))
 
 
-ENTRIES_SQL = "entries AS (SELECT p_partkey AS entry_id, 'term ' || p_partkey // 3 AS t, 'alias ' || p_partkey % 97 AS a, p_name AS definition, p_partkey FROM part WHERE p_partkey < 400)"
+ENTRIES_SQL = "entries AS (SELECT p_partkey AS entry_id, 'term ' || p_partkey // 3 AS t, 'alias ' || p_partkey % 999 AS a, p_name AS definition, p_partkey FROM part)"
 
 
 @UPKEEP.add("entity_groups", "entry_id bigint, root bigint", f"""
@@ -133,14 +133,13 @@ def _(spark, sf):
 
 
 @UPKEEP.add("dirty_fixpoint", "passage_id bigint", """
-WITH RECURSIVE links AS (SELECT DISTINCT 'b' || l_orderkey AS via, l_partkey AS passage_id FROM lineitem WHERE l_orderkey % 4 = 0 UNION SELECT DISTINCT 'e' || l_suppkey % 500 || l_returnflag, l_partkey FROM lineitem WHERE l_orderkey % 40 = 1),
-gone AS (SELECT DISTINCT p_partkey AS passage_id FROM part WHERE p_partkey % 211 = 5), dirty AS (SELECT passage_id FROM gone UNION SELECT b.passage_id FROM dirty d JOIN links a ON a.passage_id = d.passage_id JOIN links b ON b.via = a.via)
+WITH RECURSIVE passages AS (SELECT l_orderkey * 10 + l_linenumber AS passage_id, 'b' || l_orderkey AS batch, 'e' || l_partkey || '/' || strftime(l_shipdate, '%Y-%m-%d') AS entry, l_quantity FROM lineitem),
+links AS (SELECT batch AS via, passage_id FROM passages UNION SELECT entry, passage_id FROM passages), gone AS (SELECT DISTINCT passage_id FROM passages WHERE l_quantity >= 50), dirty AS (SELECT passage_id FROM gone UNION SELECT b.passage_id FROM dirty d JOIN links a ON a.passage_id = d.passage_id JOIN links b ON b.via = a.via)
 SELECT DISTINCT passage_id FROM dirty WHERE passage_id NOT IN (SELECT passage_id FROM gone)""")
 def _(spark, sf):
-    lines = table(spark, sf, "lineitem")
-    batches = lines.filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("batch_id"), F.col("l_partkey").alias("passage_id"))
-    entries = lines.filter("l_orderkey % 40 = 1").select(F.concat((F.col("l_suppkey") % 500).cast("string"), "l_returnflag").alias("entry_id"), F.col("l_partkey").alias("passage_id"))
-    return knowledge.dirty_closure(batches, entries, table(spark, sf, "part").filter("p_partkey % 211 = 5").select(F.col("p_partkey").alias("passage_id")))
+    passages = table(spark, sf, "lineitem").withColumn("passage_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    entries = passages.select(F.concat_ws("/", F.col("l_partkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("entry_id"), "passage_id")
+    return knowledge.dirty_closure(passages.select(F.col("l_orderkey").alias("batch_id"), "passage_id"), entries, passages.filter("l_quantity >= 50").select("passage_id"))
 
 
 # Contracts.
@@ -154,9 +153,9 @@ def _(spark, sf):
     return contracts.all_of(contracts.required(rows, "concept", "id", "title"), contracts.one_of(rows, "concept", "id", "priority", contracts.ENUMS["priority"]), contracts.within(rows, "concept", "id", "size", 2, 48))
 
 
-@UPKEEP.add("fk_violations", "rule string, entity string, id string, detail string", "SELECT 'reference:ref_id' AS rule, 'link' AS entity, l_partkey::VARCHAR AS id, (l_suppkey + 3)::VARCHAR AS detail FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) WHERE l_suppkey + 3 NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'reference:concept_id', 'link', l_partkey::VARCHAR, l_partkey::VARCHAR FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey < 100)")
+@UPKEEP.add("fk_violations", "rule string, entity string, id string, detail string", "SELECT 'reference:ref_id' AS rule, 'link' AS entity, (l_partkey + 7)::VARCHAR AS id, (l_suppkey + 3)::VARCHAR AS detail FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) WHERE l_suppkey + 3 NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'reference:concept_id', 'link', (l_partkey + 7)::VARCHAR, (l_partkey + 7)::VARCHAR FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) WHERE l_partkey + 7 NOT IN (SELECT p_partkey FROM part)")
 def _(spark, sf):
-    links = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("concept_id"), (F.col("l_suppkey") + 3).alias("ref_id")).distinct()
+    links = table(spark, sf, "lineitem").select((F.col("l_partkey") + 7).alias("concept_id"), (F.col("l_suppkey") + 3).alias("ref_id")).distinct()
     return contracts.all_of(contracts.refers(links, "link", "concept_id", "ref_id", bibliography(spark, sf), "ref_id"), contracts.refers(links, "link", "concept_id", "concept_id", concepts(spark, sf), "concept_id"))
 
 
@@ -265,9 +264,9 @@ def _(spark, sf):
     return maintenance.prior_document(docs.filter("document_id % 4 = 0"), docs.filter("document_id % 4 <> 1 AND document_id % 8 > 0"))
 
 
-@UPKEEP.add("path_descendants", "ancestor bigint, descendant bigint", "WITH p AS (SELECT c_custkey AS k, [c_nationkey::VARCHAR, c_mktsegment, (c_custkey % 3)::VARCHAR][1 : 1 + c_custkey % 3] AS path FROM customer WHERE c_custkey < 600) SELECT a.k AS ancestor, d.k AS descendant FROM p a JOIN p d ON len(d.path) > len(a.path) AND d.path[1 : len(a.path)] = a.path")
+@UPKEEP.add("path_descendants", "ancestor bigint, descendant bigint", "WITH p AS (SELECT c_custkey AS k, [c_nationkey::VARCHAR, c_mktsegment, (c_custkey % 3)::VARCHAR][1 : 1 + c_custkey % 3] AS path FROM customer) SELECT a.k AS ancestor, d.k AS descendant FROM p a JOIN p d ON len(d.path) > len(a.path) AND d.path[1 : len(a.path)] = a.path")
 def _(spark, sf):
-    rows = table(spark, sf, "customer").filter("c_custkey < 600")
+    rows = table(spark, sf, "customer")
     path = F.slice(F.array(F.col("c_nationkey").cast("string"), "c_mktsegment", (F.col("c_custkey") % 3).cast("string")), F.lit(1), (F.col("c_custkey") % 3 + 1).cast("int"))
     return maintenance.descendants(rows.select(F.col("c_custkey").alias("k"), path.alias("path")), "k", "path")
 

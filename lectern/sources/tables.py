@@ -31,12 +31,12 @@ corpus AS (
   FROM base)"""
 
 
-def questions(spark: SparkSession, sf_dir: str, words: int = 8) -> DataFrame:
-    """The first words of benchmark items."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("question"))
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as questions."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
 
 
-QUESTIONS_SQL = "questions AS (SELECT item_id AS q_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS question FROM benchmark)"
+QUESTIONS_SQL = "questions AS (SELECT item_id AS q_id, text AS question FROM benchmark)"
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +73,8 @@ commissions AS (SELECT n_nationkey::VARCHAR AS commission_id, n_name AS code, n_
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts below 100 as concepts."""
-    return table(spark, sf_dir, "part").filter("p_partkey < 100").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("title"))
+    """Parts as concepts."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("title"))
 
 
 def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,4 @@ def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def concept_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and their suppliers, as the lines of orders have them."""
-    return table(spark, sf_dir, "lineitem").filter("l_partkey < 100").select(F.col("l_partkey").alias("concept_id"), F.col("l_suppkey").alias("ref_id")).distinct()
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("concept_id"), F.col("l_suppkey").alias("ref_id")).distinct()
