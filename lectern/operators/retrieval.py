@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.fixed import ALIAS, CONTENT_PHRASE, CONTEXT_SHARE, COVERAGE, FIELD_WEIGHTS, MOST_ALTERNATIVE, PRIORITY, TITLE_PHRASE
-from lectern.functions.text import normalize, query_terms, raw_tokens, stem
+from lectern.functions.text import normalize, query_terms, stem
+from lectern.operators.knowledge import cut
 
 TEXTS = ("title", "chapter", "teacher_topic", "summary", "explanation", "teacher_limit", "content", "source", "scope", "priority")
 LISTS = ("section_path", "teacher_concepts", "aliases", "keywords")
@@ -51,15 +52,15 @@ def fields() -> dict[str, Column]:
     }
 
 
-def item_terms(items: DataFrame) -> DataFrame:
-    """(pos, term, weight, in_text): a row for each distinct term of an item; in_text is false for terms of its source alone."""
-    named = items.select("pos", *(F.array_distinct(F.transform(raw_tokens(c), stem)).alias(k) for k, c in fields().items()))
+def item_terms(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pos, term, weight, in_text): the ``wanted`` terms (term) that items hold, with the largest weight among their fields.
 
-    def weighed(name: str, weight: float) -> Column:
-        return F.transform(name, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"), F.lit(name != "source").alias("in_text")))
-
-    rows = F.concat(*(weighed(k, w) for k, w in FIELD_WEIGHTS.items()))
-    return named.select("pos", F.inline(rows)).groupBy("pos", "term").agg(F.max("weight").alias("weight"), F.max("in_text").alias("in_text"))
+    Tokens that nobody asks for are dropped before anything is grouped. in_text is false for terms of an item's source alone.
+    """
+    parts = F.array(*(F.struct(c.alias("text"), F.lit(FIELD_WEIGHTS[k]).alias("weight"), F.lit(k != "source").alias("in_text")) for k, c in fields().items()))
+    tokens = items.select("pos", F.inline(parts)).select("pos", "weight", "in_text", F.explode(F.split("text", " ")).alias("token")).filter(F.length("token") >= 3)
+    named = tokens.select("pos", stem(F.col("token")).alias("term"), "weight", "in_text").join(wanted.select("term").distinct(), "term", "left_semi")
+    return named.groupBy("pos", "term").agg(F.max("weight").alias("weight"), F.max("in_text").alias("in_text"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -67,9 +68,9 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("q_id", query_terms("question").alias("terms")).select("q_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
 
 
-def idf_table(matched: DataFrame, n_items: int) -> DataFrame:
-    """(term, df, idf) of the terms that questions and items share; ``matched`` has term, pos and in_text."""
-    df = matched.filter("in_text").groupBy("term").agg(F.countDistinct("pos").alias("df"))
+def idf_table(held: DataFrame, n_items: int) -> DataFrame:
+    """(term, df, idf) of the terms that questions and items share; ``held`` has a row for each item and term."""
+    df = held.filter("in_text").groupBy("term").agg(F.count("*").alias("df"))
     n = float(max(1, n_items))
     return df.withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
@@ -97,8 +98,10 @@ def phrase_hits(items: DataFrame, questions: DataFrame, block: int = BLOCK) -> D
 def score(items: DataFrame, questions: DataFrame) -> DataFrame:
     """(q_id, pos, score) of all items with a score above zero; document frequencies count the given items."""
     asked = question_terms(questions)
-    matched = asked.join(item_terms(items), "term")
-    idf = idf_table(matched, items.count())
+    # Read texts once: what questions and items share is small, and serves the frequencies and the sums.
+    held = cut(item_terms(items, asked))
+    matched = asked.join(held, "term")
+    idf = idf_table(held, items.count())
     by_term = (
         matched.join(idf, "term", "left").groupBy("q_id", "pos")
         .agg(F.sum(F.col("weight") * F.coalesce("idf", F.lit(1.0))).alias("s"), (F.count("*") / F.max("n_terms") * COVERAGE).alias("coverage"))
