@@ -21,17 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import read_table, seeded_bits
+from lectern.llm.common import cut_lineage, read_table, seeded_bits
 
 TRAIN_ROWS = 8_000
 BUCKETS = 1 << 17
 WIDTH = 8
 GRAMS = (3, 4, 5, 6)
-STEPS = 800
+STEPS = 1_000
 BATCH = 64
 RATE = 0.5
 DECAY = 2e-7
-DROPPED = 0.1
+DROPPED = 0.5
 SEED = 3_301
 LIMIT = 0.7
 CACHED_WORDS = 300_000
@@ -92,8 +92,8 @@ class SubwordSoftmax:
                 wrong[np.arange(len(some)), labels[some]] -= 1
                 wrong /= len(some)
                 back = np.repeat(wrong @ self.out.T, sizes, axis=0) * shares[:, None]
-                touched, place = np.unique(found, return_inverse=True)
-                slope = np.stack([np.bincount(place, back[:, w], len(touched)) for w in range(WIDTH)], axis=1).astype(np.float32)
+                touched = np.flatnonzero(np.bincount(found, minlength=BUCKETS))
+                slope = np.stack([np.bincount(found, back[:, w], BUCKETS)[touched] for w in range(WIDTH)], axis=1).astype(np.float32)
                 slope += DECAY * self.rows[touched]
                 squares[0][touched] += slope**2
                 self.rows[touched] -= RATE * slope / np.sqrt(squares[0][touched])
@@ -138,16 +138,33 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-(total / n if n else 0.0) - self.bias))
 
 
+def _fit(rows: DataFrame) -> SubwordSoftmax:
+    """A model of the rows (draw, toxic, text), of which there is a bounded number; rows alike in draw and label count once.
+
+    Bags are made where the texts are; the driver gets their numbers only.
+    """
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            bags = [_bag(words_in(t.as_py()), known) for t in batch.column("text")]
+            if len(known) > CACHED_WORDS:
+                known.clear()
+            columns = [batch.column("draw"), batch.column("toxic"), pa.array([found.tobytes() for found, _ in bags], pa.binary()), pa.array([share.tobytes() for _, share in bags], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["draw", "toxic", "found", "share"])
+
+    told = rows.select("draw", "toxic", "text").mapInArrow(bag, "draw long, toxic int, found binary, share binary")
+    told = told.groupBy("draw", "toxic").agg(F.min(F.struct("found", "share")).alias("bag")).select("draw", "toxic", "bag.found", "bag.share")
+    sample = sorted((row.draw, row.toxic, bytes(row.found), bytes(row.share)) for row in told.toLocalIterator())
+    bags = [(np.frombuffer(found, np.int32), np.frombuffer(share, np.float32)) for _, _, found, share in sample]
+    return SubwordSoftmax().fit(bags, np.array([toxic for _, toxic, _, _ in sample], np.int64))
+
+
 def train(labelled: DataFrame, most_rows: int = TRAIN_ROWS) -> SubwordSoftmax:
     """A model of (text, toxic), from at most ``most_rows`` rows with a label of 0 or 1. Without such rows all texts score alike."""
-    chosen = labelled.filter(F.col("toxic").isin(0, 1)).withColumn("draw", seeded_bits(SEED, F.xxhash64("text"), F.col("toxic")))
-    rows = chosen.orderBy("draw", "text", "toxic").limit(most_rows).select("text", "toxic")
-    known: dict[str, list[int]] = {}
-    bags, labels = [], []
-    for row in rows.toLocalIterator():
-        bags.append(_bag(words_in(row.text), known))
-        labels.append(row.toxic)
-    return SubwordSoftmax().fit(bags, np.array(labels, np.int64))
+    marks = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1))
+    drawn = marks.withColumn("draw", seeded_bits(SEED, F.xxhash64("text"), F.col("toxic")))
+    return _fit(drawn.orderBy("draw", "text", "toxic").limit(most_rows).repartition(16, "draw"))
 
 
 def score(docs: DataFrame, model: SubwordSoftmax, text: str = "text") -> DataFrame:
@@ -183,10 +200,16 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> SubwordSoftmax:
-    """A model from the labelled documents that aren't held out. Labels join by doc_id; rows without a partner don't count."""
+    """A model from the labelled documents that aren't held out. Labels join by doc_id; rows without a partner don't count.
+
+    The sample is drawn from ids, before any text is read; its ids, of which there are ``most_rows`` at most, go to the texts.
+    Of several labels of an id the highest counts.
+    """
     texts = docs.select(docs["doc_id"], docs["text"]).filter(~held_out())
-    marks = labels.select(labels["doc_id"], labels["toxic"].cast("int").alias("toxic")).filter(~held_out())
-    return train(marks.join(texts, "doc_id"), most_rows)
+    marks = labels.select(labels["doc_id"], labels["toxic"].cast("int").alias("toxic")).filter(~held_out() & F.col("toxic").isin(0, 1))
+    there = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(texts.select("doc_id"), "doc_id", "left_semi")
+    chosen = cut_lineage(there.withColumn("draw", seeded_bits(SEED, F.col("doc_id"))).orderBy("draw", "doc_id").limit(most_rows))
+    return _fit(texts.join(F.broadcast(chosen), "doc_id"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
