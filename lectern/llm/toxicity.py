@@ -155,9 +155,17 @@ def _fit(rows: DataFrame) -> SubwordSoftmax:
 
     told = rows.select("draw", "toxic", "text").mapInArrow(bag, "draw long, toxic int, found binary, share binary")
     told = told.groupBy("draw", "toxic").agg(F.min(F.struct("found", "share")).alias("bag")).select("draw", "toxic", "bag.found", "bag.share")
-    sample = sorted((row.draw, row.toxic, bytes(row.found), bytes(row.share)) for row in told.toLocalIterator())
-    bags = [(np.frombuffer(found, np.int32), np.frombuffer(share, np.float32)) for _, _, found, share in sample]
-    return SubwordSoftmax().fit(bags, np.array([toxic for _, toxic, _, _ in sample], np.int64))
+    # Two long buffers, not many small ones, so that the driver gives their memory back.
+    found, share, places, end = bytearray(), bytearray(), [], 0
+    for row in told.toLocalIterator():
+        found += row.found
+        share += row.share
+        places.append((row.draw, row.toxic, end, len(row.found) // 4))
+        end += len(row.found) // 4
+    places.sort()
+    all_found, all_share = np.frombuffer(found, np.int32), np.frombuffer(share, np.float32)
+    bags = [(all_found[at : at + n], all_share[at : at + n]) for _, _, at, n in places]
+    return SubwordSoftmax().fit(bags, np.array([toxic for _, toxic, _, _ in places], np.int64))
 
 
 def train(labelled: DataFrame, most_rows: int = TRAIN_ROWS) -> SubwordSoftmax:
