@@ -7,7 +7,8 @@ these counts expectation-maximisation estimates every labeler's reliability for
 posteriors then train a logistic classifier of spans on surface features, which says what is added.
 
 Texts are read once. What is kept of them are spans with votes and features; the counts of vote patterns that reach
-the driver are bounded by the number of patterns, and the classifier's rows by ``TRAIN_SPANS``.
+the driver are bounded by the number of patterns, and the classifier's rows by ``TRAIN_SPANS`` for each kind: a kind that
+has fewer candidates is learnt from all of them, however many others there are.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut_lineage, read_table, seeded_bits
@@ -30,6 +32,8 @@ ADDED_KINDS = ("email", "phone", "secret", "name")
 KINDS = ("email", "ip", "card", "phone", "secret", "name")
 TRAIN_SPANS = 20_000
 SEED = 4_099
+#: Slices of the 52 bits of a draw, whose counts say how far each kind's draws go.
+DRAW_SLICES = 4_096
 CONTEXT = 40
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -208,18 +212,36 @@ def fit_classifier(features: np.ndarray, truth: np.ndarray, rounds: int = 30, ri
     return w
 
 
+def _drawn(spans: DataFrame, most_spans: int) -> DataFrame:
+    """Of each kind the ``most_spans`` rows whose draws are smallest, or all of a kind that has fewer."""
+    marked = spans.withColumn("draw", seeded_bits(SEED, F.col("doc_id"), F.col("start"), F.col("kind"))).withColumn("slice", F.floor(F.col("draw") / ((1 << 52) // DRAW_SLICES)))
+    sizes: dict[str, dict[int, int]] = {}
+    for row in marked.groupBy("kind", "slice").agg(F.count("*").alias("n")).collect():  # DRAW_SLICES of each kind at most
+        sizes.setdefault(row.kind, {})[row.slice] = row.n
+    near = F.lit(False)
+    for kind, held in sorted(sizes.items()):
+        through, last = 0, -1
+        for last in sorted(held):
+            through += held[last]
+            if through >= most_spans:
+                break
+        near = near | ((F.col("kind") == kind) & (F.col("slice") <= last))
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("draw", "doc_id", "start", "end", "votes", "features"))
+    return marked.filter(near).withColumn("nth", nth).filter(F.col("nth") <= most_spans)
+
+
 def learn(proposed: DataFrame, most_spans: int = TRAIN_SPANS) -> dict[str, list[float]]:
-    """Weights for each kind, from all vote patterns and from at most ``most_spans`` spans."""
+    """Weights for each kind that occurs, from all its vote patterns and from at most ``most_spans`` of its spans."""
     spans = proposed.select("doc_id", F.explode("proposed").alias("s")).select("doc_id", "s.*")
     counted: dict[str, dict[str, int]] = {}
     for row in spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect():  # 3 ** 6 patterns of each kind at most
         counted.setdefault(row.kind, {})[row.votes] = row.n
     truth = {kind: posteriors(patterns) for kind, patterns in counted.items()}
-    drawn = spans.withColumn("draw", seeded_bits(SEED, F.col("doc_id"), F.col("start"), F.col("kind"))).orderBy("draw", "doc_id", "start").limit(most_spans)
-    rows: dict[str, list] = {}
-    for row in drawn.select("kind", "votes", "features").toLocalIterator():
-        rows.setdefault(row.kind, []).append((row.features, truth[row.kind][row.votes]))
-    return {kind: fit_classifier(np.array([f for f, _ in pairs]), np.array([t for _, t in pairs])).tolist() for kind, pairs in sorted(rows.items())}
+    rows = {kind: (array("d"), array("d")) for kind in truth}
+    for row in _drawn(spans, most_spans).select("kind", "votes", "features").toLocalIterator():
+        rows[row.kind][0].extend(row.features)
+        rows[row.kind][1].append(truth[row.kind][row.votes])
+    return {kind: fit_classifier(np.array(f).reshape(-1, len(FEATURES)), np.array(t)).tolist() for kind, (f, t) in sorted(rows.items())}
 
 
 def _is_personal(span: Column, weights: dict[str, list[float]]) -> Column:
