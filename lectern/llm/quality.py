@@ -5,6 +5,9 @@ the minimum covariance determinant: start from the rows closest to the coordinat
 concentration step (estimate from the half of the rows that is closest, measure all rows again). What is further from the
 centre than a quantile of the chi-squared distribution, in Mahalanobis distance, is rejected.
 
+A group of too few rows for an estimate of its own is judged by that of all rows of its language, and where the language has too
+few as well, by that of the whole corpus: every row that passes the fixed limits has a distance. These are the row's pool.
+
 The halves are found without sorting a group: distances are counted in fine bins, and the bins that hold the closest half are
 taken whole. Counts, means and covariances combine before they are shuffled, so a group of any size is no one's burden.
 Estimates for up to five coordinates are inverted by expressions, as a Cholesky factor.
@@ -24,7 +27,7 @@ MOST_REPEATED = 50  # per cent of the words
 COORDINATES = {"log_words": 0.5, "word_length": 0.15, "symbols": 0.15, "dup_lines": 0.15, "repeats": 0.25}
 STEPS = 4
 BINS = 64  # for each unit of the logarithm of a squared distance
-FEWEST = 40  # rows of a group, below which nothing is rejected by distance
+FEWEST = 40  # rows of a group or language, below which the next wider pool judges
 #: A chi-squared quantile for five degrees of freedom: a row of a normal sample in seventy million is beyond.
 LIMIT_5 = 45.08
 #: The mean of the closest half of a five-dimensional normal sample is short of the whole's variance by this factor.
@@ -89,38 +92,57 @@ def _vector() -> dict[str, Column]:
     }
 
 
-def _same_group(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``left`` with the estimates of its groups; one row for each group on the right."""
+def _by_group(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``left`` with the columns that ``right`` has for its language and source."""
     named = right.select(F.col("lang").alias("e_lang"), F.col("source").alias("e_source"), *(c for c in right.columns if c not in ("lang", "source")))
     return left.join(named, F.col("lang").eqNullSafe(F.col("e_lang")) & F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_lang", "e_source")
 
 
+def _levels(sound: DataFrame, fewest: int) -> DataFrame:
+    """(lang, source, group_rows, level, in_lang): who judges a group, 0 itself, 1 its language, 2 the corpus; and whether the language judges any."""
+    groups = cut_lineage(sound.groupBy("lang", "source").agg(F.count("*").alias("group_rows")))
+    langs = groups.groupBy(F.col("lang").alias("e_lang")).agg(F.sum("group_rows").alias("lang_rows"), F.min("group_rows").alias("least"))
+    level = F.when(F.col("group_rows") >= fewest, 0).when(F.col("lang_rows") >= fewest, 1).otherwise(2)
+    in_lang = (F.col("lang_rows") >= fewest) & (F.col("least") < fewest)
+    return cut_lineage(groups.join(langs, F.col("lang").eqNullSafe(F.col("e_lang"))).select("lang", "source", "group_rows", level.alias("level"), in_lang.alias("in_lang")))
+
+
+def _pool(level: Column) -> Column:
+    """The key of the pool of a row at a level; null languages and sources are values of their own."""
+    return F.when(level.isNotNull(), F.struct(level.alias("level"), F.when(level < 2, F.col("lang")).alias("lang"), F.when(level == 0, F.col("source")).alias("source")))
+
+
+def _same_pool(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``left`` with the estimates of its pools; one row for each pool on the right."""
+    return left.join(right.withColumnRenamed("pool", "e_pool"), F.col("pool") == F.col("e_pool"), "left").drop("e_pool")
+
+
 def _closest_half(measured: DataFrame) -> DataFrame:
-    """The rows of each group in the bins of distance that hold its closest half. ``measured`` has d2."""
+    """The rows of each pool in the bins of distance that hold its closest half. ``measured`` has d2."""
     binned = measured.withColumn("bin", F.floor(F.log(F.greatest(F.col("d2"), F.lit(1e-6))) * BINS).cast("int"))
-    upto = Window.partitionBy("lang", "source").orderBy("bin")
-    counts = binned.groupBy("lang", "source", "bin").agg(F.count("*").alias("n"))
-    counts = counts.withColumns({"through": F.sum("n").over(upto), "all_rows": F.sum("n").over(Window.partitionBy("lang", "source"))})
-    ends = counts.filter(F.col("through") - F.col("n") < F.col("all_rows") / 2).groupBy("lang", "source").agg(F.max("bin").alias("last_bin"))
-    return _same_group(binned, ends).filter(F.col("bin") <= F.col("last_bin"))
+    upto = Window.partitionBy("pool").orderBy("bin")
+    counts = binned.groupBy("pool", "bin").agg(F.count("*").alias("n"))
+    counts = counts.withColumns({"through": F.sum("n").over(upto), "all_rows": F.sum("n").over(Window.partitionBy("pool"))})
+    ends = counts.filter(F.col("through") - F.col("n") < F.col("all_rows") / 2).groupBy("pool").agg(F.max("bin").alias("last_bin"))
+    return _same_pool(binned, ends).filter(F.col("bin") <= F.col("last_bin"))
 
 
 def _medians(vectors: DataFrame) -> DataFrame:
-    """Group, and a median for each coordinate, from counts in bins of 1/256."""
+    """Pool, and a median for each coordinate, from counts in bins of 1/256."""
     names = list(COORDINATES)
-    tall = vectors.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.floor(F.col(c) * 256).alias("bin")) for i, c in enumerate(names)))).alias("x")).select("lang", "source", "x.*")
-    counts = tall.groupBy("lang", "source", "k", "bin").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("lang", "source", "k")
+    tall = vectors.select("pool", F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.floor(F.col(c) * 256).alias("bin")) for i, c in enumerate(names)))).alias("x")).select("pool", "x.*")
+    counts = tall.groupBy("pool", "k", "bin").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("pool", "k")
     middle = counts.withColumns({"through": F.sum("n").over(by.orderBy("bin")), "all_rows": F.sum("n").over(by)}).filter(F.col("through") * 2 >= F.col("all_rows"))
-    found = middle.groupBy("lang", "source", "k").agg(((F.min("bin") + 0.5) / 256).alias("m"))
-    return found.groupBy("lang", "source").agg(*(F.max(F.when(F.col("k") == i, F.col("m"))).alias(f"m_{c}") for i, c in enumerate(names)))
+    found = middle.groupBy("pool", "k").agg(((F.min("bin") + 0.5) / 256).alias("m"))
+    return found.groupBy("pool").agg(*(F.max(F.when(F.col("k") == i, F.col("m"))).alias(f"m_{c}") for i, c in enumerate(names)))
 
 
 def _estimates(rows: DataFrame) -> DataFrame:
-    """Group, its means, and the Cholesky factor of its covariance, with the least variances added to the diagonal."""
+    """Pool, its means, and the Cholesky factor of its covariance, with the least variances added to the diagonal."""
     names = list(COORDINATES)
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    found = rows.groupBy("lang", "source").agg(
+    found = rows.groupBy("pool").agg(
         *(F.avg(c).alias(f"m_{c}") for c in names),
         *(F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i, j in pairs),
     )
@@ -130,13 +152,13 @@ def _estimates(rows: DataFrame) -> DataFrame:
             rest = rest + F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         whole = F.col(f"c{i}{j}") / SHORT_5 + (COORDINATES[names[i]] ** 2 if i == j else 0.0) - rest
         found = found.withColumn(f"l{i}{j}", F.sqrt(F.greatest(whole, F.lit(1e-9))) if i == j else whole / F.col(f"l{j}{j}"))
-    return found.select("lang", "source", *(f"m_{c}" for c in names), *(f"l{i}{j}" for i, j in pairs))
+    return found.select("pool", *(f"m_{c}" for c in names), *(f"l{i}{j}" for i, j in pairs))
 
 
 def _measured(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
-    """``vectors`` with d2, the squared Mahalanobis distance from their groups' centres."""
+    """``vectors`` with d2, the squared Mahalanobis distance from their pools' centres."""
     names, steps = list(COORDINATES), []
-    joined = _same_group(vectors, estimates)
+    joined = _same_pool(vectors, estimates)
     for i, c in enumerate(names):
         rest = F.col(c) - F.col(f"m_{c}")
         for k in range(i):
@@ -146,31 +168,38 @@ def _measured(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
     return joined.withColumn("d2", sum(steps[1:], steps[0])).select(*vectors.columns, "d2")
 
 
-def robust_distances(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+def robust_distances(rows: DataFrame, steps: int = STEPS, fewest: int = FEWEST) -> DataFrame:
     """``rows``, which have statistics, lang and source, with d2 and group_rows. Null languages and sources are groups of their own.
 
-    Estimates come from the rows that pass the fixed limits; all rows are measured. A group without such rows has null d2.
+    Estimates come from the rows that pass the fixed limits; all rows are measured. A group of under ``fewest`` such rows is measured by
+    its language's estimate, which all rows of the language make, and a language of under ``fewest`` by that of all rows, however
+    few they are. A group without such rows has null d2.
     """
     vectors = cut_lineage(rows.withColumns(_vector()))
-    sound = vectors.filter(~base_failed())
+    levels = _levels(vectors.filter(~base_failed()), fewest)
+    corpus_judges = levels.filter("level = 2").limit(1).count() > 0
+    placed = _by_group(vectors, levels)
+    taken = F.array_compact(F.array(
+        F.when(F.col("level") == 0, F.lit(0)), F.when(F.col("in_lang"), F.lit(1)), F.lit(2 if corpus_judges else None).cast("int"),
+    ))
+    sound = cut_lineage(placed.filter(~base_failed()).withColumn("at", F.explode(taken)).select(_pool(F.col("at")).alias("pool"), *COORDINATES))
     medians = _medians(sound)
     around = sum((((F.col(c) - F.col(f"m_{c}")) / sd) ** 2 for c, sd in COORDINATES.items()), F.lit(0.0))
-    estimates = cut_lineage(_estimates(_closest_half(_same_group(sound, medians).withColumn("d2", around).select(*sound.columns, "d2"))))
+    estimates = cut_lineage(_estimates(_closest_half(_same_pool(sound, medians).withColumn("d2", around).select(*sound.columns, "d2"))))
     for _ in range(steps - 1):
         estimates = cut_lineage(_estimates(_closest_half(_measured(sound, estimates))))
-    sizes = sound.groupBy("lang", "source").agg(F.count("*").alias("group_rows"))
-    return _same_group(_measured(vectors, estimates), sizes).drop(*COORDINATES)
+    return _measured(placed.withColumn("pool", _pool(F.col("level"))).drop("level", "in_lang"), estimates).drop("pool", *COORDINATES)
 
 
 def judge(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", limit: float = LIMIT_5, fewest: int = FEWEST) -> DataFrame:
     """(doc_id, statistics, d2, base_failed, kept) for each row of ``docs``.
 
-    A row is kept if it passes the fixed limits and its distance is within ``limit``; groups of under ``fewest`` sound rows reject
-    nothing by distance. Null and blank texts fail the limits. Empty tables give an empty result; further columns are ignored.
+    A row is kept if it passes the fixed limits and its distance is within ``limit``; groups of under ``fewest`` sound rows are
+    judged by their language's estimate or the corpus's. Null and blank texts fail the limits. Empty tables give an empty result; further columns are ignored.
     """
     narrow = docs.select(docs[doc_id].alias("doc_id"), docs[lang].alias("lang"), docs[source].alias("source"), docs[text].alias("text"))
-    measured = robust_distances(statistics(narrow))
-    far = F.coalesce((F.col("d2") > limit) & (F.col("group_rows") >= fewest), F.lit(False))
+    measured = robust_distances(statistics(narrow), fewest=fewest)
+    far = F.coalesce(F.col("d2") > limit, F.lit(False))
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~far)
 
 

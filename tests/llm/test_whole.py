@@ -1,8 +1,10 @@
 """Operators do the whole job, whatever the sizes of tables and groups."""
 
+import random
+
 from rows import documents
 
-from lectern.llm import pii
+from lectern.llm import pii, quality
 
 
 def test_rare_kinds_are_learnt_beside_frequent_ones(spark):
@@ -15,3 +17,24 @@ def test_rare_kinds_are_learnt_beside_frequent_ones(spark):
     found = pii.find_personal(documents(spark, many + rare), most_spans=8).filter("doc_id >= 1000").collect()
     alone = pii.find_personal(documents(spark, rare)).collect()
     assert sorted((r.doc_id, r.spans) for r in found) == sorted((r.doc_id, r.spans) for r in alone) and all(r.spans for r in found)
+
+
+def test_small_groups_are_judged(spark):
+    rng = random.Random(3)
+    plain = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(rng.randint(80, 300))) for _ in range(300)]
+    odd = " ".join(f"{i}#$%&#$%&{'z' * 50}" for i in range(100))
+    texts = [(i, t, ("en", "de", None)[i % 3], f"s{i}" if i % 2 else None) for i, t in enumerate(plain)]
+    texts += [(300, odd, "en", "tail"), (301, odd, None, "tail"), (302, odd, "nl", "tail"), (303, plain[0], "nl", None)]
+    out = {r.doc_id: r for r in quality.judge(documents(spark, texts)).collect()}
+    assert not any(out[i].kept for i in (300, 301, 302)) and out[303].kept
+    assert all(r.d2 is not None for r in out.values()) and sum(r.kept for r in out.values()) >= 297
+
+
+def test_large_groups_are_judged_by_themselves(spark):
+    rng = random.Random(4)
+    text = lambda low, high: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(low, high))) for _ in range(rng.randint(80, 300)))
+    own = [(i, text(3, 7), "en", "a") for i in range(60)]
+    more = [(100 + i, text(30, 40), "en", f"s{i}") for i in range(200)]
+    out = {r.doc_id: (r.d2, r.kept) for r in quality.judge(documents(spark, own + more)).collect()}
+    alone = {r.doc_id: (r.d2, r.kept) for r in quality.judge(documents(spark, own)).collect()}
+    assert all(abs(out[i][0] - alone[i][0]) < 1e-6 and out[i][1] == alone[i][1] for i in alone)
