@@ -6,7 +6,8 @@ stretch of words ending there that is part of some item is known. Wherever that
 window's words are hit, and the state tells the items that hold it.
 
 The automaton is made on the driver from a bounded number of item words and broadcast. More items than ``ITEM_WORDS``
-words are dealt into several automata, one pass over the documents for each, whose hits are united by document.
+words are dealt into several automata, one pass over the unchanged documents for each. Each one's hits are written before the
+next is made, and are united by document before anything is cut or judged.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut_lineage, read_table
+from lectern.llm.common import cut_lineage, free_name, read_table
 
 WINDOW = 10
 ITEM_WORDS = 400_000
@@ -137,18 +138,18 @@ class ItemAutomaton:
         return runs, names
 
 
-def automata(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, most_words: int = ITEM_WORDS) -> Iterator[ItemAutomaton]:
-    """Automata that hold all items, each of some ``most_words`` words. Items of null or empty text hold no window.
-
-    The driver has one group of items at a time. An item longer than a group is a group of its own.
-    """
+def item_groups(items: DataFrame, item_id: str = "item_id", text: str = "text", most_words: int = ITEM_WORDS) -> list[DataFrame]:
+    """All items as (item, text), dealt into groups of some ``most_words`` words, one at least. An item longer than a group is a group of its own."""
     listed = items.select(F.coalesce(items[item_id].cast("string"), F.lit("")).alias("item"), items[text].alias("text"))
     sized = listed.withColumn("n", F.octet_length(F.coalesce("text", F.lit(""))) / 2 + 1).withColumn("salt", F.pmod(F.xxhash64("item", "text"), F.lit(1 << 16)))
     total = sized.agg(F.sum("n")).first()[0] or 0
     groups = max(1, int(-(-total // most_words)))
-    for g in range(groups):
-        rows = sized.filter(F.floor(F.col("salt") * groups / (1 << 16)) == g).select("item", "text")
-        yield ItemAutomaton(((r.item, words_in(r.text)) for r in rows.toLocalIterator()), window)
+    return [sized.filter(F.floor(F.col("salt") * groups / (1 << 16)) == g).select("item", "text") for g in range(groups)]
+
+
+def automaton_of(group: DataFrame, window: int = WINDOW) -> ItemAutomaton:
+    """The automaton of one group of items. Items of null or empty text hold no window."""
+    return ItemAutomaton(((r.item, words_in(r.text)) for r in group.toLocalIterator()), window)
 
 
 def scan(docs: DataFrame, automaton: ItemAutomaton, text: str = "text") -> DataFrame:
@@ -200,11 +201,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     an empty result; further columns of either table are ignored, whatever their names.
     """
     narrow = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    parts = list(automata(items, item_id, item_text, window, most_words))
-    if len(parts) == 1:
-        return scan(narrow, parts[0])
+    groups = item_groups(items, item_id, item_text, most_words)
+    if len(groups) == 1:
+        return scan(narrow, automaton_of(groups[0], window))
     named = narrow.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return _united([scan(named, part) for part in parts])
+    return _united([cut_lineage(scan(named, automaton_of(group, window))) for group in groups])
 
 
 def hit_words(runs: str = "runs"):
@@ -221,37 +222,59 @@ def clean_text(text: str | None, runs: list[tuple[int, int]]) -> str | None:
     return "".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
 
 
-def _cut(docs: DataFrame, automaton: ItemAutomaton, text: str, most_covered: float) -> DataFrame:
-    """``docs`` with the hit words of one automaton cut out of the text, without the rows of which too much was hit."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+def united(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs (first, end) in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted(runs):
+        if out and out[-1][1] >= first:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((first, end))
+    return out
+
+
+def _cut(docs: DataFrame, text: str, most_covered: float, *, automaton: ItemAutomaton | None = None, found: str = "") -> DataFrame:
+    """``docs`` with the hit words cut out of the text, without the rows of which too much was hit.
+
+    Hits are those of ``automaton``, or the runs in the column ``found``, which goes.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(automaton) if automaton else None
+    rest = [c for c in docs.columns if c != found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, kept = [], []
-            for value in batch.column(text):
+            for at, value in enumerate(batch.column(text)):
                 body = value.as_py()
                 words = words_in(body)
-                runs, _ = shared.value.hits(words)
+                runs = shared.value.hits(words)[0] if shared else united((x["first"], x["end"]) for x in batch.column(found)[at].as_py() or ())
                 texts.append(clean_text(body, runs))
                 kept.append(sum(b - a for a, b in runs) <= most_covered * len(words))
             cut = pa.array(texts, batch.schema.field(text).type)
-            yield batch.set_column(batch.schema.get_field_index(text), text, cut).filter(pa.array(kept, pa.bool_()))
+            yield batch.set_column(batch.schema.get_field_index(text), text, cut).select(rest).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.select(*(F.col(f"`{c}`") for c in rest)).schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most_words: int = ITEM_WORDS, most_covered: float = MOST_COVERED) -> DataFrame:
     """``docs`` without spans of test items: hit words go, and rows of which over ``most_covered`` of the words are hit go as a whole.
 
-    All columns are kept; ``n_chars``, where there is one, follows the new text. Texts without hits stay as they are, null ones too. With several
-    automata one pass follows the other, each on what the last has left.
+    All columns are kept; ``n_chars``, where there is one, follows the new text. Texts without hits stay as they are, null ones too. Several
+    automata all read the unchanged texts; their hits count together, so the result is that of one automaton of all items.
     """
-    parts = list(automata(items, item_id, item_text, window, most_words))
     columns = docs.columns
-    for k, part in enumerate(parts):
-        docs = _cut(docs, part, text, most_covered)
-        if k < len(parts) - 1:
-            docs = cut_lineage(docs)
+    groups = item_groups(items, item_id, item_text, most_words)
+    if len(groups) == 1:
+        docs = _cut(docs, text, most_covered, automaton=automaton_of(groups[0], window))
+    else:
+        sha, found = free_name(docs, "sha"), free_name(docs, "found")
+        named = docs.select(F.sha2(F.col(f"`{text}`"), 256).alias("sha"), F.col(f"`{text}`").alias("text"))
+        hits = None
+        for group in groups:
+            part = cut_lineage(scan(named, automaton_of(group, window)).filter(F.size("runs") > 0).select("sha", "runs").distinct())
+            hits = part if hits is None else hits.unionByName(part)
+        by_text = hits.groupBy("sha").agg(F.flatten(F.collect_set("runs")).alias(found)).withColumnRenamed("sha", sha)
+        docs = _cut(docs.withColumn(sha, F.sha2(F.col(f"`{text}`"), 256)).join(by_text, sha, "left").drop(sha), text, most_covered, found=found)
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return docs.select(*(F.col(f"`{c}`") for c in columns))

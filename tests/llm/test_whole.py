@@ -1,10 +1,11 @@
 """Operators do the whole job, whatever the sizes of tables and groups."""
 
 import random
+from collections import Counter
 
 from rows import documents
 
-from lectern.llm import pii, quality
+from lectern.llm import decontamination, pii, quality
 
 
 def test_rare_kinds_are_learnt_beside_frequent_ones(spark):
@@ -38,3 +39,28 @@ def test_large_groups_are_judged_by_themselves(spark):
     out = {r.doc_id: (r.d2, r.kept) for r in quality.judge(documents(spark, own + more)).collect()}
     alone = {r.doc_id: (r.d2, r.kept) for r in quality.judge(documents(spark, own)).collect()}
     assert all(abs(out[i][0] - alone[i][0]) < 1e-6 and out[i][1] == alone[i][1] for i in alone)
+
+
+def test_many_automata_cut_as_one(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    body = [[word() for _ in range(30)] for _ in range(8)]
+    items = [(i, " ".join(w)) for i, w in enumerate(body)]
+    items += [(10 + i, " ".join(w[22:] + [word() for _ in range(4)])) for i, w in enumerate(body)]  # overlaps the end of another item
+    texts = []
+    for i in range(8):
+        for j in range(8):
+            rest = [word() for _ in range(40)]
+            texts.append((len(texts), " ".join(rest[:20] + body[i] + rest[20:] + body[j]), "en", "a"))  # 30 of 100 words from either
+            texts.append((len(texts), " ".join(rest + body[i] + items[8 + i][1].split()[-4:] + rest), "en", "a"))
+    texts += [(None, None, "en", "a"), (500, "", "en", "a"), *texts[:2]]
+    docs, table = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontamination.item_groups(table, most_words=300)) > 2
+    one, many = (Counter((r.doc_id, r.text, r.n_chars) for r in decontamination.decontaminate(docs, table, most_words=n).collect()) for n in (400_000, 300))
+    assert one == many and (0, texts[0][1], len(texts[0][1])) not in one and len(one) > 60
+
+
+def test_many_automata_cut_as_one_in_whole_tables(spark, sf):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    one, many = (Counter(map(tuple, decontamination.decontaminate(docs, items, most_words=n).collect())) for n in (400_000, 300))
+    assert one == many
