@@ -71,29 +71,34 @@ def join_overlapping(chunks: Column, least: int = 40, most: int = 320) -> Column
     return F.aggregate(chunks, F.lit(""), add)
 
 
-def merge_groups(entries: DataFrame, rounds: int = 50) -> DataFrame:
-    """(entry_id, root): entries that share a normalised term or alias, directly or through others; root is the smallest id.
+def least_linked(ids: DataFrame, names: DataFrame) -> DataFrame:
+    """(entry_id, root) for each of ``ids``: the smallest id linked to it by common names in ``names`` (entry_id, name), directly or through others.
 
-    ``entries`` has entry_id, term, aliases. Labels go from entries to names and back, and then to the label's own label, until they
-    stay: rounds grow with the logarithm of the longest chain. Names with many entries are summed up before they are shuffled.
+    Labels go from entries to names and back, and then to the label's own label, until none changes: rounds grow with the logarithm
+    of the longest chain. Names with many entries are summed up before they are shuffled.
     """
-    names = cut(entries.select("entry_id", F.explode(F.array_distinct(F.transform(F.concat(F.array("term"), "aliases"), normalize))).alias("name")).filter("name <> ''"))
-    labels = entries.select("entry_id", F.col("entry_id").alias("root"))
-    moved = None
-    for _ in range(rounds):
+    labels = ids.select("entry_id", F.col("entry_id").alias("root"))
+    while True:
         least = names.join(labels, "entry_id").groupBy("name").agg(F.min("root").alias("root"))
         told = names.join(least, "name").groupBy("entry_id").agg(F.min("root").alias("new"))
         # An entry's old root learns of the new one too, and everything follows its root's root.
         lower = labels.join(told, "entry_id", "left").select("entry_id", "root", F.coalesce(F.least("root", "new"), "root").alias("new"))
         hooks = lower.groupBy(F.col("root").alias("entry_id")).agg(F.min("new").alias("hook"))
-        hooked = cut(lower.join(hooks, "entry_id", "left").select("entry_id", F.least("new", F.coalesce("hook", "new")).alias("root")))
+        hooked = cut(lower.join(hooks, "entry_id", "left").select("entry_id", F.col("root").alias("old"), F.least("new", F.coalesce("hook", "new")).alias("root")))
         roots = hooked.select(F.col("entry_id").alias("root"), F.col("root").alias("top"))
-        labels = cut(hooked.join(roots, "root").select("entry_id", F.col("top").alias("root")))
-        now = labels.agg(F.sum("root")).first()[0]
-        if now == moved:
-            break
-        moved = now
-    return labels
+        moved = cut(hooked.join(roots, "root").select("entry_id", "old", F.col("top").alias("root")))
+        labels = moved.select("entry_id", "root")
+        if moved.filter("old <> root").isEmpty():
+            return labels
+
+
+def merge_groups(entries: DataFrame) -> DataFrame:
+    """(entry_id, root): entries that share a normalised term or alias, directly or through others; root is the smallest id.
+
+    ``entries`` has entry_id, term, aliases.
+    """
+    names = cut(entries.select("entry_id", F.explode(F.array_distinct(F.transform(F.concat(F.array("term"), "aliases"), normalize))).alias("name")).filter("name <> ''"))
+    return least_linked(entries, names)
 
 
 def merged_entries(entries: DataFrame, groups: DataFrame, most_aliases: int = 12, most_evidence: int = 10) -> DataFrame:
@@ -124,20 +129,17 @@ def is_current(index: DataFrame, signatures: DataFrame, group: str, version: int
     return met.select(group, F.coalesce(fine, F.lit(False)).alias("current"))
 
 
-def dirty_closure(batches: DataFrame, entries: DataFrame, excluded: DataFrame, rounds: int = 50) -> DataFrame:
-    """Passages that must be processed again: those of batches that hold an excluded passage, and those that share an entry with one.
+def dirty_closure(batches: DataFrame, entries: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Passages that must be processed again: those of batches that hold an excluded passage, those that share an entry with one, and so on.
 
-    ``batches`` (batch_id, passage_id), ``entries`` (entry_id, passage_id), ``excluded`` (passage_id). Repeated until nothing is added.
+    ``batches`` (batch_id, passage_id), ``entries`` (entry_id, passage_id), ``excluded`` (passage_id). Passages that batches and entries link,
+    through any number of others, have one label; all of a label that an excluded passage has are returned.
     """
-    links = cut(batches.select(F.concat(F.lit("b"), F.col("batch_id").cast("string")).alias("via"), "passage_id").unionByName(entries.select(F.concat(F.lit("e"), F.col("entry_id").cast("string")).alias("via"), "passage_id")).distinct())
-    dirty, n = excluded.select("passage_id").distinct(), -1
-    for _ in range(rounds):
-        touched = links.join(dirty, "passage_id", "left_semi").select("via").distinct()
-        dirty = cut(links.join(touched, "via", "left_semi").select("passage_id").unionByName(dirty).distinct())
-        if (now := dirty.count()) == n:
-            break
-        n = now
-    return dirty.join(excluded.select("passage_id"), "passage_id", "left_anti")
+    links = cut(batches.select(F.concat(F.lit("b"), F.col("batch_id").cast("string")).alias("name"), F.col("passage_id").alias("entry_id")).unionByName(entries.select(F.concat(F.lit("e"), F.col("entry_id").cast("string")).alias("name"), F.col("passage_id").alias("entry_id"))).dropna().distinct())
+    labels = least_linked(links.select("entry_id").distinct(), links).withColumnRenamed("entry_id", "passage_id")
+    gone = excluded.select("passage_id").distinct()
+    dirty = labels.join(labels.join(gone, "passage_id", "left_semi").select("root").distinct(), "root", "left_semi")
+    return dirty.select("passage_id").join(gone, "passage_id", "left_anti")
 
 
 def round_robin(units: DataFrame, source: str, order: str, k: int) -> DataFrame:
