@@ -231,12 +231,54 @@ def test_suffixes(spark, length):
     for i, gone in enumerate(plain_removed(data, length)):
         edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2)
         data[i] = (len(data[i]), [tuple(map(int, e)) for e in edges], hashlib.sha256(bytes(np.frombuffer(data[i], np.uint8)[~gone])).hexdigest())
-    for batch, keys in ((2 << 20, 1 << 20), (500, 64)):
-        out = suffix_dedup.repeated_spans(df, length=length, batch_bytes=batch, keys_in_bucket=keys).collect()
+    for batch, keys, bits, slab in ((2 << 20, 1 << 20, 64, 1 << 20), (500, 64, 64, 100), (3000, 1 << 20, 9, 2000)):
+        out = suffix_dedup.repeated_spans(df, length=length, batch_bytes=batch, keys_in_bucket=keys, key_bits=bits, slab_bytes=slab).collect()
         for r in out:
             assert (r.n_bytes, [(s.first, s.end) for s in r.spans], r.kept_sha256) == data[r.doc_id]
 
 
+def test_suffixes_with_one_key_are_told_apart(spark):
+    """Different texts whose windows all have the same hash, among them the blocks that defeat polynomials modulo 2^64, lose nothing."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    rng = random.Random(1)
+    middle = "".join(rng.choice("abcdef") for _ in range(330))
+    near = ["".join(rng.choice("ghijkl") for _ in range(70)) for _ in range(6)]
+    texts = [middle + x for x in near[:3]] + [x + middle for x in near[3:]] + [thue[:2048], thue[2048:], near[0] * 6]
+    data = [t.encode() for t in texts]
+    plain = [int(x.sum()) for x in plain_removed(data, 400)]
+    df = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    for bits in (1, 64):
+        out = {r.doc_id: sum(s.end - s.first for s in r.spans) for r in suffix_dedup.repeated_spans(df, key_bits=bits, batch_bytes=700).collect()}
+        assert [out[i] for i in range(len(texts))] == plain and not any(plain[:6])
+
+
+@pytest.mark.parametrize("length", [40, 61, 100, 400])
+def test_cover_ranks_compare_texts(length):
+    rng = np.random.default_rng(length)
+    data = np.concatenate([rng.integers(97, 99, 700, np.uint8), np.tile(rng.integers(97, 123, 37, np.uint8), 40), rng.integers(97, 123, 900, np.uint8), np.full(900, 97, np.uint8)])
+    data = np.concatenate([data, data[:1200], data[2000:3500]])
+    p, q = (rng.integers(0, len(data) - length + 1, 60_000) for _ in range(2))
+    q = np.where(rng.random(len(q)) < 0.5, np.minimum(np.where(p < 1200, p + 3980, p + 37), len(data) - length), q)
+    got = suffix_dedup.CoverRanks(data, length).equal(p, q)
+    body = data.tobytes()
+    want = np.array([body[a : a + length] == body[b : b + length] for a, b in zip(p.tolist(), q.tolist())])
+    assert (got == want).all() and 1000 < want.sum() < len(want) - 1000
+
+
+def test_least_in_reach():
+    values = np.random.default_rng(2).integers(0, 1 << 63, 1000, np.uint64)
+    for reach in (1, 7, 273, 1500):
+        got = suffix_dedup._least_in_reach(values, reach)
+        assert [int(x) for x in got] == [int(values[i : i + reach].min()) for i in range(1000)]
+
+
+def test_suffix_table_is_dropped_when_a_run_fails(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    with pytest.raises(Exception):
+        suffix_dedup.repeated_spans(documents(spark), batch_bytes=None)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_many_automata_find_what_one_finds(spark, sf, docs):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     one = {r.doc_id: (r.n_words, r.runs, r.items) for r in decontamination.find_leaks(docs, items).collect()}
