@@ -282,13 +282,12 @@ def untied(texts: list[bytes], times: list[int], length: int, hashed: WindowHash
 
 
 def struck_off(stretches: DataFrame, length: int, key_bits: int, slab_bytes: int = SLAB_BYTES) -> DataFrame:
-    """(least, stretch, places, batch, first) -> (batch, struck): places in the batches of suffixes that tie with nothing.
+    """(least, stretch, places, batch, first) -> (batch, answers): places in the batches of suffixes that tie with nothing.
 
-    Equal stretches are counted before they are shuffled. Those with the same least hash come together where any of them has one
-    place only; a task holds a slab of them, or all distinct stretches about one 128-byte string if those are more.
+    Equal stretches are counted before they are shuffled. Those with the same least hash come together, and are compared where any of them has
+    one place only; a task holds a slab of them, or all distinct stretches about one 128-byte string if those are more.
     """
     found = stretches.groupBy("least", "stretch").agg(F.sum("places").alias("places"), F.max("batch").alias("batch"), F.max("first").alias("first"))
-    lone = found.filter("places = 1").select("least").distinct()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WindowHash(length, key_bits)
@@ -298,18 +297,24 @@ def struck_off(stretches: DataFrame, length: int, key_bits: int, slab_bytes: int
             out = [(batch, (first + places).tolist()) for (_, _, times, batch, first), places in zip(rows, alone) if times == 1 and len(places)]
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["batch", "struck"])
 
-        rows, size = [], 0
+        rows, size, same = [], 0, []
         for part in parts:
             for row in zip(*(part.column(c).to_pylist() for c in ("least", "stretch", "places", "batch", "first"))):
-                if size >= slab_bytes and row[0] != rows[-1][0]:
-                    yield struck(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[1])
+                if same and row[0] != same[-1][0]:
+                    if any(r[2] == 1 for r in same):
+                        rows += same
+                        size += sum(len(r[1]) for r in same)
+                    same = []
+                    if size >= slab_bytes:
+                        yield struck(rows)
+                        rows, size = [], 0
+                same.append(row)
+        if any(r[2] == 1 for r in same):
+            rows += same
         if rows:
             yield struck(rows)
 
-    together = found.join(lone, "least", "left_semi").repartition("least").sortWithinPartitions("least").select("least", "stretch", "places", "batch", "first")
+    together = found.repartition("least").sortWithinPartitions("least").select("least", "stretch", "places", "batch", "first")
     return together.mapInArrow(run, "batch long, struck array<long>").groupBy("batch").agg(F.flatten(F.collect_list("struck")).alias("answers"))
 
 
@@ -459,13 +464,20 @@ def repeated_spans(
     def rank(batch: Batch, told: list) -> Iterator[pa.RecordBatch]:
         yield _in_buckets(batch.row["batch"], *distinct_keys(remaining(batch, told)[2]), buckets)
 
-    def met(batch: Batch, told: list) -> tuple[np.ndarray, np.ndarray]:
+    def tie(batch: Batch, told: list) -> Iterator[pa.RecordBatch]:
         covered, starts, keys = remaining(batch, told)
         distinct, place = np.unique(keys, return_inverse=True)
-        return covered, starts[_told(distinct, told[2], buckets)[0][place]]
+        tied = starts[_told(distinct, told[2], buckets)[0][place]]
+        heads = np.flatnonzero(np.diff(tied, prepend=-2) != 1)
+        runs = {"first": tied[heads], "length": np.diff(np.r_[heads, len(tied)]), "whole": np.flatnonzero([b > a and covered[a] for a, b in zip(batch.starts, batch.ends)])}
+        yield pa.RecordBatch.from_arrays([pa.array([batch.row["batch"]], pa.int64()), pa.array([{k: x.astype(np.int64).tobytes() for k, x in runs.items()}], pa.struct([(k, pa.binary()) for k in runs]))], names=["batch", "answers"])
+
+    def met(runs: dict) -> np.ndarray:
+        first, length = (np.frombuffer(runs[k], np.int64) for k in ("first", "length"))
+        return np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
 
     def stretch(batch: Batch, told: list) -> Iterator[pa.RecordBatch]:
-        found = batch.stretches(met(batch, told)[1], hashed(window), period)
+        found = batch.stretches(met(told[0]), hashed(window), period)
         columns = [
             pa.array([k for k, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary()), pa.array([n for n, _ in found.values()], pa.int64()),
             pa.array([batch.row["batch"]] * len(found), pa.int64()), pa.array([at for _, at in found.values()], pa.int64()),
@@ -473,9 +485,12 @@ def repeated_spans(
         yield pa.RecordBatch.from_arrays(columns, names=["least", "stretch", "places", "batch", "first"])
 
     def cut(batch: Batch, told: list) -> Iterator[pa.RecordBatch]:
-        covered, tied = met(batch, told)
-        if told[3]:
-            tied = np.setdiff1d(tied, np.array(told[3], np.int64), assume_unique=True)
+        tied = met(told[0])
+        if told[1]:
+            tied = np.setdiff1d(tied, np.array(told[1], np.int64), assume_unique=True)
+        covered = np.zeros(len(batch.data), bool)
+        for i in np.frombuffer(told[0]["whole"], np.int64):
+            covered[batch.starts[i] : batch.ends[i]] = True
         covered = batch.cover(covered, tied)
         out: dict[str, list] = {"n_bytes": [], "spans": [], "kept_sha256": [], "kept": []}
         for a, b in zip(batch.starts, batch.ends):
@@ -511,9 +526,10 @@ def repeated_spans(
         told: list[DataFrame] = []
         for act, kind in ((settle, WHOLE), (sample, np.dtype(np.uint64)), (rank, np.dtype(np.uint64))):
             told = [*told, cut_lineage(exchange(over(told, act, "bucket long, batch long, keys binary, twice binary"), kind))]
-        stretches = over(told, stretch, "least long, stretch binary, places long, batch long, first long")
-        told = [*told, cut_lineage(struck_off(stretches, length, key_bits, slab_bytes))]
-        result = over(told, cut, "doc_id long, n_bytes long, spans array<struct<first: long, end: long>>, kept_sha256 string, kept binary")
+        runs = cut_lineage(over(told, tie, "batch long, answers struct<first: binary, length: binary, whole: binary>"))
+        stretches = over([runs], stretch, "least long, stretch binary, places long, batch long, first long")
+        struck = cut_lineage(struck_off(stretches, length, key_bits, slab_bytes))
+        result = over([runs, struck], cut, "doc_id long, n_bytes long, spans array<struct<first: long, end: long>>, kept_sha256 string, kept binary")
         return cut_lineage(result if keep_bytes else result.drop("kept"))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
