@@ -5,12 +5,16 @@ Tables are replaced, not edited: an operator gives the new content of a table fr
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import core_title, slug
+from lectern.functions.fixed import ROLE_SCOPES
+from lectern.functions.text import clean_line, furniture_key, slug
+from lectern.operators.structure import role_scope
 
 ROLES = ("viewer", "editor", "owner")
+PAGE_BLOCK = 16
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -71,15 +75,47 @@ def flag_present(rows: DataFrame, other: DataFrame, key: str, flag: str) -> Data
     return rows.join(other.select(key).distinct().withColumn(flag, F.lit(True)), key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def unique_slugs(rows: DataFrame, title: str, order: str, size: int = 64, default: str = "curso") -> DataFrame:
-    """``rows`` with ``slug``: that of the title, with -2, -3, ... for further rows that share it.
-
-    A number is given within a slug's rows only, so a title whose own slug ends in a number can still meet one; ``collisions``
-    then counts the rows that share the final slug.
+def _spared_numbers(contested: pd.DataFrame) -> pd.DataFrame:
+    """For the names of one family that two titles may want: who gets them. A title's numbered names come before those made of them."""
+    free, owner = {}, set()
+    for parent, names in sorted(contested.groupby("parent"), key=lambda x: (len(x[0]), x[0])):
+        spared: list[int] = []
+        for row in names.sort_values("number").itertuples():
+            # The parent's row that would be given this number: rows before it had the numbers below that were not spared.
+            nth = row.number - len(spared) - (parent in owner)
+            if row.before >= nth:
+                owner.add(row.child)
+            else:
+                spared.append(row.number)
+        free[parent] = spared
+    bases = sorted(free.keys() | owner)
+    return pd.DataFrame({"_base": bases, "_spared": [free.get(b, []) for b in bases], "_lost": [b in owner for b in bases]})
+
+
+def unique_slugs(rows: DataFrame, title: str, order: str, size: int = 64, default: str = "curso", used: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``slug``: that of the title, or the first of -2, -3, ... behind it that no earlier row has, in the order of ``order``.
+
+    ``used`` (slug) are names given before. Rows are numbered within their title's slug. Only names that are themselves some title's slug, such as
+    curso-2, can be wanted twice; who comes first gets them, and the numbering of the other passes them over. A task holds those names of one
+    family at most, no rows. Null and blank titles have ``default``; ties in ``order`` are given in any order.
     """
-    based = rows.withColumn("_base", slug(title, size, default))
-    nth = F.row_number().over(Window.partitionBy("_base").orderBy(order))
-    return based.withColumn("_nth", nth).withColumn("slug", F.when(F.col("_nth") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_nth").cast("string")))).drop("_base", "_nth")
+    based = rows.select("*", slug(title, size, default).alias("_base"), F.lit(False).alias("_old"))
+    if used is not None:
+        given = used.select(F.col("slug").alias("_base")).distinct().withColumn("_old", F.lit(True))
+        based = based.unionByName(given, allowMissingColumns=True)
+    firsts = based.groupBy("_base").agg(F.min(F.when(~F.col("_old"), F.col(order))).alias("_first"), F.max("_old").alias("_taken"))
+    numbered = firsts.withColumns({"parent": F.regexp_extract("_base", "^(.+)-([1-9][0-9]*)$", 1), "number": F.regexp_extract("_base", "^(.+)-([1-9][0-9]{0,8})$", 2).try_cast("int")})
+    names = numbered.filter("number >= 2").join(firsts.filter("_first is not null").select(F.col("_base").alias("parent")), "parent")
+    names = names.select("parent", "number", F.col("_base").alias("child"), "_first", "_taken")
+    wanted = based.filter(~F.col("_old")).select(F.col("_base").alias("parent"), F.col(order).alias("_at")).join(names.filter(~F.col("_taken")).select("parent", "child", "_first"), "parent")
+    before = wanted.groupBy("child").agg(F.count_if(F.col("_at") < F.col("_first")).alias("before"))
+    contested = names.join(before, "child", "left").select("parent", "number", "child", F.coalesce("before", F.lit(-1)).alias("before"), F.regexp_replace("parent", "(-[1-9][0-9]*)+$", "").alias("_family"))
+    kept = contested.groupBy("_family").applyInPandas(lambda x: _spared_numbers(x), "_base string, _spared array<int>, _lost boolean")
+    told = firsts.join(kept, "_base", "left").select("_base", F.coalesce("_spared", F.array().cast("array<int>")).alias("_spared"), (F.coalesce("_lost", F.lit(False)) | F.col("_taken")).alias("_lost"))
+    nth = F.row_number().over(Window.partitionBy("_base").orderBy(order)) + F.col("_lost").cast("int")
+    number = F.aggregate("_spared", F.col("_nth"), lambda n, k: F.when(n >= k, n + 1).otherwise(n))
+    placed = based.filter(~F.col("_old")).join(told, "_base").withColumn("_nth", nth)
+    return placed.withColumn("slug", F.when(F.col("_nth") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", number.cast("string")))).select(*rows.columns, "slug")
 
 
 def range_overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -88,29 +124,108 @@ def range_overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when((a > 0) & (b > 0) & (c > 0) & (d > 0), F.greatest(F.lit(0), shared)).otherwise(0)
 
 
+def _best_of(new: DataFrame, old: DataFrame, points: dict[str, int], base: int, share: int) -> DataFrame:
+    """(key, score, prior): the best of ``old`` for each row of ``new``, by equal columns and overlapping pages, ties by prior.
+
+    ``points`` says what an equal, non-blank column is worth; columns "within" must be equal anyhow. Both sides have within, those columns, first and
+    last page; ``new`` has key, ``old`` prior and extra points. Any set of equal columns is looked up by itself, among its distinct page ranges, so
+    pairs within a group are not made: what counts of a range is its best row.
+    """
+    found = []
+    names = list(points)
+    for mask in range(1 << len(names)):
+        equal = ["within", *(c for i, c in enumerate(names) if mask >> i & 1)]
+        worth = sum(points[c] for c in equal[1:])
+        real = F.lit(True)
+        for c in equal[1:]:
+            real = real & (F.coalesce(F.col(c), F.lit("")) != "")
+        mine = new.filter(real).select(*equal, "first", "last").distinct()
+        theirs = old.filter(real).groupBy(*equal, "first", "last").agg(F.min(F.struct((-F.col("extra")).alias("less"), "prior")).alias("best"))
+        if mask:
+            plain = theirs.groupBy(*equal).agg(F.min("best").alias("best"))
+            found.append(new.filter(real).join(plain, equal).select("key", (worth - F.col("best.less")).alias("score"), "best.prior"))
+        # Ranges meet in blocks of pages, once in the first block that they share.
+        block = lambda page: F.floor(F.col(page) / PAGE_BLOCK)
+        blocks = F.explode(F.sequence(block("first"), block("last"))).alias("block")
+        known = (F.col("first") > 0) & (F.col("last") >= F.col("first"))
+        a = mine.filter(known).select(*equal, "first", "last", blocks)
+        b = theirs.filter(known).select(*equal, F.col("first").alias("o_first"), F.col("last").alias("o_last"), "best", F.explode(F.sequence(block("first"), block("last"))).alias("block"))
+        shared = F.least("last", "o_last") - F.greatest("first", "o_first") + 1
+        shortest = F.least(F.col("last") - F.col("first"), F.col("o_last") - F.col("o_first")) + 1
+        met = a.join(b, [*equal, "block"]).filter((shared > 0) & (F.col("block") == F.floor(F.greatest("first", "o_first") / PAGE_BLOCK)))
+        ranged = met.withColumn("less", F.col("best.less") - worth - base - F.floor(share * shared / shortest + 0.5)).groupBy(*equal, "first", "last").agg(F.min(F.struct("less", "best.prior")).alias("best"))
+        found.append(new.filter(real).join(ranged, [*equal, "first", "last"]).select("key", (-F.col("best.less")).alias("score"), "best.prior"))
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    best = every.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("less"), "prior")).alias("best"))
+    return best.select("key", (-F.col("best.less")).cast("long").alias("score"), "best.prior")
+
+
 def prior_document(new: DataFrame, old: DataFrame, accept: int = 20) -> DataFrame:
-    """(document_id, prior_id, score): the earlier document that a new one most likely replaces.
+    """(document_id, prior_id, score): the earlier document that a new one most likely replaces; documents without one are left out.
+
+    Both have document_id, title, source_name, page_start, page_end; of equal scores the least id wins. Equal ids score 1000, a shared source 12, equal
+    titles 45, overlapping pages 45 and up to 20 more by their share of the shorter range. What scores under ``accept`` counts only as the
+    only earlier document of the new one's source. Null or zero pages are unknown, blank titles and sources equal nothing.
+    """
+    def shaped(df: DataFrame, name: str) -> DataFrame:
+        last = F.coalesce(F.nullif("page_end", F.lit(0)), F.col("page_start"))
+        return df.select(F.col("document_id").alias(name), F.lit(0).alias("within"), F.lower(F.trim("source_name")).alias("source"), furniture_key(clean_line("title")).alias("title"), F.coalesce("page_start", F.lit(0)).cast("long").alias("first"), F.coalesce(last, F.lit(0)).cast("long").alias("last"), F.lit(0).cast("long").alias("extra"))
+
+    mine, theirs = shaped(new, "key"), shaped(old, "prior")
+    same = mine.select("key").join(theirs.select("prior"), F.col("key") == F.col("prior")).select("key", F.lit(1000).cast("long").alias("score"), "prior")
+    scored = _best_of(mine, theirs, {"source": 12, "title": 45}, 45, 20).filter(F.col("score") >= accept)
+    only = theirs.filter("source <> ''").groupBy("source").agg(F.count("*").alias("n"), F.min("prior").alias("prior")).filter("n = 1")
+    alone = mine.join(only, "source").select("key", F.lit(12).cast("long").alias("score"), "prior")
+    best = same.unionByName(scored).unionByName(alone).groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("less"), "prior")).alias("best"))
+    return best.select(F.col("key").alias("document_id"), F.col("best.prior").alias("prior_id"), (-F.col("best.less")).cast("long").alias("score"))
+
+
+def prior_section(new: DataFrame, old: DataFrame, accept: int = 20) -> DataFrame:
+    """(section_id, prior_id, score): for each section of a document that has an earlier one, the earlier section that it most likely was.
+
+    ``new`` has document (the earlier document's id), section_id, title, path (array), page_start, page_end; ``old`` too, and by_teacher, whether a teacher
+    decided anything there. Equal ids score 120, titles without their part number 30, paths 22, overlapping pages 8 and up to 10 more, a teacher's
+    decision 6. Of equal scores the least id wins; under ``accept`` there is no match.
+    """
+    def shaped(df: DataFrame, name: str, extra: Column) -> DataFrame:
+        last = F.coalesce(F.nullif("page_end", F.lit(0)), F.col("page_start"))
+        bare = F.regexp_replace(F.coalesce("title", F.lit("")), "(?i)\\s*·\\s*parte\\s+[0-9]+$", "")
+        path = F.array_join(F.transform(F.coalesce("path", F.array().cast("array<string>")), lambda x: furniture_key(clean_line(x))), ">")
+        return df.select(F.col("section_id").alias(name), F.col("document").alias("within"), F.col("section_id").cast("string").alias("id"), furniture_key(clean_line(bare)).alias("title"), path.alias("path"), F.coalesce("page_start", F.lit(0)).cast("long").alias("first"), F.coalesce(last, F.lit(0)).cast("long").alias("last"), extra.cast("long").alias("extra"))
+
+    mine, theirs = shaped(new, "key", F.lit(0)), shaped(old, "prior", F.when(F.col("by_teacher"), 6).otherwise(0))
+    best = _best_of(mine, theirs, {"id": 120, "title": 30, "path": 22}, 8, 10)
+    return best.filter(F.col("score") >= accept).select(F.col("key").alias("section_id"), F.col("prior").alias("prior_id"), "score")
+
+
+def keep_teacher_choices(sections: DataFrame, prior: DataFrame, matches: DataFrame) -> DataFrame:
+    """``sections`` with what a teacher decided on the earlier sections that they were, by ``matches`` (section_id, prior_id).
 
-    Equal ids score 1000, a shared source 12, equal titles 45, overlapping pages 45 and more. Candidates share an id, a source or a title, so
-    they come from equality joins; without any of these the score can't reach what is accepted.
+    Both tables have section_id, role, role_source, confidence, scope, scope_source, priority, priority_source, topic, teacher_limit, concepts, needs_review, review_notes,
+    ``sections`` also document_priority. A scope or priority without a source that isn't the default counts as decided. Sections without a match stay as they are;
+    of earlier sections with one id the least row counts.
     """
-    o = old.select(F.col("document_id").alias("prior_id"), core_title("title").alias("o_title"), F.col("source_name").alias("o_source"), F.col("page_start").alias("o_a"), F.col("page_end").alias("o_b"))
-    n = new.select("document_id", core_title("title").alias("n_title"), "source_name", "page_start", "page_end")
-    pairs = (
-        n.join(o, F.col("document_id") == F.col("prior_id")).select("document_id", "prior_id")
-        .union(n.join(o, F.col("source_name") == F.col("o_source")).select("document_id", "prior_id"))
-        .union(n.filter("n_title <> ''").join(o, F.col("n_title") == F.col("o_title")).select("document_id", "prior_id")).distinct()
-    )
-    met = pairs.join(n, "document_id").join(o, "prior_id")
-    shared = range_overlap(F.col("page_start"), F.col("page_end"), F.col("o_a"), F.col("o_b"))
-    shortest = F.least(F.col("page_end") - F.col("page_start"), F.col("o_b") - F.col("o_a")) + 1
-    points = (
-        F.when(F.col("document_id") == F.col("prior_id"), 1000).otherwise(0) + F.when(F.col("source_name") == F.col("o_source"), 12).otherwise(0)
-        + F.when((F.col("n_title") != "") & (F.col("n_title") == F.col("o_title")), 45).otherwise(0)
-        + F.when(shared > 0, 45 + F.floor(20.0 * shared / shortest + 0.5)).otherwise(0)
-    )
-    best = met.withColumn("score", points.cast("long")).groupBy("document_id").agg(F.max(F.struct("score", (-F.col("prior_id")).alias("nearer"))).alias("b"))
-    return best.filter(F.col("b.score") >= accept).select("document_id", (-F.col("b.nearer")).alias("prior_id"), F.col("b.score").alias("score"))
+    columns = [c for c in sections.columns if c != "section_id"]
+    told = [c for c in prior.columns if c != "section_id"]
+    p = prior.groupBy(F.col("section_id").alias("prior_id")).agg(F.min(F.struct(*told)).alias("_p")).select("prior_id", *(F.col(f"_p.{c}").alias(f"_{c}") for c in told))
+    met = sections.join(matches.select("section_id", "prior_id"), "section_id", "left").join(p, "prior_id", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    role = yes((F.col("_role_source") == "teacher") & F.col("_role").isin(*ROLE_SCOPES))
+    unsaid = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    scope = yes(F.col("_scope_source") == "teacher") | yes(unsaid("_scope_source") & F.col("_scope").isin("reference", "excluded") & (F.col("_scope") != role_scope(F.col("_role"))))
+    priority = yes(F.col("_priority_source") == "teacher") | yes(unsaid("_priority_source") & F.col("_priority").isin("central", "context") & (F.col("_priority") != F.col("document_priority")))
+    text = lambda c: F.when(F.trim(F.coalesce(F.col(f"_{c}"), F.lit(""))) != "", F.col(f"_{c}")).otherwise(F.col(c))
+    teacher = lambda taken, c: F.when(taken, "teacher").otherwise(F.col(c))
+    changed = {
+        "role": F.when(role, F.col("_role")).otherwise(F.col("role")), "role_source": teacher(role, "role_source"), "confidence": F.when(role, F.coalesce("_confidence", "confidence")).otherwise(F.col("confidence")),
+        "scope": F.when(scope, F.col("_scope")).otherwise(F.col("scope")), "scope_source": teacher(scope, "scope_source"),
+        "priority": F.when(priority, F.col("_priority")).otherwise(F.col("priority")), "priority_source": teacher(priority, "priority_source"),
+        "topic": text("topic"), "teacher_limit": text("teacher_limit"), "concepts": F.when(yes(F.size("_concepts") > 0), F.col("_concepts")).otherwise(F.col("concepts")),
+        "needs_review": yes(F.col("_needs_review")) | yes(F.col("needs_review")), "review_notes": F.coalesce(F.nullif("review_notes", F.lit("")), F.col("_review_notes")),
+    }
+    return met.select("section_id", *(changed[c].alias(c) if c in changed else F.col(c) for c in columns))
 
 
 def descendants(paths: DataFrame, key: str, path: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 An item's fields are title, keywords, summary, content and source. A question's terms each count with the largest weight among the
 fields that hold the term, times its inverse document frequency over the items at hand; phrases, aliases and the share
-of terms that are met add to it. Term matches come from a join on terms, so that nothing is scored that shares no term; the
-stated questions meet all items only for phrases and aliases, in blocks of questions held as one array.
+of terms that are met add to it. Term matches come from a join on terms, so that nothing is scored that shares no term. A phrase that
+stands in a text has its longest word within a word of the text: phrases and aliases are looked for only where a join on the pieces of
+distinct words says so.
 
 Items have: id, pos (the order that breaks ties), title, chapter, section_path, teacher_topic, teacher_concepts, aliases, keywords, summary,
 explanation, teacher_limit, content, source, scope, priority; missing ones are filled in by ``as_items``.
@@ -20,7 +21,8 @@ from lectern.operators.knowledge import cut
 
 TEXTS = ("title", "chapter", "teacher_topic", "summary", "explanation", "teacher_limit", "content", "source", "scope", "priority")
 LISTS = ("section_path", "teacher_concepts", "aliases", "keywords")
-BLOCK = 256  # questions in a block
+BLOCK = 256  # questions whose phrases are looked for together in an item
+PIECE = 5  # letters of a word that are joined on, where it stands within another
 
 
 def as_items(df: DataFrame) -> DataFrame:
@@ -52,13 +54,19 @@ def fields() -> dict[str, Column]:
     }
 
 
-def item_terms(items: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(pos, term, weight, in_text): the ``wanted`` terms (term) that items hold, with the largest weight among their fields.
+def normalized(items: DataFrame) -> DataFrame:
+    """(pos, the normalised fields, names): what scores read of the items. names are aliases, keywords and concepts of three letters or more."""
+    names = F.filter(F.transform(F.concat("aliases", "keywords", "teacher_concepts"), normalize), lambda a: F.length(a) >= 3)
+    return items.select("pos", *(c.alias(k) for k, c in fields().items()), names.alias("names"))
+
+
+def item_terms(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pos, term, weight, in_text): the ``wanted`` terms (term) that ``normalized`` items hold, with the largest weight among their fields.
 
     Tokens that nobody asks for are dropped before anything is grouped. in_text is false for terms of an item's source alone.
     """
-    parts = F.array(*(F.struct(c.alias("text"), F.lit(FIELD_WEIGHTS[k]).alias("weight"), F.lit(k != "source").alias("in_text")) for k, c in fields().items()))
-    tokens = items.select("pos", F.inline(parts)).select("pos", "weight", "in_text", F.explode(F.split("text", " ")).alias("token")).filter(F.length("token") >= 3)
+    parts = F.array(*(F.struct(F.col(k).alias("text"), F.lit(w).alias("weight"), F.lit(k != "source").alias("in_text")) for k, w in FIELD_WEIGHTS.items()))
+    tokens = known.select("pos", F.inline(parts)).select("pos", "weight", "in_text", F.explode(F.split("text", " ")).alias("token")).filter(F.length("token") >= 3)
     named = tokens.select("pos", stem(F.col("token")).alias("term"), "weight", "in_text").join(wanted.select("term").distinct(), "term", "left_semi")
     return named.groupBy("pos", "term").agg(F.max("weight").alias("weight"), F.max("in_text").alias("in_text"))
 
@@ -75,39 +83,60 @@ def idf_table(held: DataFrame, n_items: int) -> DataFrame:
     return df.withColumn("idf", F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def phrase_hits(items: DataFrame, questions: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(q_id, pos, bonus) for questions that stand in an item's text as a whole, and for item aliases that stand in a question."""
-    blocks = (
-        questions.filter(F.size(query_terms("question")) > 0)
-        .select(F.struct("q_id", normalize("question").alias("phrase")).alias("q"), F.pmod(F.hash("q_id"), F.lit(1 << 20)).alias("h"))
-    )
-    n = max(1, -(-blocks.count() // block))
-    blocks = blocks.groupBy((F.col("h") % n).alias("b")).agg(F.collect_list("q").alias("qs")).select("qs")
-    known = fields()
-    texts = items.select("pos", F.concat_ws(" ", known["title"], known["keywords"]).alias("heads"), known["content"].alias("content"), F.filter(F.transform(F.concat("aliases", "keywords", "teacher_concepts"), normalize), lambda a: F.length(a) >= 3).alias("names"))
-    bonus = lambda q: (
-        F.when(F.contains(F.col("heads"), q["phrase"]), TITLE_PHRASE).otherwise(0.0)
-        + F.when(F.contains(F.col("content"), q["phrase"]), CONTENT_PHRASE).otherwise(0.0)
-        + F.size(F.filter("names", lambda a: F.contains(q["phrase"], a))) * ALIAS
-    )
-    # A stated set of questions against all rows, block by block.
-    met = texts.crossJoin(F.broadcast(blocks)).select("pos", F.explode(F.filter(F.transform("qs", lambda q: F.struct(q["q_id"].alias("q_id"), bonus(q).alias("bonus"))), lambda x: x["bonus"] > 0)).alias("x"))
-    return met.select("x.q_id", "pos", "x.bonus")
+def longest_word(phrase: str) -> Column:
+    """The first of the longest words of a normalised phrase."""
+    words = F.transform(F.split(phrase, " "), lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("place"), w.alias("word")))
+    return F.array_max(words)["word"]
+
 
+def words_around(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """(word, part) for each of the distinct ``words`` (word) and the ``parts`` (part) that stand in it, by a join on the first letters of the parts."""
+    def pieces(size: int) -> Column:
+        places = F.sequence(F.lit(1), F.length("word") - size + 1)
+        return F.when(F.length("word") >= size, F.transform(places, lambda i: F.substr(F.col("word"), i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
-def score(items: DataFrame, questions: DataFrame) -> DataFrame:
-    """(q_id, pos, score) of all items with a score above zero; document frequencies count the given items."""
+    cut_words = words.select("word", F.explode(F.array_distinct(F.concat(*(pieces(n) for n in range(1, PIECE + 1))))).alias("piece"))
+    keyed = parts.select("part", F.left("part", F.lit(PIECE)).alias("piece")).distinct()
+    return cut_words.join(keyed, "piece").filter(F.contains("word", F.col("part"))).select("word", "part")
+
+
+def phrase_hits(known: DataFrame, questions: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(q_id, pos, bonus) for questions that stand in an item's text as a whole, and for item names that stand in a question.
+
+    ``known`` is what ``normalized`` gives. Texts are searched for the phrases whose longest word is within one of the text's words.
+    """
+    asked = cut(questions.filter(F.size(query_terms("question")) > 0).select("q_id", normalize("question").alias("phrase")).withColumn("part", longest_word("phrase")))
+    n = max(1, -(-asked.count() // block))
+
+    heads = F.concat_ws(" ", "title", "keywords")
+    words = known.select("pos", F.explode(F.array_distinct(F.split(F.concat_ws(" ", heads, "content"), " "))).alias("word")).filter(F.length("word") >= 3)
+    around = cut(words_around(words.select("word").distinct(), asked.select("part")))
+    places = words.join(around, "word").select("pos", "part").distinct()
+    sought = places.join(asked, "part").groupBy("pos", F.pmod(F.hash("q_id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("q_id", "phrase")).alias("qs"))
+    bonus = lambda q: F.when(F.contains(heads, q["phrase"]), TITLE_PHRASE).otherwise(0.0) + F.when(F.contains("content", q["phrase"]), CONTENT_PHRASE).otherwise(0.0)
+    in_text = sought.join(known, "pos").select("pos", F.explode(F.filter(F.transform("qs", lambda q: F.struct(q["q_id"].alias("q_id"), bonus(q).alias("bonus"))), lambda x: x["bonus"] > 0)).alias("x"))
+
+    names = known.select("pos", F.explode("names").alias("name"))
+    parts = names.select("name").distinct().withColumn("part", longest_word("name"))
+    said = asked.select("q_id", "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word"))
+    meant = said.join(words_around(said.select("word").distinct(), parts.select("part")), "word").join(parts, "part").filter(F.contains("phrase", F.col("name"))).select("q_id", "name").distinct()
+    by_name = names.join(meant, "name").groupBy("q_id", "pos").agg((F.count("*") * F.lit(ALIAS)).cast("double").alias("bonus"))
+    return in_text.select("x.q_id", "pos", "x.bonus").unionByName(by_name).groupBy("q_id", "pos").agg(F.sum("bonus").alias("bonus"))
+
+
+def score(known: DataFrame, questions: DataFrame) -> DataFrame:
+    """(q_id, pos, score) of all ``normalized`` items with a score above zero; document frequencies count the given items."""
     asked = question_terms(questions)
     # Read texts once: what questions and items share is small, and serves the frequencies and the sums.
-    held = cut(item_terms(items, asked))
+    held = cut(item_terms(known, asked))
     matched = asked.join(held, "term")
-    idf = idf_table(held, items.count())
+    idf = idf_table(held, known.count())
     by_term = (
         matched.join(idf, "term", "left").groupBy("q_id", "pos")
         .agg(F.sum(F.col("weight") * F.coalesce("idf", F.lit(1.0))).alias("s"), (F.count("*") / F.max("n_terms") * COVERAGE).alias("coverage"))
         .select("q_id", "pos", (F.col("s") + F.col("coverage")).alias("score"))
     )
-    by_phrase = phrase_hits(items, questions).withColumnRenamed("bonus", "score")
+    by_phrase = phrase_hits(known, questions).withColumnRenamed("bonus", "score")
     return by_term.unionByName(by_phrase).groupBy("q_id", "pos").agg(F.sum("score").alias("score"))
 
 
@@ -118,15 +147,16 @@ def rank(items: DataFrame, questions: DataFrame, *, include_reference: bool = Fa
     An item needs one of the three scores; its priority then adds to or takes from the sum.
     """
     items = in_scope(as_items(items), include_reference)
-    found = score(items, questions).select("q_id", "pos", F.col("score").alias("direct"))
+    known = cut(normalized(items))
+    found = score(known, questions).select("q_id", "pos", F.col("score").alias("direct"))
     if contexts is not None:
-        told = score(items, contexts).select("q_id", "pos", F.col("score").alias("contextual"))
+        told = score(known, contexts).select("q_id", "pos", F.col("score").alias("contextual"))
         found = found.join(told, ["q_id", "pos"], "full_outer")
     else:
         found = found.withColumn("contextual", F.lit(0.0))
     if alternatives is not None:
         keyed = alternatives.select(F.struct("q_id", "alt").alias("q_id"), "question")
-        other = score(items, keyed).select(F.col("q_id.q_id").alias("q_id"), F.col("q_id.alt").alias("alt"), "pos", "score")
+        other = score(known, keyed).select(F.col("q_id.q_id").alias("q_id"), F.col("q_id.alt").alias("alt"), "pos", "score")
         other = other.join(alternatives.select("q_id", "alt", F.least(F.lit(MOST_ALTERNATIVE), "weight").alias("weight")), ["q_id", "alt"])
         found = found.join(other.groupBy("q_id", "pos").agg(F.max(F.col("score") * F.col("weight")).alias("expanded")), ["q_id", "pos"], "full_outer")
     else:

@@ -18,7 +18,7 @@ def passages_of(corpus: DataFrame) -> DataFrame:
     """Items of which long ones became several, which keep their id; ``pos`` orders items, then parts."""
     items = retrieval.as_items(corpus).withColumn("content", retrieval.body_of()).filter(F.trim("content") != "")
     pieces = passages.cut(items, "pos", "content", passages.retrieval_cuts)
-    return items.drop("content").join(pieces, "pos").withColumn("pos", F.col("pos").cast("long") * 100_000 + F.col("part")).withColumnRenamed("passage", "content").drop("part")
+    return items.drop("content").join(pieces, "pos").withColumn("pos", F.struct("pos", "part")).withColumnRenamed("passage", "content").drop("part")
 
 
 def context_questions(messages: DataFrame, by: str, order: str) -> DataFrame:

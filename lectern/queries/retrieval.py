@@ -58,7 +58,7 @@ SELECT term, df, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.col("text").alias("content"))
     asked = retrieval.question_terms(table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question")))
-    return retrieval.idf_table(retrieval.item_terms(retrieval.as_items(docs), asked), docs.count())
+    return retrieval.idf_table(retrieval.item_terms(retrieval.normalized(retrieval.as_items(docs)), asked), docs.count())
 
 
 @RETRIEVAL.add("retrieve_topk", TOP, f"WITH {CORPUS_SQL}, {QUESTIONS_SQL}, {SHOWN_SQL}, {score_sql('items', 'questions', 's')}, {TOTAL_SQL} {top_sql(4)}")

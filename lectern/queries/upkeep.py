@@ -164,9 +164,10 @@ def _(spark, sf):
     return contracts.unique(table(spark, sf, "lineitem"), "line", "l_partkey")
 
 
-@UPKEEP.add("sequence_errors", "rule string, entity string, id string, detail string", "SELECT 'sequence' AS rule, 'unit' AS entity, l_orderkey::VARCHAR AS id, max(l_linenumber) || '/' || count(*) AS detail FROM lineitem WHERE l_quantity > 3 GROUP BY l_orderkey HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*)")
+@UPKEEP.add("sequence_errors", "rule string, entity string, id string, detail string", "WITH p AS (SELECT l_orderkey AS k, l_linenumber + CASE WHEN l_quantity <= 3 THEN 1 ELSE 0 END AS n FROM lineitem) SELECT 'sequence' AS rule, 'unit' AS entity, k::VARCHAR AS id, max(n) || '/' || count(*) AS detail FROM p GROUP BY k HAVING min(n) <> 1 OR max(n) <> count(*) OR count(DISTINCT n) <> count(*)")
 def _(spark, sf):
-    return contracts.sequence_errors(table(spark, sf, "lineitem").filter("l_quantity > 3"), "unit", "l_orderkey", "l_linenumber")
+    place = F.col("l_linenumber") + F.when(F.col("l_quantity") <= 3, 1).otherwise(0)
+    return contracts.sequence_errors(table(spark, sf, "lineitem").withColumn("place", place), "unit", "l_orderkey", "place")
 
 
 @UPKEEP.add("cycle_members", "node bigint", "WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation WHERE n_nationkey <> 11), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT DISTINCT src AS node FROM r WHERE src = dst")
@@ -176,13 +177,12 @@ def _(spark, sf):
 
 
 @UPKEEP.add("batch_errors", "rule string, entity string, id string, detail string", """
-WITH s AS (SELECT o_orderkey AS k FROM orders), a AS (SELECT l_orderkey + CASE WHEN l_partkey % 97 = 0 THEN 10000000 ELSE 0 END AS k, l_linenumber AS level, l_discount * 12 AS c FROM lineitem WHERE l_linenumber IN (1, 7) AND l_orderkey % 50 <> 0)
+WITH s AS (SELECT o_orderkey AS k FROM orders), a AS (SELECT l_orderkey + CASE WHEN l_partkey % 3 = 0 THEN 10000000 ELSE 0 END AS k, l_linenumber AS level, l_discount * 12 AS c FROM lineitem)
 SELECT 'unique' AS rule, 'assignment' AS entity, k::VARCHAR AS id, count(*)::VARCHAR AS detail FROM a GROUP BY k HAVING count(*) > 1 UNION ALL SELECT 'reference:segment_id', 'assignment', k::VARCHAR, k::VARCHAR FROM a WHERE k NOT IN (SELECT k FROM s)
 UNION ALL SELECT 'unassigned', 'segment', k::VARCHAR, '' FROM s WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT 'range:level', 'assignment', k::VARCHAR, level::VARCHAR FROM a WHERE level > 6 UNION ALL SELECT 'range:confidence', 'assignment', k::VARCHAR, 'high' FROM a WHERE c > 1""")
 def _(spark, sf):
     segments = table(spark, sf, "orders").select(F.col("o_orderkey").alias("segment_id"))
-    lines = table(spark, sf, "lineitem").filter("l_linenumber IN (1, 7) AND l_orderkey % 50 <> 0")
-    rows = lines.select((F.col("l_orderkey") + F.when(F.col("l_partkey") % 97 == 0, 10_000_000).otherwise(0)).alias("segment_id"), F.col("l_linenumber").alias("level"), (F.col("l_discount") * 12).alias("confidence"))
+    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") + F.when(F.col("l_partkey") % 3 == 0, 10_000_000).otherwise(0)).alias("segment_id"), F.col("l_linenumber").alias("level"), (F.col("l_discount") * 12).alias("confidence"))
     return contracts.batch_errors(segments, rows).withColumn("detail", F.when(F.col("rule") == "range:confidence", "high").otherwise(F.col("detail")))
 
 
@@ -203,9 +203,20 @@ def _(spark, sf):
     return maintenance.flag_present(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id", "prepared")
 
 
-@UPKEEP.add("unique_slug", "p_partkey bigint, slug string", f"WITH b AS (SELECT p_partkey, coalesce(nullif(left(regexp_replace(regexp_replace({fold_sql('p_name')}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 64), ''), 'curso') AS s FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS n FROM b) SELECT p_partkey, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS slug FROM r")
+@UPKEEP.add("unique_slug", "p_partkey bigint, slug string", f"""
+WITH RECURSIVE t AS (SELECT p_partkey, split_part(p_name, ' ', 1) || CASE p_partkey % 7 WHEN 0 THEN ' 2' WHEN 1 THEN ' 3' WHEN 2 THEN ' 2 2' ELSE '' END AS title FROM part),
+b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS i, coalesce(nullif(left(regexp_replace(regexp_replace({fold_sql('title')}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 64), ''), 'curso') AS s FROM t),
+w AS (
+  SELECT 0::BIGINT AS i, 0::BIGINT AS p_partkey, ''::VARCHAR AS slug, []::VARCHAR[] AS used
+  UNION ALL
+  SELECT i, p_partkey, name, list_append(used, name) FROM (
+    SELECT b.i, b.p_partkey, w.used, CASE WHEN NOT list_contains(w.used, b.s) THEN b.s ELSE b.s || '-' || list_filter(range(2, 4 + len(list_filter(w.used, lambda u: starts_with(u, b.s)))), lambda n: NOT list_contains(w.used, b.s || '-' || n))[1] END AS name
+    FROM w JOIN b ON b.i = w.i + 1))
+SELECT p_partkey, slug FROM w WHERE i > 0""")
 def _(spark, sf):
-    return maintenance.unique_slugs(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "p_partkey")
+    tail = F.when(F.col("p_partkey") % 7 == 0, " 2").when(F.col("p_partkey") % 7 == 1, " 3").when(F.col("p_partkey") % 7 == 2, " 2 2").otherwise("")
+    rows = table(spark, sf, "part").select("p_partkey", F.concat(F.split("p_name", " ")[0], tail).alias("title"))
+    return maintenance.unique_slugs(rows, "title", "p_partkey")
 
 
 @UPKEEP.add("upsert_documents", "doc_id bigint, lang string, source string", "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.lang, o.lang) AS lang, coalesce(n.source, o.source) AS source FROM (SELECT * FROM documents WHERE doc_id % 3 > 0) o FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'xx' END AS lang, 'new' AS source FROM documents WHERE doc_id % 2 = 0) n USING (doc_id)")
@@ -250,18 +261,72 @@ def _(spark, sf):
     return out.select("l_orderkey", F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ",").alias("left_ids"), F.col("review_status").alias("review"))
 
 
-PRIOR_SQL = f"""
-n AS (SELECT doc_id, {key_sql("array_to_string(string_split(text, ' ')[1:4], ' ')")} AS t, source AS s, doc_id % 30 + 1 AS a, doc_id % 30 + 5 AS b FROM documents WHERE doc_id % 4 = 0),
-o AS (SELECT doc_id AS pid, {key_sql("array_to_string(string_split(text, ' ')[1:4], ' ')")} AS ot, source AS os, doc_id % 30 + 1 AS oa, doc_id % 30 + 5 AS ob FROM documents WHERE doc_id % 4 <> 1 AND doc_id % 8 > 0)"""
+OVERLAP_SQL = "CASE WHEN a > 0 AND oa > 0 AND least(b, ob) >= greatest(a, oa) THEN {base} + floor({share}::DOUBLE * (least(b, ob) - greatest(a, oa) + 1) / least(b - a + 1, ob - oa + 1) + 0.5) ELSE 0 END"
 
 
 @UPKEEP.add("best_prior_match", "document_id bigint, prior_id bigint, score bigint", f"""
-WITH {PRIOR_SQL}, m AS (SELECT *, greatest(0, least(b, ob) - greatest(a, oa) + 1) AS sh FROM n JOIN o ON doc_id = pid OR s = os OR (t = ot AND t <> '')),
-p AS (SELECT doc_id, pid, CASE WHEN doc_id = pid THEN 1000 ELSE 0 END + CASE WHEN s = os THEN 12 ELSE 0 END + CASE WHEN t = ot AND t <> '' THEN 45 ELSE 0 END + CASE WHEN sh > 0 THEN 45 + floor(20.0::DOUBLE * sh / 5 + 0.5) ELSE 0 END AS score FROM m)
-SELECT doc_id AS document_id, pid AS prior_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pid) AS r FROM p) WHERE r = 1 AND score >= 20""")
-def _(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("title"), F.col("source").alias("source_name"), (F.col("doc_id") % 30 + 1).alias("page_start"), (F.col("doc_id") % 30 + 5).alias("page_end"))
-    return maintenance.prior_document(docs.filter("document_id % 4 = 0"), docs.filter("document_id % 4 <> 1 AND document_id % 8 > 0"))
+WITH d AS (SELECT doc_id AS k, array_to_string(string_split(text, ' ')[1:2], ' ') AS title, source FROM documents),
+n AS (SELECT CASE WHEN k % 4 = 0 THEN k ELSE k + 10000000 END AS id, {key_sql("title")} AS t, lower(trim(CASE WHEN k % 10 = 1 THEN 'ONLY' || k || ' ' ELSE source END)) AS s, CASE WHEN k % 3 = 0 THEN 0 ELSE k * 7 % 400 + 1 END AS a, CASE WHEN k % 3 = 0 THEN 0 ELSE k * 7 % 400 + 1 + k % 9 END AS b FROM d),
+o AS (SELECT k AS pid, {key_sql("title")} AS ot, lower(trim(CASE WHEN k % 10 = 1 THEN 'only' || k ELSE source END)) AS os, CASE WHEN k % 5 = 0 THEN 0 ELSE k * 11 % 400 + 1 END AS oa, CASE WHEN k % 5 = 0 THEN 0 ELSE k * 11 % 400 + 1 + k % 6 END AS ob FROM d),
+p AS (SELECT id, pid, CASE WHEN id = pid THEN 1000 ELSE CASE WHEN s <> '' AND s = os THEN 12 ELSE 0 END + CASE WHEN t <> '' AND t = ot THEN 45 ELSE 0 END + {OVERLAP_SQL.format(base=45, share=20)} END AS score FROM n, o),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pid) AS r FROM p) WHERE r = 1),
+single AS (SELECT os, min(pid) AS pid FROM o WHERE os <> '' GROUP BY os HAVING count(*) = 1)
+SELECT id AS document_id, best.pid AS prior_id, score FROM best WHERE score >= 20
+UNION ALL SELECT n.id, single.pid, 12 FROM n JOIN single ON os = s JOIN best ON best.id = n.id WHERE best.score < 20""")
+def _(spark, sf):
+    k = F.col("k")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("title"), "source")
+    new = docs.select(F.when(k % 4 == 0, k).otherwise(k + 10_000_000).alias("document_id"), "title", F.when(k % 10 == 1, F.concat(F.lit("ONLY"), k.cast("string"), F.lit(" "))).otherwise(F.col("source")).alias("source_name"), F.when(k % 3 > 0, k * 7 % 400 + 1).alias("page_start"), F.when(k % 3 > 0, k * 7 % 400 + 1 + k % 9).alias("page_end"))
+    old = docs.select(k.alias("document_id"), "title", F.when(k % 10 == 1, F.concat(F.lit("only"), k.cast("string"))).otherwise(F.col("source")).alias("source_name"), F.when(k % 5 > 0, k * 11 % 400 + 1).alias("page_start"), F.when(k % 5 > 0, k * 11 % 400 + 1 + k % 6).alias("page_end"))
+    return maintenance.prior_document(new, old)
+
+
+def _sections(spark, sf):
+    """Lines of orders as sections of a document, as they are now and as they were."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_returnflag", "l_linestatus")))
+    key, n = F.col("l_orderkey") * 100 + F.col("l_linenumber"), F.col("l_linenumber")
+    size = F.col("l_quantity").cast("long")
+    name = F.element_at(F.array(F.lit("Alfa"), F.lit("Beta"), F.lit("Gama")), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    place = F.element_at(F.array(F.lit("norte"), F.lit("sur")), (F.col("l_partkey") % 2 + 1).cast("int"))
+    new = lines.select(
+        F.col("l_orderkey").alias("document"), key.alias("section_id"), F.concat(name, F.when(n % 2 == 0, F.concat(F.lit(" · Parte "), n.cast("string"))).otherwise("")).alias("title"), F.array(place).alias("path"), size.alias("page_start"), (size + n).alias("page_end"),
+        F.lit("contenido").alias("role"), F.lit("rules").alias("role_source"), F.lit(0.62).alias("confidence"), F.lit("included").alias("scope"), F.lit("role-default").alias("scope_source"), F.lit("normal").alias("priority"), F.lit("document").alias("priority_source"), F.lit("normal").alias("document_priority"),
+        F.lit("").alias("topic"), F.lit(None).cast("string").alias("teacher_limit"), F.array(F.lit("own")).alias("concepts"), F.lit(False).alias("needs_review"), F.when(n == 1, "mine").alias("review_notes"),
+    )
+    first = size + n % 3
+    chosen = F.col("l_linestatus") == "F"
+    old = lines.select(
+        F.col("l_orderkey").alias("document"), (key + F.when(F.col("l_partkey") % 5 == 0, 0).otherwise(50)).alias("section_id"), name.alias("title"), F.when(F.col("l_returnflag") == "A", F.array(place, F.lit("x"))).otherwise(F.array(place)).alias("path"), first.alias("page_start"), (first + 2).alias("page_end"), chosen.alias("by_teacher"),
+        F.when(n % 2 == 0, "anexo").otherwise("contenido").alias("role"), F.when(chosen, "teacher").otherwise("rules").alias("role_source"), F.when(n > 2, 0.9).alias("confidence"),
+        F.when(F.col("l_tax") > 0.04, "excluded").otherwise("included").alias("scope"), F.when(chosen, "teacher").otherwise("").alias("scope_source"), F.when(n % 3 == 0, "central").otherwise("normal").alias("priority"), F.lit(None).cast("string").alias("priority_source"),
+        name.alias("topic"), F.lit(" ").alias("teacher_limit"), F.when(n % 4 == 0, F.array(F.lit("old"))).otherwise(F.array().cast("array<string>")).alias("concepts"), (n == 5).alias("needs_review"), F.lit("old").alias("review_notes"),
+    )
+    return new, old
+
+
+SECTIONS_SQL = f"""
+lines AS (SELECT *, ['Alfa', 'Beta', 'Gama'][l_suppkey % 3 + 1] AS name, ['norte', 'sur'][l_partkey % 2 + 1] AS place FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_tax) AS l_tax, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL)),
+n AS (SELECT l_orderkey AS doc, l_orderkey * 100 + l_linenumber AS id, {key_sql("name")} AS t, {key_sql("place")} AS p, l_quantity::BIGINT AS a, l_quantity::BIGINT + l_linenumber AS b, l_linenumber AS ln FROM lines),
+o AS (SELECT l_orderkey AS doc, l_orderkey * 100 + l_linenumber + CASE WHEN l_partkey % 5 = 0 THEN 0 ELSE 50 END AS pid, {key_sql("name")} AS ot, {key_sql("place")} || CASE WHEN l_returnflag = 'A' THEN '>x' ELSE '' END AS op, l_quantity::BIGINT + l_linenumber % 3 AS oa, l_quantity::BIGINT + l_linenumber % 3 + 2 AS ob, l_linestatus = 'F' AS chosen, l_linenumber AS oln, l_tax, name FROM lines),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pid) AS r FROM (
+  SELECT n.id, n.ln, o.*, CASE WHEN id = pid THEN 120 ELSE 0 END + CASE WHEN t = ot AND t <> '' THEN 30 ELSE 0 END + CASE WHEN p = op AND p <> '' THEN 22 ELSE 0 END + {OVERLAP_SQL.format(base=8, share=10)} + CASE WHEN chosen THEN 6 ELSE 0 END AS score FROM n JOIN o ON n.doc = o.doc)) WHERE r = 1 AND score >= 20)"""
+
+
+@UPKEEP.add("prior_sections", "section_id bigint, prior_id bigint, score bigint", f"WITH {SECTIONS_SQL} SELECT id AS section_id, pid AS prior_id, score FROM m")
+def _(spark, sf):
+    return maintenance.prior_section(*_sections(spark, sf))
+
+
+@UPKEEP.add("teacher_choices", "section_id bigint, role string, role_source string, confidence double, scope string, scope_source string, priority string, topic string, concepts string, needs_review boolean, review_notes string", f"""
+WITH {SECTIONS_SQL}, c AS (SELECT n.id AS section_id, n.ln, m.pid, coalesce(m.chosen, false) AS chosen, m.oln, m.l_tax > 0.04 AS out, m.name FROM n LEFT JOIN m ON m.id = n.id),
+d AS (SELECT *, CASE WHEN oln % 2 = 0 THEN 'anexo' ELSE 'contenido' END AS orole, coalesce(chosen OR (out AND 'excluded' <> CASE WHEN oln % 2 = 0 THEN 'reference' ELSE 'included' END), false) AS rescoped FROM c)
+SELECT section_id, CASE WHEN chosen THEN orole ELSE 'contenido' END AS role, CASE WHEN chosen THEN 'teacher' ELSE 'rules' END AS role_source, CASE WHEN chosen AND oln > 2 THEN 0.9 ELSE 0.62 END AS confidence,
+       CASE WHEN rescoped AND out THEN 'excluded' ELSE 'included' END AS scope, CASE WHEN rescoped THEN 'teacher' ELSE 'role-default' END AS scope_source, CASE WHEN oln % 3 = 0 THEN 'central' ELSE 'normal' END AS priority,
+       coalesce(name, '') AS topic, CASE WHEN oln % 4 = 0 THEN 'old' ELSE 'own' END AS concepts, coalesce(oln = 5, false) AS needs_review, CASE WHEN ln = 1 THEN 'mine' WHEN pid IS NOT NULL THEN 'old' END AS review_notes FROM d""")
+def _(spark, sf):
+    new, old = _sections(spark, sf)
+    out = maintenance.keep_teacher_choices(new, old, maintenance.prior_section(new, old))
+    return out.withColumn("concepts", F.array_join("concepts", ","))
 
 
 @UPKEEP.add("path_descendants", "ancestor bigint, descendant bigint", "WITH p AS (SELECT c_custkey AS k, [c_nationkey::VARCHAR, c_mktsegment, (c_custkey % 3)::VARCHAR][1 : 1 + c_custkey % 3] AS path FROM customer) SELECT a.k AS ancestor, d.k AS descendant FROM p a JOIN p d ON len(d.path) > len(a.path) AND d.path[1 : len(a.path)] = a.path")

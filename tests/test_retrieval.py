@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lectern.operators import passages, retrieval
@@ -48,7 +50,7 @@ def test_alternatives_reach_other_wordings(spark):
     rows = items(spark, {"id": "src", "content": "acusmatica pura"})
     other = spark.createDataFrame([(0, 1, "acusmatica", 0.9)], "q_id long, alt int, question string, weight double")
     row = retrieval.rank(rows, asked(spark, "voz sin cuerpo"), alternatives=other).first()
-    direct = retrieval.score(retrieval.as_items(rows), asked(spark, "acusmatica")).first().score
+    direct = retrieval.score(retrieval.normalized(retrieval.as_items(rows)), asked(spark, "acusmatica")).first().score
     assert abs(row.expanded - 0.7 * direct) < 1e-9
 
 
@@ -82,6 +84,37 @@ def test_prompt_context_keeps_budgets(spark):
     assert [r.kind for r in out] == ["corpus"] and len(out[0].context) <= 3000 + 2 * 7
 
 
+def plain_bonus(item, phrase):
+    heads, body, names = item
+    return (10 if phrase in heads else 0) + (4 if phrase in body else 0) + 6 * sum(len(a) >= 3 and a in phrase for a in names)
+
+
+def test_phrases_and_names_are_found_within_words(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.choice((1, 2, 3, 4, 7))))
+    texts = [" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    cut = lambda t: t[(k := rng.randrange(max(1, len(t) - 8))) : k + rng.randint(3, 16)].strip()
+    rows = [{"id": str(i), "title": word(), "content": t, "aliases": [cut(rng.choice(texts)) for _ in range(3)] + [word()]} for i, t in enumerate(texts)]
+    questions = [cut(rng.choice(texts)) for _ in range(300)] + ["abc", "x" * 300 + "abc", "", "de la"]
+    known = retrieval.normalized(retrieval.as_items(items(spark, *rows)))
+    got = {(r.q_id, r.pos): r.bonus for r in retrieval.phrase_hits(known, asked(spark, *questions), block=40).collect()}
+    heads = [f"{r['title']} {' '.join(r['aliases'])}" for r in rows]
+    terms = {r.q_id for r in retrieval.question_terms(asked(spark, *questions)).collect()}
+    want = {(q, i): plain_bonus((heads[i], r["content"], r["aliases"]), text) for q, text in enumerate(questions) if q in terms for i, r in enumerate(rows)}
+    assert got == {k: v for k, v in want.items() if v} and len(got) > 300
+
+
+def test_no_nested_loops(spark):
+    from lectern.operators import analytics
+
+    rows = items(spark, {"id": "a", "content": "plano secuencia", "aliases": ["plano"]})
+    texts, names = rows.select(F.col("id").alias("key"), F.col("content").alias("text")), spark.createDataFrame([("plano",), ("cuen",)], "name string")
+    for df in (retrieval.rank(rows, asked(spark, "plano secuencia"), contexts=asked(spark, "plano")), analytics.named_concepts(texts, names)):
+        plan = df._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert sorted(r.concept for r in analytics.named_concepts(texts, names).collect()) == ["cuen", "plano"]
+
+
 def test_empty_tables(spark):
     nothing = items(spark).limit(0)
     assert retrieval.rank(nothing, asked(spark, "algo")).count() == 0
