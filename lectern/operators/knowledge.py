@@ -15,10 +15,14 @@ from lectern.functions.text import fnv1a, normalize
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` kept in the cluster's shared checkpoint folder; only where none is set is a new one made."""
-    context = df.sparkSession.sparkContext
+    """``df`` kept in the cluster's shared checkpoint folder. A session of one machine that names none gets a new one; on a cluster that is an error."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
