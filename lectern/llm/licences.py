@@ -1,7 +1,7 @@
 """Licence scans by sparse TF-IDF cosine and inheritance along paths, on DataFrame operations alone.
 
-Passages that speak of licensing are cut out of whole texts: runs of sentences that are made mostly of words which licence
-templates use, and that hold a cue such as "licensed" or "copyright". Document frequencies of words are counted over
+Passages that speak of licensing are cut out of whole texts: sentences that hold a cue such as "licensed" or "copyright", with their
+neighbours as far as those are made mostly of words which licence templates use; blank lines don't part them. Document frequencies of words are counted over
 all passages; passages and templates become sparse vectors of term frequency times inverse document frequency, and each
 passage gets the template with the largest cosine. Equal passages are scored once, however many files repeat them.
 
@@ -11,44 +11,24 @@ files, are exploded to their ancestors, so a directory with a third of all files
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut_lineage, read_table
+from lectern.llm.licence_texts import TEMPLATES
 
 #: A passage whose cosine to its best template is below this has no known licence.
 LEAST_COSINE = 0.5
-#: The share of a sentence's words that templates use, from which it belongs to a passage.
+#: The share of a sentence's words that templates use, from which it belongs to its neighbours' passage.
 LEAST_SHARE = 0.6
 #: A file is a licence file by its name, or if passages make up this share of its characters.
 FILE_SHARE = 0.25
 
-CUE = r"licen[cs]|copyright|spdx|all rights reserved|public domain|permission is hereby granted|cc by|cc0"
+CUE = r"licen[cs]|copyright|spdx|all rights reserved|public domain|permission is hereby granted|permission to use|redistribution and use|provided 'as-is'|cc by|cc0"
 FILE_NAME = r"^(licen[cs]es?|copying|unlicense|notice)([.-][a-z0-9.-]*)?$"
 
-# Licence names and sentences of their headers and of their texts.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http www.apache.org licenses LICENSE-2.0"),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004. Terms and conditions for use, reproduction, and distribution."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "The MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    ("GPL-2.0", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted. Released under the BSD 3-Clause License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0, Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0, Creative Commons Attribution ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("Proprietary", "Copyright. All rights reserved. Proprietary and confidential."),
-)
-
 
 def _terms(text: Column) -> Column:
     """Words of letters, digits and dots, lower-cased, without dots at their ends."""
@@ -69,8 +49,6 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] =
 
 def vocabulary(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[str]:
     """Distinct template words, as ``_terms`` makes them."""
-    import re
-
     return sorted({w for _, text in templates for w in re.sub(r"[^a-z0-9.]+|\.(?![a-z0-9])", " ", text.lower()).split()})
 
 
@@ -80,7 +58,7 @@ def passages(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATE
 
     def belongs(sentence: Column) -> Column:
         words = F.array_distinct(_terms(sentence))
-        return (F.size(words) > 0) & (F.size(F.array_intersect(words, known)) >= least_share * F.size(words))
+        return F.lower(sentence).rlike(CUE) | (F.size(F.array_intersect(words, known)) >= least_share * F.size(words))
 
     speaking = files.filter(F.lower("text").rlike(CUE)).select("key", F.length("text").alias("n_chars"), _sentences(F.col("text")).alias("lines"))
     marked = F.transform("lines", lambda line: F.when(belongs(line), F.translate(line, "\x00", " ")).otherwise(F.lit("\x00")))
@@ -189,9 +167,10 @@ def _sql_terms(text: str) -> str:
 
 def op8_sql() -> str:
     """DuckDB's form, file by file and without the detour over distinct passages and directories."""
-    quoted = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+    quote = lambda text: text.replace("'", "''")
+    quoted = ", ".join(f"({i}, '{name}', '{quote(text)}')" for i, (name, text) in enumerate(TEMPLATES))
     known = "[" + ", ".join(f"'{w}'" for w in vocabulary()) + "]"
-    cue = CUE
+    cue = quote(CUE)
     return rf"""
 WITH templates AS (SELECT t.template, t.licence, {_sql_terms("t.body")} AS terms FROM (VALUES {quoted}) t(template, licence, body)),
 files AS (
@@ -203,7 +182,7 @@ lines AS (
          generate_subscripts(string_split(regexp_replace(body, '([.!?;])[ \t]+', '\1' || chr(10), 'g'), chr(10)), 1) AS nth
   FROM files WHERE regexp_matches(lower(body), '{cue}')),
 flagged AS (
-  SELECT *, len(words) > 0 AND len(list_filter(words, lambda w: list_contains({known}, w))) >= {LEAST_SHARE}::DOUBLE * len(words) AS belongs
+  SELECT *, regexp_matches(lower(line), '{cue}') OR len(list_filter(words, lambda w: list_contains({known}, w))) >= {LEAST_SHARE}::DOUBLE * len(words) AS belongs
   FROM (SELECT *, list_distinct({_sql_terms("line")}) AS words FROM lines)),
 runs AS (
   SELECT doc_id, grp, regexp_replace(string_agg(line, chr(10) ORDER BY nth), '^\s+|\s+$', '', 'g') AS passage
