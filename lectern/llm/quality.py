@@ -10,7 +10,7 @@ few as well, by that of the whole corpus: every row that passes the fixed limits
 
 The halves are found without sorting a group: distances are counted in fine bins, and the bins that hold the closest half are
 taken whole. Counts, means and covariances combine before they are shuffled, so a group of any size is no one's burden.
-Estimates for up to five coordinates are inverted by expressions, as a Cholesky factor.
+Covariances are inverted by a fold of sweeps over an array.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ MOST_REPEATED = 50  # per cent of the words
 COORDINATES = {"log_words": 0.5, "word_length": 0.15, "symbols": 0.15, "dup_lines": 0.15, "repeats": 0.25}
 STEPS = 4
 BINS = 64  # for each unit of the logarithm of a squared distance
+SALTS = 32
 FEWEST = 40  # rows of a group or language, below which the next wider pool judges
 #: A chi-squared quantile for five degrees of freedom: a row of a normal sample in seventy million is beyond.
 LIMIT_5 = 45.08
@@ -113,8 +114,10 @@ def _pool(level: Column) -> Column:
 
 
 def _same_pool(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``left`` with the estimates of its pools; one row for each pool on the right."""
-    return left.join(right.withColumnRenamed("pool", "e_pool"), F.col("pool") == F.col("e_pool"), "left").drop("e_pool")
+    """``left`` with the estimates of its pools; one row for each pool on the right, repeated so that a pool of any size is dealt to ``SALTS`` tasks."""
+    salt = F.pmod(F.xxhash64(*COORDINATES), F.lit(SALTS)).cast("int")
+    spread = right.withColumnRenamed("pool", "e_pool").withColumn("e_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(spread, (F.col("pool") == F.col("e_pool")) & (salt == F.col("e_salt")), "left").drop("e_pool", "e_salt")
 
 
 def _closest_half(measured: DataFrame) -> DataFrame:
@@ -138,34 +141,34 @@ def _medians(vectors: DataFrame) -> DataFrame:
     return found.groupBy("pool").agg(*(F.max(F.when(F.col("k") == i, F.col("m"))).alias(f"m_{c}") for i, c in enumerate(names)))
 
 
+def _swept(matrix: Column, pivot: Column) -> Column:
+    """One sweep of a symmetric matrix, row after row in an array; when all pivots are through, it is the inverse with its sign turned."""
+    k = len(COORDINATES)
+    corner = F.get(matrix, pivot * (k + 1))
+
+    def entry(x: Column, place: Column) -> Column:
+        row, column = (place / k).cast("int"), place % k
+        rest = x - F.get(matrix, row * k + pivot) * F.get(matrix, pivot * k + column) / corner
+        return F.when((row == pivot) & (column == pivot), -1 / corner).when((row == pivot) | (column == pivot), x / corner).otherwise(rest)
+
+    return F.transform(matrix, entry)
+
+
 def _estimates(rows: DataFrame) -> DataFrame:
-    """Pool, its means, and the Cholesky factor of its covariance, with the least variances added to the diagonal."""
+    """(pool, centre, minus_inverse): the means, and the covariance with the least variances on its diagonal, inverted."""
     names = list(COORDINATES)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    found = rows.groupBy("pool").agg(
-        *(F.avg(c).alias(f"m_{c}") for c in names),
-        *(F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i, j in pairs),
-    )
-    for i, j in pairs:  # row by row: each entry needs entries that are there already
-        rest = F.lit(0.0)
-        for k in range(j):
-            rest = rest + F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        whole = F.col(f"c{i}{j}") / SHORT_5 + (COORDINATES[names[i]] ** 2 if i == j else 0.0) - rest
-        found = found.withColumn(f"l{i}{j}", F.sqrt(F.greatest(whole, F.lit(1e-9))) if i == j else whole / F.col(f"l{j}{j}"))
-    return found.select("pool", *(f"m_{c}" for c in names), *(f"l{i}{j}" for i, j in pairs))
+    k = len(names)
+    found = rows.groupBy("pool").agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(names)), *(F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i in range(k) for j in range(i + 1)))
+    whole = [F.col(f"c{max(i, j)}{min(i, j)}") / SHORT_5 + (COORDINATES[names[i]] ** 2 if i == j else 0.0) for i in range(k) for j in range(k)]
+    return found.select("pool", F.array(*(f"m{i}" for i in range(k))).alias("centre"), F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array(*whole), _swept).alias("minus_inverse"))
 
 
 def _measured(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
     """``vectors`` with d2, the squared Mahalanobis distance from their pools' centres."""
-    names, steps = list(COORDINATES), []
-    joined = _same_pool(vectors, estimates)
-    for i, c in enumerate(names):
-        rest = F.col(c) - F.col(f"m_{c}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
-        joined = joined.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
-        steps.append(F.col(f"z{i}") * F.col(f"z{i}"))
-    return joined.withColumn("d2", sum(steps[1:], steps[0])).select(*vectors.columns, "d2")
+    k = len(COORDINATES)
+    off = [F.col(c) - F.col("centre")[i] for i, c in enumerate(COORDINATES)]
+    terms = [off[i] * off[j] * F.col("minus_inverse")[i * k + j] * (-1 if i == j else -2) for i in range(k) for j in range(i + 1)]
+    return _same_pool(vectors, estimates).select(*vectors.columns, sum(terms[1:], terms[0]).alias("d2"))
 
 
 def robust_distances(rows: DataFrame, steps: int = STEPS, fewest: int = FEWEST) -> DataFrame:
