@@ -12,8 +12,9 @@ from lectern.queries.pages import PAGES
 from lectern.queries.retrieval import RETRIEVAL
 from lectern.queries.texts import TEXTS
 from lectern.queries.upkeep import UPKEEP
+from lectern.queries.works import WORKS
 
-ALL = RETRIEVAL | ACTIVITY | DOCUMENTS | PAGES | UPKEEP | TEXTS
+ALL = RETRIEVAL | ACTIVITY | DOCUMENTS | PAGES | UPKEEP | TEXTS | WORKS
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,7 @@ FUNCTION_WORDS = tuple(
 MODE_LABELS = {"consulta": "Consulta", "analisis": "Análisis", "socratico": "Socrático", "ocultadores": "Paso a paso"}
 CONFUSION_LABELS = ("Sin indicio", "Posible", "Reiterada")
 USAGE_LEVELS = ("🔴 Sin uso", "🟡 Inicial", "🟠 Dificultad", "🟢 Activo", "⭐ Avanzado")
+
+# Words that name a kind of document, and words of lines that name no author.
+DOCUMENT_TYPES = (("compilacion", "compilacion|antologia|anthology|selected papers|actas"), ("articulo", "articulo|article|academic paper|journal"), ("libro", "libro|monografia|book"))
+NO_AUTHOR = "universidad|facultad|department|departamento|instituto|resumen|abstract|keywords"

@@ -11,7 +11,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.fixed import FOLLOW_UP, STOP_WORDS
+from lectern.functions.fixed import DOCUMENT_TYPES, FOLLOW_UP, NO_AUTHOR, STOP_WORDS
 
 
 def _col(x: Column | str) -> Column:
@@ -195,3 +195,44 @@ def first_sentence(text: Column | str, size: int = 240) -> Column:
 
 def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
+
+
+def document_type(text: Column | str) -> Column:
+    """What kind of document a description speaks of; short material where it says nothing. Earlier kinds win."""
+    said = fold(text)
+    kind = F.lit(None)
+    for name, words in DOCUMENT_TYPES:
+        kind = F.coalesce(kind, F.when(said.rlike(rf"\b({words})\b"), F.lit(name)))
+    return F.coalesce(kind, F.lit("apunte"))
+
+
+def document_id(source_name: Column | str) -> Column:
+    name = F.coalesce(F.nullif(_col(source_name), F.lit("")), F.lit("material"))
+    return F.concat(F.lit("doc-"), slug(name, 56, "fragmento"))
+
+
+def section_id(document: Column | str, nth: Column, path: Column, title: Column | str) -> Column:
+    """The id of a document's ``nth`` section, from 0: its number stands before its path and title, which may be cut."""
+    name = F.coalesce(F.nullif(_col(title), F.lit("")), F.lit("material"))
+    parts = F.concat(F.array(_col(document), F.lit("seccion"), (nth + 1).cast("string")), F.coalesce(path, F.array().cast("array<string>")), F.array(name))
+    return slug(F.array_join(parts, "-"), 56, "fragmento")
+
+
+def page_list(text: Column | str, pages: Column) -> Column:
+    """The whole numbers of a list with commas that are pages, each once, in order."""
+    numbers = F.transform(F.split(F.coalesce(_col(text), F.lit("")), ","), lambda x: F.trim(x).try_cast("double"))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(numbers, lambda n: (n >= 1) & (n <= pages) & (n == F.floor(n))), lambda n: n.cast("int"))))
+
+
+def marked_pages(text: Column | str) -> Column:
+    """An array of (page, text): what stands behind each line "=== page ==="; of a page that is marked twice, both in order. Without marks it is empty."""
+    body = F.trim(F.coalesce(_col(text), F.lit("")))
+    numbers = F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^===\s*([0-9]+)\s*===$"), F.lit(1)), lambda n: n.try_cast("int"))
+    parts = F.split(body, r"(?m)^===\s*[0-9]+\s*===$")
+    return F.transform(numbers, lambda n, i: F.struct(n.alias("page"), F.regexp_replace(parts[i + 1], r"^\s+|\s+$", "").alias("text")))
+
+
+def author_guess(lines: Column | str) -> Column:
+    """The first line of 120 characters at most with a capitalised word that names no institution and ends in no full stop; empty if there is none."""
+    fits = F.filter(_col(lines), lambda x: (F.length(x) <= 120) & x.rlike("[A-ZÁÉÍÓÚÜÑ][a-záéíóúüñ]+") & ~F.lower(x).rlike(NO_AUTHOR) & ~x.rlike("[.!?]$"))
+    return F.coalesce(F.get(fits, F.lit(0)), F.lit(""))

@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 from lectern.functions.text import first_sentence, normalize, slug
 
 
-def logical_units(chunks: DataFrame, unit: str, order: str, text: str = "content") -> DataFrame:
-    """(unit, parts, excerpt): chunks of a unit in order, as the beginning of the first, the middle of the middle one and the end of the last."""
-    rows = F.array_sort(F.collect_list(F.struct(order, text)))
-    told = chunks.groupBy(unit).agg(F.transform(rows, lambda r: r[text]).alias("t"))
-    head = F.col("t")[0]
-    n = F.size("t")
-    middle, tail = F.when(n > 2, F.get("t", F.floor(n / 2).cast("int"))).otherwise(head), F.when(n > 1, F.element_at("t", -1)).otherwise(head)
+def logical_units(chunks: DataFrame, unit: str, order: str, text: str = "content", run: int = 4096) -> DataFrame:
+    """(unit, parts, excerpt): chunks of a unit in order, as the beginning of the first, the middle of the middle one and the end of the last.
+
+    ``order`` is a whole number. Chunks are counted by runs of ``run`` of its values; only the runs that hold the three places are numbered, so a unit
+    of any size is held nowhere. Of chunks in one place the smaller text comes first; a null text is empty.
+    """
+    rows = chunks.select(unit, F.col(order).cast("long").alias("at"), F.coalesce(text, F.lit("")).alias("text")).withColumn("run", F.floor(F.col("at") / run))
+    runs = rows.groupBy(unit, "run").agg(F.count("*").alias("held"))
+    along = Window.partitionBy(unit)
+    runs = runs.withColumns({"through": F.sum("held").over(along.orderBy("run")), "parts": F.sum("held").over(along)}).withColumn("before", F.col("through") - F.col("held"))
+    places = F.array(F.lit(0).cast("long"), F.when(F.col("parts") > 2, F.floor(F.col("parts") / 2)).otherwise(0).cast("long"), F.col("parts") - 1)
+    inside = runs.withColumn("places", F.filter(places, lambda x: (x >= F.col("before")) & (x < F.col("through")))).filter(F.size("places") > 0)
+    numbered = rows.join(inside.select(unit, "run", "before", "parts"), [unit, "run"]).withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy(unit, "run").orderBy("at", "text")) - 1)
+    middle_at = F.when(F.col("parts") > 2, F.floor(F.col("parts") / 2)).otherwise(0)
+    pick = lambda at: F.max(F.when(F.col("place") == at, F.col("text")))
+    told = numbered.groupBy(unit).agg(F.max("parts").alias("n"), pick(F.lit(0)).alias("head"), pick(middle_at).alias("middle"), pick(F.col("parts") - 1).alias("tail"))
+    head, middle, tail = F.col("head"), F.col("middle"), F.col("tail")
     start = F.greatest(F.lit(0), F.floor((F.length(middle) - 150) / 2))
     center = F.substr(middle, (start + 1).cast("int"), (F.floor((F.length(middle) + 150) / 2) - start).cast("int"))
     excerpt = F.when(F.length(head) > 520, F.concat_ws(" … ", F.left(head, F.lit(220)), center, F.right(tail, F.lit(180)))).otherwise(head)
-    return told.select(unit, n.alias("parts"), excerpt.alias("excerpt"))
+    return told.select(unit, F.col("n").alias("parts"), excerpt.alias("excerpt"))
 
 
 def better_text(pages: DataFrame, transcriptions: DataFrame, key: str) -> DataFrame:

@@ -119,11 +119,17 @@ def merged_entries(entries: DataFrame, groups: DataFrame, most_aliases: int = 12
     return base.join(listed, "root").join(held, "root", "left").select("root", "term", "definition", "merged", aliases.alias("aliases"), F.coalesce("evidence", F.array().cast(held.schema["evidence"].dataType)).alias("evidence"))
 
 
-def signature(corpus: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
-    """(group, n, signature): a hash over the hashes of a group's rows, in order. Any change of a row, or of their order, changes it."""
-    rows = corpus.select(group, order, fnv1a(F.to_json(F.struct(*columns))).alias("h"))
-    listed = rows.groupBy(group).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(order, "h"))).alias("hs"))
-    return listed.select(group, "n", F.sha2(F.array_join(F.transform("hs", lambda x: x["h"]), "|"), 256).alias("signature"))
+def signature(corpus: DataFrame, group: str, order: str, columns: list[str], run: int = 4096) -> DataFrame:
+    """(group, n, signature): a hash over the hashes of a group's rows, in order. Any change of a row, or of their order, changes it.
+
+    ``order`` is a whole number. Rows are hashed by runs of ``run`` of its values, runs by runs of runs, so that no group is held in one place.
+    """
+    rows = corpus.select(group, F.col(order).cast("long").alias("at"), fnv1a(F.to_json(F.struct(*columns))).alias("h"), F.lit(1).cast("long").alias("n"))
+    for _ in range(3):
+        listed = F.array_sort(F.collect_list(F.struct("at", "h")))
+        rows = rows.groupBy(group, F.floor(F.col("at") / run).alias("part")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(listed, lambda x: x["h"]), "|"), 256).alias("h")).withColumnRenamed("part", "at")
+    listed = F.array_sort(F.collect_list(F.struct("at", "h")))
+    return rows.groupBy(group).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(listed, lambda x: x["h"]), "|"), 256).alias("signature"))
 
 
 def is_current(index: DataFrame, signatures: DataFrame, group: str, version: int = 3) -> DataFrame:

@@ -75,16 +75,15 @@ def text_quality(text: Column | str, confidence: float = 55.0) -> Column:
     body = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     count = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
     letters, visible = count(body, r"\p{L}").cast("double"), F.length(F.regexp_replace(body, r"\s", ""))
-    tokens = F.regexp_extract_all(body, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    by_letters = F.transform(tokens, lambda t: F.length(F.regexp_replace(t, r"\P{L}", "")))
-    n_tokens = F.greatest(F.lit(1), F.size(tokens)).cast("double")
-    words, single = F.size(F.filter(by_letters, lambda n: n >= 2)), F.size(F.filter(by_letters, lambda n: n == 1))
-    known = F.array(*(F.lit(w) for w in FUNCTION_WORDS))
-    marks = F.transform(F.split(fold(body), "\r?\n"), lambda line: F.array_join(F.transform(F.regexp_extract_all(line, F.lit("([a-z]+)"), F.lit(1)), lambda w: F.when((F.length(w) <= 4) & ~F.array_contains(known, w), "s").otherwise("l")), ""))
-    drawn = F.array_join(marks, "|")
-    runs = F.regexp_extract_all(drawn, F.lit("(s{2,})"), F.lit(1))
-    n_folded = F.length(F.regexp_replace(drawn, "[|]", ""))
-    fragments = F.length(F.regexp_replace(drawn, "[|l]", "")) / F.greatest(F.lit(1), n_folded).cast("double")
+    # A token is a run of letters and digits; one pass over the text counts each sort of them.
+    edge, n_tokens = r"(?<![\p{L}\p{N}])", F.greatest(F.lit(1), count(body, r"[\p{L}\p{N}]+")).cast("double")
+    words, single = count(body, edge + r"\p{N}*+\p{L}\p{N}*+\p{L}[\p{L}\p{N}]*+"), count(body, edge + r"\p{N}*+\p{L}\p{N}*+(?![\p{L}\p{N}])")
+    # Folded words become one letter each, lines stay apart.
+    long_ones = F.regexp_replace(fold(body), r"[a-z]{5,}+|(?<![a-z])(?:" + "|".join(FUNCTION_WORDS) + ")(?![a-z])", "L")
+    drawn = F.regexp_replace(F.regexp_replace(long_ones, "[a-z]++", "S"), "[^LS\n]++", "")
+    runs = F.regexp_extract_all(drawn, F.lit("(S{2,})"), F.lit(1))
+    n_folded = F.length(F.translate(drawn, "\n", ""))
+    fragments = F.length(F.translate(drawn, "L\n", "")) / F.greatest(F.lit(1), n_folded).cast("double")
     run_tokens = F.length(F.array_join(runs, ""))
     broken = (F.length(body) >= 200) & (letters >= 150) & (n_folded >= 35) & (fragments >= 0.34) & (F.size(runs) >= 4) & (run_tokens >= 10)
     alpha = letters / F.greatest(F.lit(1), visible)

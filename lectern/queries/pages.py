@@ -89,12 +89,12 @@ def _(spark, sf):
 
 
 @PAGES.add("logical_units", "source string, parts bigint, excerpt string", """
-WITH u AS (SELECT source || doc_id % 5 AS source, list(text ORDER BY doc_id) AS t FROM documents GROUP BY ALL), m AS (SELECT *, t[1] AS head, CASE WHEN len(t) > 2 THEN t[len(t) // 2 + 1] ELSE t[1] END AS mid, t[-1] AS tail FROM u),
+WITH u AS (SELECT source, list(coalesce(text, '') ORDER BY doc_id) AS t FROM documents GROUP BY ALL), m AS (SELECT *, t[1] AS head, CASE WHEN len(t) > 2 THEN t[len(t) // 2 + 1] ELSE t[1] END AS mid, t[-1] AS tail FROM u),
 s AS (SELECT *, greatest(0, floor((length(mid) - 150) / 2.0))::INT AS st FROM m)
 SELECT source, len(t) AS parts, CASE WHEN length(head) > 520 THEN left(head, 220) || ' … ' || substr(mid, st + 1, floor((length(mid) + 150) / 2.0)::INT - st) || ' … ' || right(tail, 180) ELSE head END AS excerpt FROM s""")
 def _(spark, sf):
-    chunks = table(spark, sf, "documents").select(F.concat("source", (F.col("doc_id") % 5).cast("string")).alias("source"), "doc_id", F.col("text").alias("content"))
-    return assembly.logical_units(chunks, "source", "doc_id")
+    chunks = table(spark, sf, "documents").select("source", "doc_id", F.col("text").alias("content"))
+    return assembly.logical_units(chunks, "source", "doc_id", run=64)
 
 
 @PAGES.add("better_text", "doc_id bigint, n_chars bigint, transcribed boolean", "WITH j AS (SELECT d.doc_id, trim(coalesce(d.text, ''), ' ') AS o, trim(t.text, ' ') AS t FROM documents d LEFT JOIN (SELECT doc_id - 1 AS doc_id, text FROM documents WHERE doc_id % 3 > 0) t USING (doc_id)), u AS (SELECT *, coalesce(length(t) > 0 AND (length(o) < 100 OR length(t) > 1.35 * length(o)), false) AS w FROM j) SELECT doc_id, length(CASE WHEN w THEN t ELSE o END) AS n_chars, w AS transcribed FROM u")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import contracts, knowledge, maintenance, passages
 from lectern.queries import Catalogue
 from lectern.queries.texts import fold_sql, key_sql, norm_sql
-from lectern.sources.tables import bibliography, concepts, corpus, table
+from lectern.sources.tables import CORPUS_SQL, bibliography, concepts, corpus, table
 
 UPKEEP = Catalogue()
 
@@ -119,9 +119,17 @@ def _(spark, sf):
     return out.select("root", "term", "definition", "merged", F.size("aliases").alias("n_aliases"), F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",").alias("evidence"))
 
 
-@UPKEEP.add("corpus_signature", "source string, n bigint, signature string")
+FNV_SQL = "lpad(lower(to_hex(list_reduce([unicode(c)::BIGINT for c in string_split({0}, '')], lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261))), 8, '0')"
+
+
+@UPKEEP.add("corpus_signature", "source string, n bigint, signature string", f"""
+WITH {CORPUS_SQL}, r AS (SELECT source, pos AS pl, 1 AS n, {FNV_SQL.format("'{\"id\":' || id || ',\"content\":\"' || sha256(content) || '\",\"scope\":\"' || scope || '\"}'")} AS h FROM corpus),
+a AS (SELECT source, pl // 16 AS pl, sum(n) AS n, sha256(string_agg(h, '|' ORDER BY pl, h)) AS h FROM r GROUP BY source, pl // 16),
+b AS (SELECT source, pl // 16 AS pl, sum(n) AS n, sha256(string_agg(h, '|' ORDER BY pl, h)) AS h FROM a GROUP BY source, pl // 16),
+c AS (SELECT source, pl // 16 AS pl, sum(n) AS n, sha256(string_agg(h, '|' ORDER BY pl, h)) AS h FROM b GROUP BY source, pl // 16)
+SELECT source, sum(n) AS n, sha256(string_agg(h, '|' ORDER BY pl, h)) AS signature FROM c GROUP BY source""")
 def _(spark, sf):
-    return knowledge.signature(corpus(spark, sf).withColumn("content", F.sha2("content", 256)), "source", "pos", ["id", "title", "content", "scope"])
+    return knowledge.signature(corpus(spark, sf).withColumn("content", F.sha2("content", 256)), "source", "pos", ["id", "content", "scope"], run=16)
 
 
 @UPKEEP.add("index_freshness", "source string, current boolean", "SELECT source, ascii(right(source, 1)) % 2 = 0 AS current FROM documents GROUP BY source")
