@@ -1,10 +1,11 @@
 """Personal data: fixed patterns, and further spans by weak supervision.
 
-Four kinds have fixed patterns (the base spans). Beyond them, wide patterns propose candidates: numbers that may be phones,
-spelt-out mail addresses, secrets, names of people. Several labelers vote on each: strict formats, gazetteers, and words
-of the context, each for, against or silent. How often each combination of votes occurs is counted over all documents; from
-these counts expectation-maximisation estimates every labeler's reliability for each kind, without any true labels. The
-posteriors then train a logistic classifier of spans on surface features, which says what is added.
+Four kinds have fixed patterns (the base spans). Beyond them, wide patterns propose candidates by shape alone: numbers that may be
+phones, spelt-out mail addresses, long runs that may be secrets, capitalised words that may be names. Several labelers vote on each:
+strict formats, gazetteers, words of the context and shapes, each for, against or silent. How often each combination of votes occurs is
+counted over all documents; from these counts expectation-maximisation estimates every labeler's reliability for each kind, without any
+true labels. A span that no labeler votes for is none. The posteriors then train a logistic classifier of spans on surface features,
+which says what is added; so a name that is in no gazetteer is found by its context.
 
 Texts are read once. What is kept of them are spans with votes and features; the counts of vote patterns that reach
 the driver are bounded by the number of patterns, and the classifier's rows by ``TRAIN_SPANS`` for each kind: a kind that
@@ -45,28 +46,30 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 # The gazetteers and the words of contexts.
 ENDINGS = frozenset("com org net edu gov info biz io de es fr it uk eu us".split())
 GIVEN_NAMES = frozenset("James John Robert Michael William David Mary Patricia Jennifer Linda Elizabeth Barbara Susan Maria Anna Peter Paul Hans Klaus Jürgen Jean Pierre Marie Claire Carlos José Juan Carmen Lucía Sofía Thomas Laura Daniel Sarah".split())
+DIALLING_CODES = frozenset("01 02 03 04 05 06 07 08 09 020 030 040 0211 0221 069 089 0711 91 93 201 202 206 212 213 214 305 310 312 323 404 408 415 416 512 555 604 617 646 650 702 713 718 773 800 805 818 832 855 866 877 888 917 949".split())
+SECRET_PREFIXES = ("sk-", "sk_", "pk-", "pk_", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "AKIA", "ASIA", "AIza", "eyJ")
 TITLES = frozenset("mr mrs ms dr prof herr frau señor señora monsieur madame".split())
 CUES = {
     "email": frozenset("mail email e-mail contact write correo courriel kontakt".split()),
     "phone": frozenset("phone tel telephone call mobile cell fax telefon teléfono téléphone contact".split()),
     "secret": frozenset("token key secret password passwd apikey api_key auth bearer credential pwd".split()),
-    "name": frozenset("name signed author contact dear regards sincerely".split()) | TITLES,
+    "name": frozenset("name signed author contact dear regards sincerely by".split()) | TITLES,
 }
-COUNTER_CUES = frozenset("page pages isbn issn version volume figure table year doi commit checksum".split())
+COUNTER_CUES = frozenset("page pages isbn issn version volume figure table year doi commit checksum the this sha256 md5".split())
 
 CANDIDATES = {
     "email": re.compile(r"\b[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}", re.I),
     "phone": re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9]{2,5}\)?(?:[ .-]\(?[0-9]{2,5}\)?){1,4}(?![0-9A-Za-z])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}(?![A-Za-z0-9_+/=-])"),
-    "name": re.compile(r"\b(?:" + "|".join(sorted(GIVEN_NAMES)) + r")(?: [A-ZÀ-Ý][a-zß-ÿ]+){1,2}"),
+    "name": re.compile(r"(?<![\w-])[A-ZÀ-Ý][a-zß-ÿ]+(?: [A-ZÀ-Ý][a-zß-ÿ]+){1,3}(?![\w-])"),
 }
 STRICT = {
     "email": re.compile(r"[^ ]+ ?[\[(]at[\])] ?[^ ]+ ?[\[(]dot[\])] ?[A-Za-z]{2,}", re.I),
     "phone": re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|\(?0[0-9]{2,4}\)?[ .-][0-9]{3,5}(?:[ .-][0-9]{2,5})*"),
-    "secret": re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|(?:sk|pk|ghp|xox[bp]|AKIA)[_-]?[A-Za-z0-9_-]{16,})"),
-    "name": re.compile(r"[^ ]+ [^ ]+(?: [^ ]+)?"),
+    "secret": re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}"),
 }
-FEATURES = ("one", "length", "digits", "uppers", "marks", "variety", "cue", "counter_cue", "gazetteer", "strict", "quoted")
+DATE = re.compile(r"(?:19|20)[0-9]{2}[ .-][0-9]{2}(?:[ .-][0-9]{2,4})?|[0-9]{2}[.-][0-9]{2}[.-](?:19|20)?[0-9]{2}|(?:19|20)[0-9]{2}-(?:19|20)?[0-9]{2}")
+FEATURES = ("one", "length", "digits", "uppers", "marks", "variety", "cue", "counter_cue", "gazetteer", "strict", "shape", "quoted")
 
 
 # Base spans.
@@ -108,38 +111,56 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # Candidates, their votes and features.
 
+def _name_part(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The words from the first given name on, or else those after titles and cues; None if fewer than two are left."""
+    words = text[start:end].split(" ")
+    known = [i for i, w in enumerate(words[:-1]) if w in GIVEN_NAMES]
+    skip = known[0] if known else 0
+    while not known and skip < len(words) and words[skip].lower() in CUES["name"]:
+        skip += 1
+    if len(words) - skip < 2:
+        return None
+    first = start + sum(len(w) + 1 for w in words[:skip])
+    return first, first + len(" ".join(words[skip : skip + 3]))
+
+
 def _vote(kind: str, span: str, before: str, after: str) -> tuple[str, list[float]]:
     """Votes as a string of + - 0, one for each labeler; and the features."""
     words = re.findall(r"[^\W_][\w-]*", before.lower())[-5:]
     cue, counter = any(w in CUES[kind] for w in words), any(w in COUNTER_CUES for w in words)
-    strict = bool(STRICT[kind].fullmatch(span))
     quoted = before.rstrip()[-1:] in ("=", ":", '"', "'", "<") or after[:1] in ('"', "'", ">")
     n, digits, counts = len(span), len(_digits(span)), Counter(span)
     variety = -sum(c / n * math.log2(c / n) for c in counts.values())
+    strict = int(kind != "name" and bool(STRICT[kind].fullmatch(span)))
     if kind == "email":
-        gazetteer = re.split(r"[^A-Za-z0-9-]", span.lower())[-1].strip("-") in ENDINGS
+        gazetteer = 1 if re.split(r"[^A-Za-z0-9-]", span.lower())[-1].strip("-") in ENDINGS else -1
         shape = 1 if "(" in span or "[" in span else -1
     elif kind == "phone":
-        gazetteer = 7 <= digits <= 12
-        shape = -1 if re.fullmatch(r"(?:19|20)[0-9]{2}[ .-][0-9]{2}(?:[ .-][0-9]{2,4})?|[0-9]{2}[.-][0-9]{2}[.-](?:19|20)?[0-9]{2}", span) else 0
+        gazetteer = int(re.search("[0-9]+", span)[0] in DIALLING_CODES)
+        shape = -1 if DATE.fullmatch(span) or not 7 <= digits <= 12 else 0
     elif kind == "secret":
-        gazetteer = any(c.isdigit() for c in span) and any(c.isalpha() for c in span)
-        shape = 1 if variety > 3.2 and digits else -1
+        gazetteer = int(span.startswith(SECRET_PREFIXES))
+        shape = 1 if variety > 3.2 and digits and digits < n else -1
     else:
-        gazetteer = span.split()[0] in GIVEN_NAMES
-        shape = 1 if any(w in TITLES for w in words[-1:]) else 0
-    votes = [1 if strict else 0, 1 if gazetteer else -1, 1 if cue else 0, -1 if counter else 0, shape, 1 if quoted else 0]
-    features = [1.0, min(n, 100) / 50, digits / n, sum(c.isupper() for c in span) / n, sum(not c.isalnum() for c in span) / n, variety / 4, float(cue), float(counter), float(gazetteer), float(strict), float(quoted)]
+        parts = span.split(" ")
+        strict = int(bool(words) and words[-1] in TITLES and bool(re.search(r"[^\W_.][.]? $", before)))
+        gazetteer = int(parts[0] in GIVEN_NAMES)
+        opens = not before.strip() or before.rstrip(" ")[-1:] in ".!?\n" and not strict
+        shape = -1 if opens and not gazetteer or len({p.lower() for p in parts}) < len(parts) else 0
+    votes = [strict, gazetteer, 1 if cue else 0, -1 if counter else 0, shape, 1 if quoted else 0]
+    features = [1.0, min(n, 100) / 50, digits / n, sum(c.isupper() for c in span) / n, sum(not c.isalnum() for c in span) / n, variety / 4, float(cue), float(counter), float(gazetteer), float(strict), float(shape), float(quoted)]
     return "".join("-0+"[v + 1] for v in votes), features
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str, list[float]]]:
-    """(start, end, kind, votes, features) of wide matches that touch no base span; leftmost and longest kinds first."""
+    """(start, end, kind, votes, features) of wide matches that touch no base span; leftmost and longest first."""
     taken = sorted((a, b) for a, b, _ in base)
     found = []
     for kind in ADDED_KINDS:
         for m in CANDIDATES[kind].finditer(text):
-            found.append((*m.span(), kind))
+            place = _name_part(text, *m.span()) if kind == "name" else m.span()
+            if place:
+                found.append((*place, kind))
     out, done, k = [], 0, 0
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
         while k < len(taken) and taken[k][1] <= a:
@@ -182,14 +203,15 @@ def posteriors(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
     """The probability that a span is personal data, for each pattern of votes, by expectation-maximisation.
 
     Labelers are independent given the truth; each has a distribution over for, silent and against for either truth. The start is
-    the majority of the votes, so that the two classes keep their meaning.
+    the majority of the votes, so that the two classes keep their meaning; patterns without a vote for stay with the other class.
     """
     if not patterns:
         return {}
     names = sorted(patterns)
     votes = np.array([["-0+".index(c) for c in name] for name in names])
     weight = np.array([patterns[name] for name in names], float)
-    right = 1 / (1 + np.exp(-(votes - 1).sum(axis=1) + 0.5))
+    backed = (votes == 2).any(axis=1)
+    right = backed / (1 + np.exp(-(votes - 1).sum(axis=1) + 0.5))
     seen = np.stack([votes == v for v in range(3)], axis=2).astype(float)
     for _ in range(rounds):
         share = []
@@ -198,7 +220,7 @@ def posteriors(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
             share.append(np.log(told / told.sum(axis=1, keepdims=True)))
         prior = ((weight * right).sum() + 1) / (weight.sum() + 2)
         odds = np.log(prior / (1 - prior)) + np.einsum("plv,lv->p", seen, share[0] - share[1])
-        right = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        right = backed / (1 + np.exp(-np.clip(odds, -30, 30)))
     return dict(zip(names, right.tolist()))
 
 
@@ -271,9 +293,9 @@ def find_personal(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its base spans' counts and digest, and all spans."""
+    """Every document with its base spans' counts and digest, all spans, and the numbers of all and of the added ones."""
     out = find_personal(read_table(spark, sf_dir, "documents"))
     kinds = F.col("base")["kind"]
     counts = {f"n_{kind}": (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long") for kind in BASE_KINDS}
     listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return out.select("doc_id", *(c.alias(n) for n, c in counts.items()), "base_sha256", listed.alias("spans"))
+    return out.select("doc_id", *(c.alias(n) for n, c in counts.items()), "base_sha256", listed.alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))

@@ -5,7 +5,9 @@ from collections import Counter
 
 from rows import documents
 
-from lectern.llm import decontamination, pii, quality
+import numpy as np
+
+from lectern.llm import decontamination, pii, quality, sharding
 
 
 def test_rare_kinds_are_learnt_beside_frequent_ones(spark):
@@ -64,3 +66,89 @@ def test_many_automata_cut_as_one_in_whole_tables(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     one, many = (Counter(map(tuple, decontamination.decontaminate(docs, items, most_words=n).collect())) for n in (400_000, 300))
     assert one == many
+
+
+def plain_distances(points):
+    """Squared distances by a plain minimum covariance determinant: from the medians, steps until the half no longer changes."""
+    least = np.diag(np.array(list(quality.COORDINATES.values())) ** 2)
+    d2 = (((points - np.median(points, axis=0)) ** 2) / np.diag(least)).sum(axis=1)
+    half = None
+    for _ in range(100):
+        now = np.argsort(d2, kind="stable")[: -(-len(points) // 2)]
+        if half is not None and set(now) == set(half):
+            break
+        half = now
+        off = points - points[half].mean(axis=0)
+        d2 = np.einsum("ni,ij,nj->n", off, np.linalg.inv(np.cov(points[half].T, bias=True) / quality.SHORT_5 + least), off)
+    return d2
+
+
+def test_verdicts_are_those_of_a_plain_estimate(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.judge(docs.withColumn("source", docs.lang)).collect()  # a group a language: large ones, judged by themselves
+    langs = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    checked, rejected = 0, 0
+    for lang in set(langs.values()):
+        mine = [r for r in rows if langs[r.doc_id] == lang and not r.base_failed]
+        assert len(mine) >= quality.FEWEST
+        share = [r.n_repeat_words / r.n_words for r in mine]
+        points = np.array([(np.log(r.n_words), np.log(r.word_chars / r.n_words), np.log1p(10 * r.n_symbols / r.n_words), np.log1p(r.n_dup_lines), np.arcsin(np.sqrt(x))) for r, x in zip(mine, share)])
+        for r, d2 in zip(mine, plain_distances(points)):
+            if abs(np.log(d2 / quality.LIMIT_5)) > 0.25:  # bins of distances make the half a little larger
+                assert r.kept == (d2 <= quality.LIMIT_5), (r, d2)
+                checked += 1
+                rejected += not r.kept
+    assert checked > 0.97 * sum(not r.base_failed for r in rows) and rejected > 10
+
+
+def test_native_plans_have_no_python(spark, sf):
+    for query in (quality.op5_quality, sharding.op1_sharding):
+        plan = query(spark, sf)._jdf.queryExecution().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def planted_texts(rng, n):
+    """(text, personal spans) with spelt-out addresses, local numbers, keys and names, beside what only looks like them."""
+    word = lambda low=3, high=8: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high)))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    surname = lambda: word(5, 9).capitalize()
+    personal = [
+        lambda: ("email ", f"{word()} (at) {word()} (dot) com", " soon"), lambda: ("write to ", f"{word()}.{word()} [at] {word()} [dot] org", ""),
+        lambda: ("call ", f"({rng.choice((212, 415, 310))}) 555-{digits(4)}", " now"), lambda: ("phone: ", f"030 {digits(4)} {digits(4)}", ""),
+        lambda: ('api_key = "', hexes(40), '"'), lambda: ("token: ", f"ghp_{hexes(36)}", ""), lambda: ("password = ", f"{hexes(12)}Xq{hexes(12)}", ""),
+        lambda: ("signed by ", f"{rng.choice(sorted(pii.GIVEN_NAMES))} {surname()}", " today"), lambda: ("we met Dr. ", f"{surname()} {surname()}", " there"), lambda: ("and Frau ", f"{surname()} {surname()}", " said"),
+    ]
+    decoys = [
+        lambda: f"on {2000 + rng.randint(0, 24)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)} it", lambda: f"pages {rng.randint(10, 99)}-{rng.randint(100, 999)} of", lambda: f"version {digits(2)}.{digits(2)}.{digits(3)}",
+        lambda: word(20, 26), lambda: f"the {surname()} {surname()} fell", lambda: f"end. {surname()} {surname()} fell", lambda: f"arrived at {word()}.{word(2, 3)} by", lambda: f"year {digits(4)} {digits(4)}",
+    ]
+    texts = []
+    for _ in range(n):
+        text, spans = word(), set()
+        for _ in range(6):
+            text += " " + " ".join(word() for _ in range(rng.randint(4, 9))) + " "
+            if rng.random() < 0.3:
+                before, span, after = rng.choice(personal)()
+                spans.add((len(text + before), len(text + before + span)))
+                text += before + span + after
+            else:
+                text += rng.choice(decoys)()
+        texts.append((text, spans))
+    return texts
+
+
+def test_added_spans_are_right(spark):
+    texts = planted_texts(random.Random(11), 1500)
+    out = pii.find_personal(documents(spark, [(i, t, "en", "a") for i, (t, _) in enumerate(texts)])).collect()
+    found = {(r.doc_id, s.start, s.end) for r in out for s in r.spans}
+    planted = {(i, a, b) for i, (_, spans) in enumerate(texts) for a, b in spans}
+    precision, recall = len(found & planted) / len(found), len(found & planted) / len(planted)
+    assert precision > 0.95 and recall > 0.95, (precision, recall)
+
+
+def test_clean_texts_get_no_spans(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 24)))
+    texts = [". ".join(f"{word().capitalize()} {word().capitalize()} {word()} {word()} {word()}" for _ in range(20)) for _ in range(200)]
+    assert not any(r.spans for r in pii.find_personal(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect())
