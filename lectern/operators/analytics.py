@@ -95,14 +95,24 @@ def commission_match(value: Column, code: Column, title: Column) -> Column:
     return (text != "") & ((text == c) | (text == t) | (text == full) | ((c != "") & F.contains(text, c) & F.contains(text, F.lit("comision"))) | ((t != "") & F.contains(text, t)))
 
 
+def _held(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(value, name): the distinct ``names`` (name) that stand in the ``text`` of a value, by the words around their longest word; blank names stand nowhere."""
+    named = names.filter(F.trim("name") != "").select("name").distinct().withColumn("part", longest_word("name"))
+    words = texts.select("value", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    around = words_around(words.select("word").distinct(), named.select("part"))
+    return words.join(around, "word").join(named, "part").filter(F.contains("text", F.col("name"))).select("value", "name").distinct()
+
+
 def commission_groups(values: DataFrame, commissions: DataFrame) -> DataFrame:
-    """(value, commission_id): what each distinct free text stands for; several commissions, or itself if none matches.
+    """(value, commission_id): what each distinct free text stands for; several commissions, or itself if none matches. Blank texts stand for nothing.
 
-    Texts and commissions meet as distinct values: a course declares few commissions, and the join's condition isn't an equality.
+    A text that means a commission holds its code or its title, so these are looked for first.
     """
-    distinct = values.select("value").filter(F.trim("value") != "").distinct()
-    declared = distinct.join(commissions, commission_match(F.col("value"), F.col("code"), F.col("title"))).select("value", "commission_id")
-    extra = distinct.join(declared.select("value").distinct(), "value", "left_anti").select("value", F.concat(F.lit("extra:"), "value").alias("commission_id"))
+    distinct = values.select("value").filter(F.trim("value") != "").distinct().withColumn("text", F.trim(fold("value")))
+    named = commissions.select("commission_id", "code", "title", F.explode(F.array(F.trim(fold("code")), F.trim(fold("title")))).alias("name"))
+    met = _held(distinct, named).join(named, "name").select("value", "commission_id", "code", "title").distinct()
+    declared = met.filter(commission_match(F.col("value"), F.col("code"), F.col("title"))).select("value", "commission_id").distinct()
+    extra = distinct.select("value").join(declared.select("value").distinct(), "value", "left_anti").select("value", F.concat(F.lit("extra:"), "value").alias("commission_id"))
     return declared.unionByName(extra)
 
 
@@ -122,10 +132,13 @@ def commission_stats(groups: DataFrame, commissions: DataFrame, roster: DataFram
 
 
 def first_commission(values: DataFrame, commissions: DataFrame) -> DataFrame:
-    """(value, commission_id): the exact commission, else the first declared one whose day the text holds. ``commissions``: day, nth."""
-    joined = values.select("value").distinct().join(commissions, (F.col("value") == F.col("title")) | F.contains(fold("value"), fold("day")))
-    best = joined.groupBy("value").agg(F.min_by("commission_id", F.struct((F.col("value") != F.col("title")).alias("other"), "nth")).alias("commission_id"))
-    return values.select("value").distinct().join(best, "value", "left")
+    """(value, commission_id): the exact commission, else the first declared one whose day the text holds. ``commissions``: day, nth. A blank day names nothing."""
+    distinct = values.select("value").distinct()
+    exact = distinct.join(commissions.select(F.col("title").alias("value"), "commission_id", "nth"), "value").withColumn("other", F.lit(False))
+    days = commissions.select("commission_id", "nth", fold("day").alias("name"))
+    by_day = _held(distinct.withColumn("text", fold("value")), days).join(days, "name").select("value", "commission_id", "nth", F.lit(True).alias("other"))
+    best = exact.select("value", "commission_id", "nth", "other").unionByName(by_day).groupBy("value").agg(F.min_by("commission_id", F.struct("other", "nth")).alias("commission_id"))
+    return distinct.join(best, "value", "left")
 
 
 def mode_share(interactions: DataFrame) -> DataFrame:

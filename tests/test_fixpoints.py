@@ -1,4 +1,4 @@
-from lectern.operators import knowledge
+from lectern.operators import contracts, knowledge
 
 
 def test_long_chains_are_followed_to_their_end(spark):
@@ -8,3 +8,10 @@ def test_long_chains_are_followed_to_their_end(spark):
     excluded = spark.createDataFrame([(0,), (5000,)], "passage_id long")
     found = knowledge.dirty_closure(batches, entries, excluded)
     assert sorted(r.passage_id for r in found.collect()) == list(range(1, n))
+
+
+def test_cycles_are_told_from_paths_between_them(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 7), (7, 6), (8, 8), (0, 1), (7, 9), (10, 11), (11, 10), (10, 12), (12, 10), (5, 5), (None, 3), (2, 3)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert sorted(r.node for r in contracts.cycle_members(df).collect()) == [1, 2, 3, 5, 6, 7, 8, 10, 11, 12]
+    assert contracts.cycle_members(df.limit(0)).count() == 0
