@@ -211,7 +211,7 @@ def live_evidence(entries: DataFrame, corpus: DataFrame, include_reference: bool
 
 
 def first_of_kinds(hits: DataFrame) -> DataFrame:
-    """Hits of several kinds as one list for each question: kinds in order, each key once. ``hits``: q_id, kind, rank, key."""
+    """Hits of several kinds as one list for each question: kinds in order, each key once, ties by key. ``hits``: q_id, kind, rank, key."""
     first = Window.partitionBy("q_id", "key").orderBy("kind", "rank")
-    order = Window.partitionBy("q_id").orderBy("kind", "rank")
+    order = Window.partitionBy("q_id").orderBy("kind", "rank", "key")
     return hits.withColumn("again", F.row_number().over(first)).filter("again = 1").drop("again").withColumn("place", F.row_number().over(order))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as t
-from lectern.functions.fixed import FUNCTION_WORDS, STOP_WORDS
-from lectern.operators import structure
+from lectern.functions.fixed import FUNCTION_WORDS, STOP_WORDS, USAGE_LEVELS
+from lectern.operators import analytics, assembly, maintenance, retrieval, structure
 from lectern.queries import Catalogue
 from lectern.sources.tables import table
 
@@ -141,7 +141,11 @@ def _(spark, sf):
     return rows.join(later, "item_id").select("item_id", F.levenshtein("x", "y").alias("distance"), (F.levenshtein("x", "y") / F.greatest(F.lit(1), F.length("x"))).alias("rate"))
 
 
-@TEXTS.add("word_error_rate", "item_id bigint, distance bigint, rate double")
+@TEXTS.add("word_error_rate", "item_id bigint, distance bigint, rate double", r"""
+WITH w AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS x FROM benchmark),
+m AS (SELECT a.item_id, a.x, b.x AS y FROM w a JOIN w b ON b.item_id = a.item_id + 1),
+d AS (SELECT item_id, len(x) AS n, list_reduce([[i] FOR i IN range(1, len(x) + 1)], lambda done, e: list_reduce([[j] FOR j IN range(1, len(y) + 1)], lambda acc, f: list_append(acc, least(acc[-1] + 1, done[f[1] + 1] + 1, done[f[1]] + CASE WHEN x[e[1]] = y[f[1]] THEN 0 ELSE 1 END)), [e[1]]), range(0, len(y) + 1))[-1] AS distance FROM m)
+SELECT item_id, distance, distance::DOUBLE / greatest(1, n) AS rate FROM d""")
 def _(spark, sf):
     rows = table(spark, sf, "benchmark").select("item_id", t.error_words("text").alias("x"))
     later = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("x").alias("y"))
@@ -176,3 +180,53 @@ def _(spark, sf):
 def _(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "text", structure.text_quality("text").alias("q"))
     return rows.filter(structure.is_poor("q", "text")).select("doc_id", "q.score")
+
+
+@TEXTS.add("rejoined_hyphens", "doc_id bigint, whole string", r"""
+SELECT doc_id, regexp_replace(x, '([A-Za-zÀ-ÿ])-[ \t\n\x0B\f\r]+([a-zà-ÿ])', '\1\2', 'g') AS whole FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '([a-z]{3}) ', '\1-' || chr(10), 'g') AS x FROM documents)""")
+def _(spark, sf):
+    cut = F.regexp_replace(F.coalesce("text", F.lit("")), "([a-z]{3}) ", "$1-\n")
+    return table(spark, sf, "documents").select("doc_id", t.rejoin_hyphens(cut).alias("whole"))
+
+
+@TEXTS.add("mode_labels", "event_id bigint, label string", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Consulta' WHEN 1 THEN 'Análisis' WHEN 2 THEN 'Socrático' WHEN 3 THEN 'Paso a paso' ELSE 'Consulta' END AS label FROM events")
+def _(spark, sf):
+    modes = F.array(*(F.lit(m) for m in ("consulta", "analisis", "socratico", "ocultadores", "otro", None)))
+    return table(spark, sf, "events").select("event_id", analytics.mode_label(F.get(modes, (F.col("event_id") % 6).cast("int"))).alias("label"))
+
+
+@TEXTS.add("usage_order", "doc_id bigint, place bigint", "SELECT doc_id, [0, 1, 2, 3, 4, 5][doc_id % 6 + 1] AS place FROM documents")
+def _(spark, sf):
+    levels = F.array(*(F.lit(x) for x in (*USAGE_LEVELS, "unknown")))
+    return table(spark, sf, "documents").select("doc_id", analytics.usage_rank(F.get(levels, (F.col("doc_id") % 6).cast("int"))).alias("place"))
+
+
+@TEXTS.add("mode_settings", "p_partkey bigint, temperature double, max_tokens bigint", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 0.2 WHEN 1 THEN 0.7 ELSE 0.5 END AS temperature, CASE p_partkey % 3 WHEN 0 THEN 800 ELSE 300 END AS max_tokens FROM part")
+def _(spark, sf):
+    setting = lambda temperature, tokens: F.struct(F.lit(temperature).cast("double").alias("temperature"), F.lit(tokens).cast("int").alias("max_tokens"))
+    own = F.create_map(F.lit("a"), setting(0.2, 5000), F.lit("b"), setting(0.7, None))
+    mode = F.get(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("p_partkey") % 3).cast("int"))
+    rows = table(spark, sf, "part").select("p_partkey", assembly.with_overrides({"temperature": 0.5, "max_tokens": 300}, own, mode).alias("s"))
+    return rows.select("p_partkey", "s.temperature", "s.max_tokens")
+
+
+@TEXTS.add("range_overlap", "l_orderkey bigint, l_linenumber bigint, l_partkey bigint, shared bigint", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a > 0 AND c > 0 THEN greatest(0, least(b, d) - greatest(a, c) + 1) ELSE 0 END AS shared FROM (SELECT *, l_partkey % 20 AS a, l_partkey % 20 + l_linenumber AS b, l_suppkey % 20 AS c, l_suppkey % 20 + 4 AS d FROM lineitem)")
+def _(spark, sf):
+    a, c = F.col("l_partkey") % 20, F.col("l_suppkey") % 20
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", maintenance.range_overlap(a, a + F.col("l_linenumber"), c, c + 4).alias("shared"))
+
+
+@TEXTS.add("assigned_segments", "o_orderkey bigint, l_linenumber bigint, section_title string", "SELECT o_orderkey, l_linenumber, 'S' || l_partkey AS section_title FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def _(spark, sf):
+    chunks = table(spark, sf, "orders").select(F.col("o_orderkey").alias("segment_id"))
+    told = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("segment_id"), F.concat(F.lit("S"), F.col("l_partkey").cast("string")).alias("section_title"), F.col("l_linenumber").alias("level"), F.lit("contenido").alias("role"), F.lit(1.0).alias("confidence"))
+    return assembly.with_assignments(chunks, told).select(F.col("segment_id").alias("o_orderkey"), F.col("level").alias("l_linenumber"), "section_title")
+
+
+@TEXTS.add("hits_of_kinds", "q_id bigint, place bigint, key string", """
+WITH h AS (SELECT l_orderkey AS q_id, l_suppkey % 3 AS kind, l_linenumber AS rank, 'k' || l_partkey % 40 AS key FROM lineitem),
+f AS (SELECT q_id, key, min({'kind': kind, 'rank': rank}) AS pl FROM h GROUP BY q_id, key)
+SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY pl, key) AS place, key FROM f""")
+def _(spark, sf):
+    hits = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("q_id"), (F.col("l_suppkey") % 3).alias("kind"), F.col("l_linenumber").alias("rank"), F.concat(F.lit("k"), (F.col("l_partkey") % 40).cast("string")).alias("key"))
+    return retrieval.first_of_kinds(hits).select("q_id", "place", "key")
