@@ -16,13 +16,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder: the one in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) is a new one made."""
+    """The cluster's shared checkpoint folder: the one in ``spark.checkpoint.dir``, or that of the context. A session of one machine that names
+    none gets a new one; on a cluster that is an error, as executors would not share it."""
     context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if shared is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return (shared or context.getCheckpointDir()).rstrip("/")
+        context.setCheckpointDir(shared)
+    return shared.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

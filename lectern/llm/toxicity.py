@@ -4,7 +4,8 @@ A text is the bag of its words' character n-grams, with word ends marked, and of
 of an embedding matrix; the mean of the rows goes through a linear layer and a softmax over two classes. Both layers are
 trained together. As misspelt words share most n-grams with the words that they stand for, they score alike.
 
-Training takes a bounded sample of labelled rows (``TRAIN_ROWS``, the rows whose hash is smallest) to the driver. Scoring is
+Training takes a bounded sample of labelled rows (the rows whose hash is smallest, ``TRAIN_ROWS`` of them, and no more than ``TRAIN_BYTES`` of
+their bags) to the driver. Scoring is
 distributed: the mean and the layers are linear, so each n-gram has one number, the broadcast table has a fixed size, and
 a text of any length is scored whole, word by word.
 """
@@ -18,12 +19,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut_lineage, read_table, seeded_bits
+from lectern.llm.common import cut_lineage, free_name, read_table, seeded_bits
 
 TRAIN_ROWS = 8_000
+#: Bytes of bags that the driver takes, eight for each n-gram of a row: rows are drawn while they fit.
+TRAIN_BYTES = 192 << 20
 BUCKETS = 1 << 17
 WIDTH = 8
 GRAMS = (3, 4, 5, 6)
@@ -76,8 +80,10 @@ class SubwordSoftmax:
 
     def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = STEPS) -> "SubwordSoftmax":
         """Adagrad steps on the cross-entropy of both layers, each on a mini-batch; however many rows there are, so many steps
-        are taken, in whole passes. Texts without words are left out."""
+        are taken, in whole passes. Texts without words are left out; without any others all texts score alike."""
         full = [i for i, (found, _) in enumerate(bags) if len(found)]
+        if not full:
+            self.rows[:] = 0
         squares = [np.full(x.shape, 1e-6, np.float32) for x in (self.rows, self.out, self.bias)]
         for _ in range(-(-steps * BATCH // len(full)) if full else 0):
             order = self.rng.permutation(full)
@@ -138,10 +144,10 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-(total / n if n else 0.0) - self.bias))
 
 
-def _fit(rows: DataFrame) -> SubwordSoftmax:
+def _fit(rows: DataFrame, most_bytes: int = TRAIN_BYTES) -> SubwordSoftmax:
     """A model of the rows (draw, toxic, text), of which there is a bounded number; rows alike in draw and label count once.
 
-    Bags are made where the texts are; the driver gets their numbers only.
+    Bags are made where the texts are; the driver gets their numbers only, and those in the order of the draws, up to ``most_bytes``.
     """
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +160,13 @@ def _fit(rows: DataFrame) -> SubwordSoftmax:
             yield pa.RecordBatch.from_arrays(columns, names=["draw", "toxic", "found", "share"])
 
     told = rows.select("draw", "toxic", "text").mapInArrow(bag, "draw long, toxic int, found binary, share binary")
-    told = told.groupBy("draw", "toxic").agg(F.min(F.struct("found", "share")).alias("bag")).select("draw", "toxic", "bag.found", "bag.share")
+    told = cut_lineage(told.groupBy("draw", "toxic").agg(F.min(F.struct("found", "share")).alias("bag")).select("draw", "toxic", "bag.found", "bag.share"))
+    # One window over all rows, which are bounded, and over their sizes only.
+    sized = told.select("draw", "toxic", (2 * F.octet_length("found")).cast("long").alias("size"))
+    fits = sized.withColumn("through", F.sum("size").over(Window.orderBy("draw", "toxic"))).filter(F.col("through") <= most_bytes).select("draw", "toxic")
     # Two long buffers, not many small ones, so that the driver gives their memory back.
     found, share, places, end = bytearray(), bytearray(), [], 0
-    for row in told.toLocalIterator():
+    for row in told.join(fits, ["draw", "toxic"], "left_semi").toLocalIterator():
         found += row.found
         share += row.share
         places.append((row.draw, row.toxic, end, len(row.found) // 4))
@@ -176,16 +185,19 @@ def train(labelled: DataFrame, most_rows: int = TRAIN_ROWS) -> SubwordSoftmax:
 
 
 def score(docs: DataFrame, model: SubwordSoftmax, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``, the probability of class 1. Texts without words, null ones too, have the bias alone."""
-    columns = docs.columns
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", `score` double"
+    """``docs`` with ``score``, the probability of class 1, as the last column. Texts without words, null ones too, have the bias alone.
+
+    Where ``docs`` has a column of that name, whatever its case, that one stays as it is and the new one has underscores before its name.
+    """
+    columns, name = docs.columns, free_name(docs, "score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model.folded())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for batch in batches:
             scores = [scorer(t.as_py()) for t in batch.column(text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*columns, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -211,7 +223,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Su
     """A model from the labelled documents that aren't held out. Labels join by doc_id; rows without a partner don't count.
 
     The sample is drawn from ids, before any text is read; its ids, of which there are ``most_rows`` at most, go to the texts.
-    Of several labels of an id the highest counts.
+    Of several labels of an id the highest counts, of several texts of an id the one whose bag is least. Null ids join nothing; null and empty
+    texts and labels other than 0 and 1 are passed over. Without rows to learn from all texts score alike, a half.
     """
     texts = docs.select(docs["doc_id"], docs["text"]).filter(~held_out())
     marks = labels.select(labels["doc_id"], labels["toxic"].cast("int").alias("toxic")).filter(~held_out() & F.col("toxic").isin(0, 1))

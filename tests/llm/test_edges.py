@@ -49,10 +49,48 @@ def model(spark):
 
 
 def test_toxicity(spark, model):
-    rows = toxicity.score(documents(spark).drop("score"), model).collect()
-    assert len(rows) == N and all(0 <= r.score <= 1 for r in rows)
+    out = toxicity.score(documents(spark), model)
+    assert out.columns == [*documents(spark).columns, "_score"]
+    rows = out.collect()
+    assert len(rows) == N and all(0 <= r._score <= 1 and r.score is None for r in rows)
+    assert len({r._score for r in rows if not (r.text or "").strip()}) == 1
+    alike = [r._score for r in rows if r.text == "solo"]
+    assert len(alike) == 3 and len(set(alike)) == 1
     nothing = toxicity.train(spark.createDataFrame([], "text string, toxic int"))
-    assert {r.score for r in toxicity.score(documents(spark).drop("score"), nothing).collect()} and toxicity.below(documents(spark).limit(0), nothing).count() == 0
+    assert {r._score for r in toxicity.score(documents(spark), nothing).collect()} == {0.5} and toxicity.below(documents(spark).limit(0), nothing).count() == 0
+
+
+def test_toxicity_learns_from_awkward_rows(spark):
+    docs, kind = documents(spark, [(i, "you vile fool" if i % 2 else "a calm walk", "en", "a") for i in range(60)] + [(None, "vile", "en", "a"), (7, None, "en", "a"), (8, "", "en", "a"), (9, "you vile fool", "en", "a")]), "doc_id long, quality int, toxic int"
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(60)] + [(9, 0, 0), (9, 0, 1), (None, 0, 1), (11, 1, None), (13, 1, 5), (999, 0, 1)], kind)
+    folded = toxicity.learn(docs, labels).folded()
+    bad, calm, empty = (toxicity.Scorer(*folded)(t) for t in ("you vile fool", "a calm walk", None))
+    assert bad > 0.9 and calm < 0.1 and 0 <= empty <= 1
+    again = toxicity.learn(docs.repartition(5), labels.repartition(3)).folded()
+    assert (again[0] == folded[0]).all() and again[1] == folded[1]
+    for d, l in ((docs.limit(0), labels), (docs, labels.limit(0)), (docs.limit(0), labels.limit(0))):
+        assert toxicity.Scorer(*toxicity.learn(d, l).folded())("you vile fool") == 0.5
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(i, i % 2, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(40)], "draw long, toxic int, text string")
+    assert not toxicity._fit(rows, most_bytes=0).folded()[0].any()
+    size = len(toxicity._bag(rows.first().text.split(), {})[0]) * 8
+    some, all_rows = toxicity._fit(rows, most_bytes=9 * size).folded(), toxicity._fit(rows).folded()
+    first = toxicity._fit(rows.filter("draw < 8")).folded()
+    assert (some[0] == first[0]).all() and not (some[0] == all_rows[0]).all()
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    columns = "doc_id", "text", "lang", "source", "n_chars"
+    docs = documents(spark).select(*columns)
+    tables = {"documents": docs, "benchmark": items(spark), "labels": spark.createDataFrame([(1, 1, 0), (5, 0, 1), (5, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int")}
+    for folder, few in (("some", False), ("none", True)):
+        for name, table in tables.items():
+            (table.limit(0) if few else table).write.parquet(f"{tmp_path}/{folder}/{name}.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{folder}").collect()
+        assert bool(rows) != few
+        assert {r.doc_id for r in rows} <= {t[0] for t in TEXTS}
 
 
 def test_stages_keep_columns(spark, model):
