@@ -103,44 +103,49 @@ class ItemAutomaton:
             self.link[state] = there if self.longest[there] == self.longest[parent] + 1 else self._split(parent, word, there)
         return state
 
-    def hits(self, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Maximal runs (first, end) of hit words, and the items whose windows occur."""
-        runs: list[tuple[int, int]] = []
-        names: set[str] = set()
-        step, link, longest, below, items, shortest = self.step, self.link, self.longest, self.below, self.items, self.shortest
-        state = length = 0
-        root = step[0]
-        for at, word in enumerate(words):
-            if state == 0:
-                state = root.get(word, 0)
-                length = 1 if state else 0
-            else:
+    def tables(self) -> tuple:
+        """What ``hits`` walks on: lists and dictionaries, which executors read without this package."""
+        return self.step, self.link, self.longest, self.below, self.items, self.shortest
+
+
+def hits(tables: tuple, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
+    """Maximal runs (first, end) of hit words, and the items whose windows occur."""
+    runs: list[tuple[int, int]] = []
+    names: set[str] = set()
+    step, link, longest, below, items, shortest = tables
+    state = length = 0
+    root = step[0]
+    for at, word in enumerate(words):
+        if state == 0:
+            state = root.get(word, 0)
+            length = 1 if state else 0
+        else:
+            there = step[state].get(word)
+            while there is None and state:
+                state = link[state]
+                length = longest[state]
                 there = step[state].get(word)
-                while there is None and state:
-                    state = link[state]
-                    length = longest[state]
-                    there = step[state].get(word)
-                state, length = (there, length + 1) if there is not None else (0, 0)
-            if length < shortest:
-                continue
-            reach, holder = 0, below[state]
-            while holder:
-                for size, which in items[holder]:
-                    if size <= length:
-                        reach = max(reach, size)
-                        names |= which
-                holder = below[link[holder]]
-            if reach:
-                first = at + 1 - reach
-                while runs and runs[-1][1] >= first:
-                    first = min(first, runs.pop()[0])
-                runs.append((first, at + 1))
-        return runs, names
+            state, length = (there, length + 1) if there is not None else (0, 0)
+        if length < shortest:
+            continue
+        reach, holder = 0, below[state]
+        while holder:
+            for size, which in items[holder]:
+                if size <= length:
+                    reach = max(reach, size)
+                    names |= which
+            holder = below[link[holder]]
+        if reach:
+            first = at + 1 - reach
+            while runs and runs[-1][1] >= first:
+                first = min(first, runs.pop()[0])
+            runs.append((first, at + 1))
+    return runs, names
 
 
 def item_groups(items: DataFrame, item_id: str = "item_id", text: str = "text", most_words: int = ITEM_WORDS) -> list[DataFrame]:
-    """All items as (item, text), dealt into groups of some ``most_words`` words, one at least. An item longer than a group is a group of its own."""
-    listed = items.select(F.coalesce(items[item_id].cast("string"), F.lit("")).alias("item"), items[text].alias("text"))
+    """All items as (item, text), dealt into groups of some ``most_words`` words, one at least; rows that repeat count once. An item longer than a group is a group of its own."""
+    listed = items.select(F.coalesce(items[item_id].cast("string"), F.lit("")).alias("item"), items[text].alias("text")).distinct()
     sized = listed.withColumn("n", F.octet_length(F.coalesce("text", F.lit(""))) / 2 + 1).withColumn("salt", F.pmod(F.xxhash64("item", "text"), F.lit(1 << 16)))
     total = sized.agg(F.sum("n")).first()[0] or 0
     groups = max(1, int(-(-total // most_words)))
@@ -156,7 +161,7 @@ def scan(docs: DataFrame, automaton: ItemAutomaton, text: str = "text") -> DataF
     """``docs`` without the text and with n_words, runs (hit words, first and end) and items."""
     rest = [c for c in docs.columns if c != text]
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest) + "n_words long, runs array<struct<first: long, end: long>>, items array<string>"
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    shared = docs.sparkSession.sparkContext.broadcast(automaton.tables())
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +170,7 @@ def scan(docs: DataFrame, automaton: ItemAutomaton, text: str = "text") -> DataF
             sizes, runs, items = [], [], []
             for value in batch.column(text):
                 words = words_in(value.as_py())
-                hit, names = found.hits(words)
+                hit, names = hits(found, words)
                 sizes.append(len(words))
                 runs.append([{"first": a, "end": b} for a, b in hit])
                 items.append(sorted(names))
@@ -238,7 +243,7 @@ def _cut(docs: DataFrame, text: str, most_covered: float, *, automaton: ItemAuto
 
     Hits are those of ``automaton``, or the runs in the column ``found``, which goes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(automaton) if automaton else None
+    shared = docs.sparkSession.sparkContext.broadcast(automaton.tables()) if automaton else None
     rest = [c for c in docs.columns if c != found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +252,7 @@ def _cut(docs: DataFrame, text: str, most_covered: float, *, automaton: ItemAuto
             for at, value in enumerate(batch.column(text)):
                 body = value.as_py()
                 words = words_in(body)
-                runs = shared.value.hits(words)[0] if shared else united((x["first"], x["end"]) for x in batch.column(found)[at].as_py() or ())
+                runs = hits(shared.value, words)[0] if shared else united((x["first"], x["end"]) for x in batch.column(found)[at].as_py() or ())
                 texts.append(clean_text(body, runs))
                 kept.append(sum(b - a for a, b in runs) <= most_covered * len(words))
             cut = pa.array(texts, batch.schema.field(text).type)
@@ -269,11 +274,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     else:
         sha, found = free_name(docs, "sha"), free_name(docs, "found")
         named = docs.select(F.sha2(F.col(f"`{text}`"), 256).alias("sha"), F.col(f"`{text}`").alias("text"))
-        hits = None
+        leaks = None
         for group in groups:
             part = cut_lineage(scan(named, automaton_of(group, window)).filter(F.size("runs") > 0).select("sha", "runs").distinct())
-            hits = part if hits is None else hits.unionByName(part)
-        by_text = hits.groupBy("sha").agg(F.flatten(F.collect_set("runs")).alias(found)).withColumnRenamed("sha", sha)
+            leaks = part if leaks is None else leaks.unionByName(part)
+        by_text = leaks.groupBy("sha").agg(F.flatten(F.collect_set("runs")).alias(found)).withColumnRenamed("sha", sha)
         docs = _cut(docs.withColumn(sha, F.sha2(F.col(f"`{text}`"), 256)).join(by_text, sha, "left").drop(sha), text, most_covered, found=found)
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))

@@ -1,6 +1,8 @@
 """Operators against plain computations of the same."""
 
 import hashlib
+import os
+import pickle
 import random
 import re
 from collections import Counter
@@ -265,6 +267,19 @@ def test_cover_ranks_compare_texts(length):
     assert (got == want).all() and 1000 < want.sum() < len(want) - 1000
 
 
+def test_shared_passages_are_told(spark):
+    rng = random.Random(21)
+    body = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    texts = [body(rng.randint(0, 900)) for _ in range(60)]
+    passages = [body(260) for _ in range(5)]
+    planted = {i: rng.choice(passages) for i in range(0, 40, 2)}
+    texts = [t[: len(t) // 2] + planted.get(i, "") + t[len(t) // 2 :] for i, t in enumerate(texts)] + ["", None, body(300) * 3]
+    df = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    for batch, keys in ((2 << 20, 1 << 20), (900, 64)):
+        out = suffix_dedup.repeated_spans(df, passage=200, batch_bytes=batch, keys_in_bucket=keys).collect()
+        assert {r.doc_id for r in out if r.n_shared} == set(planted) and len(out) == len(texts)
+
+
 def test_least_in_reach():
     values = np.random.default_rng(2).integers(0, 1 << 63, 1000, np.uint64)
     for reach in (1, 7, 273, 1500):
@@ -357,3 +372,30 @@ def test_pipeline(spark, sf, rows):
     assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in mixed.collect())
     per = Counter(r.shard for r in out)
     assert max(per.values()) - min(per.values()) <= 1
+
+
+def test_token_files_are_gone_and_long_words_are_counted(spark, tmp_path):
+    import tiktoken
+
+    encode = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=token_counts.read_ranks(), special_tokens={}).encode_ordinary
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(1_500_000)), "日本" * 100_000, "\n" * 200_000, "a b"]
+    df = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    shared = token_counts.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df).collect()} == {i: len(encode(t)) for i, t in enumerate(texts)}
+    assert not [x for x in set(os.listdir(shared)) - before if x.startswith("tokens-")]
+    kept = token_counts.token_counts(df, folder=str(tmp_path / "kept"))
+    assert kept.count() == 4 and [x for x in os.listdir(tmp_path / "kept") if x.endswith(".bin")]
+
+
+def test_automata_reach_executors_without_the_package():
+    automaton = decontamination.ItemAutomaton([("a", "one two three four five six seven eight nine ten eleven".split())])
+    assert b"lectern" not in pickle.dumps(automaton.tables())
+    runs, names = decontamination.hits(automaton.tables(), "x one two three four five six seven eight nine ten y".split())
+    assert runs == [(1, 11)] and names == {"a"}
+
+
+def test_repeated_items_count_once(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta")] * 500 + [(2, "other words")], "item_id long, text string")
+    assert len(decontamination.item_groups(items, most_words=1000)) == 1
