@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import shorten
+from lectern.functions.text import clean_text, section_id, shorten
 from lectern.operators import contracts, passages, retrieval, structure
 from lectern.operators.knowledge import recent_messages, within_budget
 
@@ -75,6 +75,34 @@ def units_of(sections: DataFrame, key: str, body: str = "body") -> DataFrame:
     return sections.select(key, "section", F.posexplode(packed).alias("part", "text"))
 
 
+def apply_segmentation(sections: DataFrame, visual: DataFrame, marker: str = "LECTURA VISUAL ASISTIDA POR IA · PÁGINA ") -> tuple[DataFrame, DataFrame]:
+    """Sections and corpus of documents that outside analysis cut anew.
+
+    ``sections`` has document, nth (from 0), title, level, path, content, page_start, page_end, confidence, structural_only; ``visual`` (document, chunk_id, page, content) are the
+    readings of pictures and tables that were there, of which what follows ``marker`` stays, with the section whose pages hold theirs (of several the one that
+    starts last, then the deepest). Sections: section_id, title, path, level from 1 to 6, confidence from 0.2 to 0.99, role, scope, priority, needs_review and their text. Corpus:
+    (document, section_id, chunk_id, part, content, path, role, scope): the units of each section, then the readings; a reading that no section holds has no section_id.
+    """
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.concat(F.lit("Sección "), (F.col("nth") + 1).cast("string")))
+    level = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce("level", F.lit(1)).cast("int")))
+    path = F.filter(F.transform(F.coalesce("path", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    told = sections.withColumns({"title": title, "level": level, "path": path, "body": clean_text("content"), "sure": F.greatest(F.lit(0.2), F.least(F.lit(0.99), F.coalesce("confidence", F.lit(0.5))))})
+    told = told.withColumn("path", F.when(F.size("path") > 0, F.col("path")).otherwise(F.array("title"))).withColumn("section_id", section_id("document", F.col("nth"), F.col("path"), "title"))
+    roled = told.withColumn("r", structure.section_role("title", "body", first_page=F.col("page_start"), last_page=F.col("page_end"))).withColumns({"role": F.col("r.role"), "confidence": F.col("r.confidence")})
+    empty = {c: F.lit(None).cast("string") for c in ("scope", "scope_source", "priority", "priority_source")}
+    placed = structure.with_defaults(roled.withColumns(empty)).withColumn("confidence", F.col("sure"))
+    done = placed.select("document", "nth", "section_id", "title", "path", "level", "page_start", "page_end", "confidence", "role", "scope", "priority", "needs_review", "structural_only", "body")
+
+    units = units_of(done.withColumn("section", F.col("nth")), "document").join(done.select("document", F.col("nth").alias("section"), "section_id", "path", "role", "scope"), ["document", "section"])
+    from_text = units.select("document", "section_id", F.concat_ws("-", "section_id", F.lit("unidad"), (F.col("part") + 1).cast("string")).alias("chunk_id"), "part", F.col("text").alias("content"), "path", "role", "scope")
+    seen = visual.withColumn("at", F.locate(marker, F.col("content"))).filter("at > 0").withColumn("content", F.trim(F.substr("content", F.col("at"))))
+    ranges = done.filter(~F.coalesce("structural_only", F.lit(False)) & F.col("page_start").isNotNull()).select("document", F.col("nth").alias("range_id"), F.col("page_start").alias("start"), F.coalesce("page_end", "page_start").alias("end"), "level")
+    held = structure.page_containment(seen.select("document", "page").distinct(), ranges, "document", "page").select("document", "page", F.col("range_id").alias("nth"))
+    attached = seen.join(held, ["document", "page"], "left").join(done.select("document", "nth", "section_id", "path", "role", "scope"), ["document", "nth"], "left")
+    from_pictures = attached.select("document", "section_id", F.col("chunk_id").cast("string").alias("chunk_id"), F.lit(0).alias("part"), "content", "path", "role", F.coalesce("scope", F.lit("included")).alias("scope"))
+    return done, from_text.unionByName(from_pictures)
+
+
 def course_errors(documents: DataFrame, corpus: DataFrame, concepts: DataFrame, links: DataFrame, bibliography: DataFrame, prerequisites: DataFrame) -> DataFrame:
     """All violations of a course's contract."""
     c = contracts

@@ -2,6 +2,7 @@
 
 import pytest
 
+from lectern.plans import course as course_plan
 from lectern.plans.proposals import merge_proposal
 
 LIST = "array<string>"
@@ -49,3 +50,24 @@ def test_empty_proposals_and_courses(course, proposal):
     assert {k: v.count() for k, v in nothing.items()} == {"units": 2, "concepts": 2, "examples": 1, "activities": 1, "sequence": 2}
     first = merge_proposal({k: v.limit(0) for k, v in course.items()}, proposal)
     assert {k: v.count() for k, v in first.items()} == {"units": 4, "concepts": 3, "examples": 2, "activities": 3, "sequence": 4}
+
+
+def test_segmentation_is_applied(spark):
+    kind = "document string, nth int, title string, level int, path array<string>, content string, page_start int, page_end int, confidence double, structural_only boolean"
+    rows = [
+        ("doc-a", 0, "Parte uno", 1, ["Parte uno"], "", 1, 9, 0.9, True), ("doc-a", 1, "Capítulo 1", 2, ["Parte uno", "Capítulo 1"], "Texto  del capítulo.\n\n\n\nMás texto.", 1, 4, 7.0, False),
+        ("doc-a", 2, None, 11, None, "x " * 4000, 4, 9, None, False), ("doc-a", 3, "Referencias", 1, ["Referencias"], "Gómez, L. (1997).", 10, None, 0.1, False),
+    ]
+    visual = [("doc-a", "v1", 4, "texto LECTURA VISUAL ASISTIDA POR IA · PÁGINA 4: un gráfico"), ("doc-a", "v2", 2, "LECTURA VISUAL ASISTIDA POR IA · PÁGINA 2: foto "), ("doc-a", "v3", 2, "sin marca"), ("doc-a", "v4", 99, "LECTURA VISUAL ASISTIDA POR IA · PÁGINA 99"), ("doc-a", "v5", 2, None)]
+    told, seen = spark.createDataFrame(rows, kind), spark.createDataFrame(visual, "document string, chunk_id string, page int, content string")
+    sections, corpus = course_plan.apply_segmentation(told, seen)
+    got = {r.nth: r for r in sections.collect()}
+    assert [(got[i].title, got[i].level, got[i].confidence) for i in range(4)] == [("Parte uno", 1, 0.9), ("Capítulo 1", 2, 0.99), ("Sección 3", 6, 0.5), ("Referencias", 1, 0.2)]
+    assert got[3].role == "referencias" and got[3].scope == "excluded" and got[1].body == "Texto del capítulo.\n\nMás texto." and got[2].path == ["Sección 3"]
+    assert got[1].section_id == "doc-a-seccion-2-parte-uno-capitulo-1-capitulo-1"
+    rows = corpus.collect()
+    assert {r.chunk_id: (r.section_id, r.content) for r in rows if r.chunk_id.startswith("v")} == {
+        "v1": (got[2].section_id, "LECTURA VISUAL ASISTIDA POR IA · PÁGINA 4: un gráfico"), "v2": (got[1].section_id, "LECTURA VISUAL ASISTIDA POR IA · PÁGINA 2: foto"), "v4": (None, "LECTURA VISUAL ASISTIDA POR IA · PÁGINA 99")}
+    parts = [r for r in rows if r.section_id == got[2].section_id and not r.chunk_id.startswith("v")]
+    assert len(parts) >= 1 and len({r.chunk_id for r in rows}) == len(rows)
+    assert all(x.count() == 0 for x in course_plan.apply_segmentation(told.limit(0), seen.limit(0)))
