@@ -19,6 +19,9 @@ any bytes are compared:
    set modulo 31) that are made beforehand, so long ties cost no more than short ones. Suffixes that had only a hash in common are struck off.
 5. Each batch cuts the bytes that its tied suffixes cover.
 
+Passages that texts share but that are too short to be cut can be told of beside: of every ``PASSAGE_REACH`` neighbouring strings of ``PASSAGE`` bytes
+the one with the least hash is looked up among all texts, so a shared passage of 250 bytes, some forty words, is always seen.
+
 Batches send a bucket each key once, however often they hold it, so a passage that fills the corpus costs a bucket one key
 for each batch. A bucket answers with one bit for each key. Texts are never shuffled, but for the stretches of step 4: they stay in
 their table's buckets, and only the answers move.
@@ -51,6 +54,9 @@ RANK_PERIOD = 31
 RANK_COVER = (0, 1, 3, 8, 12, 18)
 
 SLAB_BYTES = 1 << 20
+#: Shorter passages are told of, not cut: strings of ``PASSAGE`` bytes that texts share, one of ``PASSAGE_REACH`` neighbours each.
+PASSAGE = 200
+PASSAGE_REACH = 51
 PACKED_BYTES_IN_TASK = 64 << 20
 
 BASE = 0x9E3779B97F4A7C15
@@ -386,6 +392,22 @@ class Batch:
             out.setdefault((key, self.data[a:b].tobytes()), [0, a])[0] += 1
         return out
 
+    def shared_strings(self, strings: WindowHash, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash): the least hash in each reach of a text's strings, once for each text; texts by number."""
+        room = strings.length + reach - 1
+        whole = np.flatnonzero(self.ends - self.starts >= room)
+        if not len(whole):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        sizes = (self.ends - self.starts)[whole] - room + 1
+        text = np.repeat(whole, sizes)
+        at = np.repeat(self.starts[whole] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        hashes = np.full(len(self.data), np.iinfo(np.uint64).max, np.uint64)
+        hashes[: len(self.data) - strings.length + 1] = strings.at(self.data, np.arange(len(self.data) - strings.length + 1))
+        keys = _least_in_reach(hashes, reach)[at]
+        new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])])
+        pairs = np.unique(np.rec.fromarrays([text[new], keys[new]]))
+        return pairs.f0, pairs.f1
+
     def cover(self, covered: np.ndarray, tied: np.ndarray) -> np.ndarray:
         step = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(step, tied, 1)
@@ -420,12 +442,13 @@ def _pack(batch_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 def repeated_spans(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, batch_bytes: int = BATCH_BYTES,
-    keys_in_bucket: int = KEYS_IN_BUCKET, key_bits: int = 64, slab_bytes: int = SLAB_BYTES, keep_bytes: bool = False,
+    keys_in_bucket: int = KEYS_IN_BUCKET, key_bits: int = 64, slab_bytes: int = SLAB_BYTES, keep_bytes: bool = False, passage: int | None = None, passage_reach: int = PASSAGE_REACH,
 ) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept_sha256[, kept]) for each row of ``docs``.
+    """(doc_id, n_bytes, spans, kept_sha256[, kept][, n_shared]) for each row of ``docs``.
 
     spans are the maximal runs (first byte, end) that windows of ``length`` bytes cover which start at more than one place, in
-    this text or any other; kept_sha256 digests the other bytes, kept holds them. A null text is empty. Texts shorter than a
+    this text or any other; kept_sha256 digests the other bytes, kept holds them. With ``passage``, n_shared counts
+    strings of so many bytes that another text holds too, of every ``passage_reach`` neighbours the one with the least hash. A null text is empty. Texts shorter than a
     window lose nothing, rows alike in all columns are different places. Empty tables give an empty result; further
     columns are ignored, whatever their names. doc_id is an integer or null. The result doesn't depend on the sizes of batches,
     buckets and slabs, nor on how many bits of the hashes are used.
@@ -484,6 +507,14 @@ def repeated_spans(
         ]
         yield pa.RecordBatch.from_arrays(columns, names=["least", "stretch", "places", "batch", "first"])
 
+    def mark(batch: Batch, _: list) -> Iterator[pa.RecordBatch]:
+        yield _in_buckets(batch.row["batch"], *distinct_keys(batch.shared_strings(hashed(passage), passage_reach)[1]), buckets)
+
+    def shared(batch: Batch, answers: list[dict] | None) -> np.ndarray:
+        text, keys = batch.shared_strings(hashed(passage), passage_reach)
+        distinct, place = np.unique(keys, return_inverse=True)
+        return np.bincount(text[_told(distinct, answers, buckets)[0][place]], minlength=len(batch.ends))
+
     def cut(batch: Batch, told: list) -> Iterator[pa.RecordBatch]:
         tied = met(told[0])
         if told[1]:
@@ -501,8 +532,9 @@ def repeated_spans(
             out["spans"].append([{"first": int(x), "end": int(y)} for x, y in edges.reshape(-1, 2)])
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             out["kept"].append(kept.tobytes() if keep_bytes else None)
-        columns = [pa.array(batch.row["ids"], pa.int64()), pa.array(out["n_bytes"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(out["kept_sha256"]), pa.array(out["kept"], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept_sha256", "kept"])
+        counts = pa.array(shared(batch, told[2]).astype(np.int64)) if passage else pa.nulls(len(batch.ends), pa.int64())
+        columns = [pa.array(batch.row["ids"], pa.int64()), pa.array(out["n_bytes"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(out["kept_sha256"]), pa.array(out["kept"], pa.binary()), counts]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept_sha256", "kept", "n_shared"])
 
     try:
         narrow.mapInArrow(_pack(batch_bytes), shape).write.option("parquet.block.size", 8 * batch_bytes).option("compression", "zstd").bucketBy(tasks, "batch").saveAsTable(name)
@@ -529,14 +561,15 @@ def repeated_spans(
         runs = cut_lineage(over(told, tie, "batch long, answers struct<first: binary, length: binary, whole: binary>"))
         stretches = over([runs], stretch, "least long, stretch binary, places long, batch long, first long")
         struck = cut_lineage(struck_off(stretches, length, key_bits, slab_bytes))
-        result = over([runs, struck], cut, "doc_id long, n_bytes long, spans array<struct<first: long, end: long>>, kept_sha256 string, kept binary")
-        return cut_lineage(result if keep_bytes else result.drop("kept"))
+        seen = [cut_lineage(exchange(over([], mark, "bucket long, batch long, keys binary, twice binary"), np.dtype(np.uint64)))] if passage else []
+        result = over([runs, struck, *seen], cut, "doc_id long, n_bytes long, spans array<struct<first: long, end: long>>, kept_sha256 string, kept binary, n_shared long")
+        return cut_lineage(result.drop(*([] if keep_bytes else ["kept"]), *([] if passage else ["n_shared"])))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the bytes that 400-byte repeats cover."""
-    out = repeated_spans(read_table(spark, sf_dir, "documents"))
+    """Every document with the bytes that 400-byte repeats cover, and how many 200-byte strings it shares with others."""
+    out = repeated_spans(read_table(spark, sf_dir, "documents"), passage=PASSAGE)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["first"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_shared")
