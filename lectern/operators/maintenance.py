@@ -196,7 +196,18 @@ def prior_section(new: DataFrame, old: DataFrame, accept: int = 20) -> DataFrame
         return df.select(F.col("section_id").alias(name), F.col("document").alias("within"), F.col("section_id").cast("string").alias("id"), furniture_key(clean_line(bare)).alias("title"), path.alias("path"), F.coalesce("page_start", F.lit(0)).cast("long").alias("first"), F.coalesce(last, F.lit(0)).cast("long").alias("last"), extra.cast("long").alias("extra"))
 
     mine, theirs = shaped(new, "key", F.lit(0)), shaped(old, "prior", F.when(F.col("by_teacher"), 6).otherwise(0))
-    best = _best_of(mine, theirs, {"id": 120, "title": 30, "path": 22}, 8, 10)
+    # Whatever shares the id outdoes all others, and ids are all but unique: those pairs are scored as they are.
+    points = {"title": 30, "path": 22}
+    alike = theirs.groupBy("within", "id", *points, "first", "last").agg(F.min(F.struct((-F.col("extra")).alias("less"), "prior")).alias("best"))
+    met = mine.join(alike.select("within", "id", *(F.col(c).alias(f"o_{c}") for c in (*points, "first", "last")), "best"), ["within", "id"])
+    worth = F.lit(120) - F.col("best.less")
+    for c, n in points.items():
+        worth = worth + F.when((F.col(c) != "") & (F.col(c) == F.col(f"o_{c}")), n).otherwise(0)
+    pages = range_overlap(F.col("first"), F.col("last"), F.col("o_first"), F.col("o_last"))
+    shortest = F.least(F.col("last") - F.col("first"), F.col("o_last") - F.col("o_first")) + 1
+    named = met.select("key", (worth + F.when(pages > 0, 8 + F.floor(10 * pages / shortest + 0.5)).otherwise(0)).alias("score"), "best.prior")
+    every = named.unionByName(_best_of(mine, theirs, points, 8, 10))
+    best = every.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("less"), "prior")).alias("best")).select("key", (-F.col("best.less")).cast("long").alias("score"), "best.prior")
     return best.filter(F.col("score") >= accept).select(F.col("key").alias("section_id"), F.col("prior").alias("prior_id"), "score")
 
 

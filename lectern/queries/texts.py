@@ -178,7 +178,8 @@ def _(spark, sf):
 
 @TEXTS.add("poor_texts", "doc_id bigint, score double", f"WITH {QUALITY_SQL} SELECT doc_id, score FROM quality WHERE length(body) < 90 OR letters < 45 OR score < 54 OR single_ratio > 0.28::DOUBLE OR broken")
 def _(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "text", structure.text_quality("text").alias("q"))
+    # As a row of its own, so that the filter doesn't measure a text once for each of its conditions.
+    rows = table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array(structure.text_quality("text"))).alias("q"))
     return rows.filter(structure.is_poor("q", "text")).select("doc_id", "q.score")
 
 
