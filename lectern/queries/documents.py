@@ -208,9 +208,9 @@ def _(spark, sf):
     return structure.overlaps(_ranges(spark, sf), "doc_id", "start", "end").withColumnRenamed("end", "end_page")
 
 
-@DOCUMENTS.add("consecutive_batches", "l_suppkey bigint, consecutive boolean", "SELECT l_suppkey, max(l_linenumber) - min(l_linenumber) + 1 = count(*) AND count(DISTINCT l_linenumber) = count(*) AS consecutive FROM (SELECT l_orderkey AS l_suppkey, l_linenumber FROM lineitem WHERE l_quantity > 5) GROUP BY l_suppkey")
+@DOCUMENTS.add("consecutive_batches", "l_suppkey bigint, consecutive boolean", "SELECT l_suppkey, max(l_linenumber) - min(l_linenumber) + 1 = count(*) AND count(DISTINCT l_linenumber) = count(*) AS consecutive FROM (SELECT l_orderkey AS l_suppkey, l_linenumber + CASE WHEN l_quantity <= 5 THEN 1 ELSE 0 END AS l_linenumber FROM lineitem) GROUP BY l_suppkey")
 def _(spark, sf):
-    return structure.gaps_in_sequence(table(spark, sf, "lineitem").filter("l_quantity > 5").select(F.col("l_orderkey").alias("l_suppkey"), "l_linenumber"), "l_suppkey", "l_linenumber")
+    return structure.gaps_in_sequence(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("l_suppkey"), (F.col("l_linenumber") + F.when(F.col("l_quantity") <= 5, 1).otherwise(0)).alias("l_linenumber")), "l_suppkey", "l_linenumber")
 
 
 @DOCUMENTS.add("page_containment", "doc_id bigint, page bigint, range_id bigint, start bigint", f"WITH {RANGES_SQL}, p AS (SELECT DISTINCT doc_id, page FROM (SELECT doc_id FROM ranges), (SELECT unnest([5, 15, 25, 35]) AS page)), m AS (SELECT p.doc_id, p.page, r.range_id, r.start, row_number() OVER (PARTITION BY p.doc_id, p.page ORDER BY r.start DESC, r.level DESC, r.range_id) AS k FROM p JOIN ranges r ON r.doc_id = p.doc_id AND p.page BETWEEN r.start AND r.\"end\") SELECT doc_id, page, range_id, start FROM m WHERE k = 1")

@@ -78,14 +78,14 @@ def _(spark, sf):
     return knowledge.distinct_by_key(words, "conv_id", "place", "w", 12).select("conv_id", F.array_join("values", "|").alias("names"))
 
 
-@UPKEEP.add("rejoined_chunks", "doc_id bigint, whole string", "SELECT doc_id, text AS whole FROM (SELECT *, length(text) // 2 AS h FROM documents WHERE length(text) >= 800) WHERE list_bool_and([substr(text, h + 101 - k, k) <> substr(text, h - 99, k) for k in range(201, 321)])")
-def _(spark, sf):
-    """Whole texts cut in two halves that overlap, and joined again; texts that repeat themselves beyond the overlap can't be."""
-    t, h = F.col("text"), F.col("h")
-    docs = table(spark, sf, "documents").filter(F.length("text") >= 800).withColumn("h", F.floor(F.length("text") / 2).cast("int"))
-    clear = F.forall(F.sequence(F.lit(201), F.lit(320)), lambda k: F.substr(t, h + 101 - k, k) != F.substr(t, h - 99, k))
-    chunks = F.array(F.left(t, h + 100), F.substr(t, h - 99))
-    return docs.filter(clear).select("doc_id", knowledge.join_overlapping(chunks).alias("whole"))
+@UPKEEP.add("rejoined_chunks", "doc_id bigint, whole string", """
+WITH c AS (SELECT doc_id, left(t, h + 100) AS a, substr(t, greatest(1, h - 99)) AS b FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) // 2 AS h FROM documents)),
+n AS (SELECT *, coalesce(list_filter(range(320, 39, -1), lambda k: k <= length(a) AND k <= length(b) AND right(a, k) = left(b, k))[1], 0) AS n FROM c)
+SELECT doc_id, CASE WHEN a = '' THEN b WHEN substr(b, n + 1) = '' THEN a ELSE a || CASE WHEN n > 0 THEN '' ELSE chr(10) || chr(10) END || substr(b, n + 1) END AS whole FROM n""")
+def _(spark, sf):
+    """Whole texts cut in two halves that overlap, and joined again; texts that repeat themselves may come out otherwise."""
+    t, h = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    return table(spark, sf, "documents").select("doc_id", knowledge.join_overlapping(F.array(F.left(t, h + 100), F.substr(t, F.greatest(F.lit(1), h - 99)))).alias("whole"))
 
 
 def _entries(spark, sf):
