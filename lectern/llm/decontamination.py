@@ -12,7 +12,6 @@ next is made, and are united by document before anything is cut or judged.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain

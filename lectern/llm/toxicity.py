@@ -93,13 +93,14 @@ class SubwordSoftmax:
                 found, shares = (np.concatenate(x) for x in zip(*kept))
                 sizes = [len(x) for x, _ in kept]
                 heads = np.cumsum([0, *sizes[:-1]])
-                mean = np.add.reduceat(self.rows[found] * shares[:, None], heads)
+                # Coordinate by coordinate, so that memory follows the n-grams of a batch, not their vectors.
+                mean = np.stack([np.add.reduceat(self.rows[found, w] * shares, heads) for w in range(WIDTH)], axis=1)
                 wrong = self._softmax(mean @ self.out + self.bias)
                 wrong[np.arange(len(some)), labels[some]] -= 1
                 wrong /= len(some)
-                back = np.repeat(wrong @ self.out.T, sizes, axis=0) * shares[:, None]
+                back = wrong @ self.out.T
                 touched = np.flatnonzero(np.bincount(found, minlength=BUCKETS))
-                slope = np.stack([np.bincount(found, back[:, w], BUCKETS)[touched] for w in range(WIDTH)], axis=1).astype(np.float32)
+                slope = np.stack([np.bincount(found, np.repeat(back[:, w], sizes) * shares, BUCKETS)[touched] for w in range(WIDTH)], axis=1).astype(np.float32)
                 slope += DECAY * self.rows[touched]
                 squares[0][touched] += slope**2
                 self.rows[touched] -= RATE * slope / np.sqrt(squares[0][touched])
@@ -161,12 +162,12 @@ def _fit(rows: DataFrame, most_bytes: int = TRAIN_BYTES) -> SubwordSoftmax:
 
     told = rows.select("draw", "toxic", "text").mapInArrow(bag, "draw long, toxic int, found binary, share binary")
     told = cut_lineage(told.groupBy("draw", "toxic").agg(F.min(F.struct("found", "share")).alias("bag")).select("draw", "toxic", "bag.found", "bag.share"))
-    # One window over all rows, which are bounded, and over their sizes only.
+    # One window over all rows, which are bounded, and over their sizes only; the draws that fit are as many at most.
     sized = told.select("draw", "toxic", (2 * F.octet_length("found")).cast("long").alias("size"))
     fits = sized.withColumn("through", F.sum("size").over(Window.orderBy("draw", "toxic"))).filter(F.col("through") <= most_bytes).select("draw", "toxic")
     # Two long buffers, not many small ones, so that the driver gives their memory back.
     found, share, places, end = bytearray(), bytearray(), [], 0
-    for row in told.join(fits, ["draw", "toxic"], "left_semi").toLocalIterator():
+    for row in told.join(F.broadcast(fits), ["draw", "toxic"], "left_semi").toLocalIterator():
         found += row.found
         share += row.share
         places.append((row.draw, row.toxic, end, len(row.found) // 4))
