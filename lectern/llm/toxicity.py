@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import cut_lineage, free_name, read_table, seeded_bits
 
 TRAIN_ROWS = 8_000
-#: Bytes of bags that the driver takes, eight for each n-gram of a row: rows are drawn while they fit.
-TRAIN_BYTES = 192 << 20
+#: Bytes of bags that the driver takes, four for each n-gram of a row: rows are drawn while they fit.
+TRAIN_BYTES = 96 << 20
 BUCKETS = 1 << 17
 WIDTH = 8
 GRAMS = (3, 4, 5, 6)
@@ -69,6 +69,27 @@ def _bag(words: Iterable[str], known: dict[str, list[int]]) -> tuple[np.ndarray,
     return found, (share / share.sum()).astype(np.float32)
 
 
+class Bags:
+    """Bags in two long buffers, so that the driver gives their memory back: of buckets, which are sorted, the low 16 bits and how many are below 2^16; shares as halves."""
+
+    def __init__(self):
+        self.found, self.share, self.places = bytearray(), bytearray(), []
+
+    def add(self, key: tuple[int, int], found: bytes, share: bytes, below: int) -> None:
+        self.places.append((key, len(self.found) // 2, len(found) // 2, below))
+        self.found += found
+        self.share += share
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        _, at, n, below = self.places[i]
+        found = np.frombuffer(self.found, np.uint16, n, 2 * at).astype(np.int32)
+        found[below:] += 1 << 16
+        return found, np.frombuffer(self.share, np.float16, n, 2 * at).astype(np.float32)
+
+
 class SubwordSoftmax:
     """Embeddings ``rows`` (buckets x width), layer ``out`` (width x 2), ``bias`` (2)."""
 
@@ -78,7 +99,7 @@ class SubwordSoftmax:
         self.out = self.rng.uniform(-0.5, 0.5, (WIDTH, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
 
-    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = STEPS) -> "SubwordSoftmax":
+    def fit(self, bags: Bags | list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = STEPS) -> "SubwordSoftmax":
         """Adagrad steps on the cross-entropy of both layers, each on a mini-batch; however many rows there are, so many steps
         are taken, in whole passes. Texts without words are left out; without any others all texts score alike."""
         full = [i for i, (found, _) in enumerate(bags) if len(found)]
@@ -157,25 +178,22 @@ def _fit(rows: DataFrame, most_bytes: int = TRAIN_BYTES) -> SubwordSoftmax:
             bags = [_bag(words_in(t.as_py()), known) for t in batch.column("text")]
             if len(known) > CACHED_WORDS:
                 known.clear()
-            columns = [batch.column("draw"), batch.column("toxic"), pa.array([found.tobytes() for found, _ in bags], pa.binary()), pa.array([share.tobytes() for _, share in bags], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["draw", "toxic", "found", "share"])
-
-    told = rows.select("draw", "toxic", "text").mapInArrow(bag, "draw long, toxic int, found binary, share binary")
-    told = cut_lineage(told.groupBy("draw", "toxic").agg(F.min(F.struct("found", "share")).alias("bag")).select("draw", "toxic", "bag.found", "bag.share"))
+            columns = [
+                batch.column("draw"), batch.column("toxic"), pa.array([found.astype(np.uint16).tobytes() for found, _ in bags], pa.binary()),
+                pa.array([share.astype(np.float16).tobytes() for _, share in bags], pa.binary()), pa.array([int(np.searchsorted(found, 1 << 16)) for found, _ in bags], pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["draw", "toxic", "found", "share", "below"])
+
+    told = rows.select("draw", "toxic", "text").mapInArrow(bag, "draw long, toxic int, found binary, share binary, below int")
+    told = cut_lineage(told.groupBy("draw", "toxic").agg(F.min(F.struct("found", "share", "below")).alias("bag")).select("draw", "toxic", "bag.found", "bag.share", "bag.below"))
     # One window over all rows, which are bounded, and over their sizes only; the draws that fit are as many at most.
     sized = told.select("draw", "toxic", (2 * F.octet_length("found")).cast("long").alias("size"))
     fits = sized.withColumn("through", F.sum("size").over(Window.orderBy("draw", "toxic"))).filter(F.col("through") <= most_bytes).select("draw", "toxic")
-    # Two long buffers, not many small ones, so that the driver gives their memory back.
-    found, share, places, end = bytearray(), bytearray(), [], 0
+    bags = Bags()
     for row in told.join(F.broadcast(fits), ["draw", "toxic"], "left_semi").toLocalIterator():
-        found += row.found
-        share += row.share
-        places.append((row.draw, row.toxic, end, len(row.found) // 4))
-        end += len(row.found) // 4
-    places.sort()
-    all_found, all_share = np.frombuffer(found, np.int32), np.frombuffer(share, np.float32)
-    bags = [(all_found[at : at + n], all_share[at : at + n]) for _, _, at, n in places]
-    return SubwordSoftmax().fit(bags, np.array([toxic for _, toxic, _, _ in places], np.int64))
+        bags.add((row.draw, row.toxic), row.found, row.share, row.below)
+    bags.places.sort()
+    return SubwordSoftmax().fit(bags, np.array([key[1] for key, *_ in bags.places], np.int64))
 
 
 def train(labelled: DataFrame, most_rows: int = TRAIN_ROWS) -> SubwordSoftmax:

@@ -75,7 +75,7 @@ def test_toxicity_learns_from_awkward_rows(spark):
 def test_toxicity_sample_is_bounded_in_bytes(spark):
     rows = spark.createDataFrame([(i, i % 2, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(40)], "draw long, toxic int, text string")
     assert not toxicity._fit(rows, most_bytes=0).folded()[0].any()
-    size = len(toxicity._bag(rows.first().text.split(), {})[0]) * 8
+    size = len(toxicity._bag(rows.first().text.split(), {})[0]) * 4
     some, all_rows = toxicity._fit(rows, most_bytes=9 * size).folded(), toxicity._fit(rows).folded()
     first = toxicity._fit(rows.filter("draw < 8")).folded()
     assert (some[0] == first[0]).all() and not (some[0] == all_rows[0]).all()
