@@ -45,7 +45,8 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """The text in pieces of about ``size`` characters, cut where tokens never join; longer if there is no such place."""
+    """The text in pieces of about ``size`` characters, cut where tokens never join. Where there is no such place a piece is longer, as its tokens
+    depend on all of it; the tokenizer's time grows little faster than its length, its memory with it."""
     start = 0
     while len(text) - start > size:
         joint = JOINT.search(text, start + size)
@@ -164,10 +165,23 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, n_tokens, file, ordinal) for each row of ``docs``, through flat files and their scan.
 
     Null and empty texts have no tokens. Repeated rows are counted each. Empty tables give an empty result; further columns are
-    ignored, whatever their names. Files are written to a new folder in the cluster's shared one.
+    ignored, whatever their names. Files are written to ``folder``, or to a new folder in the cluster's
+    shared one, which is gone when the counts are there.
     """
     spark = docs.sparkSession
+    own = folder is None
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    try:
+        out = _counted(docs, folder, doc_id, text, vocabulary, block_bytes)
+        return cut_lineage(out) if own else out
+    finally:
+        if own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _counted(docs: DataFrame, folder: str, doc_id: str, text: str, vocabulary: str, block_bytes: int) -> DataFrame:
+    spark = docs.sparkSession
     listed = cut_lineage(write_flat(docs, folder, doc_id=doc_id, text=text, vocabulary=vocabulary))
     if listed.isEmpty():
         return listed.select(F.explode("ids").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), "file", F.col("first").alias("ordinal"))
