@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.decontamination import OP9_SQL, op9_decontamination
+from lectern.llm.divergence import OP12_SQL, op12_divergence
 from lectern.llm.licences import op8_licences, op8_sql
 from lectern.llm.mixing import OP7_SQL, op7_mixing
 from lectern.llm.pii import op4_pii
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licences": op8_licences,
         "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
+        "op12_divergence": op12_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL, "op8_licences": op8_sql(), "op9_decontamination": OP9_SQL}
+    return {"op7_mixing": OP7_SQL, "op8_licences": op8_sql(), "op9_decontamination": OP9_SQL, "op12_divergence": OP12_SQL}
