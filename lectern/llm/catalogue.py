@@ -10,6 +10,7 @@ from lectern.llm.decontamination import OP9_SQL, op9_decontamination
 from lectern.llm.divergence import OP12_SQL, op12_divergence
 from lectern.llm.licences import op8_licences, op8_sql
 from lectern.llm.mixing import OP7_SQL, op7_mixing
+from lectern.llm.negatives import OP13_SQL, op13_hard_negatives
 from lectern.llm.pii import op4_pii
 from lectern.llm.quality import op5_quality
 from lectern.llm.sharding import op1_sharding
@@ -32,8 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
         "op12_divergence": op12_divergence,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL, "op8_licences": op8_sql(), "op9_decontamination": OP9_SQL, "op12_divergence": OP12_SQL}
+    return {"op7_mixing": OP7_SQL, "op8_licences": op8_sql(), "op9_decontamination": OP9_SQL, "op12_divergence": OP12_SQL, "op13_hard_negatives": OP13_SQL}
