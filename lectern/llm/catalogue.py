@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.decontamination import OP9_SQL, op9_decontamination
 from lectern.llm.divergence import OP12_SQL, op12_divergence
+from lectern.llm.languages import op11_language_id
 from lectern.llm.licences import op8_licences, op8_sql
 from lectern.llm.mixing import OP7_SQL, op7_mixing
 from lectern.llm.negatives import OP13_SQL, op13_hard_negatives
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licences": op8_licences,
         "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
+        "op11_language_id": op11_language_id,
         "op12_divergence": op12_divergence,
         "op13_hard_negatives": op13_hard_negatives,
     }
