@@ -6,7 +6,7 @@ stretch of words ending there that is part of some item is known. Wherever that
 window's words are hit, and the state tells the items that hold it.
 
 The automaton is made on the driver from a bounded number of item words and broadcast. More items than ``ITEM_WORDS``
-words are dealt into several automata, one pass over the unchanged documents for each. Each one's hits are written before the
+words make several automata, one pass over the unchanged documents for each; a longer item is cut into pieces that share a window less a word. Each one's hits are written before the
 next is made, and are united by document before anything is cut or judged.
 """
 
@@ -142,18 +142,49 @@ def hits(tables: tuple, words: list[str]) -> tuple[list[tuple[int, int]], set[st
     return runs, names
 
 
-def item_groups(items: DataFrame, item_id: str = "item_id", text: str = "text", most_words: int = ITEM_WORDS) -> list[DataFrame]:
-    """All items as (item, text), dealt into groups of some ``most_words`` words, one at least; rows that repeat count once. An item longer than a group is a group of its own."""
+def item_pieces(items: DataFrame, item_id: str, text: str, most_words: int, window: int) -> DataFrame:
+    """(item, words, n): items in normalised words, blank between; rows that repeat count once.
+
+    An item of more than ``most_words`` words is cut into pieces that overlap by a window less a word, so that every window is in one of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, pieces, sizes = [], [], []
+            for item, value in zip(batch.column("item").to_pylist(), batch.column("text")):
+                words = words_in(value.as_py())
+                step = max(1, most_words - window + 1)
+                for at in range(0, max(1, len(words) - window + 1), step):
+                    piece = words[at : at + step + window - 1]
+                    names.append(item)
+                    pieces.append(" ".join(piece))
+                    sizes.append(len(piece))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(pieces, pa.string()), pa.array(sizes, pa.int64())], names=["item", "words", "n"])
+
     listed = items.select(F.coalesce(items[item_id].cast("string"), F.lit("")).alias("item"), items[text].alias("text")).distinct()
-    sized = listed.withColumn("n", F.octet_length(F.coalesce("text", F.lit(""))) / 2 + 1).withColumn("salt", F.pmod(F.xxhash64("item", "text"), F.lit(1 << 16)))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    groups = max(1, int(-(-total // most_words)))
-    return [sized.filter(F.floor(F.col("salt") * groups / (1 << 16)) == g).select("item", "text") for g in range(groups)]
+    return listed.mapInArrow(run, "item string, words string, n long").filter("n > 0")
+
+
+def item_groups(items: DataFrame, item_id: str = "item_id", text: str = "text", most_words: int = ITEM_WORDS, window: int = WINDOW) -> Iterator[list[tuple[str, list[str]]]]:
+    """All items as (item, words), in groups of ``most_words`` words at most (a window's words, where that is more), one group at least.
+
+    The driver holds a group, and a share of the pieces that is about half as large, at a time.
+    """
+    pieces = cut_lineage(item_pieces(items, item_id, text, most_words, window))
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    group, held = [], 0
+    for row in pieces.repartition(max(1, int(-(-2 * total // most_words))), "item", "words").toLocalIterator():
+        if group and held + row.n > most_words:
+            yield group
+            group, held = [], 0
+        group.append((row["item"], row.words.split(" ")))
+        held += row.n
+    yield group
 
 
-def automaton_of(group: DataFrame, window: int = WINDOW) -> ItemAutomaton:
-    """The automaton of one group of items. Items of null or empty text hold no window."""
-    return ItemAutomaton(((r.item, words_in(r.text)) for r in group.toLocalIterator()), window)
+def automata(items: DataFrame, item_id: str, text: str, most_words: int, window: int) -> Iterator[ItemAutomaton]:
+    """The automata of the groups of items, one after the other."""
+    return (ItemAutomaton(group, window) for group in item_groups(items, item_id, text, most_words, window))
 
 
 def scan(docs: DataFrame, automaton: ItemAutomaton, text: str = "text") -> DataFrame:
@@ -205,11 +236,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     an empty result; further columns of either table are ignored, whatever their names.
     """
     narrow = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    groups = item_groups(items, item_id, item_text, most_words)
-    if len(groups) == 1:
-        return scan(narrow, automaton_of(groups[0], window))
+    made = automata(items, item_id, item_text, most_words, window)
+    first, second = next(made), next(made, None)
+    if second is None:
+        return scan(narrow, first)
     named = narrow.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return _united([cut_lineage(scan(named, automaton_of(group, window))) for group in groups])
+    return _united([cut_lineage(scan(named, automaton)) for automaton in chain((first, second), made)])
 
 
 def hit_words(runs: str = "runs"):
@@ -267,15 +299,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     automata all read the unchanged texts; their hits count together, so the result is that of one automaton of all items.
     """
     columns = docs.columns
-    groups = item_groups(items, item_id, item_text, most_words)
-    if len(groups) == 1:
-        docs = _cut(docs, text, most_covered, automaton=automaton_of(groups[0], window))
+    made = automata(items, item_id, item_text, most_words, window)
+    first, second = next(made), next(made, None)
+    if second is None:
+        docs = _cut(docs, text, most_covered, automaton=first)
     else:
         sha, found = free_name(docs, "sha"), free_name(docs, "found")
         named = docs.select(F.sha2(F.col(f"`{text}`"), 256).alias("sha"), F.col(f"`{text}`").alias("text"))
         leaks = None
-        for group in groups:
-            part = cut_lineage(scan(named, automaton_of(group, window)).filter(F.size("runs") > 0).select("sha", "runs").distinct())
+        for automaton in chain((first, second), made):
+            part = cut_lineage(scan(named, automaton).filter(F.size("runs") > 0).select("sha", "runs").distinct())
             leaks = part if leaks is None else leaks.unionByName(part)
         by_text = leaks.groupBy("sha").agg(F.flatten(F.collect_set("runs")).alias(found)).withColumnRenamed("sha", sha)
         docs = _cut(docs.withColumn(sha, F.sha2(F.col(f"`{text}`"), 256)).join(by_text, sha, "left").drop(sha), text, most_covered, found=found)

@@ -39,11 +39,15 @@ def _shifted(way: str, value: Column, bits: Column) -> Column:
     return F.call_function(f"shift{way}", value, bits)
 
 
+def _window_hash(words: Column, i: Column) -> Column:
+    return F.xxhash64(words[i], words[i + 1], words[i + 2])
+
+
 def _window_counts(words: Column) -> tuple[Column, Column]:
     """An array with a key for each 3-word window, sorted, its position in the low bits; and the number of those bits."""
     n = F.size(words)
     bits = F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int")
-    keys = F.transform(F.sequence(F.lit(0), n - 3), lambda i: _shifted("left", _shifted("right", F.xxhash64(words[i], words[i + 1], words[i + 2]), bits), bits).bitwiseOR(i.cast("long")))
+    keys = F.transform(F.sequence(F.lit(0), n - 3), lambda i: _shifted("left", _shifted("right", _window_hash(words, i), bits), bits).bitwiseOR(i.cast("long")))
     return F.when(n >= 3, F.sort_array(keys)).otherwise(F.array().cast("array<bigint>")), bits
 
 
@@ -51,7 +55,7 @@ def statistics(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = (
     """The columns ``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text.
 
     A null text has no words and counts nothing. Lines equal to an earlier line are counted if they hold a word. Windows
-    are told apart by a 64-bit hash, of which a text of n words compares all but log2(n) bits.
+    are sorted by a hash; those with a neighbour of the same one are compared by their words.
     """
     body = F.coalesce(F.col("_text"), F.lit(""))
     base = docs.select(*(docs[c].alias(f"_k{i}") for i, c in enumerate(keep)), docs[text].alias("_text"))
@@ -66,12 +70,16 @@ def statistics(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = (
     keyed = split.withColumns({
         "n_words": F.size("_words").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_keys": keys, "_bits": bits,
-    }).drop("_words", "_lines")
+    }).drop("_lines")
     sorted_keys, low = F.col("_keys"), F.col("_bits")
     same = lambda a, b: _shifted("right", a, low) == _shifted("right", b, low)
-    twice = F.filter(sorted_keys, lambda key, i: F.coalesce(same(F.get(sorted_keys, i - 1), key), F.lit(False)) | F.coalesce(same(F.get(sorted_keys, i + 1), key), F.lit(False)))
-    starts = F.sort_array(F.transform(twice, lambda key: key.bitwiseAND(_shifted("left", F.lit(1).cast("long"), low) - 1)))
-    placed = keyed.withColumn("_starts", starts).drop("_keys", "_bits")
+    beside = lambda array, equal: F.filter(array, lambda x, i: F.coalesce(equal(F.get(array, i - 1), x), F.lit(False)) | F.coalesce(equal(F.get(array, i + 1), x), F.lit(False)))
+    at = F.transform(beside(sorted_keys, same), lambda key: key.bitwiseAND(_shifted("left", F.lit(1).cast("long"), low) - 1).cast("int"))
+    words = F.col("_words")
+    tied = F.sort_array(F.transform(at, lambda i: F.struct(_window_hash(words, i).alias("hash"), F.struct(words[i], words[i + 1], words[i + 2]).alias("words"), i.cast("long").alias("at"))))
+    compared = keyed.withColumn("_tied", tied).drop("_keys", "_bits", "_words")
+    alike = beside(F.col("_tied"), lambda a, b: (a["hash"] == b["hash"]) & (a["words"] == b["words"]))
+    placed = compared.withColumn("_starts", F.sort_array(F.transform(alike, lambda x: x["at"]))).drop("_tied")
     covered = F.aggregate("_starts", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda acc, at: F.struct((acc["n"] + at + 3 - F.greatest(at, acc["end"])).alias("n"), (at + 3).alias("end")))
     return placed.withColumn("n_repeat_words", covered["n"]).select(
         *(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"

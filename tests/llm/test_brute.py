@@ -398,4 +398,4 @@ def test_automata_reach_executors_without_the_package():
 
 def test_repeated_items_count_once(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta")] * 500 + [(2, "other words")], "item_id long, text string")
-    assert len(decontamination.item_groups(items, most_words=1000)) == 1
+    assert len(list(decontamination.item_groups(items, most_words=1000))) == 1

@@ -57,8 +57,8 @@ def test_many_automata_cut_as_one(spark):
             texts.append((len(texts), " ".join(rest + body[i] + items[8 + i][1].split()[-4:] + rest), "en", "a"))
     texts += [(None, None, "en", "a"), (500, "", "en", "a"), *texts[:2]]
     docs, table = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
-    assert len(decontamination.item_groups(table, most_words=300)) > 2
-    one, many = (Counter((r.doc_id, r.text, r.n_chars) for r in decontamination.decontaminate(docs, table, most_words=n).collect()) for n in (400_000, 300))
+    assert len(list(decontamination.item_groups(table, most_words=120))) > 2
+    one, many = (Counter((r.doc_id, r.text, r.n_chars) for r in decontamination.decontaminate(docs, table, most_words=n).collect()) for n in (400_000, 120))
     assert one == many and (0, texts[0][1], len(texts[0][1])) not in one and len(one) > 60
 
 
@@ -68,6 +68,38 @@ def test_many_automata_cut_as_one_in_whole_tables(spark, sf):
     assert one == many
 
 
+def test_long_items_are_cut_into_pieces(spark):
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(3000)}" for _ in range(5000)]
+    items = spark.createDataFrame([(0, " ".join(long)), (1, " ".join(long[100:112])), *((10 + i, f"short {i} item") for i in range(400)), (5, None), (6, "")], "item_id long, text string")
+    groups = list(decontamination.item_groups(items, most_words=1000))
+    assert len(groups) > 5 and all(sum(len(w) for _, w in g) <= 1000 for g in groups)
+    assert [len(w) for g in decontamination.item_groups(items.filter("item_id = 1"), most_words=4) for _, w in g] == [10, 10, 10]
+    texts = [(i, " ".join(["x"] * i + long[k : k + n] + ["y"]), "en", "a") for i, (k, n) in enumerate([(0, 9), (0, 10), (985, 30), (990, 10), (991, 10), (4990, 10), (4991, 9), (100, 12), (0, 5000)])]
+    texts += [(50 + i, f"a short {i} item here", "en", "a") for i in range(5)] + [(None, None, None, None)]
+    docs, rows = documents(spark, texts), lambda most: sorted((r.doc_id or -1, r.n_words, sorted(map(tuple, r.runs)), sorted(r["items"])) for r in decontamination.find_leaks(docs, items, most_words=most).collect())
+    assert rows(1000) == rows(400_000) and rows(3000) == rows(400_000)
+
+
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcde") + rng.choice("xyz") for _ in range(n)) for n in (0, 1, 2, 3, 4, 50, 400)] + [" ".join(f"w{i}" for i in range(20_000)), " ".join(f"w{i % 7000}" for i in range(15_000)), "a a a a", None]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+
+    def plain(text):
+        words = (text or "").split()
+        seen = Counter(zip(words, words[1:], words[2:]))
+        return len({i + k for i, w in enumerate(zip(words, words[1:], words[2:])) if seen[w] > 1 for k in range(3)})
+
+    want = {i: plain(t) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_repeat_words for r in quality.statistics(docs).collect()} == want
+    few = quality._window_hash
+    monkeypatch.setattr(quality, "_window_hash", lambda words, i: F.shiftleft(few(words, i).bitwiseAND(F.lit(255).cast("long")), 55))
+    assert {r.doc_id: r.n_repeat_words for r in quality.statistics(docs).collect()} == want
+
+
 def plain_distances(points):
     """Squared distances by a plain minimum covariance determinant: from the medians, steps until the half no longer changes."""
     least = np.diag(np.array(list(quality.COORDINATES.values())) ** 2)
