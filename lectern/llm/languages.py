@@ -27,6 +27,7 @@ GRAMS = (1, 2, 3, 4)
 #: Rows learnt from: so many of each language, and so many together, languages in turn.
 ROWS_OF_A_LANG = 1_000
 TRAIN_ROWS = 6_000
+SLICE_BITS = 16
 LANDMARKS = 240
 #: Bytes of the landmarks' n-grams.
 LANDMARK_BYTES = 16 << 20
@@ -137,10 +138,12 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def drawn(docs: DataFrame, most_rows: int, most_of_a_lang: int) -> DataFrame:
     """(doc_id, lang, place): ids to learn from, those of the smallest hash, languages in turn; ids come before texts are read.
 
-    Ranks are cut in each task before rows meet, so that a frequent language is not one task's.
+    Counts by slices of the hash tell how far each language's smallest ones reach, so that only those are ranked, however frequent it is.
     """
-    ids = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out()).select("doc_id", "lang").distinct().withColumn("draw", seeded_bits(SEED, F.col("doc_id")))
-    ranked = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).filter(F.col("place") <= most_of_a_lang)
+    ids = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out()).select("doc_id", "lang").distinct().withColumn("draw", seeded_bits(SEED, F.col("doc_id"))).withColumn("slice", F.shiftright("draw", 52 - SLICE_BITS))
+    through = F.sum("n").over(Window.partitionBy("lang").orderBy("slice"))
+    slices = ids.groupBy("lang", "slice").agg(F.count("*").alias("n")).withColumn("before", through - F.col("n")).filter(F.col("before") < most_of_a_lang)
+    ranked = ids.join(slices.select("lang", "slice"), ["lang", "slice"], "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).filter(F.col("place") <= most_of_a_lang)
     return cut_lineage(ranked.orderBy("place", "draw", "doc_id", "lang").limit(most_rows).select("doc_id", "lang", "place"))
 
 
