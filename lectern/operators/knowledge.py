@@ -105,6 +105,38 @@ def merge_groups(entries: DataFrame) -> DataFrame:
     return least_linked(entries, names)
 
 
+def arrival_groups(entries: DataFrame, existing: DataFrame | None = None, run: int = 4096) -> DataFrame:
+    """(entry_id, root): what each entry is merged into when entries arrive in the order of their ids, whole numbers.
+
+    An entry's names are its term and its aliases, normalised, in that order. It joins the entry that has the first of them that anyone has, and is one of
+    its own if none is known; its names then belong to what it joined. So an entry that knows two others joins one and leaves them apart.
+    ``existing`` entries stay as they are; of those with a name the smallest id has it. Blank names and null ids don't count; rows that repeat an id count as one entry.
+
+    Whom a name belongs to is told by the last earlier entry that has it, which is found within runs of ids and then between runs, so that a
+    frequent name is not one task's. Each entry thus points at one earlier entry, and pointers are followed in doubling steps.
+    """
+    named = lambda df: df.filter("entry_id IS NOT NULL").select(F.col("entry_id").cast("long").alias("entry_id"), F.posexplode(F.transform(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>"))), normalize)).alias("nth", "name")).filter("name <> ''")
+    new = named(entries).groupBy("entry_id", "name").agg(F.min("nth").alias("nth")).withColumn("old", F.lit(False))
+    rows = new
+    if existing is not None:
+        held = named(existing).groupBy("name").agg(F.min("entry_id").alias("entry_id"))
+        rows = new.unionByName(held.select("entry_id", "name", F.lit(0).alias("nth"), F.lit(True).alias("old")))
+    # Existing holders come before all that arrive.
+    rows = cut(rows.withColumn("slice", F.when(F.col("old"), -1).otherwise(F.floor(F.col("entry_id") / run))))
+    inner, outer = Window.partitionBy("name", "slice").orderBy("entry_id"), Window.partitionBy("name").orderBy("slice")
+    slices = rows.groupBy("name", "slice").agg(F.max("entry_id").alias("last")).withColumn("earlier", F.lag("last").over(outer)).select("name", "slice", "earlier")
+    told = rows.withColumn("nearest", F.lag("entry_id").over(inner)).join(slices, ["name", "slice"]).withColumn("before", F.coalesce("nearest", "earlier"))
+    points = told.filter("NOT old AND before IS NOT NULL").groupBy("entry_id").agg(F.min_by("before", "nth").alias("root"))
+    ids = entries.filter("entry_id IS NOT NULL").select(F.col("entry_id").cast("long").alias("entry_id")).distinct()
+    pointers = cut(ids.join(points, "entry_id", "left").withColumn("root", F.coalesce("root", "entry_id")))
+    while True:
+        ahead = pointers.filter("entry_id <> root").select(F.col("entry_id").alias("root"), F.col("root").alias("further"))
+        moved = cut(pointers.join(ahead, "root", "left").select("entry_id", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        pointers = moved.select("entry_id", "root")
+        if moved.filter("moved").isEmpty():
+            return pointers
+
+
 def merged_entries(entries: DataFrame, groups: DataFrame, most_aliases: int = 12, most_evidence: int = 10) -> DataFrame:
     """One entry for each root: the first term, the longest definition, distinct aliases and evidence by source and passage, capped."""
     rows = entries.join(groups, "entry_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -64,3 +65,21 @@ def package(passages: DataFrame, signatures: DataFrame, group: str, order: str)
 def report(results: DataFrame, path: str) -> None:
     """Results of a comparison as JSON lines, without previews."""
     results.drop("preview").write.mode("overwrite").json(path)
+
+
+def append_once(stream: DataFrame, path: str, mark: str, key: str, trigger: dict | None = None) -> StreamingQuery:
+    """A log to which each value of ``key`` is written once, however often it is sent and wherever a run broke off.
+
+    Each micro-batch has a folder of its own, which a repeated batch writes over; what other batches have written already is left out.
+    """
+
+    def put(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        fresh = rows.dropDuplicates([key])
+        try:
+            written = spark.read.parquet(path).filter(F.col("batch") != batch_id).select(key)
+        except AnalysisException:
+            written = None  # nothing yet
+        (fresh.join(written, key, "left_anti") if written is not None else fresh).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", mark).trigger(**(trigger or {"availableNow": True})).start()
