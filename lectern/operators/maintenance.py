@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions.fixed import ROLE_SCOPES
 from lectern.functions.text import clean_line, furniture_key, slug
+from lectern.operators.knowledge import cut
 from lectern.operators.structure import role_scope
 
 ROLES = ("viewer", "editor", "owner")
-PAGE_BLOCK = 16
+PAGE_BITS = 32
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -124,6 +125,26 @@ def range_overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when((a > 0) & (b > 0) & (c > 0) & (d > 0), F.greatest(F.lit(0), shared)).otherwise(0)
 
 
+def _blocks_of(first: str, last: str) -> Column:
+    """The fewest blocks (level, number) of 2^level pages that make up a range of pages: two a level at most, however long it is."""
+    low, high = lambda s: s["low"], lambda s: s["high"]
+    block = lambda k, n: F.array(F.struct(k.cast("int").alias("level"), n.alias("number")))
+    none = F.array().cast("array<struct<level: int, number: bigint>>")
+
+    def level(s: Column, k: Column) -> Column:
+        left, right = (low(s) < high(s)) & (low(s) % 2 == 1), (low(s) < high(s)) & (high(s) % 2 == 1)
+        added = F.concat(s["blocks"], F.when(left, block(k, low(s))).otherwise(none), F.when(right, block(k, high(s) - 1)).otherwise(none))
+        return F.struct(F.floor((low(s) + left.cast("long")) / 2).alias("low"), F.floor((high(s) - right.cast("long")) / 2).alias("high"), added.alias("blocks"))
+
+    start = F.struct(F.col(first).cast("long").alias("low"), (F.col(last) + 1).cast("long").alias("high"), none.alias("blocks"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(PAGE_BITS)), start, level)["blocks"]
+
+
+def _blocks_with(page: str) -> Column:
+    """All blocks (level, number) that hold a page."""
+    return F.transform(F.sequence(F.lit(0), F.lit(PAGE_BITS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col(page).cast("long"), k).alias("number")))
+
+
 def _best_of(new: DataFrame, old: DataFrame, points: dict[str, int], base: int, share: int) -> DataFrame:
     """(key, score, prior): the best of ``old`` for each row of ``new``, by equal columns and overlapping pages, ties by prior.
 
@@ -132,7 +153,7 @@ def _best_of(new: DataFrame, old: DataFrame, points: dict[str, int], base: int,
     pairs within a group are not made: what counts of a range is its best row.
     """
     found = []
-    names = list(points)
+    names, new, old = list(points), cut(new), cut(old)
     for mask in range(1 << len(names)):
         equal = ["within", *(c for i, c in enumerate(names) if mask >> i & 1)]
         worth = sum(points[c] for c in equal[1:])
@@ -144,16 +165,15 @@ def _best_of(new: DataFrame, old: DataFrame, points: dict[str, int], base: int,
         if mask:
             plain = theirs.groupBy(*equal).agg(F.min("best").alias("best"))
             found.append(new.filter(real).join(plain, equal).select("key", (worth - F.col("best.less")).alias("score"), "best.prior"))
-        # Ranges meet in blocks of pages, once in the first block that they share.
-        block = lambda page: F.floor(F.col(page) / PAGE_BLOCK)
-        blocks = F.explode(F.sequence(block("first"), block("last"))).alias("block")
-        known = (F.col("first") > 0) & (F.col("last") >= F.col("first"))
-        a = mine.filter(known).select(*equal, "first", "last", blocks)
-        b = theirs.filter(known).select(*equal, F.col("first").alias("o_first"), F.col("last").alias("o_last"), "best", F.explode(F.sequence(block("first"), block("last"))).alias("block"))
+        # Ranges that share pages: the later of the two first pages lies in the other range, so each pair is met once.
+        known = (F.col("first") > 0) & (F.col("last") >= F.col("first")) & (F.col("last") < 1 << PAGE_BITS)
+        a = mine.filter(known)
+        b = theirs.filter(known).select(*equal, F.col("first").alias("o_first"), F.col("last").alias("o_last"), "best")
+        later = a.withColumn("block", F.explode(_blocks_of("first", "last"))).join(b.withColumn("block", F.explode(_blocks_with("o_first"))), [*equal, "block"])
+        earlier = a.withColumn("block", F.explode(_blocks_with("first"))).join(b.withColumn("block", F.explode(_blocks_of("o_first", "o_last"))), [*equal, "block"]).filter("first > o_first")
         shared = F.least("last", "o_last") - F.greatest("first", "o_first") + 1
         shortest = F.least(F.col("last") - F.col("first"), F.col("o_last") - F.col("o_first")) + 1
-        met = a.join(b, [*equal, "block"]).filter((shared > 0) & (F.col("block") == F.floor(F.greatest("first", "o_first") / PAGE_BLOCK)))
-        ranged = met.withColumn("less", F.col("best.less") - worth - base - F.floor(share * shared / shortest + 0.5)).groupBy(*equal, "first", "last").agg(F.min(F.struct("less", "best.prior")).alias("best"))
+        ranged = later.unionByName(earlier).withColumn("less", F.col("best.less") - worth - base - F.floor(share * shared / shortest + 0.5)).groupBy(*equal, "first", "last").agg(F.min(F.struct("less", "best.prior")).alias("best"))
         found.append(new.filter(real).join(ranged, [*equal, "first", "last"]).select("key", (-F.col("best.less")).alias("score"), "best.prior"))
     every = found[0]
     for part in found[1:]:
@@ -167,7 +187,7 @@ def prior_document(new: DataFrame, old: DataFrame, accept: int = 20) -> DataFram
 
     Both have document_id, title, source_name, page_start, page_end; of equal scores the least id wins. Equal ids score 1000, a shared source 12, equal
     titles 45, overlapping pages 45 and up to 20 more by their share of the shorter range. What scores under ``accept`` counts only as the
-    only earlier document of the new one's source. Null or zero pages are unknown, blank titles and sources equal nothing.
+    only earlier document of the new one's source. Null or zero pages and such from 2^32 on are unknown, blank titles and sources equal nothing.
     """
     def shaped(df: DataFrame, name: str) -> DataFrame:
         last = F.coalesce(F.nullif("page_end", F.lit(0)), F.col("page_start"))
