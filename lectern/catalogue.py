@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.queries.activity import ACTIVITY
 from lectern.queries.boundaries import BOUNDARIES
 from lectern.queries.documents import DOCUMENTS
+from lectern.queries.imports import IMPORTS
 from lectern.queries.keyed import KEYED
 from lectern.queries.pages import PAGES
 from lectern.queries.retrieval import RETRIEVAL
@@ -16,7 +17,7 @@ from lectern.queries.texts import TEXTS
 from lectern.queries.upkeep import UPKEEP
 from lectern.queries.works import WORKS
 
-ALL = RETRIEVAL | ACTIVITY | DOCUMENTS | PAGES | UPKEEP | TEXTS | WORKS | BOUNDARIES | KEYED
+ALL = RETRIEVAL | ACTIVITY | DOCUMENTS | PAGES | UPKEEP | TEXTS | WORKS | BOUNDARIES | KEYED | IMPORTS
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
