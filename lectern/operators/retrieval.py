@@ -23,6 +23,7 @@ TEXTS = ("title", "chapter", "teacher_topic", "summary", "explanation", "teacher
 LISTS = ("section_path", "teacher_concepts", "aliases", "keywords")
 BLOCK = 256  # questions whose phrases are looked for together in an item
 PIECE = 5  # letters of a word that are joined on, where it stands within another
+LONG_WORD = 256
 
 
 def as_items(df: DataFrame) -> DataFrame:
@@ -89,15 +90,30 @@ def longest_word(phrase: str) -> Column:
     return F.array_max(words)["word"]
 
 
+def _stretches(text: Column, size: int) -> Column:
+    """A text in stretches of ``size`` letters, each with the few that follow, so that a piece lies within one."""
+    starts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))
+    return F.transform(starts, lambda k: F.substr(text, k * size + 1, F.lit(size + PIECE - 1)))
+
+
 def words_around(words: DataFrame, parts: DataFrame) -> DataFrame:
-    """(word, part) for each of the distinct ``words`` (word) and the ``parts`` (part) that stand in it, by a join on the first letters of the parts."""
+    """(word, part) for each of the distinct ``words`` (word) and the ``parts`` (part) that stand in it, by a join on the first letters of the parts.
+
+    A word of over ``LONG_WORD`` letters is looked at stretch by stretch, under a digest, and read again as a whole only for the parts of which it has the first letters.
+    """
     def pieces(size: int) -> Column:
         places = F.sequence(F.lit(1), F.length("word") - size + 1)
         return F.when(F.length("word") >= size, F.transform(places, lambda i: F.substr(F.col("word"), i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
-    cut_words = words.select("word", F.explode(F.array_distinct(F.concat(*(pieces(n) for n in range(1, PIECE + 1))))).alias("piece"))
+    every_piece = F.explode(F.array_distinct(F.concat(*(pieces(n) for n in range(1, PIECE + 1))))).alias("piece")
     keyed = parts.select("part", F.left("part", F.lit(PIECE)).alias("piece")).distinct()
-    return cut_words.join(keyed, "piece").filter(F.contains("word", F.col("part"))).select("word", "part")
+    cut_words = words.filter(F.length("word") <= LONG_WORD).select("word", every_piece)
+    found = cut_words.join(keyed, "piece").filter(F.contains("word", F.col("part"))).select("word", "part")
+    long = words.filter(F.length("word") > LONG_WORD).select("word", F.sha2("word", 256).alias("digest"))
+    coarse = long.select("digest", F.explode(_stretches(F.col("word"), LONG_WORD * LONG_WORD)).alias("word"))
+    fine = coarse.select("digest", F.explode(_stretches(F.col("word"), LONG_WORD)).alias("word")).select("digest", every_piece)
+    maybe = fine.join(keyed, "piece").select("digest", "part").distinct()
+    return found.unionByName(long.join(maybe, "digest").filter(F.contains("word", F.col("part"))).select("word", "part"))
 
 
 def phrase_hits(known: DataFrame, questions: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -163,13 +163,13 @@ def _(spark, sf):
 
 
 def attempts(spark, sf):
-    """Events as log-ins, drawn closer together: half of them fail."""
-    ts = F.timestamp_seconds(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000))
-    return table(spark, sf, "events").select((F.col("user_id") % 3).alias("user_id"), "event_id", ts.alias("ts"), (F.col("event_id") % 5 < 4).alias("failed"))
+    """Events as log-ins, two hours drawn together to a second: four of five fail."""
+    ts = F.timestamp_seconds(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 7_200_000_000))
+    return table(spark, sf, "events").select("user_id", "event_id", ts.alias("ts"), (F.col("event_id") % 5 < 4).alias("failed"))
 
 
 @ACTIVITY.add("login_lockout", "user_id bigint, event_id bigint, locked boolean", """
-WITH RECURSIVE a AS (SELECT user_id % 3 AS user_id, event_id, epoch_us(ts) // 60000000 AS tm, event_id % 5 < 4 AS failed, row_number() OVER (PARTITION BY user_id % 3 ORDER BY epoch_us(ts) // 60000000, event_id) AS i FROM events),
+WITH RECURSIVE a AS (SELECT user_id, event_id, epoch_us(ts) // 7200000000 AS tm, event_id % 5 < 4 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 7200000000, event_id) AS i FROM events),
 walk AS (
   SELECT user_id, event_id, i, false AS locked, CASE WHEN failed THEN 1 ELSE 0 END AS n, CASE WHEN failed THEN tm ELSE 0 END AS start, 0::BIGINT AS until FROM a WHERE i = 1
   UNION ALL

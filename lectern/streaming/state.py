@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -46,25 +47,43 @@ def _attempt(state: tuple[int, int, int], at: int, failed: bool) -> tuple[tuple[
     return (failures, start, 0), False
 
 
-def lockouts(attempts: DataFrame, key: str = "user_id") -> DataFrame:
-    """(key, ts, locked): whether each attempt (ts, failed) met a lock. The window opens at the first failure, so the state is folded
-    in the order of time: one struct for each key, by an expression."""
-    rows = attempts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").cast("long").alias("at"), "event_id", "failed"))).alias("rows"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("until"), F.array().cast("array<struct<event_id: bigint, locked: boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        locked = x["at"] < acc["until"]
-        fresh = (acc["n"] == 0) | (x["at"] - acc["start"] > LOCK_WINDOW)
-        n = F.when(fresh, 1).otherwise(acc["n"] + 1)
-        shut = x["failed"] & (n >= LOCK_FAILURES)
-        return F.struct(
-            F.when(locked, acc["n"]).when(~x["failed"] | shut, 0).otherwise(n).alias("n"),
-            F.when(locked, acc["start"]).when(~x["failed"] | shut, 0).when(fresh, x["at"]).otherwise(acc["start"]).cast("long").alias("start"),
-            F.when(locked, acc["until"]).when(shut, x["at"] + LOCK_TIME).otherwise(0).cast("long").alias("until"),
-            F.array_append(acc["out"], F.struct(x["event_id"].alias("event_id"), locked.alias("locked"))).alias("out"),
-        )
-
-    return rows.select(key, F.inline(F.aggregate("rows", zero, step)["out"]))
+def _stretched(attempts: DataFrame, key: str, slice_seconds: int) -> DataFrame:
+    """Attempts (key, event_id, at, failed) with ``since``, the first of the stretch of attempts, without a pause of over 15 minutes, that they are in.
+
+    After such a pause no lock and no window is left, so stretches don't depend on each other. Pauses are found in slices of time, then between slices, so that no
+    key's attempts are one task's.
+    """
+    rows = attempts.select(key, "event_id", F.col("ts").cast("timestamp").cast("long").alias("at"), "failed").withColumn("_slice", F.floor(F.col("at") / slice_seconds))
+    inner, outer = Window.partitionBy(key, "_slice").orderBy("at", "event_id"), Window.partitionBy(key).orderBy("_slice")
+    last = rows.groupBy(key, "_slice").agg(F.max("at").alias("_last")).withColumn("_earlier", F.lag("_last").over(outer)).select(key, "_slice", "_earlier")
+    before = F.coalesce(F.lag("at").over(inner), F.col("_earlier"))
+    marked = rows.join(last, [key, "_slice"]).withColumn("_start", F.when(before.isNull() | (F.col("at") - before > max(LOCK_TIME, LOCK_WINDOW)), F.col("at")))
+    starts = marked.groupBy(key, "_slice").agg(F.max("_start").alias("_latest")).withColumn("_open", F.max("_latest").over(outer.rowsBetween(Window.unboundedPreceding, -1))).select(key, "_slice", "_open")
+    since = F.coalesce(F.max("_start").over(inner), F.col("_open"))
+    return marked.join(starts, [key, "_slice"]).select(key, "event_id", "at", "failed", since.alias("since"))
+
+
+def lockouts(attempts: DataFrame, key: str = "user_id", slice_seconds: int = 21_600) -> DataFrame:
+    """(key, event_id, locked): whether each attempt (ts, event_id, failed) met a lock. Five failures within ten minutes of the first lock the key for fifteen
+    minutes; a success clears them, and attempts at a lock change nothing.
+
+    Stretches of attempts are dealt out and run through in the order of time; a task holds three numbers, however many attempts a stretch has.
+    """
+    kind = attempts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, now = None, (0, 0, 0)
+        for batch in batches:
+            locks = []
+            for k, since, at, failed in zip(*(batch.column(c).to_pylist() for c in (key, "since", "at", "failed"))):
+                if (k, since) != of:
+                    of, now = (k, since), (0, 0, 0)
+                now, locked = _attempt(now, at, bool(failed))
+                locks.append(locked)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("event_id"), pa.array(locks, pa.bool_())], names=[key, "event_id", "locked"])
+
+    dealt = _stretched(attempts, key, slice_seconds).repartition(key, "since").sortWithinPartitions(key, "since", "at", "event_id")
+    return dealt.mapInArrow(run, f"`{key}` {kind}, event_id long, locked boolean")
 
 
 def lockout_stream(attempts: DataFrame, key: str = "user_id") -> DataFrame:

@@ -120,3 +120,20 @@ def test_empty_tables(spark):
     assert retrieval.rank(nothing, asked(spark, "algo")).count() == 0
     assert retrieval.rank(items(spark, {"id": "a", "content": "algo"}), asked(spark, "algo").limit(0)).count() == 0
     assert F is not None
+
+
+def test_words_of_megabytes_are_searched_in_stretches(spark):
+    import random
+    import time
+
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    longs = [letters(n) for n in (255, 256, 257, 300, 70_000)]
+    parts = [w[a : a + n] for w in longs for a, n in ((0, 3), (len(w) - 4, 4), (len(w) // 2, 5), (len(w) // 2, 40), (250, 9), (65_530, 12))] + ["x", "abcdabcdabcdx", letters(9), "d"]
+    df = lambda rows, name: spark.createDataFrame([(r,) for r in dict.fromkeys(rows) if r], f"{name} string")
+    got = {(r.word, r.part) for r in retrieval.words_around(df(longs + ["short"], "word"), df(parts, "part")).collect()}
+    assert got == {(w, p) for w in longs + ["short"] for p in set(parts) if p and p in w}
+    huge = letters(2_900_000) + "zebra"
+    start = time.time()
+    assert [r.part for r in retrieval.words_around(df([huge], "word"), df(["zebra", "zebras"], "part")).select("part").collect()] == ["zebra"]
+    assert time.time() - start < 60

@@ -25,7 +25,7 @@ def events(spark, sf, n=300):
 
 
 def test_lockout_stream_is_its_batch(spark, sf):
-    rows = attempts(spark, sf).filter("event_id < 200")
+    rows = attempts(spark, sf).filter("event_id < 200").withColumn("user_id", F.col("user_id") % 3)
     batch = state.lockouts(rows)
     assert batch.filter("locked").count() > 0
     assert_same(streamed(spark, rows, state.lockout_stream, "append").toPandas(), batch.toPandas())
@@ -42,6 +42,25 @@ def test_fifth_failure_locks_and_success_clears(spark):
     assert run(*five[:4], (601, True), (602, False)) == [False] * 6
 
 
+def test_stretches_are_found_across_slices(spark):
+    import random
+
+    rng = random.Random(7)
+    rows, at = [], [0, 0]
+    for i in range(600):
+        u = int(rng.random() < 0.3)
+        at[u] += rng.choice((0, 1, 30, 200, 899, 900, 901, 5000))
+        rows.append((u, i, at[u], rng.random() < 0.85))
+    df = spark.createDataFrame(rows, "user_id long, event_id long, s long, failed boolean").withColumn("ts", F.timestamp_seconds("s"))
+    now, want = {}, {}
+    for u, i, s, failed in rows:
+        now[u], want[i] = state._attempt(now.get(u, (0, 0, 0)), s, failed)
+    for seconds in (21_600, 700):
+        assert {r.event_id: r.locked for r in state.lockouts(df, slice_seconds=seconds).collect()} == want
+    stretches = state._stretched(df, "user_id", 700)
+    assert stretches.select("user_id", "since").distinct().count() > 50 and stretches.count() == 600 and any(want.values())
+
+
 def test_running_statistics(spark, sf):
     rows = events(spark, sf).withColumn("level", F.when(F.col("event_type") == "error", 1).otherwise(0))
     last = streamed(spark, rows, state.running_students, "update").groupBy("user_id").agg(F.max_by(F.struct("interactions", "confusions", "last_ts"), "interactions").alias("x")).select("user_id", "x.*")
