@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import boundaries
+from lectern.operators.structure import lines_of
+from lectern.plans import pages
 from lectern.queries import Catalogue
 from lectern.sources.tables import table
 
@@ -81,3 +83,33 @@ def _(spark, sf):
 @BOUNDARIES.add("chosen_boundaries", "doc bigint, strategy string, page bigint, line bigint, confidence double", f"WITH RECURSIVE {CHOICE_SQL} SELECT r.doc, r.strategy, pos // 100000 AS page, pos % 100000 AS line, CASE WHEN r.strategy = 'looks' THEN greatest(0.55::DOUBLE, least(0.92::DOUBLE, r.confidence)) ELSE r.confidence END AS confidence FROM rows r JOIN choice c ON c.doc = r.doc AND c.strategy = r.strategy")
 def _(spark, sf):
     return _choice(spark, sf)[0]
+
+
+BLOCKS_SQL = """
+l AS (SELECT l_orderkey % 50 AS doc, l_orderkey AS page, l_linenumber AS line_no, 'Título ' || l_partkey AS t, (790 - 14 * l_linenumber)::DOUBLE AS y, (CASE WHEN l_partkey % 3 = 0 THEN 20 ELSE 16 END)::DOUBLE AS fs, l_quantity > 10 AS bold FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
+m AS (SELECT *, fs / median(fs) OVER (PARTITION BY doc, page) AS ratio, row_number() OVER w AS nth, lag(y) OVER w - y AS above, lag(fs) OVER w AS fs_0, lag(bold) OVER w AS bold_0 FROM l WINDOW w AS (PARTITION BY doc, page ORDER BY line_no)),
+s AS (SELECT *, bold OR ratio >= 1.18 AS strong FROM m),
+j AS (SELECT *, CASE WHEN strong AND lag(strong) OVER (PARTITION BY doc, page ORDER BY line_no) AND above <= greatest(16, 0.95 * fs) AND fs = fs_0 AND bold = bold_0 THEN 0 ELSE 1 END AS opens FROM s),
+r AS (SELECT *, sum(opens) OVER (PARTITION BY doc, page ORDER BY line_no) AS run FROM j),
+k AS (SELECT *, (row_number() OVER (PARTITION BY doc, page, run ORDER BY line_no) - 1) // 4 AS part FROM r WHERE strong),
+b AS (SELECT doc, page, run, part, count(*) AS n, min(line_no) AS line_no, max(line_no) AS last_line, string_agg(t, ' ' ORDER BY line_no) AS title, any_value(bold) AS bold, arg_min(ratio, line_no) AS ratio, max(y) AS y FROM k GROUP BY ALL)"""
+
+
+@BOUNDARIES.add("block_headings", "doc bigint, page bigint, line_no bigint, last_line bigint, title string, score bigint, confidence double", f"""
+WITH {BLOCKS_SQL}, z AS (SELECT *, 8 + least(4, 2 * (n - 1)) + CASE WHEN bold THEN 2 ELSE 0 END + CASE WHEN ratio >= 1.22 THEN 2 ELSE 0 END + CASE WHEN ratio >= 1.38 THEN 2 ELSE 0 END + CASE WHEN 1 - y / 800 <= 0.22 THEN 2 ELSE 0 END + 1 + CASE WHEN length(title) <= 85 THEN 1 ELSE 0 END AS score FROM b WHERE n > 1)
+SELECT doc, page, line_no, last_line, title, score, greatest(0.62::DOUBLE, least(0.995::DOUBLE, 0.50::DOUBLE + score * 0.04::DOUBLE)) AS confidence FROM z""")
+def _(spark, sf):
+    """Lines of orders set as pages, close together, in two sizes."""
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.max("l_quantity").alias("l_quantity")).select((F.col("l_orderkey") % 50).alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line_no"), F.concat(F.lit("Título "), F.col("l_partkey").cast("string")).alias("text"), F.lit(40.0).alias("x"), (790 - 14 * F.col("l_linenumber")).cast("double").alias("y"), F.when(F.col("l_partkey") % 3 == 0, 20.0).otherwise(16.0).alias("font_size"), (F.col("l_quantity") > 10).alias("bold"))
+    return pages.block_headings(rows)
+
+
+@BOUNDARIES.add("analysed_documents", "doc bigint, strategy string, n_headings bigint, n_sections bigint, n_unsure bigint, confidence double")
+def _(spark, sf):
+    """Texts set as pages of 30 lines, of every fifth of which the first words are set large and bold."""
+    at, head = F.col("line_no") - 1, F.regexp_replace(F.array_join(F.slice(F.split("line", " "), 1, 5), " "), r"[.!?;:,]+$", "")
+    lines = lines_of(table(spark, sf, "documents")).withColumns({"doc": F.col("doc_id"), "page": (F.floor(at / 30) + 1).cast("long"), "large": at % 5 == 0})
+    placed = lines.select("doc", "page", F.col("line_no").cast("long").alias("line_no"), F.when(F.col("large"), head).otherwise(F.col("line")).alias("text"), F.lit(40.0).alias("x"), (790 - 25 * (at % 30)).cast("double").alias("y"), F.when(F.col("large"), 20.0).otherwise(11.0).alias("font_size"), F.col("large").alias("bold"))
+    documents = placed.groupBy("doc").agg(F.max("page").alias("pages"))
+    outline = placed.filter("doc % 10 = 3 AND large").select("doc", F.col("line_no").alias("nth"), F.col("text").alias("title"), F.lit(1).alias("level"), "page")
+    return pages.analyse(placed, documents, outline)[1]

@@ -61,10 +61,17 @@ def _(spark, sf):
     return layout.lines_from_items(rows, ["page"]).withColumnRenamed("text", "txt")
 
 
-@PAGES.add("heading_scores", "doc bigint, page bigint, line_no bigint, score bigint, confidence double")
+@PAGES.add("heading_scores", "doc bigint, page bigint, line_no bigint, score bigint, confidence double", """
+WITH l AS (SELECT l_suppkey % 50 AS doc, l_orderkey AS page, l_linenumber AS line_no, (790 - 30 * l_linenumber)::DOUBLE AS y, (9 + l_partkey % 6)::DOUBLE AS fs, l_quantity > 30 AS bold FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
+m AS (SELECT *, fs / median(fs) OVER (PARTITION BY doc, page) AS ratio, coalesce(lag(y) OVER w - y, 0) AS above, coalesce(y - lead(y) OVER w, 0) AS below FROM l WINDOW w AS (PARTITION BY doc, page ORDER BY line_no)),
+s AS (
+  SELECT *, 4 + CASE WHEN bold THEN 2 ELSE 0 END + CASE WHEN ratio >= 1.22 THEN 2 ELSE 0 END + CASE WHEN ratio >= 1.38 THEN 2 ELSE 0 END + CASE WHEN 1 - y / 800 <= 0.22 THEN 2 ELSE 0 END + CASE WHEN above >= greatest(1.4 * fs, 10) THEN 2 ELSE 0 END
+         + CASE WHEN below >= greatest(0.9 * fs, 7) THEN 1 ELSE 0 END + 2 AS score FROM m),
+f AS (SELECT *, count(*) OVER (PARTITION BY doc, fs, bold) >= 3 AS many FROM s WHERE score >= 7)
+SELECT doc, page, line_no, score + CASE WHEN many THEN 2 ELSE 0 END AS score, least(0.99::DOUBLE, 0.42::DOUBLE + score * 0.045::DOUBLE + CASE WHEN many THEN 0.08::DOUBLE ELSE 0 END) AS confidence FROM f""")
 def _(spark, sf):
     """Lines of orders set as a page: large and bold now and then."""
-    rows = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 50).alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line_no"), F.concat((F.col("l_linenumber") % 4).cast("string"), F.lit(". Título "), F.col("l_partkey").cast("string")).alias("text"), (790 - 30.0 * F.col("l_linenumber")).alias("y"), (9 + F.col("l_partkey") % 6).cast("double").alias("font_size"), (F.col("l_quantity") > 30).alias("bold"))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.max("l_quantity").alias("l_quantity")).select((F.col("l_suppkey") % 50).alias("doc"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line_no"), F.concat((F.col("l_linenumber") % 4).cast("string"), F.lit(". Título "), F.col("l_partkey").cast("string")).alias("text"), (790 - 30.0 * F.col("l_linenumber")).alias("y"), (9 + F.col("l_partkey") % 6).cast("double").alias("font_size"), (F.col("l_quantity") > 30).alias("bold"))
     return layout.heading_scores(rows, "doc", "page", "line_no")
 
 
