@@ -192,14 +192,6 @@ def round_robin(units: DataFrame, source: str, order: str, k: int) -> DataFrame:
     return ranked.join(first, source).orderBy("turn", "_first").limit(k).drop("_first")
 
 
-def even_sample(rows: DataFrame, by: str, order: str, most: int = 10) -> DataFrame:
-    """Of each group at most ``most`` rows, evenly spaced, the first and the last among them."""
-    n, i = F.count("*").over(Window.partitionBy(by)), F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    placed = rows.withColumns({"_n": n, "_i": i}).withColumn("_c", F.least(F.lit(most), F.col("_n")))
-    wanted = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_c") - 1, F.lit(0)).cast("int")), lambda j: F.floor(j * (F.col("_n") - 1) / F.greatest(F.col("_c") - 1, F.lit(1)) + 0.5))
-    return placed.filter(F.array_contains(wanted, F.col("_i").cast("long"))).drop("_n", "_i", "_c")
-
-
 def within_budget(blocks: DataFrame, by: str, order: str, text: str, most: int, longest: int, least: int = 80) -> DataFrame:
     """Blocks in order up to ``most`` characters, each cut at ``longest``, the last cut to the rest; nothing under ``least`` is begun.
 

@@ -6,12 +6,13 @@ Tables are replaced, not edited: an operator gives the new content of a table fr
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.fixed import ROLE_SCOPES
 from lectern.functions.text import clean_line, furniture_key, slug
 from lectern.operators.knowledge import cut
+from lectern.operators.ranks import numbered as in_places
 from lectern.operators.structure import role_scope
 
 ROLES = ("viewer", "editor", "owner")
@@ -113,9 +114,8 @@ def unique_slugs(rows: DataFrame, title: str, order: str, size: int = 64, defaul
     contested = names.join(before, "child", "left").select("parent", "number", "child", F.coalesce("before", F.lit(-1)).alias("before"), F.regexp_replace("parent", "(-[1-9][0-9]*)+$", "").alias("_family"))
     kept = contested.groupBy("_family").applyInPandas(lambda x: _spared_numbers(x), "_base string, _spared array<int>, _lost boolean")
     told = firsts.join(kept, "_base", "left").select("_base", F.coalesce("_spared", F.array().cast("array<int>")).alias("_spared"), (F.coalesce("_lost", F.lit(False)) | F.col("_taken")).alias("_lost"))
-    nth = F.row_number().over(Window.partitionBy("_base").orderBy(order)) + F.col("_lost").cast("int")
     number = F.aggregate("_spared", F.col("_nth"), lambda n, k: F.when(n >= k, n + 1).otherwise(n))
-    placed = based.filter(~F.col("_old")).join(told, "_base").withColumn("_nth", nth)
+    placed = in_places(based.filter(~F.col("_old")), "_base", order, "_row").join(told, "_base").withColumn("_nth", (F.col("_row") + F.col("_lost").cast("int")).cast("int"))
     return placed.withColumn("slug", F.when(F.col("_nth") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", number.cast("string")))).select(*rows.columns, "slug")
 
 

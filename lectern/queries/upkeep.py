@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import contracts, knowledge, maintenance, passages
+from lectern.operators import contracts, knowledge, maintenance, passages, ranks
 from lectern.queries import Catalogue
 from lectern.queries.texts import fold_sql, key_sql, norm_sql
 from lectern.sources.tables import CORPUS_SQL, bibliography, concepts, corpus, table
@@ -31,7 +31,7 @@ def _(spark, sf):
 
 @UPKEEP.add("even_sample", "source string, doc_id bigint", "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id FROM r WHERE list_contains([floor(j * (n - 1)::DOUBLE / greatest(least(10, n) - 1, 1) + 0.5)::BIGINT for j in range(0, least(10, n))], i)")
 def _(spark, sf):
-    return knowledge.even_sample(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id")
+    return ranks.even_sample(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id")
 
 
 @UPKEEP.add("budget_prefix", "conv_id bigint, turn bigint, kept string", "WITH s AS (SELECT conv_id, turn, text, least(length(text), 450) AS size FROM conversations), r AS (SELECT *, 1350 - coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM s) SELECT conv_id, turn, left(text, least(size, rest)::INT) AS kept FROM r WHERE rest >= 80")

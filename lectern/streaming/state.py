@@ -22,11 +22,16 @@ def as_instants(events: DataFrame, ts: str = "ts") -> DataFrame:
     return events.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def rolling_tokens(requests: DataFrame, by: str = "model", seconds: int = 60) -> DataFrame:
-    """Requests with ``window_tokens``: what was spent in the ``seconds`` up to each request, itself included."""
-    at = F.col("ts").cast("timestamp").cast("double")
-    over = Window.partitionBy(by).orderBy("_at").rangeBetween(-seconds, 0)
-    return requests.withColumn("_at", at).withColumn("window_tokens", F.sum("tokens").over(over)).drop("_at")
+def rolling_tokens(requests: DataFrame, by: str = "model", seconds: int = 60, slice_seconds: int = 3_600) -> DataFrame:
+    """Requests with ``window_tokens``: what was spent in the ``seconds`` up to each request, itself included.
+
+    Requests are summed up in slices of time, no shorter than a window; the last ones of a slice also count in the next.
+    """
+    span = max(seconds, slice_seconds)
+    slices = F.array_distinct(F.array(F.floor(F.col("_at") / span), F.floor((F.col("_at") + seconds) / span)))
+    dealt = requests.withColumn("_at", F.col("ts").cast("timestamp").cast("double")).withColumn("_own", F.floor(F.col("_at") / span)).withColumn("_slice", F.explode(slices))
+    over = Window.partitionBy(by, "_slice").orderBy("_at").rangeBetween(-seconds, 0)
+    return dealt.withColumn("window_tokens", F.sum("tokens").over(over)).filter(F.col("_slice") == F.col("_own")).drop("_at", "_own", "_slice")
 
 
 def admitted(window_tokens: Column, tokens: Column, per_minute: int = 8000, share: float = 0.82) -> Column:
