@@ -152,18 +152,10 @@ def title_similarity(a: Column | str, b: Column | str) -> Column:
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays, one row of the table at a time."""
-    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: j)
-
-    def next_row(row: Column, x: Column, i: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            swap = row[j - 1] + F.when(b[j - 1] == x, 0).otherwise(1)
-            return F.array_append(done, F.least(swap, row[j] + 1, F.element_at(done, -1) + 1))
-
-        return F.when(F.size(b) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), F.array(i), cell)).otherwise(F.array(i))
-
-    numbered = F.transform(a, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
-    return F.element_at(F.aggregate(numbered, first, lambda row, s: next_row(row, s["x"], s["i"])), -1)
+    """Edit distance of two arrays of words: each distinct word becomes one character, so that two texts are compared."""
+    known = F.array_distinct(F.concat(a, b))
+    drawn = lambda words: F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0x10000), 8, "0")), "")), "UTF-32")
+    return F.levenshtein(drawn(a), drawn(b))
 
 
 def error_words(text: Column | str) -> Column:

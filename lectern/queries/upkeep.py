@@ -227,10 +227,10 @@ def _(spark, sf):
     return maintenance.unique_slugs(rows, "title", "p_partkey")
 
 
-@UPKEEP.add("upsert_documents", "doc_id bigint, lang string, source string", "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.lang, o.lang) AS lang, coalesce(n.source, o.source) AS source FROM (SELECT * FROM documents WHERE doc_id % 3 > 0) o FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'xx' END AS lang, 'new' AS source FROM documents WHERE doc_id % 2 = 0) n USING (doc_id)")
+@UPKEEP.add("upsert_documents", "doc_id bigint, lang string, source string", "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.lang, o.lang) AS lang, coalesce(n.source, o.source) AS source FROM (SELECT * FROM documents WHERE doc_id % 3 > 0) o FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'xx' END AS lang, 'new' AS source FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) n USING (doc_id)")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    new = docs.filter("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 4 != 0, "xx").alias("lang"), F.lit("new").alias("source"))
+    new = docs.filter("doc_id % 2 = 0 OR doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 4 != 0, "xx").alias("lang"), F.lit("new").alias("source"))
     return maintenance.upsert(docs.filter("doc_id % 3 > 0"), new, "doc_id")
 
 
@@ -240,11 +240,11 @@ def _(spark, sf):
     return maintenance.replace_where(docs, docs.filter("doc_id % 10 = 3").withColumn("lang", F.lit("new")), "doc_id")
 
 
-@UPKEEP.add("bibliography_merge", "key string, n bigint", "WITH o AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS key FROM part WHERE p_partkey % 2 = 0), n AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS key FROM part WHERE p_partkey % 3 = 0) SELECT key, count(*) AS n FROM (SELECT lower(p_name || ' ' || p_brand) AS key FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT key FROM n WHERE key NOT IN (SELECT key FROM o)) GROUP BY key")
+@UPKEEP.add("bibliography_merge", "key string, n bigint", "WITH o AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS key FROM part WHERE p_partkey % 2 = 0), n AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS key FROM part WHERE p_partkey % 2 = 1 OR p_partkey % 3 = 0) SELECT key, count(*) AS n FROM (SELECT lower(p_name || ' ' || p_brand) AS key FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT key FROM n WHERE key NOT IN (SELECT key FROM o)) GROUP BY key")
 def _(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
     key = F.lower(F.concat_ws(" ", "p_name", "p_brand"))
-    return maintenance.add_missing(part.filter("p_partkey % 2 = 0"), part.filter("p_partkey % 3 = 0"), key).groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+    return maintenance.add_missing(part.filter("p_partkey % 2 = 0"), part.filter("p_partkey % 2 = 1 OR p_partkey % 3 = 0"), key).groupBy(key.alias("key")).agg(F.count("*").alias("n"))
 
 
 @UPKEEP.add("priority_cascade", "section_id bigint, priority string", "SELECT l_orderkey * 10 + l_linenumber AS section_id, CASE WHEN l_returnflag = 'A' THEN 'normal' ELSE coalesce(u.priority, 'normal') END AS priority FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN (SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'central' ELSE 'context' END AS priority FROM customer) u ON u.c_custkey = o_custkey")
