@@ -184,12 +184,15 @@ def dirty_closure(batches: DataFrame, entries: DataFrame, excluded: DataFrame) -
     return dirty.select("passage_id").join(gone, "passage_id", "left_anti")
 
 
+def round_robin_turns(units: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
+    """Units with ``turn``, their place among those of the same ``by``, up to ``k``, and ``_first``, where the first of them stands."""
+    of = Window.partitionBy(*by)
+    return units.withColumn("turn", F.row_number().over(of.orderBy(order))).filter(F.col("turn") <= k).withColumn("_first", F.min(order).over(of))
+
+
 def round_robin(units: DataFrame, source: str, order: str, k: int) -> DataFrame:
-    """The first unit of each source, then the second of each, and so on, up to ``k``. Only ``k`` units of a source can count."""
-    nth = F.row_number().over(Window.partitionBy(source).orderBy(order))
-    ranked = units.withColumn("turn", nth).filter(F.col("turn") <= k)
-    first = ranked.filter("turn = 1").select(source, F.col(order).alias("_first"))
-    return ranked.join(first, source).orderBy("turn", "_first").limit(k).drop("_first")
+    """The first unit of each source, then the second of each, and so on, up to ``k``. Only ``k`` units of a source can count. A null source is one."""
+    return round_robin_turns(units, [source], order, k).orderBy("turn", "_first").limit(k).drop("_first")
 
 
 def within_budget(blocks: DataFrame, by: str, order: str, text: str, most: int, longest: int, least: int = 80) -> DataFrame:
