@@ -14,11 +14,12 @@ from lectern.queries.keyed import KEYED
 from lectern.queries.pages import PAGES
 from lectern.queries.prompts import PROMPTS
 from lectern.queries.retrieval import RETRIEVAL
+from lectern.queries.segments import SEGMENTS
 from lectern.queries.texts import TEXTS
 from lectern.queries.upkeep import UPKEEP
 from lectern.queries.works import WORKS
 
-ALL = RETRIEVAL | ACTIVITY | DOCUMENTS | PAGES | UPKEEP | TEXTS | WORKS | BOUNDARIES | KEYED | IMPORTS | PROMPTS
+ALL = RETRIEVAL | ACTIVITY | DOCUMENTS | PAGES | UPKEEP | TEXTS | WORKS | BOUNDARIES | KEYED | IMPORTS | PROMPTS | SEGMENTS
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
