@@ -64,13 +64,17 @@ def distinct_by_key(rows: DataFrame, by: str, order: str, value: str, most: int,
     return kept.groupBy(by).agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["v"]).alias("values"))
 
 
-def join_overlapping(chunks: Column, least: int = 40, most: int = 320) -> Column:
-    """Chunks joined by a blank line, each without the beginning that repeats the end of what stands before it."""
+def join_overlapping(chunks: Column, least: int = 40, most: int = 320, seam: str = "") -> Column:
+    """Chunks joined by a blank line, each without the beginning that repeats the end of what stands before it, where ``seam`` joins them.
+
+    With a seam, what is left of a chunk loses its leading white space; a chunk of which nothing is left adds nothing.
+    """
 
     def add(done: Column, x: Column) -> Column:
         sizes = F.filter(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), lambda n: (n <= F.length(x)) & (n <= F.length(done)) & (F.right(done, n) == F.left(x, n)))
         rest = F.when(F.size(sizes) > 0, F.substr(x, F.get(sizes, F.lit(0)) + 1)).otherwise(x)
-        return F.when(done == "", x).when(rest == "", done).otherwise(F.concat(done, F.when(F.size(sizes) > 0, F.lit("")).otherwise(F.lit("\n\n")), rest))
+        rest = F.regexp_replace(rest, r"^\s+", "") if seam else rest
+        return F.when(done == "", x).when(rest == "", done).otherwise(F.concat(done, F.when(F.size(sizes) > 0, F.lit(seam)).otherwise(F.lit("\n\n")), rest))
 
     return F.aggregate(chunks, F.lit(""), add)
 

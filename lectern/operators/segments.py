@@ -1,11 +1,14 @@
-"""Sections between boundaries that outside analysis placed on the lines of a text."""
+"""Sections as outside analysis made them: between boundaries on the lines of a text, and from assignments of its chunks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.structure import heading_paths
+from lectern.functions.text import slug
+from lectern.operators.contracts import all_of
+from lectern.operators.knowledge import join_overlapping
+from lectern.operators.structure import heading_paths, islands, with_defaults
 
 # Titles and confidences of what has no heading, the least text before the first heading, and under it a section is its heading only.
 INTRO, WHOLE = ("Material introductorio / sin encabezado detectado", 0.48), ("Material general", 0.35)
@@ -49,3 +52,44 @@ def boundary_sections(lines: DataFrame, boundaries: DataFrame, by: str) -> DataF
     return headed.unionByName(bare.select(
         by, "nth", pick(0).alias("title"), F.lit(1).alias("level"), F.array(pick(0)).alias("path"), F.when(F.col("headed"), F.col("content")).otherwise(F.col("raw")).alias("content"), "page_start", "page_end",
         pick(1).alias("confidence"), F.lit(0).cast("long").alias("children"), F.lit(False).alias("structural_only"), F.lit(True).alias("needs_review")))
+
+
+def assignment_faults(chunks: DataFrame, assignments: DataFrame, by: str) -> DataFrame:
+    """(by, segment_id, fault): chunks and assignments that don't stand one to one in a document.
+
+    ``unassigned``: a chunk without an assignment; ``unknown``: an assignment without a chunk; ``repeated``: a segment with several chunks, ``contested``: with several assignments.
+    """
+    held = chunks.groupBy(by, "segment_id").agg(F.count("*").alias("held"))
+    told = assignments.groupBy(by, "segment_id").agg(F.count("*").alias("told"))
+    met = held.join(told, [by, "segment_id"], "full_outer").fillna(0, ["held", "told"])
+    fault = lambda name, where: met.filter(where).select(by, "segment_id", F.lit(name).alias("fault"))
+    return all_of(fault("unassigned", "told = 0"), fault("unknown", "held = 0"), fault("repeated", "held > 1"), fault("contested", "told > 1"))
+
+
+def assigned_sections(chunks: DataFrame, assignments: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Sections and chunks of the documents whose chunks and assignments stand one to one; a document with a fault stays out as a whole.
+
+    ``chunks``: by, segment_id, pos, content, page_start, page_end, scope, scope_source, priority, priority_source, document_priority; ``assignments``: by, segment_id, title, path, level, role, confidence, rationale.
+    Neighbours with the same title, path, level and role, and the same choices of a teacher, make a section: (by, nth, section_id, title, path, level, role, confidence, page_start, page_end, fragments, evidence, content, scope,
+    scope_source, priority, priority_source, needs_review), whose confidence is the least of its chunks', its text theirs without what overlaps, its evidence their distinct rationales. Chunks: (by, segment_id, section_id, scope, priority).
+    """
+    faulty = assignment_faults(chunks, assignments, by).select(by).distinct()
+    told = assignments.select(by, "segment_id", "title", "path", "level", "role", "confidence", "rationale")
+    met = chunks.join(faulty, by, "left_anti").join(told, [by, "segment_id"])
+    own = lambda c: F.when(F.col(f"{c}_source") == "teacher", F.coalesce(c, F.lit(""))).otherwise(F.lit(""))
+    runs = islands(met.withColumns({"_scope": own("scope"), "_priority": own("priority")}), [by], "pos", "title", "path", "level", "role", "_scope", "_priority")
+    runs = runs.withColumn("section_id", F.concat(slug(F.col(by).cast("string"), 72, "documento"), F.lit("-externa-seccion-"), F.col("island").cast("string")))
+    trimmed = F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", "")
+    in_order = lambda value: F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("v")))), lambda x: x["v"])
+    end = F.coalesce("page_end", "page_start")
+    positive = lambda c: F.when(c > 0, c)
+    sections = runs.groupBy(by, F.col("island").alias("nth"), "section_id", "title", "path", "level", "role").agg(
+        F.min("confidence").alias("confidence"), F.least(F.min(positive(F.col("page_start"))), F.min(positive(end))).alias("page_start"), F.greatest(F.max(positive(F.col("page_start"))), F.max(positive(end))).alias("page_end"), F.count("*").alias("fragments"),
+        F.array_distinct(F.filter(in_order(F.col("rationale")), lambda x: x != "")).alias("evidence"), join_overlapping(F.filter(in_order(trimmed), lambda x: x != ""), seam="\n\n").alias("content"),
+        F.min_by(F.struct("scope", "scope_source", "priority", "priority_source", "document_priority"), "pos").alias("_c"))
+    # A scope counts as a teacher's only where it says so.
+    sections = sections.select("*", "_c.*").drop("_c").withColumn("scope_source", F.coalesce("scope_source", F.lit("role-default")))
+    placed = with_defaults(sections, F.coalesce(F.when(F.col("document_priority").isin("central", "normal", "context"), F.col("document_priority")), F.lit("normal"))).drop("document_priority")
+    of = placed.select("section_id", F.col("scope").alias("_s"), F.col("priority").alias("_p"))
+    kept = runs.select(by, "segment_id", "section_id").join(of, "section_id").select(by, "segment_id", "section_id", F.col("_s").alias("scope"), F.col("_p").alias("priority"))
+    return placed, kept

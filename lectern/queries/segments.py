@@ -67,3 +67,45 @@ def _(spark, sf):
     confidence = F.when(i % 3 == 1, 0.5).when(i % 3 == 2, 0.7).otherwise(0.0)
     told = marked.select("doc_id", "page", "line", F.concat(F.lit("T"), (i % 5).cast("string")).alias("title"), (1 + (i * 7 + F.col("doc_id")) % 5).alias("level"), confidence.alias("confidence"))
     return segments.boundary_sections(lines, told, "doc_id").withColumn("path", F.array_join("path", ">"))
+
+
+ASSIGNED_SQL = """
+c AS (SELECT l_orderkey AS doc, 'g' || l_linenumber AS segment_id, l_linenumber AS pos, repeat('ab ' || l_partkey || ' ', l_suppkey % 30) || repeat('z', 60) AS content, l_linenumber * 2 AS a, l_linenumber * 2 + l_partkey % 3 AS b, CASE WHEN l_suppkey % 5 = 0 THEN 'reference' ELSE 'included' END AS scope, CASE WHEN l_suppkey % 2 = 0 THEN 'teacher' END AS src FROM lineitem),
+x AS (SELECT l_orderkey AS doc, 'g' || (l_linenumber + CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END) AS segment_id, 'T' || l_returnflag AS title, CASE l_linestatus WHEN 'O' THEN 'anexo' ELSE 'contenido' END AS role, l_discount * 10 AS confidence, CASE WHEN l_tax > 0.04 THEN l_linestatus ELSE '' END AS why FROM lineitem),
+n AS (SELECT doc, segment_id, count(*) AS held FROM c GROUP BY ALL), t AS (SELECT doc, segment_id, count(*) AS told FROM x GROUP BY ALL),
+m AS (SELECT doc, segment_id, coalesce(held, 0) AS held, coalesce(told, 0) AS told FROM n FULL JOIN t USING (doc, segment_id)),
+faults AS (SELECT doc, segment_id, 'unassigned' AS fault FROM m WHERE told = 0 UNION ALL SELECT doc, segment_id, 'unknown' FROM m WHERE held = 0 UNION ALL SELECT doc, segment_id, 'repeated' FROM m WHERE held > 1 UNION ALL SELECT doc, segment_id, 'contested' FROM m WHERE told > 1)"""
+
+
+def _assigned(spark, sf):
+    lines, n = table(spark, sf, "lineitem"), F.col("l_linenumber")
+    filler = F.concat(F.lit("ab "), F.col("l_partkey").cast("string"), F.lit(" "))
+    chunks = lines.select(
+        F.col("l_orderkey").alias("doc"), F.concat(F.lit("g"), n.cast("string")).alias("segment_id"), n.alias("pos"), F.concat(F.repeat(filler, (F.col("l_suppkey") % 30).cast("int")), F.lit("z" * 60)).alias("content"), (n * 2).alias("page_start"), (n * 2 + F.col("l_partkey") % 3).alias("page_end"),
+        F.when(F.col("l_suppkey") % 5 == 0, "reference").otherwise("included").alias("scope"), F.when(F.col("l_suppkey") % 2 == 0, "teacher").alias("scope_source"), F.lit("normal").alias("priority"), F.lit(None).cast("string").alias("priority_source"), F.lit("central").alias("document_priority"))
+    moved = F.when(F.col("l_orderkey") % 10 == 0, 1).otherwise(0)
+    told = lines.select(
+        F.col("l_orderkey").alias("doc"), F.concat(F.lit("g"), (n + moved).cast("string")).alias("segment_id"), F.concat(F.lit("T"), "l_returnflag").alias("title"), F.array("l_returnflag", "l_linestatus").alias("path"), F.lit(1).alias("level"),
+        F.when(F.col("l_linestatus") == "O", "anexo").otherwise("contenido").alias("role"), (F.col("l_discount") * 10).alias("confidence"), F.when(F.col("l_tax") > 0.04, F.col("l_linestatus")).otherwise("").alias("rationale"))
+    return chunks, told
+
+
+@SEGMENTS.add("assignment_faults", "doc bigint, segment_id string, fault string", f"WITH {ASSIGNED_SQL} SELECT * FROM faults")
+def _(spark, sf):
+    return segments.assignment_faults(*_assigned(spark, sf), "doc")
+
+
+@SEGMENTS.add("assigned_sections", "doc bigint, nth bigint, section_id string, title string, role string, confidence double, page_start bigint, page_end bigint, fragments bigint, evidence string, content string, scope string, scope_source string, priority string, needs_review boolean", f"""
+WITH RECURSIVE {ASSIGNED_SQL}, j AS (SELECT c.*, x.title, x.role, x.confidence, x.why, CASE WHEN src = 'teacher' THEN scope ELSE '' END AS own FROM c JOIN x USING (doc, segment_id) WHERE doc NOT IN (SELECT doc FROM faults)),
+s AS (SELECT *, CASE WHEN title = lag(title) OVER w AND role = lag(role) OVER w AND own = lag(own) OVER w THEN 0 ELSE 1 END AS start FROM j WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+i AS (SELECT *, sum(start) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS nth, trim(content) AS body FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc, nth ORDER BY pos) AS r FROM i),
+walk AS (SELECT doc, nth, r, body AS done FROM k WHERE r = 1
+  UNION ALL SELECT doc, nth, r, CASE WHEN rest = '' THEN done ELSE done || chr(10) || chr(10) || rest END FROM (
+    SELECT k.doc, k.nth, k.r, done, ltrim(substr(body, 1 + coalesce(list_filter(range(320, 39, -1), lambda z: z <= length(done) AND z <= length(body) AND right(done, z) = left(body, z))[1], 0))) AS rest FROM walk w JOIN k ON k.doc = w.doc AND k.nth = w.nth AND k.r = w.r + 1)),
+g AS (SELECT doc, nth, any_value(title) AS title, any_value(role) AS role, min(confidence) AS confidence, min(a) AS page_start, max(b) AS page_end, count(*) AS fragments, arg_min(own, pos) AS own, coalesce(string_agg(why, '|' ORDER BY pos) FILTER (why <> '' ), '') AS whys, count(DISTINCT why) FILTER (why <> '') AS kinds FROM i GROUP BY doc, nth)
+SELECT doc, nth, doc || '-externa-seccion-' || nth AS section_id, title, role, confidence, page_start, page_end, fragments, CASE WHEN kinds > 0 THEN left(whys, 1) ELSE '' END AS evidence, done AS content,
+       CASE WHEN own <> '' THEN own WHEN role = 'anexo' THEN 'reference' ELSE 'included' END AS scope, CASE WHEN own <> '' THEN 'teacher' ELSE 'role-default' END AS scope_source, 'central' AS priority, confidence < 0.7 AS needs_review
+FROM g JOIN (SELECT doc, nth, arg_max(done, r) AS done FROM walk GROUP BY doc, nth) USING (doc, nth)""")
+def _(spark, sf):
+    return segments.assigned_sections(*_assigned(spark, sf), "doc")[0].withColumn("evidence", F.array_join("evidence", "|"))

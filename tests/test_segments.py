@@ -102,3 +102,26 @@ def test_of_two_boundaries_at_a_line_one_stays(spark):
     lines = spark.createDataFrame([(1, 1, 1, "uno"), (1, 1, 2, "dos")], "doc long, page int, line int, text string")
     marks = spark.createDataFrame([(1, 1, 1, "B", 2, 0.9), (1, 1, 1, "A", 3, 0.7), (1, 9, 9, "C", 1, 0.9)], "doc long, page int, line int, title string, level int, confidence double")
     assert [(r.title, r.level, r.content, r.structural_only) for r in segments.boundary_sections(lines, marks, "doc").collect()] == [("A", 1, "dos", True)]
+
+
+CHUNKS = "doc string, segment_id string, pos int, content string, page_start int, page_end int, scope string, scope_source string, priority string, priority_source string, document_priority string"
+ASSIGNED = "doc string, segment_id string, title string, path array<string>, level int, role string, confidence double, rationale string"
+
+
+def test_assignments_one_to_one_or_not_at_all(spark):
+    tail = "final que se repite al comienzo del que sigue, letra por letra"
+    chunks = [("Doc Á", "a", 1, "uno " + tail, 3, None, "included", None, "normal", None, "central"), ("Doc Á", "b", 2, tail + " dos", 0, 4, "reference", None, "central", "teacher", "central"),
+              ("Doc Á", "c", 3, " ", None, None, "excluded", "teacher", None, None, "odd"), ("Doc Á", "d", 4, None, 9, 9, "excluded", "teacher", None, None, "odd"),
+              ("bad", "a", 1, "x", 1, 1, None, None, None, None, None), ("twice", "a", 1, "x", 1, 1, None, None, None, None, None), ("none", "q", 1, "x", 1, 1, None, None, None, None, None)]
+    chunks[1] = (*chunks[1][:8], "normal", None, "central")
+    told = [("Doc Á", s, "T", ["T"], 1, "contenido", c, w) for s, c, w in (("a", 0.9, "por eso"), ("b", 0.6, "por eso"), ("c", 0.8, None), ("d", 0.8, ""))]
+    told += [("bad", "b", "T", ["T"], 1, "contenido", 0.9, ""), ("twice", "a", "T", ["T"], 1, "contenido", 0.9, ""), ("twice", "a", "U", ["U"], 1, "contenido", 0.9, "")]
+    held, given = spark.createDataFrame(chunks, CHUNKS), spark.createDataFrame(told, ASSIGNED)
+    assert {tuple(r) for r in segments.assignment_faults(held, given, "doc").collect()} == {("bad", "a", "unassigned"), ("bad", "b", "unknown"), ("twice", "a", "contested"), ("none", "q", "unassigned")}
+    sections, kept = segments.assigned_sections(held, given, "doc")
+    first, second = sections.orderBy("nth").collect()
+    assert (first.section_id, first.page_start, first.page_end, first.confidence, first.evidence, first.needs_review) == ("doc-a-externa-seccion-1", 3, 4, 0.6, ["por eso"], True)
+    assert first.content == "uno " + tail + "\n\ndos" and (first.scope, first.priority) == ("included", "central")
+    assert (second.content, second.scope, second.scope_source, second.priority, second.evidence, second.fragments) == ("", "excluded", "teacher", "normal", [], 2)
+    assert {(r.segment_id, r.section_id[-1], r.scope) for r in kept.collect()} == {("a", "1", "included"), ("b", "1", "included"), ("c", "2", "excluded"), ("d", "2", "excluded")}
+    assert segments.assigned_sections(held.limit(0), given, "doc")[0].count() == 0
