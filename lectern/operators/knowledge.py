@@ -40,6 +40,17 @@ def coverage(expected: DataFrame, reviewed: DataFrame, group: str, key: str) ->
     return counted.withColumn("exact", (F.col("missing") == 0) & (F.col("unexpected") == 0))
 
 
+def index_summary(entries: DataFrame, processed: DataFrame, index: DataFrame, group: str) -> DataFrame:
+    """(group, entries, evidence, processed, total, status): how far each course's index has come. ``index``: group, total_passages, status, a row each.
+
+    A course without a row has no total and is empty; null evidence is none; a passage that is processed twice counts once.
+    """
+    held = entries.groupBy(group).agg(F.count("*").alias("entries"), F.sum(F.coalesce(F.array_size("evidence"), F.lit(0))).cast("long").alias("evidence"))
+    done = processed.groupBy(group).agg(F.countDistinct("passage_id").alias("processed"))
+    told = held.join(done, group, "full_outer").join(index.select(group, F.col("total_passages").cast("long").alias("total"), "status"), group, "full_outer")
+    return told.fillna(0, ["entries", "evidence", "processed", "total"]).fillna("empty", ["status"]).select(group, "entries", "evidence", "processed", "total", "status")
+
+
 def is_supported(passage: Column, quote: Column, least: int = 15) -> Column:
     """A quote of some length that stands in the passage, compared normalised."""
     q = normalize(quote)

@@ -231,3 +231,16 @@ def first_of_kinds(hits: DataFrame) -> DataFrame:
     first = Window.partitionBy("q_id", "key").orderBy("kind", "rank")
     order = Window.partitionBy("q_id").orderBy("kind", "rank", "key")
     return hits.withColumn("again", F.row_number().over(first)).filter("again = 1").drop("again").withColumn("place", F.row_number().over(order))
+
+
+def retrieved_ids(hits: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(q_id, ids): the passages that each question's hits stand for, each once, in the order of the hits.
+
+    ``hits``: q_id, place, kind, id; an entry (kind 0) stands for its evidence's sources (``evidence``: id, sources), any other hit for itself. Empty and null ids don't count; a question without any has no row. A question's hits are few.
+    """
+    met = hits.join(evidence.select("id", "sources").withColumn("kind", F.lit(0)), ["id", "kind"], "left")
+    none = F.array().cast("array<string>")
+    meant = F.when(F.col("kind") == 0, F.coalesce(F.col("sources").cast("array<string>"), none)).otherwise(F.array(F.col("id").cast("string")))
+    listed = F.array_sort(F.collect_list(F.struct("place", "kind", "id", meant.alias("ids"))))
+    told = met.groupBy("q_id").agg(F.array_distinct(F.filter(F.flatten(F.transform(listed, lambda x: x["ids"])), lambda x: x != "")).alias("ids"))
+    return told.filter(F.size("ids") > 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import slug
+from lectern.functions.text import fold, slug
 from lectern.operators.contracts import all_of
 from lectern.operators.knowledge import join_overlapping
 from lectern.operators.structure import heading_paths, islands, with_defaults
@@ -93,3 +93,45 @@ def assigned_sections(chunks: DataFrame, assignments: DataFrame, by: str) -> tup
     of = placed.select("section_id", F.col("scope").alias("_s"), F.col("priority").alias("_p"))
     kept = runs.select(by, "segment_id", "section_id").join(of, "section_id").select(by, "segment_id", "section_id", F.col("_s").alias("scope"), F.col("_p").alias("priority"))
     return placed, kept
+
+
+def section_fragments(sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(section, document_id, page_start, page_end, fragments, preview, text): the chunks that make up each section of a document.
+
+    ``sections``: section (a key), document_id, section_id, path, title, page_start, page_end. ``chunks``: chunk (a key), document_id, section_id, path, title, page_start, page_end, content. A chunk is a section's if it is of the
+    document and has the section's id, or its path and its title, but for a part's number. Chunks are told by page, then by key; pages that a section lacks are those of its first chunk. Two
+    equality joins stand for the two ways. Ids that are null or empty match nothing; a null path is an empty one.
+    """
+    joined = F.array_join(F.coalesce("path", F.array().cast("array<string>")), " › ", "")
+    key = F.regexp_replace(F.regexp_replace(fold("title"), "[^a-z0-9]+", "-"), "^-|-$", "")
+    held = sections.select("section", "document_id", F.nullif("section_id", F.lit("")).alias("section_id"), joined.alias("p"), key.alias("t"), F.nullif("page_start", F.lit(0)).alias("a"), F.nullif("page_end", F.lit(0)).alias("b"))
+    found = chunks.select("chunk", "document_id", F.nullif("section_id", F.lit("")).alias("section_id"), joined.alias("p"), F.regexp_replace(key, "-parte-[0-9]+$", "").alias("t"), "content", F.coalesce(F.nullif("page_start", F.lit(0)), F.lit(0)).alias("from"), F.nullif("page_end", F.lit(0)).alias("to"))
+    ways = [held.join(found.select("document_id", *on, "chunk"), ["document_id", *on]).select("section", "chunk") for on in (["section_id"], ["p", "t"])]
+    rows = ways[0].unionByName(ways[1]).distinct().join(found.select("chunk", "content", "from", "to"), "chunk")
+    listed = F.array_sort(F.collect_list(F.struct("from", "chunk", F.coalesce("content", F.lit("")).alias("content"), "to")))
+    told = rows.groupBy("section").agg(listed.alias("rows")).select("section", F.size("rows").alias("n"), F.get("rows", F.lit(0)).alias("first"), F.trim(F.array_join(F.transform("rows", lambda r: r["content"]), " ")).alias("text"))
+    met = held.join(told, "section", "left")
+    first = F.nullif(F.col("first")["from"], F.lit(0))
+    text = F.coalesce("text", F.lit(""))
+    return met.select("section", "document_id", F.coalesce("a", first).alias("page_start"), F.coalesce("b", F.col("first")["to"], first).alias("page_end"), F.coalesce("n", F.lit(0)).alias("fragments"), F.left(text, F.lit(180)).alias("preview"), text.alias("text"))
+
+
+# Kinds of documents by their lines, and the words that tell them.
+THESIS, MONOGRAPH, STRUCTURED, ARTICLE, NOTES, PLAIN = "tesis / trabajo académico", "libro / monografía", "documento estructurado", "artículo académico", "apunte / documento breve", "documento sin estructura explícita"
+OF_THESES, OF_ARTICLES = "tesis|disertación|doctoral|maestría|universidad", "abstract|resumen|keywords|palabras clave|doi"
+
+
+def document_forms(pages: DataFrame, lines: DataFrame, structured: DataFrame, by: str, opening: int = 8) -> DataFrame:
+    """(by, pages, long_lines, short_share, form): what kind of document the pages are of.
+
+    ``pages``: by, page, each page once; ``lines``: by, page, text; ``structured``: documents that have a contents list or an outline. Words are looked for in the lines of the first ``opening`` pages, one line at a time. Lines of over 90
+    characters are long, up to 70 short; a document without lines has a share of 0.
+    """
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("page"))
+    first = pages.select(by, "page", nth.alias("nth")).filter(F.col("nth") <= opening).select(by, "page", F.lit(True).alias("opens"))
+    said = lambda words: F.coalesce(F.bool_or(F.coalesce("opens", F.lit(False)) & F.col("text").rlike(rf"(?iu)(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])")), F.lit(False))
+    told = lines.join(first, [by, "page"], "left").groupBy(by).agg(F.count_if(F.length("text") > 90).alias("long_lines"), F.avg((F.length("text") <= 70).cast("int")).alias("short_share"), said(OF_THESES).alias("thesis"), said(OF_ARTICLES).alias("article"))
+    met = pages.groupBy(by).agg(F.count("*").alias("pages")).join(told, by, "left").join(structured.select(by).distinct().withColumn("has", F.lit(True)), by, "left").fillna(0, ["long_lines", "short_share"]).fillna(False, ["thesis", "article", "has"])
+    of_structure = F.when(F.col("thesis"), THESIS).when(F.col("pages") >= 25, MONOGRAPH).otherwise(STRUCTURED)
+    form = F.when(F.col("has"), of_structure).when(F.col("article") & (F.col("long_lines") > 5), ARTICLE).when((F.col("short_share") > 0.62) & (F.col("pages") <= 40), NOTES).otherwise(PLAIN)
+    return met.select(by, "pages", "long_lines", "short_share", form.alias("form"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import patches, segments
+from lectern.operators import knowledge, patches, retrieval, segments
 from lectern.operators.ranks import numbered
 from lectern.queries import Catalogue
 from lectern.sources.tables import table
@@ -12,7 +12,7 @@ from lectern.sources.tables import table
 SEGMENTS = Catalogue()
 
 PATCH_SQL = """
-r AS (SELECT l_orderkey * 100 + l_linenumber * 10 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) AS row_id, CASE WHEN l_linenumber % 3 > 0 THEN 's' || (l_orderkey * 10 + l_linenumber) END AS section_id, l_orderkey::VARCHAR AS did, 't' || l_linenumber % 2 AS title,
+r AS (SELECT l_orderkey * 100 + l_linenumber * 10 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS row_id, CASE WHEN l_linenumber % 3 > 0 THEN 's' || (l_orderkey * 10 + l_linenumber) END AS section_id, l_orderkey::VARCHAR AS did, 't' || l_linenumber % 2 AS title,
              [l_linestatus, l_returnflag, l_linenumber::VARCHAR][1 : 1 + l_partkey % 3] AS path, l_linenumber * 2 AS a, l_linenumber * 2 + l_suppkey % 4 AS b FROM lineitem),
 p AS (SELECT o_orderkey AS patch_id, CASE WHEN o_orderkey % 2 = 0 THEN 's' || (o_orderkey * 10 + 1) ELSE 'old' END AS section_id, o_orderkey::VARCHAR AS pdid, 't' || o_orderkey % 2 AS title, ['O', 'N'][1 : 1 + o_custkey % 2] AS path, o_orderkey % 9 AS a, o_orderkey % 9 + 3 AS b,
              CASE WHEN o_custkey % 3 > 0 THEN 'reference' END AS scope, NULL AS priority FROM orders),
@@ -24,8 +24,8 @@ m AS (
 
 def _sections(spark, sf):
     line = F.col("l_linenumber")
-    keyed = table(spark, sf, "lineitem").withColumn("place", F.col("l_orderkey") * 10 + line)
-    rows = numbered(keyed, "place", "l_partkey").select(
+    keyed = table(spark, sf, "lineitem").withColumns({"place": F.col("l_orderkey") * 10 + line, "_by": F.struct("l_partkey", "l_suppkey", "l_extendedprice")})
+    rows = numbered(keyed, "place", "_by").select(
         (F.col("place") * 10 + F.col("nth")).alias("row"), F.when(line % 3 > 0, F.concat(F.lit("s"), F.col("place").cast("string"))).alias("section_id"), F.col("l_orderkey").cast("string").alias("document_id"), F.concat(F.lit("t"), (line % 2).cast("string")).alias("title"),
         F.slice(F.array("l_linestatus", "l_returnflag", line.cast("string")), F.lit(1), (F.col("l_partkey") % 3 + 1).cast("int")).alias("path"), (line * 2).alias("page_start"), (line * 2 + F.col("l_suppkey") % 4).alias("page_end"), F.lit("included").alias("scope"))
     k = F.col("o_orderkey")
@@ -109,3 +109,55 @@ SELECT doc, nth, doc || '-externa-seccion-' || nth AS section_id, title, role, c
 FROM g JOIN (SELECT doc, nth, arg_max(done, r) AS done FROM walk GROUP BY doc, nth) USING (doc, nth)""")
 def _(spark, sf):
     return segments.assigned_sections(*_assigned(spark, sf), "doc")[0].withColumn("evidence", F.array_join("evidence", "|"))
+
+
+@SEGMENTS.add("section_fragments", "section bigint, document_id bigint, page_start bigint, page_end bigint, fragments bigint, preview string, text string", """
+WITH s AS (SELECT o_orderkey AS section, o_orderkey AS doc, CASE WHEN o_orderkey % 3 = 0 THEN 's1' END AS sid, 'Título ' || o_orderkey % 2 AS title, o_orderstatus AS path, CASE WHEN o_orderkey % 4 > 0 THEN 5 END AS a, CASE WHEN o_orderkey % 4 = 1 THEN 6 END AS b FROM orders),
+c AS (SELECT l_orderkey AS doc, l_linenumber * 100000000 + l_partkey * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_suppkey, l_extendedprice) + l_orderkey * 100000000000 AS chunk, 's' || l_linenumber % 3 AS sid, l_linestatus AS path, l_linenumber % 2 AS t, l_suppkey % 4 AS a, l_suppkey % 4 + l_partkey % 2 AS b, 'c' || l_partkey AS content FROM lineitem),
+m AS (SELECT section, s.doc, s.a, s.b, chunk, c.a AS ca, nullif(c.b, 0) AS cb, content FROM s LEFT JOIN c ON c.doc = s.doc AND (c.sid = s.sid OR (c.path = s.path AND c.t = s.section % 2))),
+g AS (SELECT section, doc, any_value(a) AS a, any_value(b) AS b, count(chunk) AS n, list({'ca': ca, 'chunk': chunk, 'cb': cb} ORDER BY ca, chunk)[1] AS f, coalesce(string_agg(content, ' ' ORDER BY ca, chunk), '') AS text FROM m GROUP BY section, doc)
+SELECT section, doc AS document_id, coalesce(a, nullif(f.ca, 0)) AS page_start, coalesce(b, f.cb, nullif(f.ca, 0)) AS page_end, n AS fragments, left(text, 180) AS preview, text FROM g""")
+def _(spark, sf):
+    k, n = F.col("o_orderkey"), F.col("l_linenumber")
+    sections = table(spark, sf, "orders").select(
+        k.alias("section"), k.alias("document_id"), F.when(k % 3 == 0, "s1").alias("section_id"), F.concat(F.lit("Título "), (k % 2).cast("string")).alias("title"), F.array("o_orderstatus").alias("path"), F.when(k % 4 > 0, 5).alias("page_start"), F.when(k % 4 == 1, 6).alias("page_end"))
+    lines = table(spark, sf, "lineitem").withColumn("place", F.col("l_orderkey") * 100_000_000_000 + n * 100_000_000 + F.col("l_partkey") * 1000).withColumn("_by", F.struct("l_suppkey", "l_extendedprice"))
+    chunks = numbered(lines, "place", "_by").select(
+        (F.col("place") + F.col("nth")).alias("chunk"), F.col("l_orderkey").alias("document_id"), F.concat(F.lit("s"), (n % 3).cast("string")).alias("section_id"), F.array("l_linestatus").alias("path"), F.concat(F.lit("TITULO "), (n % 2).cast("string"), F.lit(" · parte "), n.cast("string")).alias("title"),
+        (F.col("l_suppkey") % 4).alias("page_start"), (F.col("l_suppkey") % 4 + F.col("l_partkey") % 2).alias("page_end"), F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("content"))
+    return segments.section_fragments(sections, chunks)
+
+
+@SEGMENTS.add("document_forms", "doc_id bigint, pages bigint, long_lines bigint, short_share double, form string", rf"""
+WITH l AS (SELECT doc_id, i // 2 AS page, line AS text FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), 'e ')) AS line, generate_subscripts(string_split(coalesce(text, ''), 'e '), 1) AS i FROM documents)),
+p AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS nth FROM (SELECT DISTINCT doc_id, page FROM l)),
+t AS (SELECT doc_id, count(*) FILTER (length(text) > 90) AS long_lines, avg((length(text) <= 70)::INT) AS short_share, max(page) - min(page) + 1 AS pages, bool_or(nth <= 8 AND regexp_matches(text, '(?i)\b({segments.OF_THESES})\b')) AS thesis, bool_or(nth <= 8 AND regexp_matches(text, '(?i)\b({segments.OF_ARTICLES})\b')) AS article FROM l JOIN p USING (doc_id, page) GROUP BY doc_id)
+SELECT doc_id, pages, long_lines, short_share, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN thesis THEN '{segments.THESIS}' WHEN pages >= 25 THEN '{segments.MONOGRAPH}' ELSE '{segments.STRUCTURED}' END
+       WHEN article AND long_lines > 5 THEN '{segments.ARTICLE}' WHEN short_share > 0.62::DOUBLE AND pages <= 40 THEN '{segments.NOTES}' ELSE '{segments.PLAIN}' END AS form FROM t""")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "e ")).alias("i", "text")).withColumn("page", F.floor((F.col("i") + 1) / 2))
+    return segments.document_forms(lines.select("doc_id", "page").distinct(), lines, docs.filter("doc_id % 3 = 0"), "doc_id")
+
+
+@SEGMENTS.add("retrieved_ids", "q_id bigint, ids string", """
+WITH h AS (SELECT l_orderkey AS q_id, l_linenumber AS place, l_suppkey % 3 AS kind, l_partkey AS id FROM lineitem),
+x AS (SELECT q_id, place, kind, id, 1 AS i, id::VARCHAR AS v FROM h WHERE kind > 0 UNION ALL SELECT q_id, place, kind, id, i, [p_brand, p_type][i] FROM h JOIN part ON p_partkey = id, (SELECT unnest([1, 2]) AS i) WHERE kind = 0),
+f AS (SELECT q_id, v, min({'p': place, 'k': kind, 'id': id, 'i': i}) AS a FROM x GROUP BY q_id, v)
+SELECT q_id, string_agg(v, '|' ORDER BY a) AS ids FROM f GROUP BY q_id""")
+def _(spark, sf):
+    hits = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("q_id"), F.col("l_linenumber").alias("place"), (F.col("l_suppkey") % 3).alias("kind"), F.col("l_partkey").alias("id"))
+    entries = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array("p_brand", F.lit(None), F.lit(""), "p_type").alias("sources"))
+    return retrieval.retrieved_ids(hits, entries).withColumn("ids", F.array_join("ids", "|"))
+
+
+@SEGMENTS.add("index_summary", "p_brand string, entries bigint, evidence bigint, processed bigint, total bigint, status string", """
+WITH e AS (SELECT p_brand, count(*) AS entries, sum(CASE WHEN p_size % 4 = 0 THEN 0 ELSE 2 END) AS evidence FROM part GROUP BY p_brand), d AS (SELECT p_brand, count(DISTINCT l_orderkey) AS processed FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand),
+i AS (SELECT 'Brand#' || s_suppkey AS p_brand, s_suppkey * 3 AS total, s_name AS status FROM supplier)
+SELECT p_brand, coalesce(entries, 0) AS entries, coalesce(evidence, 0) AS evidence, coalesce(processed, 0) AS processed, coalesce(total, 0) AS total, coalesce(status, 'empty') AS status FROM e FULL JOIN d USING (p_brand) FULL JOIN i USING (p_brand)""")
+def _(spark, sf):
+    part = table(spark, sf, "part")
+    entries = part.select("p_brand", F.when(F.col("p_size") % 4 > 0, F.array("p_name", "p_type")).alias("evidence"))
+    done = table(spark, sf, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select("p_brand", F.col("l_orderkey").alias("passage_id"))
+    index = table(spark, sf, "supplier").select(F.concat(F.lit("Brand#"), F.col("s_suppkey").cast("string")).alias("p_brand"), (F.col("s_suppkey") * 3).alias("total_passages"), F.col("s_name").alias("status"))
+    return knowledge.index_summary(entries, done, index, "p_brand")

@@ -4,7 +4,7 @@ import random
 import re
 import unicodedata
 
-from lectern.operators import patches, segments
+from lectern.operators import knowledge, patches, retrieval, segments
 
 ROWS = "row long, section_id string, document_id string, title string, path array<string>, page_start int, page_end int, scope string, note string"
 PATCHES = "patch_id long, section_id string, document_id string, title string, path array<string>, page_start int, page_end int, scope string, priority string, note string"
@@ -125,3 +125,32 @@ def test_assignments_one_to_one_or_not_at_all(spark):
     assert (second.content, second.scope, second.scope_source, second.priority, second.evidence, second.fragments) == ("", "excluded", "teacher", "normal", [], 2)
     assert {(r.segment_id, r.section_id[-1], r.scope) for r in kept.collect()} == {("a", "1", "included"), ("b", "1", "included"), ("c", "2", "excluded"), ("d", "2", "excluded")}
     assert segments.assigned_sections(held.limit(0), given, "doc")[0].count() == 0
+
+
+def test_fragments_of_sections(spark):
+    sections = spark.createDataFrame([(1, "d", "s", "Título", ["I", "a"], None, 9), (2, "d", None, "Título", ["I"], 3, None), (3, "e", "s", "", None, None, None), (4, "d", "", "Solo", None, None, None)], "section long, document_id string, section_id string, title string, path array<string>, page_start int, page_end int")
+    chunks = spark.createDataFrame([(10, "d", "s", "otro", ["x"], 7, 8, "siete"), (11, "d", None, "titulo · parte 12", ["I", "a"], 2, 2, "dos"), (12, "d", "s", "Título", ["I", "a"], 2, None, None), (13, "d", None, "TÍTULO", ["I"], 0, 0, "x" * 500), (14, None, "s", "", None, 1, 1, "no")],
+                                   "chunk long, document_id string, section_id string, title string, path array<string>, page_start int, page_end int, content string")
+    found = {r.section: tuple(r)[1:] for r in segments.section_fragments(sections, chunks).collect()}
+    assert found == {1: ("d", 2, 9, 3, "dos  siete", "dos  siete"), 2: ("d", 3, None, 1, "x" * 180, "x" * 500), 3: ("e", None, None, 0, "", ""), 4: ("d", None, None, 0, "", "")}
+
+
+def test_forms_of_documents(spark):
+    long, short = "l" * 91, "s" * 70
+    made = {"thesis": (3, [(1, "Tesis doctoral")]), "book": (25, []), "guide": (24, [(9, "tesis")]), "paper": (3, [(2, "ABSTRACT"), *[(3, long)] * 6]), "late": (9, [(9, "doi"), *[(1, long)] * 6]), "few": (3, [(1, "doi"), *[(1, long)] * 5]),
+            "notes": (40, [(1, short)] * 2 + [(2, long)]), "many": (41, [(1, short)]), "within": (3, [(1, "xdoi doix"), *[(1, long)] * 6]), "empty": (1, []), "null": (1, [(1, None)])}
+    pages = spark.createDataFrame([(d, p) for d, (n, _) in made.items() for p in range(1, n + 1)], "doc string, page int")
+    lines = spark.createDataFrame([(d, *x) for d, (_, ls) in made.items() for x in ls], "doc string, page int, text string")
+    found = {r.doc: r.form for r in segments.document_forms(pages, lines, spark.createDataFrame([("thesis",), ("book",), ("guide",), ("book",)], "doc string"), "doc").collect()}
+    s = segments
+    assert found == {"thesis": s.THESIS, "book": s.MONOGRAPH, "guide": s.STRUCTURED, "paper": s.ARTICLE, "late": s.PLAIN, "few": s.PLAIN, "notes": s.NOTES, "many": s.PLAIN, "within": s.PLAIN, "empty": s.PLAIN, "null": s.PLAIN}
+
+
+def test_ids_and_summaries(spark):
+    hits = spark.createDataFrame([(1, 2, 2, "p"), (1, 1, 0, "e"), (1, 3, 1, "c"), (1, 4, 2, "q"), (2, 1, 0, "f"), (2, 2, 2, None), (3, 1, 0, "none")], "q_id int, place int, kind int, id string")
+    entries = spark.createDataFrame([("e", ["q", None, "", "r", "q"]), ("f", None), ("p", ["never"])], "id string, sources array<string>")
+    assert {r.q_id: r.ids for r in retrieval.retrieved_ids(hits, entries).collect()} == {1: ["q", "r", "p", "c"]}
+    index = spark.createDataFrame([("a", 7, "partial"), ("z", None, None)], "course string, total_passages int, status string")
+    made = spark.createDataFrame([("a", ["x", "y"]), ("a", None), ("b", [])], "course string, evidence array<string>")
+    done = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2)], "course string, passage_id int")
+    assert {tuple(r) for r in knowledge.index_summary(made, done, index, "course").collect()} == {("a", 2, 2, 2, 7, "partial"), ("b", 1, 0, 0, 0, "empty"), ("z", 0, 0, 0, 0, "empty")}
