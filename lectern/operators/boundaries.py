@@ -14,9 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import core_title, title_similarity
+from lectern.functions.text import core_title
 from lectern.operators.knowledge import cut
-from lectern.operators.layout import keep_best_neighbour
+from lectern.operators.layout import keep_best_neighbour, similar_titles
 
 STRATEGIES = ("contents", "outline", "looks", "whole")
 WHOLE_TITLE = "Material general"
@@ -32,14 +32,10 @@ def place(page: Column | str, line: Column | str) -> Column:
 
 
 def scored_pairs(entries: DataFrame, headings: DataFrame) -> DataFrame:
-    """(doc, nth, at, score): headings that each entry (title, number, target) may mean, with their places.
-
-    Titles so similar share a word of three letters or are equal, so pairs come from a join on words and are scored once.
-    """
-    words = lambda c: F.explode(F.array_distinct(F.concat(F.array(core_title(c)), F.filter(F.split(core_title(c), " "), lambda w: F.length(w) >= 3))))
-    e = entries.select("doc", "nth", F.col("title").alias("e_title"), F.col("number").alias("e_number"), "target", words("title").alias("word"))
-    h = headings.select("doc", F.col("title").alias("h_title"), F.col("number").alias("h_number"), "page", place("page", "line").alias("at"), "confidence", words("title").alias("word"))
-    pairs = e.join(h, ["doc", "word"]).drop("word").distinct().withColumn("similarity", title_similarity("h_title", "e_title")).filter(F.col("similarity") >= LEAST_SIMILAR)
+    """(doc, nth, at, score): headings that each entry (title, number, target) may mean, with their places. Titles are compared once for each document."""
+    e = entries.select("doc", "nth", F.col("title").alias("e_title"), F.col("number").alias("e_number"), "target")
+    h = headings.select("doc", F.col("title").alias("h_title"), F.col("number").alias("h_number"), "page", place("page", "line").alias("at"), "confidence")
+    pairs = e.join(similar_titles(entries, headings, "doc", LEAST_SIMILAR), ["doc", "e_title"]).join(h, ["doc", "h_title"])
     numbered = F.when((F.col("e_number") != "") & (F.col("e_number") == F.col("h_number")), 0.22).otherwise(0.0)
     near = F.greatest(F.lit(0.0), 0.18 - 0.004 * F.abs(F.col("page") - F.col("target")))
     return pairs.groupBy("doc", "nth", "at").agg(F.max(0.62 * F.col("similarity") + numbered + near + 0.16 * F.col("confidence")).alias("score"))
@@ -49,25 +45,41 @@ def aligned(pairs: DataFrame) -> DataFrame:
     """(doc, nth, at, score) of ``pairs`` in which every entry has one place at most, no place is before that of an earlier entry, and the
     scores (to six digits) add up to most; of equal sums the one whose last, and so on backwards, comes first among the pairs.
 
-    A fold over a document's pairs in order: each takes the best sum that may precede it, and remembers which that was.
+    A walk over a document's pairs in order, in n log n steps: each takes the best sum that may precede it, and remembers which that was.
     """
-    listed = pairs.select("doc", "nth", "at", F.round(F.col("score") * 1_000_000).cast("long").alias("weight"), "score")
+    def chain(nth: list[int | None], at: list[int | None], weight: list[int]) -> list[int]:
+        """Which of a document's sorted pairs make the heaviest chain. ``most`` is a Fenwick tree over the places: the best chain that ends at one of
+        them or before, with the pair that ends it; pairs of one entry go in together, when the next begins."""
+        ranks = {x: i + 1 for i, x in enumerate(sorted({x for x in at if x is not None}))}
+        most: list[tuple[int, int] | None] = [None] * (len(ranks) + 1)
+        before, totals, waiting = [], [], []
+        for i, (n, a, w) in enumerate(zip(nth, at, weight)):
+            if waiting and nth[waiting[0]] != n:
+                for j in waiting:
+                    k = ranks[at[j]]
+                    while k < len(most):
+                        most[k] = max(most[k] or (totals[j], -j), (totals[j], -j))
+                        k += k & -k
+                waiting = []
+            best, k = None, 0 if n is None or a is None else ranks[a]
+            while k:
+                if most[k] and (best is None or most[k] > best):
+                    best = most[k]
+                k -= k & -k
+            totals.append(w + (best[0] if best else 0))
+            before.append(-best[1] if best else -1)
+            if n is not None and a is not None:
+                waiting.append(i)
+        i, taken = max(range(len(totals)), key=lambda j: (totals[j], -j)), []
+        while i >= 0:
+            taken.append(i)
+            i = before[i]
+        return taken
+
+    listed = pairs.select("doc", F.col("nth").cast("long").alias("nth"), "at", F.round(F.col("score") * 1_000_000).cast("long").alias("weight"), "score")
     rows = listed.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("nth", "at", "weight", "score"))).alias("p"))
-    zero = F.array().cast("array<struct<nth: bigint, at: bigint, total: bigint, before: int>>")
-    first_of_most = lambda sums: F.array_max(F.filter(sums, lambda s: s["total"].isNotNull()))
-
-    def step(done: Column, x: Column) -> Column:
-        allowed = F.transform(done, lambda d, i: F.struct(F.when((d["nth"] < x["nth"]) & (d["at"] <= x["at"]), d["total"]).alias("total"), (-i).alias("turn")))
-        best = first_of_most(allowed)
-        return F.array_append(done, F.struct(x["nth"].cast("long").alias("nth"), x["at"].alias("at"), (x["weight"] + F.coalesce(best["total"], F.lit(0))).alias("total"), F.coalesce(-best["turn"], F.lit(-1)).alias("before")))
-
-    sums = rows.withColumn("s", F.aggregate("p", zero, step))
-    last = first_of_most(F.transform("s", lambda d, i: F.struct(d["total"].alias("total"), (-i).alias("turn"))))
-    walk = F.aggregate(
-        F.sequence(F.size("s") - 1, F.lit(0), F.lit(-1)), F.struct((-last["turn"]).alias("at"), F.array().cast("array<int>").alias("taken")),
-        lambda acc, i: F.when(acc["at"] == i, F.struct(F.get("s", i)["before"].alias("at"), F.array_append(acc["taken"], i).alias("taken"))).otherwise(acc),
-    )
-    taken = sums.select("doc", "p", F.explode(walk["taken"]).alias("i"))
+    each = lambda c: F.transform("p", lambda x: x[c])
+    taken = rows.select("doc", "p", F.explode(F.udf(chain, "array<int>")(each("nth"), each("at"), each("weight"))).alias("i"))
     return taken.select("doc", F.get("p", F.col("i"))["nth"].alias("nth"), F.get("p", F.col("i"))["at"].alias("at"), F.get("p", F.col("i"))["score"].alias("score"))
 
 

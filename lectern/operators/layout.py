@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import clean_line, core_title, numbering, title_similarity
+from lectern.functions.text import clean_line, core_title, key_similarity, numbering
 
 # Words that open a heading.
 SECTION_WORD = r"(?i)^(parte|part|cap[íi]tulo|chapter|unidad|unit|módulo|module|sección|section|tema|lección|leccion|introducción|introduccion|conclusión|conclusion|prefacio|prólogo|prologo|apéndice|apendice)\b"
@@ -113,19 +113,32 @@ def keep_best_neighbour(candidates: DataFrame, by: list[str], order: str, score:
     return runs.withColumn("_n", best).filter("_n = 1").drop("_new", "_run", "_n")
 
 
+def similar_titles(entries: DataFrame, headings: DataFrame, doc: str, least: float) -> DataFrame:
+    """(doc, e_title, h_title, similarity): distinct titles of a document's entries and headings (title) that are as similar as ``least``, above zero.
+
+    Such titles share a word of three letters or are equal, so candidates come from a join on words; a title that many rows have is compared once.
+    """
+    def named(rows: DataFrame, title: str, key: str) -> DataFrame:
+        words = F.array_distinct(F.concat(F.array(key), F.filter(F.split(key, " "), lambda w: F.length(w) >= 3)))
+        return rows.select(doc, F.col("title").alias(title)).distinct().withColumn(key, core_title(title)).select(doc, title, key, F.explode(words).alias("_w"))
+
+    pairs = named(entries, "e_title", "_e").join(named(headings, "h_title", "_h"), [doc, "_w"]).drop("_w").distinct()
+    return pairs.withColumn("similarity", key_similarity(F.col("_h"), F.col("_e"))).filter(F.col("similarity") >= least).drop("_e", "_h")
+
+
 def match_headings(entries: DataFrame, headings: DataFrame, doc: str, least: float = 0.84) -> DataFrame:
     """(doc, entry_id, page, similarity, score): the heading that each contents entry most likely means.
 
-    ``entries``: entry_id, title, number, target; ``headings``: page, title, number, confidence. Titles as similar as ``least`` share a word of three
-    letters or are equal, so candidates come from a join on words; each pair is scored once.
+    ``entries``: entry_id, title, number, target; ``headings``: page, title, number, confidence. Entries of one title, number and target mean one heading,
+    and of headings of one title, number and page the surest counts, so that repeated rows make no pairs.
     """
-    words = lambda c: F.array_distinct(F.concat(F.array(core_title(c)), F.filter(F.split(core_title(c), " "), lambda w: F.length(w) >= 3)))
-    e = entries.select(doc, "entry_id", F.col("title").alias("e_title"), F.col("number").alias("e_number"), "target", F.explode(words("title")).alias("_w"))
-    h = headings.select(F.col(doc).alias("_doc"), "page", F.col("title").alias("h_title"), F.col("number").alias("h_number"), "confidence", F.explode(words("title")).alias("_v"))
-    pairs = e.join(h, (F.col(doc) == F.col("_doc")) & (F.col("_w") == F.col("_v"))).drop("_w", "_v", "_doc").distinct()
-    similar = pairs.withColumn("similarity", title_similarity("h_title", "e_title")).filter(F.col("similarity") >= least)
+    asked = entries.select(doc, F.col("title").alias("e_title"), F.col("number").alias("e_number"), "target")
+    h = headings.groupBy(doc, F.col("title").alias("h_title"), F.col("number").alias("h_number"), "page").agg(F.max("confidence").alias("confidence"))
+    similar = asked.distinct().join(similar_titles(entries, headings, doc, least), [doc, "e_title"]).join(h, [doc, "h_title"])
     near = F.greatest(F.lit(0.0), 0.18 - 0.004 * F.abs(F.col("page") - F.col("target")))
     same = F.when((F.col("e_number") != "") & (F.col("e_number") == F.col("h_number")), 0.22).otherwise(0.0)
     scored = similar.withColumn("score", 0.62 * F.col("similarity") + same + near + 0.16 * F.col("confidence"))
-    best = scored.groupBy(doc, "entry_id").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("page")).alias("early"), "similarity")).alias("b"))
-    return best.select(doc, "entry_id", (-F.col("b.early")).alias("page"), F.col("b.similarity").alias("similarity"), F.col("b.score").alias("score"))
+    best = scored.groupBy(doc, "e_title", F.col("e_number").alias("_number"), F.col("target").alias("_target")).agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("page")).alias("early"), "similarity")).alias("b"))
+    met = entries.select(doc, "entry_id", F.col("title").alias("e_title"), F.col("number").alias("e_number"), "target")
+    told = met.join(best.withColumnRenamed(doc, "_doc").withColumnRenamed("e_title", "_title"), (F.col(doc) == F.col("_doc")) & (F.col("e_title") == F.col("_title")) & F.col("e_number").eqNullSafe(F.col("_number")) & F.col("target").eqNullSafe(F.col("_target")))
+    return told.groupBy(doc, "entry_id").agg(F.max("b").alias("b")).select(doc, "entry_id", (-F.col("b.early")).alias("page"), F.col("b.similarity").alias("similarity"), F.col("b.score").alias("score"))

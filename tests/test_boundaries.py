@@ -72,3 +72,28 @@ def test_pages_never_go_back(spark):
 def test_without_rows(spark, rows):
     found, docs = choose(spark, **rows)
     assert len(found) == len(docs) == len(rows.get("documents", []))
+
+
+def test_alignment_of_thousands_of_pairs(spark):
+    import time
+
+    rng = random.Random(6)
+    rows = sorted({(rng.randrange(900), rng.randrange(900)) for _ in range(5_000)})
+    rows = [(1, n, at, rng.randint(1, 9) / 10) for n, at in rows]
+    began = time.monotonic()
+    got = B.aligned(spark.createDataFrame(rows, "doc long, nth long, at long, score double")).collect()
+    assert time.monotonic() - began < 30  # a step for each two pairs took minutes
+    ends = []  # (nth, at, sum) of chains, a plain walk
+    for _, n, at, s in rows:
+        ends.append((n, at, round(s * 10) + max((t for m, a, t in ends if m < n and a <= at), default=0)))
+    assert sum(round(r.score * 10) for r in got) == max(t for *_, t in ends)
+
+
+def test_titles_that_repeat_are_compared_once(spark):
+    from lectern.operators import layout
+
+    entries = spark.range(3_000).selectExpr("1 AS doc", "id AS entry_id", "id AS nth", "element_at(array('Origins', 'Methods', 'Listening'), cast(id % 3 + 1 AS int)) AS title", "'' AS number", "id % 5 AS target")
+    headings = spark.range(3_000).selectExpr("1 AS doc", "id % 7 AS page", "id AS line", "element_at(array('Origins', 'Methods', 'Listening'), cast(id % 3 + 1 AS int)) AS title", "'' AS number", "0.5D AS confidence")
+    assert layout.similar_titles(entries, headings, "doc", 0.84).count() == 3
+    found = layout.match_headings(entries, headings, "doc")
+    assert found.count() == 3_000 and {(r.page, r.similarity) for r in found.filter("entry_id % 5 = 4").collect()} == {(4, 1.0)}
