@@ -180,7 +180,7 @@ def rank(items: DataFrame, questions: DataFrame, *, include_reference: bool = Fa
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("direct", "contextual", "expanded")}
     lift = F.coalesce(F.create_map(*(F.lit(x) for pair in PRIORITY.items() for x in pair))[F.col("priority")], F.lit(0.0))
     total = F.col("direct") + CONTEXT_SHARE * F.col("contextual") + F.col("expanded") + lift
-    return found.withColumns(zero).join(items.select("pos", "id", "priority"), "pos").withColumn("score", total).select("q_id", "pos", "id", "direct", "contextual", "expanded", "score")
+    return found.withColumns(zero).join(items.select("pos", "id", "priority").hint("merge"), "pos").withColumn("score", total).select("q_id", "pos", "id", "direct", "contextual", "expanded", "score")
 
 
 def top(ranked: DataFrame, k: int, by: list[str] = ["q_id"]) -> DataFrame:  # noqa: B006

@@ -38,7 +38,7 @@ def retrieve(questions: DataFrame, corpus: DataFrame, concepts: DataFrame | None
     if entries is not None:
         ranked = retrieval.top(retrieval.rank(entries, questions, include_reference=include_reference, contexts=contexts), limits["knowledge"])
         found.append(ranked.select("q_id", F.lit(0).alias("kind"), "rank", F.col("id").alias("key"), "score"))
-        worded = ranked.select("q_id", "rank", "pos").join(entries.select("pos", "term", "aliases", "related"), "pos")
+        worded = ranked.select("q_id", "rank", "pos").join(entries.select("pos", "term", "aliases", "related").hint("merge"), "pos")
         other = retrieval.alternatives(worded, questions)
     if concepts is not None:
         ranked = retrieval.top(retrieval.rank(concepts, questions, include_reference=include_reference, contexts=contexts, alternatives=other), limits["concepts"])

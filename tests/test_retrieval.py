@@ -137,3 +137,8 @@ def test_words_of_megabytes_are_searched_in_stretches(spark):
     start = time.time()
     assert [r.part for r in retrieval.words_around(df([huge], "word"), df(["zebra", "zebras"], "part")).select("part").collect()] == ["zebra"]
     assert time.time() - start < 60
+
+
+def test_items_are_merged_with_scores_not_broadcast(spark):
+    rows = items(spark, {"id": "a", "content": "plano secuencia", "aliases": ["plano"]})
+    assert "strategy=merge" in retrieval.rank(rows, asked(spark, "plano secuencia"))._jdf.queryExecution().optimizedPlan().toString()
