@@ -108,3 +108,19 @@ def test_furniture_and_overlaps(spark):
     assert [(r.key, r.n) for r in found] == [("libro #", 5)]
     ranges = spark.createDataFrame([(1, 1, 5), (1, 5, 9), (1, 10, 12)], "d int, a int, b int")
     assert [(r.a, r.b) for r in structure.overlaps(ranges, "d", "a", "b").collect()] == [(5, 9)]
+
+
+def test_quality_looks_at_a_text_once(spark):
+    plan = spark.range(1).select(structure.text_quality(F.col("id").cast("string")).alias("q"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("lower(") == 1
+
+
+def test_only_the_ends_of_chunks_are_compared(spark):
+    import time
+
+    from lectern.operators.knowledge import join_overlapping
+
+    long = spark.range(4).select(F.concat(F.repeat(F.lit("añ b"), 700_000), F.lit("z" * 39 + "q")).alias("a"), F.concat(F.lit("z" * 39 + "q"), F.repeat(F.lit("cdé "), 700_000)).alias("b"))
+    start = time.time()
+    assert [r.n for r in long.select(F.length(join_overlapping(F.array("a", "b"))).alias("n")).collect()] == [5_600_040] * 4
+    assert time.time() - start < 15
