@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.fixed import CONTENT_TITLE, FUNCTION_WORDS, ROLE_SCOPES, ROLE_TITLES
-from lectern.functions.text import clean_line, fold, furniture_key, squeeze
+from lectern.functions.text import clean_line, fold, furniture_key, once, squeeze
 
 PAGE_NUMBER = r"(?i)^(page|p[aá]gina)\s+[0-9]+$|^[-–—]?\s*[0-9]+\s*[-–—]?$"
 TOC_LINE = r"(\.{2,}|·{2,}|…{2,})\s*[0-9]{1,4}$|\s{2,}[0-9]{1,4}$"
@@ -72,27 +72,41 @@ def text_quality(text: Column | str, confidence: float = 55.0) -> Column:
 
     Runs are two and more neighbouring fragments of a line: words of four letters at most that aren't function words.
     """
+    size, off = lambda c: F.length(c), lambda c, letters: F.translate(c, letters, "")
+
+    def drawn(body: Column) -> Column:
+        # A token is a run of letters and digits. Digits off, runs of letters are words; each becomes "2" if it has two letters and more.
+        runs = F.regexp_replace(F.regexp_replace(body, r"\p{N}++", ""), r"[^\p{L}]++", " ")
+        tokens = F.regexp_replace(F.regexp_replace(body, r"[\p{L}\p{N}]++", "1"), "[^1]++", "")
+        # Folded words become one letter each, lines stay apart.
+        long_ones = F.regexp_replace(fold(body), r"[a-z]{5,}+|(?<![a-z])(?:" + "|".join(FUNCTION_WORDS) + ")(?![a-z])", "L")
+        folded = F.regexp_replace(F.regexp_replace(long_ones, "[a-z]++", "S"), "[^LS\n]++", "")
+        bad = (size(body) - size(off(body, "�"))) * 3 + (size(body) - size(F.regexp_replace(body, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))) * 5
+        return F.struct(
+            size(body).alias("size"), size(off(runs, " ")).cast("double").alias("letters"), F.regexp_replace(runs, r"\p{L}{2,}+", "2").alias("words"), F.greatest(F.lit(1), size(tokens)).cast("double").alias("n_tokens"),
+            size(F.regexp_replace(body, r"\s", "")).alias("visible"), folded.alias("folded"), bad.alias("bad"),
+        )
+
+    def counted(d: Column) -> Column:
+        words, n_folded = d["words"], size(off(d["folded"], "\n"))
+        return F.struct(
+            d["size"].alias("size"), d["letters"].alias("letters"), d["n_tokens"].alias("n_tokens"), (d["letters"] / F.greatest(F.lit(1), d["visible"])).alias("alpha"), d["bad"].alias("bad"), (size(words) - size(off(words, "2"))).alias("words"), size(off(words, "2 ")).alias("single"), n_folded.alias("n_folded"),
+            (size(off(d["folded"], "L\n")) / F.greatest(F.lit(1), n_folded).cast("double")).alias("fragments"), F.regexp_extract_all(d["folded"], F.lit("(S{2,})"), F.lit(1)).alias("runs"),
+        )
+
+    def judged(c: Column) -> Column:
+        return F.struct(c.alias("c"), ((c["size"] >= 200) & (c["letters"] >= 150) & (c["n_folded"] >= 35) & (c["fragments"] >= 0.34) & (F.size(c["runs"]) >= 4) & (size(F.array_join(c["runs"], "")) >= 10)).alias("broken"))
+
+    def told(j: Column) -> Column:
+        c, letters, n = j["c"], j["c"]["letters"], j["c"]["n_tokens"]
+        score = 25.0 * c["alpha"] + 25.0 * c["words"] / n + 20.0 * F.least(F.lit(1.0), letters / 180.0) + 0.3 * confidence - 18.0 * c["single"] / n - c["bad"] - F.when(j["broken"], 18).otherwise(0)
+        return F.struct(
+            letters.cast("long").alias("letters"), c["words"].alias("words"), c["alpha"].alias("alpha_ratio"), (c["single"] / n).alias("single_ratio"), c["fragments"].alias("fragment_ratio"),
+            F.size(c["runs"]).alias("fragment_runs"), j["broken"].alias("broken_spacing"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("score"),
+        )
+
     body = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    count = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
-    letters, visible = count(body, r"\p{L}").cast("double"), F.length(F.regexp_replace(body, r"\s", ""))
-    # A token is a run of letters and digits; one pass over the text counts each sort of them.
-    edge, n_tokens = r"(?<![\p{L}\p{N}])", F.greatest(F.lit(1), count(body, r"[\p{L}\p{N}]+")).cast("double")
-    words, single = count(body, edge + r"\p{N}*+\p{L}\p{N}*+\p{L}[\p{L}\p{N}]*+"), count(body, edge + r"\p{N}*+\p{L}\p{N}*+(?![\p{L}\p{N}])")
-    # Folded words become one letter each, lines stay apart.
-    long_ones = F.regexp_replace(fold(body), r"[a-z]{5,}+|(?<![a-z])(?:" + "|".join(FUNCTION_WORDS) + ")(?![a-z])", "L")
-    drawn = F.regexp_replace(F.regexp_replace(long_ones, "[a-z]++", "S"), "[^LS\n]++", "")
-    runs = F.regexp_extract_all(drawn, F.lit("(S{2,})"), F.lit(1))
-    n_folded = F.length(F.translate(drawn, "\n", ""))
-    fragments = F.length(F.translate(drawn, "L\n", "")) / F.greatest(F.lit(1), n_folded).cast("double")
-    run_tokens = F.length(F.array_join(runs, ""))
-    broken = (F.length(body) >= 200) & (letters >= 150) & (n_folded >= 35) & (fragments >= 0.34) & (F.size(runs) >= 4) & (run_tokens >= 10)
-    alpha = letters / F.greatest(F.lit(1), visible)
-    bad = count(body, "�") * 3 + count(body, r"[\x00-\x08\x0B\x0C\x0E-\x1F]") * 5
-    score = 25.0 * alpha + 25.0 * words / n_tokens + 20.0 * F.least(F.lit(1.0), letters / 180.0) + 0.3 * confidence - 18.0 * single / n_tokens - bad - F.when(broken, 18).otherwise(0)
-    return F.struct(
-        letters.cast("long").alias("letters"), words.alias("words"), alpha.alias("alpha_ratio"), (single / n_tokens).alias("single_ratio"), fragments.alias("fragment_ratio"),
-        F.size(runs).alias("fragment_runs"), broken.alias("broken_spacing"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("score"),
-    )
+    return once(once(once(once(body, drawn), counted), judged), told)
 
 
 def is_poor(quality: str, text: Column | str) -> Column:
