@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.fixed import CONFUSION, CONFUSION_LABELS, CONFUSION_PARTS, MODE_LABELS, USAGE_LEVELS
 from lectern.functions.text import fold, squeeze
-from lectern.operators.knowledge import cut
-from lectern.operators.retrieval import longest_word, words_around
+from lectern.operators.retrieval import longest_word, texts_with, words_around
 
 
 def clamp_level(value: Column) -> Column:
@@ -192,11 +191,8 @@ def usage_rank(level: Column) -> Column:
 def named_concepts(texts: DataFrame, names: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
     """(key, concept): the names that stand in each text, compared folded; blank names and null texts give nothing.
 
-    A name is looked for in the texts of which a word holds the name's longest word; repeated names count once, rows of ``texts`` each for itself.
+    Repeated names count once, rows of ``texts`` each for itself. Texts stay where they are; names are sent to them.
     """
-    named = names.select(squeeze("name").alias("name")).filter("name <> ''").distinct().withColumn("part", longest_word("name"))
-    bodies = texts.select(key, squeeze(text).alias("body")).withColumn("row", F.sha2(F.concat_ws("\x1f", F.col(key).cast("string"), "body"), 256))
-    words = bodies.select("row", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
-    around = cut(words_around(words.select("word").distinct(), named.select("part")))
-    sought = words.join(around, "word").select("row", "part").distinct().join(named, "part").groupBy("row").agg(F.collect_list("name").alias("names"))
-    return bodies.join(sought, "row").select(key, F.explode(F.filter("names", lambda n: F.contains("body", n))).alias("concept"))
+    named = names.select(squeeze("name").alias("phrase")).filter("phrase <> ''").distinct().withColumn("key", F.lit(0))
+    bodies = texts.select(key, squeeze(text).alias("body"))
+    return texts_with(bodies, [key], named, F.split("body", " "), lambda p: F.contains("body", p)).select(key, F.col("phrase").alias("concept"))

@@ -3,8 +3,8 @@
 An item's fields are title, keywords, summary, content and source. A question's terms each count with the largest weight among the
 fields that hold the term, times its inverse document frequency over the items at hand; phrases, aliases and the share
 of terms that are met add to it. Term matches come from a join on terms, so that nothing is scored that shares no term. A phrase that
-stands in a text has its longest word within a word of the text: phrases and aliases are looked for only where a join on the pieces of
-distinct words says so.
+stands in a text has all its words but the first and the last as words of the text: it is looked for where a join on the longest of these
+says so. Shorter phrases are looked for in every text. What questions hold is sent to the texts, which stay where they are.
 
 Items have: id, pos (the order that breaks ties), title, chapter, section_path, teacher_topic, teacher_concepts, aliases, keywords, summary,
 explanation, teacher_limit, content, source, scope, priority; missing ones are filled in by ``as_items``.
@@ -12,6 +12,8 @@ explanation, teacher_limit, content, source, scope, priority; missing ones are f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ from lectern.operators.knowledge import cut
 
 TEXTS = ("title", "chapter", "teacher_topic", "summary", "explanation", "teacher_limit", "content", "source", "scope", "priority")
 LISTS = ("section_path", "teacher_concepts", "aliases", "keywords")
-BLOCK = 256  # questions whose phrases are looked for together in an item
+BLOCK = 4096  # short phrases that are looked for together in a text
+SMALL = 200_000  # rows of questions that are sent to every task; more are merged
 PIECE = 5  # letters of a word that are joined on, where it stands within another
 LONG_WORD = 256
 
@@ -61,15 +64,22 @@ def normalized(items: DataFrame) -> DataFrame:
     return items.select("pos", *(c.alias(k) for k, c in fields().items()), names.alias("names"))
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    """``rows``, kept, and sent to every task of a join where they are few."""
+    kept = cut(rows)
+    return F.broadcast(kept) if kept.count() <= SMALL else kept
+
+
 def item_terms(known: DataFrame, wanted: DataFrame) -> DataFrame:
     """(pos, term, weight, in_text): the ``wanted`` terms (term) that ``normalized`` items hold, with the largest weight among their fields.
 
     Tokens that nobody asks for are dropped before anything is grouped. in_text is false for terms of an item's source alone.
     """
     parts = F.array(*(F.struct(F.col(k).alias("text"), F.lit(w).alias("weight"), F.lit(k != "source").alias("in_text")) for k, w in FIELD_WEIGHTS.items()))
-    tokens = known.select("pos", F.inline(parts)).select("pos", "weight", "in_text", F.explode(F.split("text", " ")).alias("token")).filter(F.length("token") >= 3)
-    named = tokens.select("pos", stem(F.col("token")).alias("term"), "weight", "in_text").join(wanted.select("term").distinct(), "term", "left_semi")
-    return named.groupBy("pos", "term").agg(F.max("weight").alias("weight"), F.max("in_text").alias("in_text"))
+    tokens = known.select("pos", F.inline(parts)).select("pos", "weight", "in_text", F.explode(F.array_distinct(F.split("text", " "))).alias("token")).filter(F.length("token") >= 3)
+    named = tokens.select("pos", stem(F.col("token")).alias("term"), "weight", "in_text").join(sent(wanted.select("term").distinct()), "term", "left_semi")
+    # An item's terms stay together, so that its scores are summed up before they are shuffled.
+    return named.repartition("pos").groupBy("pos", "term").agg(F.max("weight").alias("weight"), F.max("in_text").alias("in_text"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -116,44 +126,71 @@ def words_around(words: DataFrame, parts: DataFrame) -> DataFrame:
     return found.unionByName(long.join(maybe, "digest").filter(F.contains("word", F.col("part"))).select("word", "part"))
 
 
+def inner_word(phrase: str) -> Column:
+    """The longest word of a phrase between its first and its last, which any text that has the phrase has as a word; null without one."""
+    words = F.split(phrase, " ")
+    inner = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("place"), w.alias("word")))
+    return F.array_max(inner)["word"]
+
+
+def texts_with(texts: DataFrame, columns: list[str], phrases: DataFrame, words: Column, held: Callable[[Column], Column], block: int = BLOCK) -> DataFrame:
+    """(columns, _key, phrase) of each row of ``texts`` and each of the ``phrases`` (key, phrase) for which ``held``, a test of a phrase, is true.
+
+    ``words`` are the words of what ``held`` looks at, cut at blanks. Texts aren't moved: phrases go to them, those of three words and more by an inner word, others all, ``block`` at a time.
+    """
+    told = cut(phrases.select(F.col("key").alias("_key"), "phrase", inner_word("phrase").alias("word")))
+    n_all, n_long = told.agg(F.count("*"), F.count("word")).first()
+    n = max(1, -(-(n_all - n_long) // block))
+    blocks = told.filter("word IS NULL").groupBy(F.pmod(F.hash("_key", "phrase"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("_key", "phrase")).alias("ps"))
+    dealt = texts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    found = dealt.join(F.broadcast(blocks), "b").select(*columns, F.explode(F.filter("ps", lambda p: held(p["phrase"]))).alias("p")).select(*columns, "p._key", "p.phrase")
+    if not n_long:
+        return found
+    long = told.filter("word IS NOT NULL")
+    by_word = texts.withColumn("word", F.explode(F.array_distinct(words))).join(F.broadcast(long) if n_long <= SMALL else long, "word").filter(held(F.col("phrase"))).select(*columns, "_key", "phrase")
+    return by_word if n_all == n_long else by_word.unionByName(found)
+
+
 def phrase_hits(known: DataFrame, questions: DataFrame, block: int = BLOCK) -> DataFrame:
     """(q_id, pos, bonus) for questions that stand in an item's text as a whole, and for item names that stand in a question.
 
-    ``known`` is what ``normalized`` gives. Texts are searched for the phrases whose longest word is within one of the text's words.
+    ``known`` is what ``normalized`` gives.
     """
-    asked = cut(questions.filter(F.size(query_terms("question")) > 0).select("q_id", normalize("question").alias("phrase")).withColumn("part", longest_word("phrase")))
-    n = max(1, -(-asked.count() // block))
-
-    heads = F.concat_ws(" ", "title", "keywords")
-    words = known.select("pos", F.explode(F.array_distinct(F.split(F.concat_ws(" ", heads, "content"), " "))).alias("word")).filter(F.length("word") >= 3)
-    around = cut(words_around(words.select("word").distinct(), asked.select("part")))
-    places = words.join(around, "word").select("pos", "part").distinct()
-    sought = places.join(asked, "part").groupBy("pos", F.pmod(F.hash("q_id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("q_id", "phrase")).alias("qs"))
-    bonus = lambda q: F.when(F.contains(heads, q["phrase"]), TITLE_PHRASE).otherwise(0.0) + F.when(F.contains("content", q["phrase"]), CONTENT_PHRASE).otherwise(0.0)
-    in_text = sought.join(known, "pos").select("pos", F.explode(F.filter(F.transform("qs", lambda q: F.struct(q["q_id"].alias("q_id"), bonus(q).alias("bonus"))), lambda x: x["bonus"] > 0)).alias("x"))
+    asked = cut(questions.filter(F.size(query_terms("question")) > 0).select(F.col("q_id").alias("key"), normalize("question").alias("phrase")))
+    texts = known.select("pos", F.concat_ws(" ", "title", "keywords").alias("heads"), "content")
+    words = F.split(F.concat_ws(" ", "heads", "content"), " ")
+    # The phrase goes with its hits, so that a text is asked for its heads and its content once for each hit.
+    bonus = F.when(F.contains("heads", F.col("phrase")), TITLE_PHRASE).otherwise(0.0) + F.when(F.contains("content", F.col("phrase")), CONTENT_PHRASE).otherwise(0.0)
+    found = texts_with(texts, ["pos", "heads", "content"], asked, words, lambda p: F.contains("heads", p) | F.contains("content", p), block)
+    in_text = found.select(F.col("_key").alias("q_id"), "pos", bonus.alias("bonus"))
 
     names = known.select("pos", F.explode("names").alias("name"))
     parts = names.select("name").distinct().withColumn("part", longest_word("name"))
-    said = asked.select("q_id", "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word"))
+    said = asked.select(F.col("key").alias("q_id"), "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word"))
     meant = said.join(words_around(said.select("word").distinct(), parts.select("part")), "word").join(parts, "part").filter(F.contains("phrase", F.col("name"))).select("q_id", "name").distinct()
-    by_name = names.join(meant, "name").groupBy("q_id", "pos").agg((F.count("*") * F.lit(ALIAS)).cast("double").alias("bonus"))
-    return in_text.select("x.q_id", "pos", "x.bonus").unionByName(by_name).groupBy("q_id", "pos").agg(F.sum("bonus").alias("bonus"))
+    by_name = names.join(sent(meant), "name").groupBy("q_id", "pos").agg((F.count("*") * F.lit(ALIAS)).cast("double").alias("bonus"))
+    return in_text.unionByName(by_name).groupBy("q_id", "pos").agg(F.sum("bonus").alias("bonus"))
 
 
-def score(known: DataFrame, questions: DataFrame) -> DataFrame:
-    """(q_id, pos, score) of all ``normalized`` items with a score above zero; document frequencies count the given items."""
-    asked = question_terms(questions)
+def shares(known: DataFrame, questions: DataFrame) -> DataFrame:
+    """(q_id, pos, s, met, n_terms): what each term and each phrase adds to a score, for ``summed``; document frequencies count the given items."""
+    asked = cut(question_terms(questions))
     # Read texts once: what questions and items share is small, and serves the frequencies and the sums.
     held = cut(item_terms(known, asked))
-    matched = asked.join(held, "term")
-    idf = idf_table(held, known.count())
-    by_term = (
-        matched.join(idf, "term", "left").groupBy("q_id", "pos")
-        .agg(F.sum(F.col("weight") * F.coalesce("idf", F.lit(1.0))).alias("s"), (F.count("*") / F.max("n_terms") * COVERAGE).alias("coverage"))
-        .select("q_id", "pos", (F.col("s") + F.col("coverage")).alias("score"))
-    )
-    by_phrase = phrase_hits(known, questions).withColumnRenamed("bonus", "score")
-    return by_term.unionByName(by_phrase).groupBy("q_id", "pos").agg(F.sum("score").alias("score"))
+    weighed = sent(asked.join(idf_table(held, known.count()), "term", "left").select("q_id", "term", "n_terms", F.coalesce("idf", F.lit(1.0)).alias("idf")))
+    by_term = held.join(weighed, "term").select("q_id", "pos", (F.col("weight") * F.col("idf")).alias("s"), F.lit(1).alias("met"), "n_terms")
+    return by_term.unionByName(phrase_hits(known, questions).select("q_id", "pos", F.col("bonus").alias("s"), F.lit(0).alias("met"), F.lit(1).alias("n_terms")))
+
+
+def summed(of: Column | None = None) -> Column:
+    """The score of the ``shares`` of a question and an item, or of those of them that ``of`` tells; 0 without any."""
+    only = (lambda c: F.when(of, F.col(c))) if of is not None else F.col
+    return F.coalesce(F.sum(only("s")) + F.sum(only("met")) / F.max(only("n_terms")) * COVERAGE, F.lit(0.0))
+
+
+def score(known: DataFrame, questions: DataFrame) -> DataFrame:
+    """(q_id, pos, score) of all ``normalized`` items with a score above zero; document frequencies count the given items."""
+    return shares(known, questions).groupBy("q_id", "pos").agg(summed().alias("score"))
 
 
 def rank(items: DataFrame, questions: DataFrame, *, include_reference: bool = False, contexts: DataFrame | None = None, alternatives: DataFrame | None = None) -> DataFrame:
@@ -164,23 +201,20 @@ def rank(items: DataFrame, questions: DataFrame, *, include_reference: bool = Fa
     """
     items = in_scope(as_items(items), include_reference)
     known = cut(normalized(items))
-    found = score(known, questions).select("q_id", "pos", F.col("score").alias("direct"))
+    rows = shares(known, questions).withColumn("told", F.lit(False))
     if contexts is not None:
-        told = score(known, contexts).select("q_id", "pos", F.col("score").alias("contextual"))
-        found = found.join(told, ["q_id", "pos"], "full_outer")
-    else:
-        found = found.withColumn("contextual", F.lit(0.0))
+        rows = rows.unionByName(shares(known, contexts).withColumn("told", F.lit(True)))
+    found = rows.groupBy("q_id", "pos").agg(summed(~F.col("told")).alias("direct"), summed(F.col("told")).alias("contextual"))
     if alternatives is not None:
         keyed = alternatives.select(F.struct("q_id", "alt").alias("q_id"), "question")
         other = score(known, keyed).select(F.col("q_id.q_id").alias("q_id"), F.col("q_id.alt").alias("alt"), "pos", "score")
         other = other.join(alternatives.select("q_id", "alt", F.least(F.lit(MOST_ALTERNATIVE), "weight").alias("weight")), ["q_id", "alt"])
-        found = found.join(other.groupBy("q_id", "pos").agg(F.max(F.col("score") * F.col("weight")).alias("expanded")), ["q_id", "pos"], "full_outer")
+        found = found.join(other.groupBy("q_id", "pos").agg(F.max(F.col("score") * F.col("weight")).alias("expanded")), ["q_id", "pos"], "full_outer").fillna(0.0, ["direct", "contextual", "expanded"])
     else:
         found = found.withColumn("expanded", F.lit(0.0))
-    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("direct", "contextual", "expanded")}
     lift = F.coalesce(F.create_map(*(F.lit(x) for pair in PRIORITY.items() for x in pair))[F.col("priority")], F.lit(0.0))
     total = F.col("direct") + CONTEXT_SHARE * F.col("contextual") + F.col("expanded") + lift
-    return found.withColumns(zero).join(items.select("pos", "id", "priority").hint("merge"), "pos").withColumn("score", total).select("q_id", "pos", "id", "direct", "contextual", "expanded", "score")
+    return found.join(items.select("pos", "id", "priority").hint("merge"), "pos").withColumn("score", total).select("q_id", "pos", "id", "direct", "contextual", "expanded", "score")
 
 
 def top(ranked: DataFrame, k: int, by: list[str] = ["q_id"]) -> DataFrame:  # noqa: B006

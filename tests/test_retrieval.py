@@ -142,3 +142,19 @@ def test_words_of_megabytes_are_searched_in_stretches(spark):
 def test_items_are_merged_with_scores_not_broadcast(spark):
     rows = items(spark, {"id": "a", "content": "plano secuencia", "aliases": ["plano"]})
     assert "strategy=merge" in retrieval.rank(rows, asked(spark, "plano secuencia"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_texts_are_not_moved_for_names_and_phrases(spark):
+    from lectern.operators import analytics
+
+    rows = items(spark, {"id": "a", "content": "el plano secuencia largo"}, {"id": "b", "content": "otro plano"}, {"id": "b", "content": "otro plano"})
+    texts, names = rows.select(F.col("id").alias("key"), F.col("content").alias("text")), spark.createDataFrame([("plano",), ("plano",), ("o secuencia l",), ("ano secu",)], "name string")
+    found = analytics.named_concepts(texts, names)
+    assert "SortMergeJoin" not in plan_of(found)
+    assert sorted((r.key, r.concept) for r in found.collect()) == [("a", "ano secu"), ("a", "o secuencia l"), ("a", "plano"), ("b", "plano"), ("b", "plano")]
+    known = retrieval.normalized(retrieval.as_items(rows))
+    assert "SortMergeJoin" not in plan_of(retrieval.shares(known, asked(spark, "el plano secuencia largo")))
