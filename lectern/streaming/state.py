@@ -25,13 +25,21 @@ def as_instants(events: DataFrame, ts: str = "ts") -> DataFrame:
 def rolling_tokens(requests: DataFrame, by: str = "model", seconds: int = 60, slice_seconds: int = 3_600) -> DataFrame:
     """Requests with ``window_tokens``: what was spent in the ``seconds`` up to each request, itself included.
 
-    Requests are summed up in slices of time, no shorter than a window; the last ones of a slice also count in the next.
+    Requests are summed up in slices of time, no shorter than a window; the last ones of a slice also count in the next. Each request's tokens, whole numbers, are added when
+    it comes and taken off when its window has passed, so that a running sum tells what is in a window, however many requests it holds.
     """
-    span = max(seconds, slice_seconds)
-    slices = F.array_distinct(F.array(F.floor(F.col("_at") / span), F.floor((F.col("_at") + seconds) / span)))
-    dealt = requests.withColumn("_at", F.col("ts").cast("timestamp").cast("double")).withColumn("_own", F.floor(F.col("_at") / span)).withColumn("_slice", F.explode(slices))
-    over = Window.partitionBy(by, "_slice").orderBy("_at").rangeBetween(-seconds, 0)
-    return dealt.withColumn("window_tokens", F.sum("tokens").over(over)).filter(F.col("_slice") == F.col("_own")).drop("_at", "_own", "_slice")
+    span, reach = max(seconds, slice_seconds) * 1_000_000, seconds * 1_000_000
+    at, own = F.col("_at"), F.floor(F.col("_at") / span)
+    slices = F.array_distinct(F.array(own, F.floor((at + reach) / span)))
+    dealt = requests.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_own", own).withColumn("_slice", F.explode(slices))
+    # At one instant what comes is added, then told of, and only then does what came a whole window before go.
+    steps = F.array(*(F.struct((at + reach * goes).alias("when"), F.lit(goes).alias("goes")) for goes in (0, 1)))
+    moves = dealt.repartition(by, "_slice").withColumn("_step", F.explode(steps)).withColumns({"_when": F.col("_step.when"), "_goes": F.col("_step.goes")})
+    sign = F.when(F.col("_goes") == 1, -1).otherwise(1)
+    over = Window.partitionBy(by, "_slice").orderBy("_when", "_goes").rangeBetween(Window.unboundedPreceding, 0)
+    spent, known = F.sum(F.col("tokens") * sign).over(over), F.sum(F.when(F.col("tokens").isNotNull(), sign)).over(over)
+    told = moves.withColumn("window_tokens", spent).withColumn("_known", known).withColumn("window_tokens", F.when(F.col("_known") > 0, F.col("window_tokens")))
+    return told.filter((F.col("_slice") == F.col("_own")) & (F.col("_goes") == 0)).drop("_at", "_own", "_slice", "_step", "_when", "_goes", "_known")
 
 
 def admitted(window_tokens: Column, tokens: Column, per_minute: int = 8000, share: float = 0.82) -> Column:

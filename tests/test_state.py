@@ -88,3 +88,18 @@ def test_log_is_written_once(spark):
         append_log(source, out, mark, lambda log: seen.append(log.count())).awaitTermination(120)
     row = spark.read.parquet(out).collect()
     assert len(row) == 1 and len(row[0].question) == 500 and row[0].sid == "ABCDEFGH" and seen == [1]
+
+
+def test_crowded_windows_take_a_running_sum(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lectern.streaming import state
+
+    n = 150_000
+    rows = spark.range(n).select(F.lit("m").alias("model"), "id", F.timestamp_seconds(F.col("id") / 100 + 7200).alias("ts"), F.when(F.col("id") > 0, 1).alias("tokens"))
+    start = time.time()
+    got = state.rolling_tokens(rows, seconds=1000, slice_seconds=100_000).select((F.col("window_tokens") - F.least(F.col("id"), F.lit(100_001))).alias("off")).groupBy("off").count().collect()
+    assert {r.off: r["count"] for r in got} == {None: 1, 0: n - 1}
+    assert time.time() - start < 15
