@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import clean_line, core_title, key_similarity, numbering
+from lectern.functions.text import clean_line, core_title, key_similarity, numbering, once
 
 # Words that open a heading.
 SECTION_WORD = r"(?i)^(parte|part|cap[íi]tulo|chapter|unidad|unit|módulo|module|sección|section|tema|lección|leccion|introducción|introduccion|conclusión|conclusion|prefacio|prólogo|prologo|apéndice|apendice)\b"
@@ -78,25 +78,34 @@ def heading_scores(lines: DataFrame, doc: str, page: str, order: str, *, height:
     Numbers and section words count 4; bold type, larger type (twice if much larger), a place at the top and space above 2 each; space below,
     no full stop, shortness and capitals at the top 1 each. A style that several candidates of a document share adds 2.
     """
+    one = lambda condition, n: F.when(condition, n).otherwise(0)
+
+    def looks(text: Column) -> Column:
+        letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+        capitals = F.when(letters >= 5, F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) / letters).otherwise(0.0)
+        return F.struct(
+            numbering(text)["level"].alias("level"), text.rlike(SECTION_WORD).alias("word"), text.rlike(r"[.!?;:]$").alias("stop"), F.length(text).alias("size"), (capitals >= 0.82).alias("capitals"),
+            text.rlike(r"(?i)©|\b(issn|isbn|doi|www\.|http)").alias("imprint"), F.size(F.split(text, " ")).alias("words"),
+        )
+
+    # What a line's text says is worked out before the windows, which keep it, so that no condition reads the text again.
+    told = lines.withColumn("_looks", once(clean_line("text"), looks))
     by_page = Window.partitionBy(doc, page)
     down = by_page.orderBy(order)
     body = F.coalesce(F.median("font_size").over(by_page), F.lit(10.0))
-    size, text = F.col("font_size") / body, clean_line("text")
     above, below = F.greatest(F.lit(0.0), F.coalesce(F.lag("y").over(down) - F.col("y"), F.lit(0.0))), F.greatest(F.lit(0.0), F.coalesce(F.col("y") - F.lead("y").over(down), F.lit(0.0)))
-    measured = lines.withColumns({"_size": size, "_above": above, "_below": below, "_top": 1 - F.col("y") / height, "_text": text})
-    word, number = F.col("_text").rlike(SECTION_WORD), numbering("_text")
-    letters = F.length(F.regexp_replace("_text", r"[^\p{L}]", ""))
-    capitals = F.when(letters >= 5, F.length(F.regexp_replace("_text", r"[^\p{Lu}]", "")) / letters).otherwise(0.0)
+    measured = told.withColumns({"_size": F.col("font_size") / body, "_above": above, "_below": below, "_top": 1 - F.col("y") / height})
+    text, numbered = F.col("_looks"), F.col("_looks.level").isNotNull()
+    word, short = text["word"], text["size"] <= 85
     spaced = F.col("_above") >= F.greatest(F.col("font_size") * 1.4, F.lit(10.0))
-    one = lambda condition, n: F.when(condition, n).otherwise(0)
     score = (
-        one(number.isNotNull(), 4) + one(word, 4) + one(F.col("bold"), 2) + one(F.col("_size") >= 1.22, 2) + one(F.col("_size") >= 1.38, 2) + one(F.col("_top") <= 0.22, 2) + one(spaced, 2)
-        + one(F.col("_below") >= F.greatest(F.col("font_size") * 0.9, F.lit(7.0)), 1) + one(~F.col("_text").rlike(r"[.!?;:]$"), 1) + one(F.length("_text") <= 85, 1)
-        + one((capitals >= 0.82) & (F.length("_text") <= 85) & (F.col("_top") <= 0.32), 1) - one(F.col("_text").rlike(r"(?i)©|\b(issn|isbn|doi|www\.|http)"), 5)
+        one(numbered, 4) + one(word, 4) + one(F.col("bold"), 2) + one(F.col("_size") >= 1.22, 2) + one(F.col("_size") >= 1.38, 2) + one(F.col("_top") <= 0.22, 2) + one(spaced, 2)
+        + one(F.col("_below") >= F.greatest(F.col("font_size") * 0.9, F.lit(7.0)), 1) + one(~text["stop"], 1) + one(short, 1)
+        + one(text["capitals"] & short & (F.col("_top") <= 0.32), 1) - one(text["imprint"], 5)
     )
-    signal = number.isNotNull() | word | ((F.col("_size") >= 1.22) & (F.col("bold") | spaced)) | ((F.col("_top") <= 0.22) & (F.col("bold") | (F.col("_size") >= 1.18)))
-    prose = (F.length("_text") == 0) | (F.length("_text") > 150) | F.col("_text").rlike(r"[.!?;:]$") | (F.size(F.split("_text", " ")) > 20)
-    found = measured.withColumns({"score": score, "level": F.coalesce(number["level"], one(word, 1) + one(~word, 2))}).filter((F.col("score") >= 7) & signal & ~prose)
+    signal = numbered | word | ((F.col("_size") >= 1.22) & (F.col("bold") | spaced)) | ((F.col("_top") <= 0.22) & (F.col("bold") | (F.col("_size") >= 1.18)))
+    prose = (text["size"] == 0) | (text["size"] > 150) | text["stop"] | (text["words"] > 20)
+    found = measured.withColumns({"score": score, "level": F.coalesce(text["level"], one(word, 1) + one(~word, 2))}).filter((F.col("score") >= 7) & signal & ~prose)
     style = F.concat_ws("|", (F.floor(F.col("font_size") * 2 + 0.5) / 2).cast("string"), F.when(F.col("bold"), "b").otherwise("n"))
     shared = F.count("*").over(Window.partitionBy(doc, "_style"))
     styled = found.withColumn("_style", style).withColumn("_many", shared >= 3)
