@@ -124,3 +124,21 @@ def test_only_the_ends_of_chunks_are_compared(spark):
     start = time.time()
     assert [r.n for r in long.select(F.length(join_overlapping(F.array("a", "b"))).alias("n")).collect()] == [5_600_040] * 4
     assert time.time() - start < 15
+
+
+def test_heading_conditions_read_a_text_once(spark):
+    from lectern.operators.layout import heading_scores
+
+    lines = spark.range(1).select(F.lit(1).alias("doc"), F.lit(1).alias("page"), F.col("id").alias("line_no"), F.col("id").cast("string").alias("text"), F.lit(700.0).alias("y"), F.lit(12.0).alias("font_size"), F.lit(True).alias("bold"))
+    plan = heading_scores(lines, "doc", "page", "line_no")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("issn") <= 1 and plan.count("regexp_extract") <= 2
+
+
+def test_coverage_needs_no_join_and_null_ids_meet_nothing(spark):
+    from lectern.operators.knowledge import coverage
+
+    e = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, None), (3, 1)], "g int, k int")
+    r = spark.createDataFrame([(1, 2), (1, 5), (2, None), (3, 1), (3, 1), (4, 1)], "g int, k int")
+    found = coverage(e, r, "g", "k")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((x.g, x.missing, x.unexpected, x.exact) for x in found.collect()) == [(1, 1, 1, False), (2, 1, 1, False), (3, 0, 0, True), (4, 0, 1, False)]
