@@ -14,6 +14,17 @@ def test_long_chains_are_followed_to_their_end(spark):
     assert sorted(r.passage_id for r in found.collect()) == list(range(1, n))
 
 
+def test_names_of_one_entry_are_not_carried(spark, monkeypatch):
+    kept = []
+    cut = knowledge.cut
+    monkeypatch.setattr(knowledge, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    batches = spark.createDataFrame([(i, i) for i in range(300)] + [(900, 900), (900, 901)], "batch_id long, passage_id long")
+    entries = spark.createDataFrame([(i, i) for i in range(300)], "entry_id long, passage_id long")
+    found = knowledge.dirty_closure(batches, entries, spark.createDataFrame([(5,), (900,)], "passage_id long"))
+    assert [r.passage_id for r in found.collect()] == [901]
+    assert sum(df.count() for df in kept) <= 2
+
+
 def test_cycles_are_told_from_paths_between_them(spark):
     edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 7), (7, 6), (8, 8), (0, 1), (7, 9), (10, 11), (11, 10), (10, 12), (12, 10), (5, 5), (None, 3), (2, 3)]
     df = spark.createDataFrame(edges, "src long, dst long")
