@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.operators import knowledge, patches, retrieval, segments
@@ -24,9 +25,10 @@ m AS (
 
 def _sections(spark, sf):
     line = F.col("l_linenumber")
-    keyed = table(spark, sf, "lineitem").withColumns({"place": F.col("l_orderkey") * 10 + line, "_by": F.struct("l_partkey", "l_suppkey", "l_extendedprice")})
-    rows = numbered(keyed, "place", "_by").select(
-        (F.col("place") * 10 + F.col("nth")).alias("row"), F.when(line % 3 > 0, F.concat(F.lit("s"), F.col("place").cast("string"))).alias("section_id"), F.col("l_orderkey").cast("string").alias("document_id"), F.concat(F.lit("t"), (line % 2).cast("string")).alias("title"),
+    lines = table(spark, sf, "lineitem").withColumns({"document_id": F.col("l_orderkey").cast("string"), "place": F.col("l_orderkey") * 10 + line}).repartition("document_id")
+    nth = F.row_number().over(Window.partitionBy("document_id", "place").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = lines.withColumn("nth", nth).select(
+        (F.col("place") * 10 + F.col("nth")).alias("row"), F.when(line % 3 > 0, F.concat(F.lit("s"), F.col("place").cast("string"))).alias("section_id"), "document_id", F.concat(F.lit("t"), (line % 2).cast("string")).alias("title"),
         F.slice(F.array("l_linestatus", "l_returnflag", line.cast("string")), F.lit(1), (F.col("l_partkey") % 3 + 1).cast("int")).alias("path"), (line * 2).alias("page_start"), (line * 2 + F.col("l_suppkey") % 4).alias("page_end"), F.lit("included").alias("scope"))
     k = F.col("o_orderkey")
     told = table(spark, sf, "orders").select(

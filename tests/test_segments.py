@@ -52,6 +52,23 @@ def test_patches_as_matched_one_by_one(spark):
     assert patches.patched(held, told.limit(0), ["scope"]).count() == 60 and patches.patch_matches(held.limit(0), told).count() == 0
 
 
+def exchanges(spark, make):
+    """The shuffles of a plan without broadcasts, as text."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", make()._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_patches_move_rows_to_their_document_only(spark):
+    held = spark.createDataFrame([(1, "s1", "d", "T", ["a"], 1, 2, "included", None)], ROWS)
+    told = spark.createDataFrame([(1, "s1", "d", "T", ["a"], 1, 2, "excluded", None, None)], PATCHES)
+    moved = exchanges(spark, lambda: patches.patch_matches(held, told))
+    assert moved and not [m for m in moved if re.search("path|words|key", m)]
+
+
 def plain_sections(lines, marks):
     """One document's sections, boundary by boundary."""
     lines = sorted(x for x in lines if x[2])
