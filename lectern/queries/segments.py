@@ -62,7 +62,7 @@ FROM t JOIN w USING (doc_id, nth) JOIN (SELECT doc_id, nth, title, confidence FR
 UNION ALL SELECT doc_id, 0, n, 1, n, CASE WHEN most > 0 THEN content ELSE raw END, page_start, page_end, CASE WHEN most > 0 THEN 0.48 ELSE 0.35 END, 0, false, true
 FROM (SELECT *, CASE WHEN most > 0 THEN 'Material introductorio / sin encabezado detectado' ELSE 'Material general' END AS n FROM t WHERE nth = 0 AND (most = 0 OR length(content) >= 90))""")
 def _(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("i", "text")).withColumn("i", F.col("i").cast("long") + 1)
+    words = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("i", "text")).withColumn("i", F.col("i").cast("long") + 1)
     i = F.col("i")
     lines = words.withColumns({"page": F.floor(i / 20), "line": i % 20})
     marked = lines.filter((i * i + F.col("doc_id")) % 11 == 0).filter("text <> ''")

@@ -171,3 +171,9 @@ def test_ids_and_summaries(spark):
     made = spark.createDataFrame([("a", ["x", "y"]), ("a", None), ("b", [])], "course string, evidence array<string>")
     done = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2)], "course string, passage_id int")
     assert {tuple(r) for r in knowledge.index_summary(made, done, index, "course").collect()} == {("a", 2, 2, 2, 7, "partial"), ("b", 1, 0, 0, 0, "empty"), ("z", 0, 0, 0, 0, "empty")}
+
+
+def test_lines_move_once(spark):
+    lines = spark.createDataFrame([("d", 1, 1, "uno"), ("d", 1, 2, "dos")], "doc string, page int, line int, text string")
+    marks = spark.createDataFrame([("d", 1, 1, "A", 1, 0.7)], "doc string, page int, line int, title string, level int, confidence double")
+    assert len(exchanges(spark, lambda: segments.boundary_sections(lines, marks, "doc"))) == 2
