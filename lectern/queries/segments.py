@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.operators import knowledge, patches, retrieval, segments
-from lectern.operators.ranks import numbered
 from lectern.queries import Catalogue
 from lectern.sources.tables import table
 
@@ -123,9 +122,10 @@ def _(spark, sf):
     k, n = F.col("o_orderkey"), F.col("l_linenumber")
     sections = table(spark, sf, "orders").select(
         k.alias("section"), k.alias("document_id"), F.when(k % 3 == 0, "s1").alias("section_id"), F.concat(F.lit("Título "), (k % 2).cast("string")).alias("title"), F.array("o_orderstatus").alias("path"), F.when(k % 4 > 0, 5).alias("page_start"), F.when(k % 4 == 1, 6).alias("page_end"))
-    lines = table(spark, sf, "lineitem").withColumn("place", F.col("l_orderkey") * 100_000_000_000 + n * 100_000_000 + F.col("l_partkey") * 1000).withColumn("_by", F.struct("l_suppkey", "l_extendedprice"))
-    chunks = numbered(lines, "place", "_by").select(
-        (F.col("place") + F.col("nth")).alias("chunk"), F.col("l_orderkey").alias("document_id"), F.concat(F.lit("s"), (n % 3).cast("string")).alias("section_id"), F.array("l_linestatus").alias("path"), F.concat(F.lit("TITULO "), (n % 2).cast("string"), F.lit(" · parte "), n.cast("string")).alias("title"),
+    lines = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "document_id").withColumn("place", F.col("document_id") * 100_000_000_000 + n * 100_000_000 + F.col("l_partkey") * 1000).repartition("document_id")
+    nth = F.row_number().over(Window.partitionBy("document_id", "place").orderBy("l_suppkey", "l_extendedprice"))
+    chunks = lines.withColumn("nth", nth).select(
+        (F.col("place") + F.col("nth")).alias("chunk"), "document_id", F.concat(F.lit("s"), (n % 3).cast("string")).alias("section_id"), F.array("l_linestatus").alias("path"), F.concat(F.lit("TITULO "), (n % 2).cast("string"), F.lit(" · parte "), n.cast("string")).alias("title"),
         (F.col("l_suppkey") % 4).alias("page_start"), (F.col("l_suppkey") % 4 + F.col("l_partkey") % 2).alias("page_end"), F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("content"))
     return segments.section_fragments(sections, chunks)
 

@@ -177,3 +177,9 @@ def test_lines_move_once(spark):
     lines = spark.createDataFrame([("d", 1, 1, "uno"), ("d", 1, 2, "dos")], "doc string, page int, line int, text string")
     marks = spark.createDataFrame([("d", 1, 1, "A", 1, 0.7)], "doc string, page int, line int, title string, level int, confidence double")
     assert len(exchanges(spark, lambda: segments.boundary_sections(lines, marks, "doc"))) == 2
+
+
+def test_chunks_move_once(spark):
+    sections = spark.createDataFrame([(1, "d", "s1", ["a"], "T", 1, 2)], "section long, document_id string, section_id string, path array<string>, title string, page_start int, page_end int")
+    chunks = spark.createDataFrame([(1, "d", "s1", ["a"], "T", 1, 2, "x")], "chunk long, document_id string, section_id string, path array<string>, title string, page_start int, page_end int, content string")
+    assert len(exchanges(spark, lambda: segments.section_fragments(sections, chunks))) == 3
