@@ -253,7 +253,8 @@ def live_evidence(entries: DataFrame, corpus: DataFrame, include_reference: bool
     told = entries.select("entry_id", F.posexplode("evidence").alias("nth", "e")).select("entry_id", "nth", "e.*")
     visible = in_scope(as_items(corpus), include_reference).select(F.col("id").alias("source_id"), F.col("source").alias("live_source"), "scope", "priority")
     rank_of = F.when(F.col("priority") == "central", 0).when(F.col("priority") == "normal", 1).otherwise(2)
-    rolled = told.join(visible, "source_id").withColumn("p", rank_of).groupBy("entry_id").agg(
+    # Evidence goes by a table of its chunks; it is not sorted, since a chunk may have very many entries.
+    rolled = told.join(visible.hint("shuffle_hash"), "source_id").withColumn("p", rank_of).groupBy("entry_id").agg(
         F.bool_and(F.col("scope") == "reference").alias("all_reference"), F.min("p").alias("p"),
         F.countDistinct("source_id").alias("n_sources"), F.min_by("live_source", "nth").alias("source"), F.count("*").alias("n_evidence"),
     )

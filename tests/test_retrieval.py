@@ -66,6 +66,13 @@ def test_evidence_follows_the_corpus(spark):
     entries = spark.createDataFrame([(1, [("1",), ("2",)]), (2, [("1",)]), (3, [("3",), ("zz",)])], "entry_id long, evidence array<struct<source_id: string>>")
     out = {r.entry_id: (r.scope, r.priority, r.n_evidence) for r in retrieval.live_evidence(entries, corpus, include_reference=True).collect()}
     assert out == {1: ("included", "central", 1), 3: ("reference", "normal", 1)}
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = retrieval.live_evidence(entries, corpus)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_cuts_cover_the_text():
