@@ -305,5 +305,6 @@ def _(spark, sf):
     from pyspark.sql import Window
 
     lines = _geometry(spark, sf).withColumn("y", F.col("y") + F.col("l_linenumber") / 100.0 + F.col("l_orderkey") / 1e7)
-    down = Window.partitionBy("page").orderBy(F.desc("y"))
+    # Lines at one height follow each other by order and line, so that the result doesn't hang on how rows arrive.
+    down = Window.partitionBy("page").orderBy(F.desc("y"), "l_orderkey", "l_linenumber")
     return lines.withColumns({"gap_before": F.lag("y").over(down) - F.col("y"), "gap_after": F.col("y") - F.lead("y").over(down)})
