@@ -39,17 +39,20 @@ def lines_from_items(items: DataFrame, by: list[str], *, tolerance: float = 3.2,
 
 def contents_entry(text: Column | str, page_count: Column | int = 5000, right: Column | None = None) -> Column:
     """(title, page, dotted, number, level) of a line of a contents list, or null: a title, leaders or a page number at the right, the number."""
-    line = clean_line(text)
-    page = F.regexp_extract(line, ENTRY, 3).try_cast("int")
-    dotted = line.rlike(r"(\.{2,}|·{2,}|…{2,})\s*[0-9]{1,4}$")
-    title = F.trim(F.regexp_replace(F.regexp_extract(line, ENTRY, 1), r"[.·…]{2,}\s*$", ""))
-    at_right = F.lit(True) if right is None else F.coalesce(right, F.lit(False))
-    number = numbering(title)
-    sentence = title.rlike(r"[.!?;:]$") & number.isNull()
-    pages = F.lit(page_count) if isinstance(page_count, int) else page_count
-    fine = (F.length(line) <= 180) & page.isNotNull() & (F.length(title) >= 3) & (page >= 1) & (page <= F.greatest(pages, F.lit(5000))) & (dotted | at_right) & ~sentence
-    level = F.coalesce(number["level"], F.when(title.rlike(SECTION_WORD), 1).otherwise(2))
-    return F.when(fine, F.struct(title.alias("title"), page.alias("page"), dotted.alias("dotted"), F.coalesce(number["number"], F.lit("")).alias("number"), level.alias("level")))
+    def told(line: Column) -> Column:
+        page = F.regexp_extract(line, ENTRY, 3).try_cast("int")
+        dotted = line.rlike(r"(\.{2,}|·{2,}|…{2,})\s*[0-9]{1,4}$")
+        title = F.trim(F.regexp_replace(F.regexp_extract(line, ENTRY, 1), r"[.·…]{2,}\s*$", ""))
+        at_right = F.lit(True) if right is None else F.coalesce(right, F.lit(False))
+        number = numbering(title)
+        sentence = title.rlike(r"[.!?;:]$") & number.isNull()
+        pages = F.lit(page_count) if isinstance(page_count, int) else page_count
+        fine = page.isNotNull() & (F.length(title) >= 3) & (page >= 1) & (page <= F.greatest(pages, F.lit(5000))) & (dotted | at_right) & ~sentence
+        level = F.coalesce(number["level"], F.when(title.rlike(SECTION_WORD), 1).otherwise(2))
+        return F.when(fine, F.struct(title.alias("title"), page.alias("page"), dotted.alias("dotted"), F.coalesce(number["number"], F.lit("")).alias("number"), level.alias("level")))
+
+    # Most lines are too long or don't end in a number, which is seen before they are taken apart.
+    return once(clean_line(text), lambda line: F.when((F.length(line) <= 180) & line.rlike(r"[0-9]$"), told(line)))
 
 
 def contents_scores(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -89,7 +92,8 @@ def heading_scores(lines: DataFrame, doc: str, page: str, order: str, *, height:
         )
 
     # What a line's text says is worked out before the windows, which keep it, so that no condition reads the text again.
-    told = lines.withColumn("_looks", once(clean_line("text"), looks))
+    # A line without text or of over 150 characters is no heading, however it looks.
+    told = lines.withColumn("_looks", once(clean_line("text"), lambda text: F.when(F.length(text).between(1, 150), looks(text))))
     by_page = Window.partitionBy(doc, page)
     down = by_page.orderBy(order)
     body = F.coalesce(F.median("font_size").over(by_page), F.lit(10.0))
@@ -104,7 +108,7 @@ def heading_scores(lines: DataFrame, doc: str, page: str, order: str, *, height:
         + one(text["capitals"] & short & (F.col("_top") <= 0.32), 1) - one(text["imprint"], 5)
     )
     signal = numbered | word | ((F.col("_size") >= 1.22) & (F.col("bold") | spaced)) | ((F.col("_top") <= 0.22) & (F.col("bold") | (F.col("_size") >= 1.18)))
-    prose = (text["size"] == 0) | (text["size"] > 150) | text["stop"] | (text["words"] > 20)
+    prose = text.isNull() | text["stop"] | (text["words"] > 20)
     found = measured.withColumns({"score": score, "level": F.coalesce(text["level"], one(word, 1) + one(~word, 2))}).filter((F.col("score") >= 7) & signal & ~prose)
     style = F.concat_ws("|", (F.floor(F.col("font_size") * 2 + 0.5) / 2).cast("string"), F.when(F.col("bold"), "b").otherwise("n"))
     shared = F.count("*").over(Window.partitionBy(doc, "_style"))

@@ -32,16 +32,21 @@ def edge_lines(pages: DataFrame, group: str, page: str, text: str = "text", n: i
 
 def repeated_furniture(edges: DataFrame, pages: DataFrame, group: str, share: float = 0.45, longest: int = 120) -> DataFrame:
     """(group, key, n): keys of edge lines found at least twice and on ``share`` of a group's pages."""
-    clean = clean_line("line")
-    keyed = edges.filter((clean != "") & (F.length(clean) <= longest) & ~clean.rlike(PAGE_NUMBER)).select(group, furniture_key("line").alias("key")).filter("key <> ''")
+    fine = once(clean_line("line"), lambda x: (x != "") & (F.length(x) <= longest) & ~x.rlike(PAGE_NUMBER))
+    keyed = edges.filter(fine).select(group, furniture_key("line").alias("key")).filter("key <> ''")
     counted = keyed.groupBy(group, "key").agg(F.count("*").alias("n"))
     totals = pages.groupBy(group).agg(F.count("*").alias("pages"))
     return counted.join(totals, group).filter(F.col("n") >= F.greatest(F.lit(2), F.ceil(share * F.col("pages")))).select(group, "key", "n")
 
 
+def says_something(line: Column | str) -> Column:
+    """A line that is neither blank nor a page number."""
+    return once(clean_line(line), lambda x: (x != "") & ~x.rlike(PAGE_NUMBER))
+
+
 def without_noise(lines: DataFrame, furniture: DataFrame, group: str) -> DataFrame:
     """Lines that are not blank, no page number and no furniture of their group."""
-    kept = lines.filter((clean_line("line") != "") & ~clean_line("line").rlike(PAGE_NUMBER)).withColumn("key", furniture_key("line"))
+    kept = lines.filter(says_something("line")).withColumn("key", furniture_key("line"))
     return kept.join(furniture.select(group, "key"), [group, "key"], "left_anti").drop("key")
 
 
@@ -127,19 +132,28 @@ def bare_title(title: Column | str) -> Column:
     return F.trim(F.regexp_replace(squeeze(title), r"^(([0-9]+(\.[0-9]+)*[.)]?)|([ivxlcdm]+[.)]))\s+", ""))
 
 
+def title_role(title: Column | str) -> Column:
+    """The role that a title names, or null."""
+    def named(bare: Column) -> Column:
+        rule = F.when(bare.rlike(CONTENT_TITLE), "contenido")
+        for role, pattern in ROLE_TITLES:
+            rule = rule.when(bare.rlike(pattern), role)
+        return rule
+
+    return once(bare_title(title), named)
+
+
 def section_role(title: Column | str, content: Column | str, *, first_page: Column | None = None, last_page: Column | None = None, pages: Column | None = None, contents_page: Column | None = None) -> Column:
     """(role, confidence) by rules in order: title, contents lines, citations, short texts at either end, else contents of the work."""
-    title = bare_title(title)
     body = F.coalesce(F.col(content) if isinstance(content, str) else content, F.lit(""))
     lines = F.filter(F.transform(F.split(body, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     n = F.greatest(F.size(lines), F.lit(1)).cast("double")
     toc, refs = F.size(F.filter(lines, is_toc_line)), F.size(F.filter(lines, is_reference))
     first, last, total = (F.coalesce(x, F.lit(0)) if x is not None else F.lit(0) for x in (first_page, last_page, pages))
     little = (F.length(F.trim(body)) > 0) & (F.length(F.trim(body)) <= 140) & (F.size(lines) <= 5)
-    says = lambda role, confidence: F.struct(F.lit(role).alias("role"), confidence.cast("double").alias("confidence"))
-    rule = F.when(title.rlike(CONTENT_TITLE), says("contenido", F.lit(0.98)))
-    for role, pattern in ROLE_TITLES:
-        rule = rule.when(title.rlike(pattern), says(role, F.lit(0.98)))
+    says = lambda role, confidence: F.struct((F.lit(role) if isinstance(role, str) else role).alias("role"), confidence.cast("double").alias("confidence"))
+    told = title_role(title)
+    rule = F.when(told.isNotNull(), says(told, F.lit(0.98)))
     rule = rule.when((toc >= 2) & (toc / n >= 0.25), says("indice", F.least(F.lit(0.97), 0.78 + 0.18 * toc / n)))
     if contents_page is not None:
         rule = rule.when(contents_page, says("indice", F.lit(0.82)))

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import clean_line, numbering
+from lectern.functions.text import clean_line, furniture_key, numbering
 from lectern.operators.boundaries import LINES, WHOLE_TITLE, choose_boundaries, place
 from lectern.operators.knowledge import cut
 from lectern.operators.layout import SECTION_WORD, contents_entry, contents_scores, contents_window, heading_scores
-from lectern.operators.structure import heading_paths, repeated_furniture, section_role, without_noise
+from lectern.operators.structure import heading_paths, repeated_furniture, says_something, section_role, title_role
 
 # Roles that bound a section wherever they stand, and the least confidence of a role, a section and a page's cover.
 STRUCTURAL = ("preliminares", "indice", "referencias", "apendice", "glosario")
@@ -34,7 +34,7 @@ def block_headings(lines: DataFrame, *, height: float = 800.0) -> DataFrame:
     told = lines.withColumns({"_text": text, "_ratio": F.col("font_size") / body, "_nth": F.row_number().over(down)})
     strong = numbering("_text").isNotNull() | F.col("_text").rlike(SECTION_WORD) | F.coalesce("bold", F.lit(False)) | (F.col("_ratio") >= 1.18)
     prose = (F.length("_text") == 0) | (F.length("_text") > 150) | F.col("_text").rlike(r"[.!?;:]$") | (F.size(F.split("_text", " ")) > 20)
-    told = told.withColumn("_opens", strong & ~prose)
+    told = told.withColumn("_opens", F.when(prose, False).otherwise(strong))
 
     def joins(k: int) -> Column:
         """Whether the kth line below goes on with the block that this line opens, if those between do."""
@@ -80,12 +80,16 @@ def analyse(lines: DataFrame, documents: DataFrame, outline: DataFrame, *, heigh
     whose role bounds a section are boundaries at level 1 beside those of the document's strategy. A section's content has that of the sections below it. Lines before the first boundary are in no section unless the
     document is one section. A document without lines is one empty section.
     """
+    # Lines move once, to their document, where pages, furniture and places are told; what a document's pages repeat is a few keys, which its lines see beside them.
+    lines = lines.repartition("doc")
     near, far = Window.partitionBy("doc", "page").orderBy("line_no"), Window.partitionBy("doc", "page").orderBy(F.desc("line_no"))
-    edges = lines.withColumns({"_a": F.row_number().over(near), "_z": F.row_number().over(far)}).filter("_a <= 3 OR _z <= 3").select("doc", "page", F.col("text").alias("line"))
-    furniture = repeated_furniture(edges, lines.select("doc", "page").distinct(), "doc")
-    kept = cut(without_noise(lines.withColumn("line", F.col("text")), furniture, "doc").drop("line"))
-    role = section_role("text", F.lit(""))
-    openings = kept.filter(role["role"] == "indice").select("doc", "page").distinct()
+    edges = lines.select("doc", "page", "line_no", F.col("text").alias("line")).withColumns({"_a": F.row_number().over(near), "_z": F.row_number().over(far)}).filter("_a <= 3 OR _z <= 3").select("doc", "page", "line")
+    furniture = repeated_furniture(edges, edges.select("doc", "page").distinct(), "doc").groupBy("doc").agg(F.collect_set("key").alias("_keys"))
+    # A key only grows with its text, so a long text whose beginning already has a longer key than any that repeats is none of them.
+    longer = (F.length("text") > 300) & (F.length(furniture_key(F.left("text", F.lit(300)))) > F.array_max(F.transform("_keys", F.length)))
+    repeats = F.when(F.col("_keys").isNull() | longer, False).otherwise(F.array_contains("_keys", furniture_key("text")))
+    kept = cut(lines.filter(says_something("text")).join(furniture, "doc", "left").filter(~repeats).drop("_keys"))
+    openings = kept.filter(title_role("text") == "indice").select("doc", "page").distinct()
     scores = contents_scores(kept, ["doc", "page"])
     window = contents_window(scores, openings, "doc", "page")
     lists = cut(scores.join(window, "doc").filter("page BETWEEN start AND end").groupBy("doc").agg(F.min("start").alias("first_page"), F.max("end").alias("last_page"), F.least(F.lit(0.99), 0.55 + F.max("score") / 80).alias("confidence")))

@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lectern.plans import pages
 
 LINE = "doc long, page long, line_no long, text string, x double, y double, font_size double, bold boolean"
@@ -76,3 +78,22 @@ def test_headings_of_several_lines(spark):
     assert found == [(1, 1, 3, "Una historia larga de la escucha en la escuela"), (2, 20, 23, "Título a Título b Título c Título d"), (2, 24, 25, "Título e Título f")]
     lines = [(r.line, r.last_line) for r in pages.headings_of(spark.createDataFrame(rows, LINE)).filter("page = 1").collect()]
     assert (1, 3) in lines and not {(1, 1), (2, 2), (3, 3)} & set(lines)
+
+
+def test_lines_move_to_their_document_before_they_are_read(spark, monkeypatch):
+    """However few tasks read them; a long line whose key is that of a running header goes with it."""
+    kept = []
+    monkeypatch.setattr(pages, "cut", lambda df: kept.append(df) or df)
+    header = "Curso de lógica"
+    rows = [(d, p, n, text, 40.0, 700.0 - 20 * n, 11.0, False) for d in range(20) for p in range(1, 5) for n, text in enumerate([header if p < 4 else "- " * 200 + header, f"esto dice el texto {chr(97 + d)}{chr(97 + p)} de la hoja", "x" * 400, str(p)])]
+    documents = spark.createDataFrame([(d, 4) for d in range(20)], "doc long, pages int")
+    outline = spark.createDataFrame([], "doc long, nth long, title string, level int, page long")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pages.analyse(spark.createDataFrame(rows, LINE).coalesce(1), documents, outline)
+        got = kept[0].select("doc", "page", "text", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(got) == 20 * 4 * 2 and not any(header in r.text for r in got)
+    assert len({(r.doc, r.task) for r in got}) == 20 and len({r.task for r in got}) > 1
