@@ -244,7 +244,8 @@ def _(spark, sf):
 @DOCUMENTS.add("reading_order", "page bigint, l_orderkey bigint, l_linenumber bigint, place bigint", f"WITH {GEOMETRY_SQL}, {COLUMNS_SQL} SELECT page, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN split IS NULL OR width >= 360 THEN 0 WHEN x < split THEN 1 ELSE 2 END, yy DESC, x) AS place FROM (SELECT *, y + l_linenumber / 100.0::DOUBLE + l_orderkey / 1e9::DOUBLE AS yy FROM geometry) JOIN columns USING (page)")
 def _(spark, sf):
     lines = _geometry(spark, sf).withColumn("y", F.col("y") + F.col("l_linenumber") / 100.0 + F.col("l_orderkey") / 1e9)
-    return structure.reading_order(lines.join(structure.widest_gap(lines, "page", "x", 600.0), "page"), "page", "split")
+    # A page's columns are one row, met by hash: lines are then sorted once, for their places.
+    return structure.reading_order(lines.join(structure.widest_gap(lines, "page", "x", 600.0).hint("shuffle_hash"), "page"), "page", "split")
 
 
 @DOCUMENTS.add("indent_levels", "l_orderkey bigint, levels string", """

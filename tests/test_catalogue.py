@@ -46,3 +46,8 @@ def test_a_half_of_the_sixth_decimal_is_rounded_as_in_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/lineitem.parquet/*.parquet'")
     assert found == sorted(con.sql(SQL["vertical_gaps"]).fetchall()) and found[0][3] == 4.999041
+
+
+def test_lines_are_sorted_once_for_their_places(spark, sf):
+    plan = QUERIES["reading_order"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Broadcast" not in plan
