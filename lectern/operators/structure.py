@@ -338,7 +338,8 @@ def work_starts(pages: DataFrame, doc: str, page: str, lines: str = "lines", hea
     """Pages on which a work of a compilation begins: an abstract within the first lines, not on the first, and a title before it."""
     top = F.transform(F.slice(lines, 1, head), lambda x: squeeze(x))
     at = F.array_position(F.transform(top, lambda x: x.rlike(r"^(resumen|abstract)\b")), F.lit(True))
-    title = F.trim(F.col(lines)[0])
+    # A page may have no lines, and its title is read whatever ``at`` is.
+    title = F.trim(F.get(lines, F.lit(0)))
     found = pages.filter((at > 1) & (F.length(title) >= 4) & (F.length(title) <= 200))
     return found.select(doc, page, title.alias("title"), F.regexp_extract(F.array_join(F.slice(lines, 1, head), " "), r"\b((?:19|20)[0-9]{2})\b", 1).alias("year"))
 

@@ -142,3 +142,8 @@ def test_coverage_needs_no_join_and_null_ids_meet_nothing(spark):
     found = coverage(e, r, "g", "k")
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((x.g, x.missing, x.unexpected, x.exact) for x in found.collect()) == [(1, 1, 1, False), (2, 1, 1, False), (3, 0, 0, True), (4, 0, 1, False)]
+
+
+def test_pages_without_lines_begin_no_work(spark):
+    pages = spark.createDataFrame([("s", 1, []), ("s", 2, None), ("s", 3, ["Título", "Abstract 1999"]), ("s", 4, ["Resumen 1999"])], "source string, page int, lines array<string>")
+    assert [tuple(r) for r in structure.work_starts(pages, "source", "page").collect()] == [("s", 3, "Título", "1999")]
