@@ -62,6 +62,14 @@ def cut(df: DataFrame, key: str, text: str, cuts: Callable[[str], Iterator[str]]
     return narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, part int, passage string").withColumnRenamed("key", key)
 
 
+def pieces(text: Column, cuts: Callable[[str], Iterator[str]]) -> Column:
+    """The pieces of a text, in order, beside whatever else its row has."""
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([list(cuts(x)) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(F.coalesce(text, F.lit("")))
+
+
 def pack_units(parts: Column, size: int = 5200, gap: int = 2) -> Column:
     """Paragraphs packed greedily, in order, into units of at most ``size`` characters, a longer one alone."""
     joined = lambda a, b: F.concat(a, F.lit("\n" * gap), b)

@@ -27,6 +27,7 @@ BLOCK = 4096  # short phrases that are looked for together in a text
 SMALL = 200_000  # rows of questions that are sent to every task; more are merged
 PIECE = 5  # letters of a word that are joined on, where it stands within another
 LONG_WORD = 256
+PAIRS = 1_000_000  # items times questions of one task, where their pairs are made
 
 
 def as_items(df: DataFrame) -> DataFrame:
@@ -58,10 +59,16 @@ def fields() -> dict[str, Column]:
     }
 
 
+def item_columns(known: DataFrame) -> list[str]:
+    """The columns that tell ``normalized`` items apart: pos, or id, lift and pos."""
+    return [c for c in ("id", "lift", "pos") if c in known.columns]
+
+
 def normalized(items: DataFrame) -> DataFrame:
-    """(pos, the normalised fields, names): what scores read of the items. names are aliases, keywords and concepts of three letters or more."""
+    """(pos, the normalised fields, names): what scores read of the items; id and lift too, where there is a lift. names are aliases, keywords and concepts of three letters or more."""
+    at = item_columns(items) if "lift" in items.columns else ["pos"]
     names = F.filter(F.transform(F.concat("aliases", "keywords", "teacher_concepts"), normalize), lambda a: F.length(a) >= 3)
-    return items.select("pos", *(c.alias(k) for k, c in fields().items()), names.alias("names"))
+    return items.select(*at, *(c.alias(k) for k, c in fields().items()), names.alias("names"))
 
 
 def sent(rows: DataFrame) -> DataFrame:
@@ -71,15 +78,16 @@ def sent(rows: DataFrame) -> DataFrame:
 
 
 def item_terms(known: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(pos, term, weight, in_text): the ``wanted`` terms (term) that ``normalized`` items hold, with the largest weight among their fields.
+    """(pos, or what else tells items apart, term, weight, in_text): the ``wanted`` terms (term) that ``normalized`` items hold, with the largest weight among their fields.
 
     Tokens that nobody asks for are dropped before anything is grouped. in_text is false for terms of an item's source alone.
     """
+    at = item_columns(known)
     parts = F.array(*(F.struct(F.col(k).alias("text"), F.lit(w).alias("weight"), F.lit(k != "source").alias("in_text")) for k, w in FIELD_WEIGHTS.items()))
-    tokens = known.select("pos", F.inline(parts)).select("pos", "weight", "in_text", F.explode(F.array_distinct(F.split("text", " "))).alias("token")).filter(F.length("token") >= 3)
-    named = tokens.select("pos", stem(F.col("token")).alias("term"), "weight", "in_text").join(sent(wanted.select("term").distinct()), "term", "left_semi")
+    tokens = known.select(*at, F.inline(parts)).select(*at, "weight", "in_text", F.explode(F.array_distinct(F.split("text", " "))).alias("token")).filter(F.length("token") >= 3)
+    named = tokens.select(*at, stem(F.col("token")).alias("term"), "weight", "in_text").join(sent(wanted.select("term").distinct()), "term", "left_semi")
     # An item's terms stay together, so that its scores are summed up before they are shuffled.
-    return named.repartition("pos").groupBy("pos", "term").agg(F.max("weight").alias("weight"), F.max("in_text").alias("in_text"))
+    return named.repartition("pos").groupBy(*at, "term").agg(F.max("weight").alias("weight"), F.max("in_text").alias("in_text"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -151,23 +159,30 @@ def texts_with(texts: DataFrame, columns: list[str], phrases: DataFrame, words:
     return by_word if n_all == n_long else by_word.unionByName(found)
 
 
-def phrase_hits(known: DataFrame, questions: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(q_id, pos, bonus) for questions that stand in an item's text as a whole, and for item names that stand in a question.
+def phrase_parts(known: DataFrame, questions: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions that stand in an item's text as a whole (q_id, pos, bonus), the items' names (pos, name), and those of them that stand in a question (q_id, name).
 
     ``known`` is what ``normalized`` gives.
     """
+    at = item_columns(known)
     asked = cut(questions.filter(F.size(query_terms("question")) > 0).select(F.col("q_id").alias("key"), normalize("question").alias("phrase")))
-    texts = known.select("pos", F.concat_ws(" ", "title", "keywords").alias("heads"), "content")
+    texts = known.select(*at, F.concat_ws(" ", "title", "keywords").alias("heads"), "content")
     words = F.split(F.concat_ws(" ", "heads", "content"), " ")
     # The phrase goes with its hits, so that a text is asked for its heads and its content once for each hit.
     bonus = F.when(F.contains("heads", F.col("phrase")), TITLE_PHRASE).otherwise(0.0) + F.when(F.contains("content", F.col("phrase")), CONTENT_PHRASE).otherwise(0.0)
-    found = texts_with(texts, ["pos", "heads", "content"], asked, words, lambda p: F.contains("heads", p) | F.contains("content", p), block)
-    in_text = found.select(F.col("_key").alias("q_id"), "pos", bonus.alias("bonus"))
+    found = texts_with(texts, [*at, "heads", "content"], asked, words, lambda p: F.contains("heads", p) | F.contains("content", p), block)
+    in_text = found.select(F.col("_key").alias("q_id"), *at, bonus.alias("bonus"))
 
-    names = known.select("pos", F.explode("names").alias("name"))
+    names = known.select(*at, F.explode("names").alias("name"))
     parts = names.select("name").distinct().withColumn("part", longest_word("name"))
     said = asked.select(F.col("key").alias("q_id"), "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word"))
     meant = said.join(words_around(said.select("word").distinct(), parts.select("part")), "word").join(parts, "part").filter(F.contains("phrase", F.col("name"))).select("q_id", "name").distinct()
+    return in_text, names, meant
+
+
+def phrase_hits(known: DataFrame, questions: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(q_id, pos, bonus) for questions that stand in an item's text as a whole, and for item names that stand in a question."""
+    in_text, names, meant = phrase_parts(known, questions, block)
     by_name = names.join(sent(meant), "name").groupBy("q_id", "pos").agg((F.count("*") * F.lit(ALIAS)).cast("double").alias("bonus"))
     return in_text.unionByName(by_name).groupBy("q_id", "pos").agg(F.sum("bonus").alias("bonus"))
 
@@ -217,6 +232,46 @@ def rank(items: DataFrame, questions: DataFrame, *, include_reference: bool = Fa
     return found.join(items.select("pos", "id", "priority").hint("merge"), "pos").withColumn("score", total).select("q_id", "pos", "id", "direct", "contextual", "expanded", "score")
 
 
+def dealt_shares(known: DataFrame, n_items: int, questions: DataFrame, tasks: int) -> DataFrame:
+    """(q_id, id, lift, pos, s, met, n_terms) as ``shares``, lying by id in so many ``tasks``: terms and names are dealt before they meet the questions, so that pairs are never moved."""
+    at = item_columns(known)
+    asked = cut(question_terms(questions))
+    held = cut(item_terms(known, asked))
+    weighed = sent(asked.join(idf_table(held, n_items), "term", "left").select("q_id", "term", "n_terms", F.coalesce("idf", F.lit(1.0)).alias("idf")))
+    in_text, names, meant = phrase_parts(known, questions)
+    none = [F.lit(0).alias("met"), F.lit(1).alias("n_terms")]
+    by_term = held.select(*at, "term", "weight").repartition(tasks, "id").join(weighed, "term").select("q_id", *at, (F.col("weight") * F.col("idf")).alias("s"), F.lit(1).alias("met"), "n_terms")
+    wanted = sent(meant)
+    by_name = names.join(wanted.select("name").distinct(), "name", "left_semi").repartition(tasks, "id").join(wanted, "name").select("q_id", *at, F.lit(ALIAS).cast("double").alias("s"), *none)
+    by_text = in_text.repartition(tasks, "id").select("q_id", *at, F.col("bonus").alias("s"), *none)
+    return by_term.unionByName(by_name).unionByName(by_text)
+
+
+def best(items: DataFrame, questions: DataFrame, k: int, *, include_reference: bool = False, contexts: DataFrame | None = None, alternatives: DataFrame | None = None, per_item: bool = False) -> DataFrame:
+    """The ``k`` best rows of ``rank`` for each question, with their ``rank``; with ``per_item`` each id counts once, by its best row.
+
+    Pairs of questions and items are made, summed up and compared where the item lies, and only the best of a task are moved.
+    """
+    lift = F.coalesce(F.create_map(*(F.lit(x) for pair in PRIORITY.items() for x in pair))[F.col("priority")], F.lit(0.0))
+    # Texts are dealt evenly, once: a file may be few tasks, and each of its texts many pieces.
+    known = cut(normalized(in_scope(as_items(items), include_reference).withColumn("lift", lift).repartition("pos")))
+    n_items, at = known.count(), ["id", "lift", "pos"]
+    tasks = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_items * questions.count() // PAIRS))
+    rows = dealt_shares(known, n_items, questions, tasks).withColumn("told", F.lit(False))
+    if contexts is not None:
+        rows = rows.unionByName(dealt_shares(known, n_items, contexts, tasks).withColumn("told", F.lit(True)))
+    found = rows.groupBy("q_id", *at).agg(summed(~F.col("told")).alias("direct"), summed(F.col("told")).alias("contextual")).withColumn("expanded", F.lit(0.0))
+    if alternatives is not None:
+        keyed = alternatives.select(F.struct("q_id", "alt").alias("q_id"), "question")
+        other = dealt_shares(known, n_items, keyed, tasks).groupBy("q_id", *at).agg(summed().alias("score")).select(F.col("q_id.q_id").alias("q_id"), F.col("q_id.alt").alias("alt"), *at, "score")
+        other = other.join(sent(alternatives.select("q_id", "alt", F.least(F.lit(MOST_ALTERNATIVE), "weight").alias("weight"))), ["q_id", "alt"])
+        other = other.select("q_id", *at, F.lit(0.0).alias("direct"), F.lit(0.0).alias("contextual"), (F.col("score") * F.col("weight")).alias("expanded"))
+        found = found.unionByName(other).groupBy("q_id", *at).agg(*(F.max(c).alias(c) for c in ("direct", "contextual", "expanded")))
+    total = F.col("direct") + CONTEXT_SHARE * F.col("contextual") + F.col("expanded") + F.col("lift")
+    ranked = found.withColumn("score", total).select("q_id", "pos", "id", "direct", "contextual", "expanded", "score")
+    return top(best_per_item(ranked) if per_item else ranked, k)
+
+
 def top(ranked: DataFrame, k: int, by: list[str] = ["q_id"]) -> DataFrame:  # noqa: B006
     """The ``k`` best rows of each question with their ``rank``; ties keep the items' order. Scores tie from six decimals."""
     order = Window.partitionBy(*by).orderBy(F.round("score", 6).desc(), "pos")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import clean_text, section_id, shorten
 from lectern.operators import contracts, passages, retrieval, structure
-from lectern.operators.knowledge import recent_messages, within_budget
+from lectern.operators.knowledge import cut, recent_messages, within_budget
 
 LIMITS = {"knowledge": 4, "concepts": 3, "corpus": 4}
 SOCRATIC = {"concepts": 2, "corpus": 3}
@@ -17,8 +17,10 @@ BUDGETS = {"knowledge": (3800, 950), "concepts": (1350, 450), "corpus": (3000, 8
 def passages_of(corpus: DataFrame) -> DataFrame:
     """Items of which long ones became several, which keep their id; ``pos`` orders items, then parts."""
     items = retrieval.as_items(corpus).withColumn("content", retrieval.body_of()).filter(F.trim("content") != "")
-    pieces = passages.cut(items, "pos", "content", passages.retrieval_cuts)
-    return items.drop("content").join(pieces, "pos").withColumn("pos", F.struct("pos", "part")).withColumnRenamed("passage", "content").drop("part")
+    # Cut in its row, so that neither a text nor its pieces are moved.
+    rest = [c for c in items.columns if c not in ("content", "pos")]
+    parted = items.withColumn("_pieces", passages.pieces(F.col("content"), passages.retrieval_cuts))
+    return parted.select(*rest, "pos", F.posexplode("_pieces").alias("part", "content")).filter("content <> ''").withColumn("pos", F.struct("pos", "part")).drop("part")
 
 
 def context_questions(messages: DataFrame, by: str, order: str) -> DataFrame:
@@ -36,15 +38,15 @@ def retrieve(questions: DataFrame, corpus: DataFrame, concepts: DataFrame | None
     limits = LIMITS | (SOCRATIC if socratic else {})
     found, other = [], None
     if entries is not None:
-        ranked = retrieval.top(retrieval.rank(entries, questions, include_reference=include_reference, contexts=contexts), limits["knowledge"])
+        # What was found is kept: other wordings are made of it, and asked more than once.
+        ranked = cut(retrieval.best(entries, questions, limits["knowledge"], include_reference=include_reference, contexts=contexts))
         found.append(ranked.select("q_id", F.lit(0).alias("kind"), "rank", F.col("id").alias("key"), "score"))
         worded = ranked.select("q_id", "rank", "pos").join(entries.select("pos", "term", "aliases", "related").hint("merge"), "pos")
-        other = retrieval.alternatives(worded, questions)
+        other = cut(retrieval.alternatives(worded, questions))
     if concepts is not None:
-        ranked = retrieval.top(retrieval.rank(concepts, questions, include_reference=include_reference, contexts=contexts, alternatives=other), limits["concepts"])
+        ranked = retrieval.best(concepts, questions, limits["concepts"], include_reference=include_reference, contexts=contexts, alternatives=other)
         found.append(ranked.select("q_id", F.lit(1).alias("kind"), "rank", F.col("id").alias("key"), "score"))
-    ranked = retrieval.rank(passages_of(corpus), questions, include_reference=include_reference, contexts=contexts, alternatives=other)
-    ranked = retrieval.top(retrieval.best_per_item(ranked), limits["corpus"])
+    ranked = retrieval.best(passages_of(corpus), questions, limits["corpus"], include_reference=include_reference, contexts=contexts, alternatives=other, per_item=True)
     found.append(ranked.select("q_id", F.lit(2).alias("kind"), "rank", F.col("id").alias("key"), "score"))
     return retrieval.first_of_kinds(contracts.all_of(*found)).select("q_id", "place", "kind", F.col("key").alias("id"), "score")
 

@@ -151,8 +151,7 @@ items AS (SELECT c.id, c.pos * 100000 + p.part AS pos, c.title, c.aliases, p.pas
 {score_sql('items', 'questions', 's')}, {TOTAL_SQL},
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id, id ORDER BY round(score, 6) DESC, pos) AS nth FROM total) WHERE nth = 1) {top_sql(4, 'best')}""")
 def _(spark, sf):
-    ranked = retrieval.rank(course.passages_of(corpus(spark, sf)), questions(spark, sf))
-    return retrieval.top(retrieval.best_per_item(ranked), 4)
+    return retrieval.best(course.passages_of(corpus(spark, sf)), questions(spark, sf), 4, per_item=True)
 
 
 @RETRIEVAL.add("retrieve_all_kinds", "q_id bigint, place bigint, kind bigint, id string, score double")

@@ -165,3 +165,33 @@ def test_texts_are_not_moved_for_names_and_phrases(spark):
     assert sorted((r.key, r.concept) for r in found.collect()) == [("a", "ano secu"), ("a", "o secuencia l"), ("a", "plano"), ("b", "plano"), ("b", "plano")]
     known = retrieval.normalized(retrieval.as_items(rows))
     assert "SortMergeJoin" not in plan_of(retrieval.shares(known, asked(spark, "el plano secuencia largo")))
+
+
+def test_best_is_the_top_of_rank(spark):
+    rng = random.Random(3)
+    words = ["plano", "secuencia", "montaje", "luz", "cámara", "sonido", "ritmo"]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(f"i{k}", k, said(2), [rng.choice(words)], said(rng.choice((0, 5, 400))), rng.choice(("central", "context", None)), rng.choice(("included", "excluded"))) for k in range(40)]
+    items = course.passages_of(spark.createDataFrame(rows, "id string, pos int, title string, aliases array<string>, content string, priority string, scope string"))
+    questions = spark.createDataFrame([(q, said(3)) for q in range(6)], "q_id int, question string")
+    before = spark.createDataFrame([(q, said(4)) for q in range(0, 6, 2)], "q_id int, question string")
+    other = spark.createDataFrame([(q, a, said(1), 0.3 * a) for q in range(5) for a in (1, 2, 3)], "q_id int, alt int, question string, weight double")
+    for more in ({}, {"contexts": before, "alternatives": other}):
+        ranked = retrieval.rank(items, questions, **more)
+        shown = lambda df: sorted((r.q_id, r["rank"], r.id, tuple(r.pos), *(round(r[c], 6) for c in ("direct", "contextual", "expanded", "score"))) for r in df.collect())
+        assert shown(retrieval.best(items, questions, 3, **more)) == shown(retrieval.top(ranked, 3))
+        assert shown(retrieval.best(items, questions, 3, per_item=True, **more)) == shown(retrieval.top(retrieval.best_per_item(ranked), 3))
+
+
+def test_passages_stay_in_their_row_and_pairs_where_they_are_made(spark):
+    rows = spark.createDataFrame([("a", 1, "t", "plano. " * 500), ("b", 2, "t", "  "), ("c", 3, "t", None)], "id string, pos int, title string, content string")
+    items = course.passages_of(rows)
+    assert "Join" not in items._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.id, tuple(r.pos), r.content) for r in items.collect()] == [("a", (1, n), x) for n, x in enumerate(passages.retrieval_cuts("plano. " * 500))]
+    found = retrieval.best(items, spark.createDataFrame([(1, "plano"), (2, "secuencia")], "q_id int, question string"), 1, per_item=True)
+    assert [(r.q_id, r.id) for r in found.collect()] == [(1, "a")]
+    # Terms, names and phrases are dealt by item; of the pairs only each task's best go on, to their question.
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("hashpartitioning(id#" in line for line in moved)
+    assert not any("hashpartitioning(q_id#" in line and ", pos#" in line.split("hashpartitioning(")[1].split(")")[0] for line in moved), moved
