@@ -262,9 +262,11 @@ def best(items: DataFrame, questions: DataFrame, k: int, *, include_reference: b
         rows = rows.unionByName(dealt_shares(known, n_items, contexts, tasks).withColumn("told", F.lit(True)))
     found = rows.groupBy("q_id", *at).agg(summed(~F.col("told")).alias("direct"), summed(F.col("told")).alias("contextual")).withColumn("expanded", F.lit(0.0))
     if alternatives is not None:
-        keyed = alternatives.select(F.struct("q_id", "alt").alias("q_id"), "question")
-        other = dealt_shares(known, n_items, keyed, tasks).groupBy("q_id", *at).agg(summed().alias("score")).select(F.col("q_id.q_id").alias("q_id"), F.col("q_id.alt").alias("alt"), *at, "score")
-        other = other.join(sent(alternatives.select("q_id", "alt", F.least(F.lit(MOST_ALTERNATIVE), "weight").alias("weight"))), ["q_id", "alt"])
+        # Many questions have the same other wordings, each of which is scored once.
+        wordings = cut(alternatives.select("question").distinct().withColumn("wording", F.monotonically_increasing_id()))
+        worded = alternatives.join(wordings, "question").groupBy("wording", "q_id").agg(F.max(F.least(F.lit(MOST_ALTERNATIVE), "weight")).alias("weight"))
+        other = dealt_shares(known, n_items, wordings.select(F.col("wording").alias("q_id"), "question"), tasks).groupBy("q_id", *at).agg(summed().alias("score")).withColumnRenamed("q_id", "wording")
+        other = other.join(sent(worded), "wording")
         other = other.select("q_id", *at, F.lit(0.0).alias("direct"), F.lit(0.0).alias("contextual"), (F.col("score") * F.col("weight")).alias("expanded"))
         found = found.unionByName(other).groupBy("q_id", *at).agg(*(F.max(c).alias(c) for c in ("direct", "contextual", "expanded")))
     total = F.col("direct") + CONTEXT_SHARE * F.col("contextual") + F.col("expanded") + F.col("lift")

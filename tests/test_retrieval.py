@@ -195,3 +195,13 @@ def test_passages_stay_in_their_row_and_pairs_where_they_are_made(spark):
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert any("hashpartitioning(id#" in line for line in moved)
     assert not any("hashpartitioning(q_id#" in line and ", pos#" in line.split("hashpartitioning(")[1].split(")")[0] for line in moved), moved
+
+
+def test_wordings_that_questions_share_are_scored_once(spark, monkeypatch):
+    scored, plain = [], retrieval.dealt_shares
+    monkeypatch.setattr(retrieval, "dealt_shares", lambda known, n, questions, tasks: (scored.append(questions.count()), plain(known, n, questions, tasks))[1])
+    other = spark.createDataFrame([(0, 1, "montaje", 0.5), (1, 1, "montaje", 0.2), (1, 4, "montaje", 0.9)], "q_id long, alt int, question string, weight double")
+    found = retrieval.best(items(spark, {"id": "a", "content": "montaje"}), asked(spark, "plano", "luz"), 1, alternatives=other).collect()
+    assert scored == [2, 1]
+    told = {r.q_id: r.expanded for r in found}
+    assert abs(told[1] / told[0] - 0.7 / 0.5) < 1e-9
